@@ -18,6 +18,13 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siteloom.llm.simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siteloom.llm.mixing import mix
 
@@ -91,7 +98,7 @@ FROM p
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op4_mixing, op7_language_id, op9_sharding, op10_packing)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_simhash_near_dedup, op4_mixing, op7_language_id, op9_sharding, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
