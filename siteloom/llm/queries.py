@@ -18,6 +18,14 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siteloom.llm.quality import held_out, learn, score
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siteloom.llm.simhash import near_duplicates
 
@@ -98,7 +106,7 @@ FROM p
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_simhash_near_dedup, op4_mixing, op7_language_id, op9_sharding, op10_packing)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_fm, op3_simhash_near_dedup, op4_mixing, op7_language_id, op9_sharding, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
