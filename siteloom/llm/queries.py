@@ -40,6 +40,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siteloom.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siteloom.llm.language import held_out, identify
 
@@ -104,10 +110,22 @@ SELECT doc_id, size, source_size, target, CAST((floor((i + 1) * rate + off) - fl
 FROM p
 """
 
+OP5_SQL = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
+), d AS (
+  SELECT page_id, html, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(((CAST(('0x' || substr(hex, CAST(i // 4 AS INT) * 5 + 1, 5)) AS BIGINT) >> CAST(15 - (i % 4) * 5 AS INT)) & 31) + 1 AS INT), 1)), '') AS digest FROM p
+), f AS (SELECT digest, min(page_id) AS first FROM d GROUP BY digest)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM d JOIN f USING (digest)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_fm, op3_simhash_near_dedup, op4_mixing, op7_language_id, op9_sharding, op10_packing)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_fm, op3_simhash_near_dedup, op4_mixing, op5_warc, op7_language_id, op9_sharding, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op4_mixing": OP4_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op4_mixing": OP4_SQL, "op5_warc": OP5_SQL}
