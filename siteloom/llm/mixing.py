@@ -70,3 +70,19 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
     start = F.floor(F.col("position") * rate + offset(F.col("source"), seed))
     end = F.floor((F.col("position") + 1) * rate + offset(F.col("source"), seed))
     return placed.select("id", "text_hash", "source", "size", "source_size", "target", (end - start).cast("long").alias("copies")).withColumnRenamed("id", id_column)
+
+
+def emit(docs: DataFrame, mixed: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with every row as often as ``mixed`` says.
+
+    Rows alike in id and text share their copies evenly, and what is left over
+    goes to one of them.
+    """
+    each = mixed.groupBy(F.col(id_column).alias("mixed_id"), "text_hash").agg(F.sum("copies").alias("copies_of_all"), F.count("*").alias("rows_alike"))
+    keyed = docs.withColumn("mixed_hash", F.xxhash64(F.col(text)))
+    joined = keyed.join(each, keyed[id_column].eqNullSafe(each["mixed_id"]) & (keyed["mixed_hash"] == each["text_hash"]))
+    times = lambda n: F.explode(F.array_repeat(F.lit(1), n.cast("int")))
+    whole = joined.select(*docs.columns, times(F.floor(F.col("copies_of_all") / F.col("rows_alike"))).alias("copy_of"))
+    rest = joined.where((F.col("rows_alike") > 1) & (F.col("copies_of_all") % F.col("rows_alike") > 0)).dropDuplicates(["mixed_id", "mixed_hash"])
+    rest = rest.select(*docs.columns, times(F.col("copies_of_all") % F.col("rows_alike")).alias("copy_of"))
+    return whole.unionByName(rest).drop("copy_of")

@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siteloom.llm.common import components, drop_staged, rebatched, staged, struct_of
-from siteloom.llm.substring import mixed
+from siteloom.llm.common import components, encoded_words, rebatched, split_words, staged, struct_of
+from siteloom.llm.substring import BASES, mixed, powers
 
 SHINGLE = 4
 RADIUS = 4
@@ -152,3 +152,103 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     rooted = least.join(found, least["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return own.join(staged(named), "fp").select(id_column, "fp", "component_id")
+
+def word_fingerprints(text: pa.Array, seeds: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each text's lower-cased words in order, and its fingerprints (a column for each seed).
+
+    The votes are those of the distinct words, each with the square root of
+    its count: a few changed words move few bits, and common words alone do
+    not decide them.
+    """
+    import xxhash
+
+    offsets, flat = split_words(text)
+    index, words = encoded_words(flat)
+    lowered = [w.encode().lower() for w in words]
+    base = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in lowered), np.uint64, len(words))
+    n = len(text)
+    doc = np.repeat(np.arange(n), np.diff(offsets))
+    _, merged, same = np.unique(base, return_index=True, return_inverse=True) if len(words) else (None, np.zeros(0, np.int64), np.zeros(0, np.int64))
+    key, count = np.unique(doc * max(1, len(merged)) + same[index], return_counts=True) if len(index) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    owner, word = key // max(1, len(merged)), key % max(1, len(merged))
+    weight = np.sqrt(count).astype(np.float32)
+    prints = np.zeros((n, len(seeds)), np.uint64)
+    bounds = np.searchsorted(owner, np.arange(n + 1))
+    for s, seed in enumerate(seeds):
+        hashes = mixed(base[merged] + np.uint64(seed))
+        signs = np.unpackbits(hashes.byteswap().view(np.uint8).reshape(-1, 8), axis=1).astype(np.int8) * np.int8(2) - np.int8(1)
+        for i in range(n):
+            a, b = bounds[i], bounds[i + 1]
+            if b > a:
+                votes = weight[a:b] @ signs[word[a:b]].astype(np.float32)
+                prints[i, s] = int.from_bytes(np.packbits(votes > 0).tobytes(), "big")
+    # The order of the words, as a sum of their hashes times powers of an odd number.
+    power, inverse = powers(BASES[0], len(index) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(base[index] * power[: len(index)], dtype=np.uint64)))
+    whole = mixed((sums[offsets[1:]] - sums[offsets[:-1]]) * inverse[offsets[:-1]])
+    return whole, prints
+
+
+def jaccard(a: str | None, b: str | None, size: int) -> float:
+    """Shared over all distinct shingles of ``size`` words; of two texts without words 1."""
+    x, y = set(shingle_hashes(a, size)), set(shingle_hashes(b, size))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def similar_texts(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS, seeds: tuple[int, ...] = (1, 2, 3), slices: int = SLICES) -> DataFrame:
+    """id and component_id, where a link is a Jaccard similarity of ``similarity`` or more.
+
+    Candidates are texts whose weighted word fingerprints, of any seed, lie
+    within ``radius``; every link is then checked on the whole texts' shingles
+    of ``shingle`` words. Texts equal but for case and white space are one
+    node. The result is exact in what it links; near copies whose
+    fingerprints all differ by more than ``radius`` stay apart.
+    """
+    id_type = docs.schema[id_column].dataType
+    slim = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
+    schema = T.StructType([T.StructField("id", id_type), T.StructField("node", T.LongType()), *(T.StructField(f"fp{s}", T.LongType()) for s in range(len(seeds)))])
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rebatched(batches, 8 << 20):
+            whole, prints = word_fingerprints(batch.column("text"), seeds)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(whole.view(np.int64)), *(pa.array(np.ascontiguousarray(prints[:, s]).view(np.int64)) for s in range(len(seeds)))], names=schema.names)
+
+    own = staged(slim.mapInArrow(compute, schema))
+    nodes = staged(own.groupBy("node").agg(F.min("id").alias("least"), *(F.first(f"fp{s}").alias(f"fp{s}") for s in range(len(seeds)))))
+    edges = None
+    for s in range(len(seeds)):
+        least = nodes.groupBy(F.col(f"fp{s}").alias("fp")).agg(F.min("node").alias("first"))
+        inside = nodes.join(least, F.col(f"fp{s}") == F.col("fp")).select(F.col("node").alias("u"), F.col("first").alias("v"))
+        across = links(least.select("fp"), radius, slices)
+        across = across.join(least.select("fp", F.col("first").alias("u")), "fp").join(least.select(F.col("fp").alias("to"), F.col("first").alias("v")), "to").select("u", "v")
+        both = inside.unionByName(across).where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        edges = both if edges is None else edges.unionByName(both)
+    edges = staged(edges.distinct())
+    # The texts of the nodes that have links, one of each, and their sets of shingles.
+    wanted = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct().join(nodes.select("node", "least"), "node")
+    texts = slim.join(wanted, slim["id"].eqNullSafe(wanted["least"])).select("node", "text")
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rebatched(batches, 8 << 20):
+            values = batch.column("text")
+            whole, _ = word_fingerprints(values, ())
+            right = np.flatnonzero(whole.view(np.int64) == np.asarray(batch.column("node")))  # an id may stand for several texts
+            found = [np.unique(np.asarray(shingle_hashes(values[int(i)].as_py(), shingle), np.uint64)).tobytes() for i in right]
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(right)), pa.array(found, pa.binary())], names=["node", "shingles"])
+
+    sets = staged(texts.mapInArrow(hashes, "node long, shingles binary").dropDuplicates(["node"]))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rebatched(batches, 16 << 20):
+            a, b = ([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(c)] for c in ("a", "b"))
+            shared = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b, strict=True)], np.float64)
+            total = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)], np.float64) - shared
+            good = pa.array(shared >= similarity * total)
+            yield pa.RecordBatch.from_arrays([batch.column("u").filter(good), batch.column("v").filter(good)], names=["u", "v"])
+
+    pairs = edges.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    good = staged(pairs.select("u", "v", "a", "b").mapInArrow(check, "u long, v long"))
+    found = components(docs.sparkSession, good, "u", "v").withColumnRenamed("node", "member")
+    rooted = nodes.join(found, nodes["node"] == found["member"], "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    return own.join(staged(named), "node").select(F.col("id").alias(id_column), "node", "component_id")

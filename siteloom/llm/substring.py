@@ -38,20 +38,20 @@ GRAM = 8
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)  # odd multipliers of the two rolling hashes
 BATCH = 6 << 20
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_held_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 LONG = T.LongType()
 
 
-def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i below n."""
-    if base not in _powers or len(_powers[base][0]) < n:
+    if base not in _held_powers or len(_held_powers[base][0]) < n:
         size = max(n, 1 << 20)
         inverse = pow(base, -1, 1 << 64)
         steps = [np.full(size, b, np.uint64) for b in (base, inverse)]
         for s in steps:
             s[0] = 1
-        _powers[base] = tuple(np.multiply.accumulate(s) for s in steps)
-    return _powers[base][0][:n], _powers[base][1][:n]
+        _held_powers[base] = tuple(np.multiply.accumulate(s) for s in steps)
+    return _held_powers[base][0][:n], _held_powers[base][1][:n]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -73,12 +73,12 @@ class Words:
         self.sums = []
         for seed, base in enumerate(BASES):
             hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in distinct), np.uint64, len(distinct))
-            power, _ = _power(base, self.n + 1)
+            power, _ = powers(base, self.n + 1)
             self.sums.append(np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes[index] * power[: self.n], dtype=np.uint64))))
 
     def run(self, which: int, start: np.ndarray, length: int | np.ndarray) -> np.ndarray:
         """Hash of the ``length`` words from ``start``; it depends on those words alone."""
-        _, inverse = _power(BASES[which], self.n + 1)
+        _, inverse = powers(BASES[which], self.n + 1)
         return mixed((self.sums[which][start + length] - self.sums[which][start]) * inverse[start])
 
 
