@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siteloom.plans import spatial, wind
+from siteloom.plans import climate, policy, spatial, wind
 
-FAMILIES = (wind, spatial)
+FAMILIES = (wind, spatial, climate, policy)
 
 
 def queries() -> dict:
