@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the wind project model, per MW; money in crore (1e7) or rupees a kWh.
 CAPEX_CR = 9.0
@@ -120,7 +121,7 @@ def irr_of(flows: np.ndarray, steps: int = 120) -> np.ndarray:
     return np.where(none, np.nan, (low + high) / 2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def irr(flows: pd.Series) -> pd.Series:
     """Internal rate of return of arrays of equal length; null where there is none."""
     if not len(flows):
@@ -128,6 +129,27 @@ def irr(flows: pd.Series) -> pd.Series:
     return pd.Series(irr_of(np.stack(flows.to_numpy()).astype(float))).replace({np.nan: None}).astype("float64")
 
 
+def equity_flows_of(mwh: np.ndarray, tariff: np.ndarray, capex_cr: np.ndarray, om_cr: np.ndarray, interest: np.ndarray) -> np.ndarray:
+    """``equity_flows`` for arrays: a row of LIFE + 1 flows for each entry."""
+    capex = capex_cr * 1e7
+    debt = capex * DEBT_SHARE
+    out = np.empty((len(mwh), LIFE + 1))
+    out[:, 0] = debt - capex
+    for y in range(1, LIFE + 1):
+        earned = mwh * 1000 * tariff - om_cr * 1e7 * OM_GROWTH ** (y - 1)
+        due = debt * (1 - (y - 1) / TENURE) * interest if y <= TENURE else 0.0
+        off = np.maximum(0, np.minimum(capex * DEPRECIATION, capex * DEPRECIATION_CAP - capex * DEPRECIATION * (y - 1))) if y <= DEPRECIATION_YEARS else 0.0
+        out[:, y] = earned - due - (debt / TENURE if y <= TENURE else 0.0) - np.maximum(0, earned - due - off) * TAX
+    return out
+
+
+@F.pandas_udf(T.DoubleType())
+def equity_irr(mwh: pd.Series, tariff: pd.Series, capex_cr: pd.Series, om_cr: pd.Series, interest: pd.Series) -> pd.Series:
+    """The equity's return straight from the inputs: for many draws, where arrays of flows would be the cost."""
+    found = irr_of(equity_flows_of(*(x.to_numpy(dtype=float) for x in (mwh, tariff, capex_cr, om_cr, interest))))
+    return pd.Series(found).replace({np.nan: None}).astype("float64")
+
+
 def _mul32(a: Column, b: Column) -> Column:
     """Low 32 bits of a product of two numbers below 2**32, without overflow of 64 bits."""
     high = F.shiftright(a, 16) * b

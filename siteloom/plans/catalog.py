@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siteloom.plans import climate, policy, spatial, wind
+from siteloom.plans import climate, finance, policy, spatial, wind
 
-FAMILIES = (wind, spatial, climate, policy)
+FAMILIES = (wind, spatial, climate, policy, finance)
 
 
 def queries() -> dict:
