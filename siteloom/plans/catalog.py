@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siteloom.plans import climate, finance, policy, spatial, wind
+from siteloom.plans import climate, finance, policy, retrieval, spatial, text, wind
 
-FAMILIES = (wind, spatial, climate, policy, finance)
+FAMILIES = (wind, spatial, climate, policy, finance, text, retrieval)
 
 
 def queries() -> dict:
