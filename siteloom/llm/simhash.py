@@ -37,9 +37,11 @@ from siteloom.llm.substring import BASES, mixed, powers
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
-SLICES = 4
-BATCH = 1024  # fingerprints whose values are made at once
+SLICES = 8
+BATCH = 8192  # fingerprints whose values share a block
+CHUNK = 1024  # fingerprints whose values are made at once
 PER_BUCKET = 1 << 21  # values that meet in one task
+SPREAD = 0xC2B2AE3D27D4EB4F  # an odd number; the top bits of a value times it decide its slice
 
 
 def shingle_hashes(text: str | None, size: int, seed: int = SEED) -> list[int]:
@@ -89,30 +91,37 @@ def links(fps: DataFrame, radius: int = RADIUS, slices: int = SLICES) -> DataFra
     """(fp, to): links among the distinct fingerprints in ``fps`` that connect all within ``radius``."""
     half = (radius + 1) // 2
     masks = ball(half)
-    total = fps.count() * len(masks)
-    bits = min(16, max(0, int(np.ceil(np.log2(max(1, total / PER_BUCKET))))))
-    slices = max(1, min(slices, 1 << bits), -(-total // (PER_BUCKET << 16)))
+    count = fps.count()
+    total = count * len(masks)
+    cuts = max(0, int(np.ceil(np.log2(max(slices, total / (PER_BUCKET << 16)))))) if total > PER_BUCKET else 0
+    bits = min(16, max(0, int(np.ceil(np.log2(max(1, total / PER_BUCKET)))) - cuts))
     block = struct_of(bucket=T.IntegerType(), hashes=T.BinaryType(), places=T.BinaryType(), fps=T.BinaryType())
     edge = struct_of(fp=T.LongType(), to=T.LongType())
+    dealt = fps.repartition(max(1, -(-count // BATCH)), "fp")
 
     def emit_for(part: int):
+        def values_of(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The slice's values of the fingerprints, mixed, and whose they are."""
+            hashes, places = [], []
+            for at in range(0, len(own), CHUNK):
+                value = (own[at : at + CHUNK, None] ^ masks[None, :]).ravel()
+                here = np.flatnonzero((value * np.uint64(SPREAD)) >> np.uint64(64 - cuts) == part) if cuts else np.arange(len(value))
+                hashes.append(mixed(value[here]))
+                places.append((at + here // len(masks)).astype(np.uint16))
+            return np.concatenate(hashes), np.concatenate(places)
+
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in rebatched(batches, 1 << 30, BATCH):
                 for at in range(0, batch.num_rows, BATCH):
                     own = np.asarray(batch.column("fp").slice(at, BATCH)).view(np.uint64)
-                    values = mixed((own[:, None] ^ masks[None, :]).ravel())
-                    place = np.repeat(np.arange(len(own), dtype=np.uint16), len(masks))
-                    if slices > 1:
-                        here = np.flatnonzero(values % np.uint64(slices) == part)
-                        values, place = values[here], place[here]
+                    values, place = values_of(own)
                     bucket = (values >> np.uint64(64 - bits)).astype(np.uint16) if bits else np.zeros(len(values), np.uint16)
                     order = np.argsort(bucket, kind="stable")
                     values, place = values[order], place[order]
-                    heads = np.flatnonzero(np.diff(bucket[order], prepend=np.uint16(0)) != 0) if bits else np.zeros(0, np.int64)
-                    edges = np.unique(np.concatenate(([0], heads, [len(values)])))
-                    names = bucket[order][edges[:-1]].astype(np.int32)
-                    held = own.tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([values[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary()), pa.array([place[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary()), pa.array([held] * len(names), pa.binary())], names=block.names)
+                    names, heads = np.unique(bucket[order], return_index=True)
+                    ends = np.append(heads[1:], len(values))
+                    cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(heads, ends, strict=True)], pa.binary())  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), cut(values), cut(place), pa.array([own.tobytes()] * len(names), pa.binary())], names=block.names)
 
         return emit
 
@@ -137,8 +146,8 @@ def links(fps: DataFrame, radius: int = RADIUS, slices: int = SLICES) -> DataFra
         return pa.table({"fp": pa.array(pairs[:, 0].view(np.int64) if len(pairs) else np.zeros(0, np.int64)), "to": pa.array(np.ascontiguousarray(pairs[:, 1]).view(np.int64) if len(pairs) else np.zeros(0, np.int64))})
 
     out = None
-    for part in range(slices):
-        met = fps.mapInArrow(emit_for(part), block).groupBy("bucket").applyInArrow(meet, edge)
+    for part in range(1 << cuts):
+        met = dealt.mapInArrow(emit_for(part), block).groupBy("bucket").applyInArrow(meet, edge)
         met = staged(met.distinct())
         out = met if out is None else out.unionByName(met)
     return out.distinct()
@@ -153,6 +162,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return own.join(staged(named), "fp").select(id_column, "fp", "component_id")
 
+
 def word_fingerprints(text: pa.Array, seeds: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each text's lower-cased words in order, and its fingerprints (a column for each seed).
 
