@@ -2,7 +2,7 @@
 
 Every page gives a response (or revisit), a request and a metadata record; the
 latter two name the first in ``WARC-Concurrent-To``. Spark's text writer puts
-the records into archives in the shared folder, with the blank lines that end
+the records into archives in the shared folder, compressed, with the blank lines that end
 a record as its line separator, so they may lie in any store Spark writes to;
 ``records_per_file`` bounds an archive. Reading takes each archive whole, steps
 through it by ``Content-Length``, joins the three kinds of record through
@@ -19,37 +19,27 @@ table gives no archives and no rows.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siteloom.llm.common import rebatched, shared_dir, staged, struct_of
+from siteloom.llm.common import cleaning, rebatched, shared_dir, staged, struct_of
 
 MIN_BYTES = 0
 RECORDS_PER_FILE = 3000
-BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMESPACE = uuid.UUID("6f0c7d1e-5d0b-4c1c-9d55-0d3c1c0f1a77")
 END = "\r\n\r\n"
 
 
-def base32_sha1(data: Column) -> Column:
-    """Upper-case base32 of the SHA-1 of binary data: five hex digits make four letters."""
-    hexed = F.sha1(data)
-    letters = []
-    for at in range(8):
-        bits = F.conv(F.substring(hexed, at * 5 + 1, 5), 16, 10).cast("int")
-        letters += [F.substr(F.lit(BASE32), F.shiftright(bits, shift).bitwiseAND(F.lit(31)) + F.lit(1), F.lit(1)) for shift in (15, 10, 5, 0)]
-    return F.concat(*letters)
-
-
 def _header(kind: str, record_id: str, fields: list[tuple[str, str | None]], block: str) -> str:
     size = len(block.encode())
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id}", f"WARC-Date: {DATE}", *(f"{k}: {v}" for k, v in fields if v is not None), f"Content-Length: {size}"]
@@ -90,7 +80,7 @@ def write_archives(pages: DataFrame, path: str, id_column: str = "page_id", url:
     """Write the pages' records below ``path``."""
     payload = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(F.col(id_column).alias("page_id"), F.col(url).alias("url"), payload.alias("html"), F.monotonically_increasing_id().alias("row"))
-    rows = rows.withColumn("digest", base32_sha1(F.col("html").cast("binary")))
+    rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     order = F.struct(F.col("page_id").isNull().alias("last"), F.col("page_id").alias("id"), F.col("row").alias("row"))
     equal = rows.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.min(order).alias("first"))
     marked = rows.join(equal, "digest", "left")
@@ -102,12 +92,18 @@ def write_archives(pages: DataFrame, path: str, id_column: str = "page_id", url:
             out = [x for row in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in _ordered(row)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    marked.mapInArrow(render, "value string").write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
+    with cleaning(pages.sparkSession):
+        marked.mapInArrow(render, "value string").write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
 
 
 def _ordered(row: tuple) -> list[str]:
-    page_id, number, url, html, digest, first_row = row
-    return records_of(page_id, number, url, html, digest, first_row)
+    page_id, number, url, html, sha1, first_row = row
+    return records_of(page_id, number, url, html, base64.b32encode(bytes.fromhex(sha1)).decode(), first_row)
+
+
+def _plain(data: bytes) -> bytes:
+    """An archive's records, whether it is compressed, in one member or many, or not."""
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -133,7 +129,7 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = False) ->
         for batch in batches:
             for content in batch.column("content"):
                 rows = []
-                for h, block in parse(content.as_buffer().to_pybytes()):
+                for h, block in parse(_plain(content.as_buffer().to_pybytes())):
                     kind = h.get("warc-type")
                     payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
                     row = [kind, h.get("warc-record-id"), h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), h.get("warc-payload-digest", "").removeprefix("sha1:") or None]
@@ -174,7 +170,7 @@ def round_trip(pages: DataFrame, id_column: str = "page_id", url: str = "url", h
     id_type = pages.schema[id_column].dataType
     write_archives(pages, path, id_column, url, html, min_bytes)
     number = F.nullif(F.regexp_extract("metadata.fields", r"page-id: (.*?)\r\n", 1), F.lit("")).cast(id_type)
-    found = staged(captures(read_records(spark, path)).select("capture_id", number.alias("page_id"), F.col("response.kind").alias("record_type"), F.col("response.refers_to").alias("refers_to_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.coalesce("response.url", "request.url").alias("url")))
+    found = staged(captures(staged(read_records(spark, path))).select("capture_id", number.alias("page_id"), F.col("response.kind").alias("record_type"), F.col("response.refers_to").alias("refers_to_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.coalesce("response.url", "request.url").alias("url")))
     first = found.where("record_type = 'response'").select(F.col("capture_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("first_bytes"), F.col("payload_digest").alias("first_digest"))
     whole = found.join(first, "refers_to_id", "left")
     return whole.select(F.col("page_id").alias(id_column), F.coalesce("payload_bytes", "first_bytes").alias("payload_bytes"), F.coalesce("payload_digest", "first_digest").alias("payload_digest"), "record_type", "refers_to")
