@@ -136,6 +136,8 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = False) ->
                     row += [None, None] if payload is None else [len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()]
                     row.append(block.decode() if kind == "metadata" else None)
                     rows.append(row + ([payload] if with_payload else []))
+                if not rows:
+                    continue
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary() if n == "payload" else pa.int64() if n == "payload_bytes" else pa.string()) for n, c in zip(schema.names, zip(*rows, strict=True), strict=True)], names=schema.names)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
