@@ -10,6 +10,7 @@ from siteloom.functions import finance as fin
 from siteloom.functions import wind
 from siteloom.functions.geo import haversine_km
 from siteloom.functions.numeric import half_up, sql_piecewise
+from siteloom.operators.ranking import if_small
 from siteloom.operators.spatial import nearest
 from siteloom.plans.tables import table
 from siteloom.plans.wind import SCORED_SQL, SITES_SQL, _r, scored, sites
@@ -265,7 +266,7 @@ def logistics_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     plants = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("plant"), synthetic_lon(F.col("n_nationkey") * 211).alias("plon"), synthetic_lat(F.col("n_nationkey") * 307).alias("plat"), F.pmod("n_nationkey", F.lit(4)).cast("int").alias("component"))
     k = F.col("s_suppkey")
     rows = table(spark, sf_dir, "supplier").select(k.alias("site"), synthetic_lon(k).alias("lon"), synthetic_lat(k).alias("lat"))
-    pairs = rows.crossJoin(F.broadcast(plants))  # every site against the catalogue of plants
+    pairs = rows.crossJoin(if_small(plants))  # every site against the catalogue of plants
     km = haversine_km(*[F.col(c) for c in ("lon", "lat", "plon", "plat")], ROUTE_EARTH_KM) * 1.3
     best = pairs.withColumn("km", km).groupBy("site", "component").agg(F.min(F.struct("km", "plant")).alias("b"))
     return best.select("site", "component", F.col("b.plant").alias("plant"), half_up(F.col("b.km"), 3).alias("km"), half_up(F.col("b.km") / 40, 3).alias("hours"))

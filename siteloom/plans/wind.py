@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from siteloom.functions import wind
 from siteloom.functions.numeric import clamp, half_up, sql_piecewise
+from siteloom.operators.ranking import global_rank
 from siteloom.plans.tables import table
 
 
@@ -51,9 +51,8 @@ def scored(df: DataFrame) -> DataFrame:
 
 def screening_score_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Composite score, rating and rank of every site."""
-    rows = scored(sites(spark, sf_dir))
-    order = W.orderBy(F.col("score").desc(), "site")  # a row per site, ranked over all sites
-    return rows.select("site", half_up(F.col("cuf"), 6).alias("cuf"), half_up(F.col("resource"), 6).alias("resource"), half_up(F.col("grid"), 6).alias("grid"), "score", wind.rating(F.col("score")).alias("rating"), F.row_number().over(order).alias("rank"))
+    rows = global_rank(scored(sites(spark, sf_dir)), "score", "site")
+    return rows.select("site", half_up(F.col("cuf"), 6).alias("cuf"), half_up(F.col("resource"), 6).alias("resource"), half_up(F.col("grid"), 6).alias("grid"), "score", wind.rating(F.col("score")).alias("rating"), "rank")
 
 
 SCORED_SQL = f"""SELECT *, CAST(floor(72.0::DOUBLE * resource + 28.0::DOUBLE * grid + 0.5) AS INT) AS score FROM (

@@ -86,3 +86,12 @@ def test_voltage_and_rewrite(spark):
     assert one(spark, text.max_voltage(F.lit("33; abc;132.0;-5"))) == 132.0
     assert one(spark, text.rewrite(F.lit("masts in MP or gujrat, not AMP"))) == "masts in Madhya Pradesh or Gujarat, not AMP"
     assert one(spark, text.strip_html(F.lit("<p>a &amp; b</p><script>x</script>"))) == "a & b"
+
+
+def test_global_rank_equals_sorting(spark):
+    from siteloom.operators.ranking import global_rank
+
+    df = spark.range(200).select(F.col("id").alias("site"), F.when(F.col("id") % 17 != 0, F.pmod(F.col("id") * 31, F.lit(7)).cast("int")).alias("score"))
+    got = [(r["score"], r["site"]) for r in global_rank(df, "score", "site", 16).orderBy("rank").collect()]
+    rows = [(r["score"], r["site"]) for r in df.collect()]
+    assert got == sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
