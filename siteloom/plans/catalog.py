@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siteloom.plans import climate, finance, policy, retrieval, spatial, text, wind
+from siteloom.plans import climate, finance, policy, retrieval, shapes, spatial, text, wind
 
-FAMILIES = (wind, spatial, climate, policy, finance, text, retrieval)
+FAMILIES = (wind, spatial, climate, policy, finance, text, retrieval, shapes)
 
 
 def queries() -> dict:

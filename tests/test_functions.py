@@ -95,3 +95,24 @@ def test_global_rank_equals_sorting(spark):
     got = [(r["score"], r["site"]) for r in global_rank(df, "score", "site", 16).orderBy("rank").collect()]
     rows = [(r["score"], r["site"]) for r in df.collect()]
     assert got == sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+
+
+def test_convex_hulls_equal_the_hull_of_all_points(spark):
+    import numpy as np
+
+    from siteloom.operators.shapes import convex_hulls, hull
+
+    df = spark.range(0, 400, 1, 6).select((F.col("id") % 3).alias("k"), (F.pmod(F.col("id") * 7919, F.lit(101))).cast("double").alias("x"), (F.pmod(F.col("id") * 104729, F.lit(89))).cast("double").alias("y"))
+    rows = df.toPandas()
+    got = convex_hulls(df, "k", "x", "y").toPandas()
+    for k, own in rows.groupby("k"):
+        want = hull(own[["x", "y"]].to_numpy())
+        assert np.array_equal(got[got["k"] == k].sort_values("corner")[["x", "y"]].to_numpy(), want)
+        for (x1, y1), (x2, y2) in zip(want, np.roll(want, -1, axis=0), strict=True):
+            assert ((x2 - x1) * (own["y"] - y1) - (y2 - y1) * (own["x"] - x1) >= 0).all()
+
+
+def test_geohash_of_a_known_place(spark):
+    from siteloom.operators.shapes import geohash
+
+    assert one(spark, geohash(F.lit(-5.6), F.lit(42.6), 5)) == "ezs42"
