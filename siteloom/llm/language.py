@@ -29,6 +29,8 @@ DICT_BYTES = 112 << 10  # of each dictionary
 BYTES_PER_DOC = 2048  # of each learned text that go into it
 BLOCK = 4096
 LEVEL = 6
+SHORT = 1024  # bytes below which a text is compressed harder, for there is less in it to tell by
+SHORT_LEVEL = 12
 MIN_MARGIN = 2
 TEMPERATURE = 6.0
 UNKNOWN = "und"
@@ -57,16 +59,20 @@ def learn(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang:
     return {k: b"\n".join(v)[:DICT_BYTES] for k, v in sorted(found.items())}
 
 
-def _models(dictionaries: dict[str, bytes]) -> list:
+def _models(dictionaries: dict[str, bytes]) -> list[list]:
+    """Compressors of each language, for texts of usual length and for short ones."""
     import zstandard
 
     key = hash(tuple(dictionaries.items()))
     if key not in _compressors:
         out = []
-        for content in dictionaries.values():
-            own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            own.precompute_compress(level=LEVEL)
-            out.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False))
+        for level in (LEVEL, SHORT_LEVEL):
+            of_level = []
+            for content in dictionaries.values():
+                own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                own.precompute_compress(level=level)
+                of_level.append(zstandard.ZstdCompressor(level=level, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False))
+            out.append(of_level)
         _compressors.clear()
         _compressors[key] = out
     return _compressors[key]
@@ -76,7 +82,7 @@ def sizes(dictionaries: dict[str, bytes], text: str) -> list[int]:
     """Compressed bytes of the whole text with each dictionary."""
     data = text.lower().encode()
     blocks = [data[at : at + BLOCK] for at in range(0, len(data), BLOCK)]
-    return [sum([len(model.compress(b)) for b in blocks]) for model in _models(dictionaries)]
+    return [sum([len(model.compress(b)) for b in blocks]) for model in _models(dictionaries)[len(data) < SHORT]]
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text") -> DataFrame:
