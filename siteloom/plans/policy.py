@@ -202,5 +202,32 @@ def rollup_cube_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ROLLUP_SQL = "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS quantity, CAST(grouping(l_returnflag, l_linestatus) AS BIGINT) AS level FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)"
 
-QUERIES = {f.__name__: f for f in (latest_policy_asof, policy_compare_diff, policy_score, choropleth_range, bundle_overlay, keep_first_dedupe, audit_orphans, esz_anti_join, coverage_report, fiscal_year_yoy, rollup_cube_sets)}
-SQL = {"latest_policy_asof": LATEST_SQL, "policy_compare_diff": COMPARE_SQL, "policy_score": SCORE_SQL, "choropleth_range": CHORO_SQL, "bundle_overlay": OVERLAY_SQL, "keep_first_dedupe": FIRST_SQL, "audit_orphans": ORPHAN_SQL, "esz_anti_join": ESZ_SQL, "coverage_report": COVERAGE_SQL, "fiscal_year_yoy": FISCAL_SQL, "rollup_cube_sets": ROLLUP_SQL}
+def saved_site_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best supplier of each nation by balance; none where the best is shared or there is nothing to compare.
+
+    Only the top value, its holder and how many hold it are kept per nation.
+    """
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.floor(F.col("s_acctbal") / 1000).alias("metric"), F.col("s_suppkey").alias("site"))
+    tops = rows.groupBy("nation", "metric").agg(F.count("*").alias("holders"), F.min("site").alias("site"))
+    best = tops.groupBy("nation").agg(F.sum("holders").alias("sites"), F.max(F.struct("metric", "holders", "site")).alias("t"))
+    return best.select("nation", "sites", F.col("t.metric").alias("metric"), F.when((F.col("sites") >= 2) & (F.col("t.holders") == 1), F.col("t.site")).alias("winner"))
+
+
+WINNER_SQL = """
+WITH r AS (SELECT s_nationkey AS nation, CAST(floor(s_acctbal / 1000) AS BIGINT) AS metric, s_suppkey AS site FROM supplier),
+m AS (SELECT *, max(metric) OVER (PARTITION BY nation) AS top, count(*) OVER (PARTITION BY nation) AS sites FROM r)
+SELECT nation, sites, top AS metric, CASE WHEN sites >= 2 AND count(*) = 1 THEN min(site) END AS winner FROM m WHERE metric = top GROUP BY nation, sites, top
+"""
+
+
+def voltage_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines by voltage, with the share of each among those of its priority."""
+    volts = F.element_at(F.array(*[F.lit(v) for v in (66, 132, 220, 400)]), (F.pmod("o_orderkey", F.lit(4)) + 1).cast("int"))
+    n = table(spark, sf_dir, "orders").groupBy("o_orderpriority", volts.alias("kv")).agg(F.count("*").alias("n"))
+    return n.withColumn("share", half_up(F.col("n") / F.sum("n").over(W.partitionBy("o_orderpriority")), 5))
+
+
+VOLTAGE_SQL = "SELECT *, floor(n / sum(n) OVER (PARTITION BY o_orderpriority) * 1e5::DOUBLE + 0.5) / 1e5::DOUBLE AS share FROM (SELECT o_orderpriority, [66, 132, 220, 400][CAST(o_orderkey % 4 + 1 AS INT)] AS kv, count(*) AS n FROM orders GROUP BY 1, 2)"
+
+QUERIES = {f.__name__: f for f in (latest_policy_asof, policy_compare_diff, policy_score, choropleth_range, bundle_overlay, keep_first_dedupe, audit_orphans, esz_anti_join, coverage_report, fiscal_year_yoy, rollup_cube_sets, saved_site_winner, voltage_histogram)}
+SQL = {"latest_policy_asof": LATEST_SQL, "policy_compare_diff": COMPARE_SQL, "policy_score": SCORE_SQL, "choropleth_range": CHORO_SQL, "bundle_overlay": OVERLAY_SQL, "keep_first_dedupe": FIRST_SQL, "audit_orphans": ORPHAN_SQL, "esz_anti_join": ESZ_SQL, "coverage_report": COVERAGE_SQL, "fiscal_year_yoy": FISCAL_SQL, "rollup_cube_sets": ROLLUP_SQL, "saved_site_winner": WINNER_SQL, "voltage_histogram": VOLTAGE_SQL}

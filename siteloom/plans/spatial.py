@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from siteloom.functions.geo import segment_km, sql_haversine, sql_lat, sql_lon, synthetic_lat, synthetic_lon, tile_x, tile_y
 from siteloom.functions.numeric import half_up
@@ -58,6 +57,23 @@ SELECT site, mast, floor(km * 1000 + 0.5) / 1000 AS km FROM (
 """
 
 
+def mast_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far a site's modelled speed lies from its nearest mast's within 25 km, brought to 100 m by the shear law."""
+    masts = _masts(spark, sf_dir).withColumns({"height": (F.pmod("mast", F.lit(5)) * 20).cast("double"), "speed": F.when(F.col("mast") % 8 != 0, F.lit(4.0) + F.pmod(F.col("mast") * 7, F.lit(50)) / F.lit(10.0))})
+    usable = masts.where((F.col("height") > 0) & F.col("speed").isNotNull())
+    best = nearest(within_radius(_sites(spark, sf_dir), usable, 25.0), "site", ["km", "mast"])
+    at_100 = F.col("speed") * F.pow(F.lit(100.0) / F.col("height"), F.lit(1 / 7))
+    model = F.lit(5.0) + F.pmod("site", F.lit(30)) / F.lit(10.0)
+    return best.select("site", "mast", half_up(F.col("km"), 3).alias("km"), half_up(at_100, 4).alias("mast_speed"), half_up((model - at_100) * 100 / at_100, 3).alias("delta_percent"))
+
+
+VALIDATION_SQL = f"""
+SELECT site, mast, floor(km * 1000 + 0.5) / 1000 AS km, floor(v * 10000 + 0.5) / 10000 AS mast_speed, floor((5.0::DOUBLE + (site % 30) / 10.0::DOUBLE - v) * 100 / v * 1000 + 0.5) / 1000 AS delta_percent FROM (
+  SELECT *, (4.0::DOUBLE + (mast * 7 % 50) / 10.0::DOUBLE) * pow(100.0::DOUBLE / (mast % 5 * 20), 1 / 7.0::DOUBLE) AS v, row_number() OVER (PARTITION BY site ORDER BY km, mast) AS n
+  FROM (SELECT *, {KM} AS km FROM ({SITES}), ({MASTS})) WHERE km <= 25 AND mast % 5 > 0 AND mast % 8 <> 0) WHERE n = 1
+"""
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     ax, ay = synthetic_lon(k * 3), synthetic_lat(k * 7)
@@ -230,18 +246,17 @@ RASTER = "SELECT CAST(p_partkey // 64 AS INT) AS row, CAST(p_partkey % 64 AS INT
 def terrain_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slope by central differences where all four neighbours have values; mean, 90th percentile, and share over 15 degrees, by blocks of rows.
 
-    A row's left and right are windows within the row. Its upper and lower
-    neighbours are windows within the column, cut at no block, so a column is
-    one key; a raster is as long as it is wide, so no key is hot.
+    Every pixel sends its value to its four neighbours and itself, and one
+    aggregation by pixel brings the five together: the keys are the pixels, so
+    no row or column of the raster is ever one task.
     """
-    by_row, by_col = W.partitionBy("row").orderBy("col"), W.partitionBy("col").orderBy("row")
-    side = lambda f, w, at, d: F.when(f(at, 1).over(w) == F.col(at) + d, f("z", 1).over(w))
-    rows = _raster(spark, sf_dir).withColumns({"west": side(F.lag, by_row, "col", -1), "east": side(F.lead, by_row, "col", 1)})
-    rows = rows.withColumns({"north": side(F.lag, by_col, "row", -1), "south": side(F.lead, by_col, "row", 1)})
+    to = lambda r, c, name: F.struct((F.col("row") + r).alias("row"), (F.col("col") + c).alias("col"), F.lit(name).alias("side"), F.col("z").alias("z"))
+    sent = _raster(spark, sf_dir).where("z IS NOT NULL").select(F.explode(F.array(to(0, 0, "own"), to(0, 1, "west"), to(0, -1, "east"), to(1, 0, "north"), to(-1, 0, "south"))).alias("p")).select("p.*")
+    rows = sent.groupBy("row", "col").agg(*[F.max(F.when(F.col("side") == n, F.col("z"))).alias(n) for n in ("own", "west", "east", "north", "south")])
     metres = F.lit(30.0) + F.col("row") % 7
     dx, dy = (F.col("east") - F.col("west")) / (2 * metres), (F.col("south") - F.col("north")) / (2 * metres)
     slope = F.degrees(F.atan(F.sqrt(dx * dx + dy * dy)))
-    held = rows.withColumn("slope", slope).where(F.col("slope").isNotNull() & F.col("z").isNotNull())
+    held = rows.withColumn("slope", slope).where(F.col("slope").isNotNull() & F.col("own").isNotNull())
     return held.groupBy(F.floor(F.col("row") / 4).cast("int").alias("block")).agg(F.count("*").alias("pixels"), half_up(F.avg("slope"), 4).alias("mean"), half_up(F.percentile("slope", F.lit(0.9)), 4).alias("p90"), half_up(F.avg((F.col("slope") > 15).cast("double")), 4).alias("steep"))
 
 
@@ -275,5 +290,5 @@ m AS (SELECT site, sum(w * z) AS s, sum(CASE WHEN z IS NOT NULL THEN w END) AS w
 SELECT site, floor(CASE WHEN known AND w > 0 THEN s / w END * 10000 + 0.5) / 10000 AS value FROM m
 """
 
-QUERIES = {f.__name__: f for f in (masts_within_radius, nearest_mast, nearest_line_segment, ring_search, turbines_in_aoi, point_exclusion_hits, exclusion_coverage, tile_thinning, tile_cover, terrain_slope, bilinear_lookup)}
-SQL = {"masts_within_radius": WITHIN_SQL, "nearest_mast": NEAREST_SQL, "nearest_line_segment": LINE_SQL, "ring_search": RING_SQL, "turbines_in_aoi": AOI_SQL, "point_exclusion_hits": HITS_SQL, "exclusion_coverage": COVER_SQL, "tile_thinning": THIN_SQL, "tile_cover": COVER_TILES_SQL, "terrain_slope": SLOPE_SQL, "bilinear_lookup": BILINEAR_SQL}
+QUERIES = {f.__name__: f for f in (masts_within_radius, nearest_mast, nearest_line_segment, ring_search, mast_validation, turbines_in_aoi, point_exclusion_hits, exclusion_coverage, tile_thinning, tile_cover, terrain_slope, bilinear_lookup)}
+SQL = {"masts_within_radius": WITHIN_SQL, "nearest_mast": NEAREST_SQL, "nearest_line_segment": LINE_SQL, "ring_search": RING_SQL, "mast_validation": VALIDATION_SQL, "turbines_in_aoi": AOI_SQL, "point_exclusion_hits": HITS_SQL, "exclusion_coverage": COVER_SQL, "tile_thinning": THIN_SQL, "tile_cover": COVER_TILES_SQL, "terrain_slope": SLOPE_SQL, "bilinear_lookup": BILINEAR_SQL}

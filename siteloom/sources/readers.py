@@ -86,3 +86,44 @@ def grid_cells(spark: SparkSession, west: float, south: float, east: float, nort
     nx, ny = steps(west, east), steps(south, north)
     cell = spark.range(nx * ny).select(F.pmod("id", F.lit(nx)).alias("i"), F.floor(F.col("id") / nx).alias("j"))
     return cell.select((F.lit(west) + F.col("i") * degrees).alias("west"), (F.lit(south) + F.col("j") * degrees).alias("south"), F.least(F.lit(east), F.lit(west) + (F.col("i") + 1) * degrees).alias("east"), F.least(F.lit(north), F.lit(south) + (F.col("j") + 1) * degrees).alias("north"))
+
+
+def table_cells(html: Column) -> Column:
+    """The rows of the tables in a page, each an array of its cells' text; comments are taken out first."""
+    plain = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+    rows = F.regexp_extract_all(plain, F.lit(r"(?si)<tr[^>]*>(.*?)</tr>"), F.lit(1))
+    text = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", ""), r"\s+", " "))
+    return F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?si)<td[^>]*>(.*?)</td>"), F.lit(1)), text))
+
+
+def tenders(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Tender rows of listing pages: title, megawatts, category.
+
+    A row counts if it has six cells or more; its title is the longest cell
+    over 30 characters, and only titles about wind or hybrids are kept.
+    """
+    cells = pages.select(F.explode(table_cells(F.col(html))).alias("cells")).where(F.size("cells") >= 6)
+    title = F.aggregate(F.filter("cells", lambda c: F.length(c) > 30), F.lit(""), lambda a, c: F.when(F.length(c) > F.length(a), c).otherwise(a))
+    rows = cells.select(title.alias("title")).withColumn("low", F.lower("title")).where(F.col("low").rlike(r"\bwind\b|\b(hybrid|fdre|rtc|round[- ]the[- ]clock)\b"))
+    megawatts = F.regexp_replace(F.regexp_extract("title", r"(?i)(\d[\d,]*)\s*MW", 1), ",", "").try_cast("int")
+    kinds = [("offshore", "offshore"), ("repower", "repowering"), ("fdre", "fdre"), ("rtc|round[- ]the[- ]clock", "rtc"), ("hybrid", "hybrid")]
+    category = F.lit("wind")
+    for pattern, name in reversed(kinds):
+        category = F.when(F.col("low").rlike(pattern), name).otherwise(category)
+    return rows.select("title", F.coalesce(megawatts, F.lit(0)).alias("mw"), category.alias("category"))
+
+
+def kml_rings(files: DataFrame, column: str = "value") -> DataFrame:
+    """(name, ring): the coordinate lists of the placemarks in KML text, as arrays of (x, y)."""
+    marks = files.select(F.explode(F.regexp_extract_all(column, F.lit(r"(?s)<Placemark[^>]*>(.*?)</Placemark>"), F.lit(1))).alias("mark"))
+    lists = marks.select(F.trim(F.regexp_extract("mark", r"(?s)<name>(.*?)</name>", 1)).alias("name"), F.explode(F.regexp_extract_all("mark", F.lit(r"(?s)<coordinates>(.*?)</coordinates>"), F.lit(1))).alias("c"))
+    points = F.transform(F.filter(F.split(F.trim("c"), r"\s+"), lambda p: p != ""), lambda p: F.split(p, ","))
+    ring = F.transform(points, lambda p: F.struct(F.get(p, F.lit(0)).try_cast("double").alias("x"), F.get(p, F.lit(1)).try_cast("double").alias("y")))
+    return lists.select("name", F.filter(ring, lambda p: p["x"].isNotNull() & p["y"].isNotNull()).alias("ring"))
+
+
+def state_capacity(text: Column, states: list[str]) -> Column:
+    """The second number of each state's line in a report's text, as a map; lines with under two numbers are let pass."""
+    lines = F.split(text, "\\r?\\n")
+    entry = lambda s: F.struct(F.lit(s).alias("state"), F.get(F.transform(F.regexp_extract_all(F.get(F.filter(lines, lambda x: F.trim(x).startswith(s)), F.lit(0)), F.lit(r"(\d[\d,]*\.?\d*)"), F.lit(1)), lambda n: F.regexp_replace(n, ",", "").try_cast("double")), F.lit(1)).alias("mw"))
+    return F.map_from_entries(F.filter(F.array(*[entry(s) for s in states]), lambda e: e["mw"].isNotNull()))

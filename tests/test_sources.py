@@ -72,3 +72,15 @@ def test_partitions_archive_cache_cap_export(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "c"), header=True, quote='"', escape='"').first()["c"] == 'say "x", y'
     line = writers.geojson_points(spark.createDataFrame([(1.123456789, 2.0, "n")], "x double, y double, name string"), "x", "y", ["name"]).first()["value"]
     assert json.loads(line)["geometry"]["coordinates"] == [1.12346, 2.0]
+
+
+def test_tenders_kml_capacity(spark):
+    row = lambda *c: "<tr>" + "".join(f"<td>{x}</td>" for x in c) + "</tr>"
+    page = row("1", "SECI000123", "<b>Tender for 1,200 MW offshore wind projects in the gulf</b>", "x", "y", "z") + row("2", "Supply of 50 MW of plain solar modules, long title", "a", "b", "c", "d") + "<!--" + row(*["hidden wind tender with a very long title"] * 6) + "-->" + row("short", "row")
+    got = [tuple(r) for r in readers.tenders(spark.createDataFrame([(page,)], "html string")).collect()]
+    assert got == [("Tender for 1,200 MW offshore wind projects in the gulf", 1200, "offshore")]
+    kml = "<kml><Placemark><name> A </name><Polygon><coordinates>\n77,8,0 78,8,0\n77,9 bad </coordinates></Polygon></Placemark></kml>"
+    found = readers.kml_rings(spark.createDataFrame([(kml,)], "value string")).first()
+    assert found["name"] == "A" and [(p["x"], p["y"]) for p in found["ring"]] == [(77.0, 8.0), (78.0, 8.0), (77.0, 9.0)]
+    text = "head\nGujarat 1 12,345.5 3\nKerala none\n"
+    assert spark.range(1).select(readers.state_capacity(F.lit(text), ["Gujarat", "Kerala", "Goa"]).alias("m")).first()["m"] == {"Gujarat": 12345.5}
