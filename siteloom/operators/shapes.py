@@ -128,3 +128,42 @@ def kms_square(lon: Column, lat: Column, km: float) -> Column:
 
 def degrees_of(km: float) -> float:
     return km / (EARTH_KM * math.pi / 180)
+
+
+def simplified(points: np.ndarray, tolerance: float) -> np.ndarray:
+    """Places of the points that line simplification keeps: a point stays if it lies over ``tolerance`` off the line of its neighbours that stay."""
+    keep = np.zeros(len(points), bool)
+    keep[[0, -1]] = True
+    spans = [(0, len(points) - 1)]
+    while spans:
+        a, b = spans.pop()
+        if b - a < 2:
+            continue
+        d, own = points[b] - points[a], points[a + 1 : b] - points[a]
+        length = np.hypot(*d)
+        off = np.hypot(own[:, 0], own[:, 1]) if length == 0 else np.abs(own[:, 0] * d[1] - own[:, 1] * d[0]) / length
+        if off.max() > tolerance:
+            middle = a + 1 + int(off.argmax())
+            keep[middle] = True
+            spans += [(a, middle), (middle, b)]
+    return np.flatnonzero(keep)
+
+
+def simplify(x: Column, y: Column, tolerance: float) -> Column:
+    """Places kept of a line given as arrays of its coordinates; lines of two points or fewer stay whole."""
+    from pyspark.sql import types as T
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def places(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        line = lambda a, b: np.stack([np.asarray(a, float), np.asarray(b, float)], axis=1)
+        return pd.Series([simplified(line(a, b), tolerance).tolist() if len(a) > 2 else list(range(len(a))) for a, b in zip(xs, ys, strict=True)])
+
+    return places(x, y)
+
+
+def zone_class(r: Column, g: Column, b: Column) -> Column:
+    """The zone a map pixel's fill colour stands for, strictest first; lines and backgrounds are none."""
+    red = (r >= F.greatest(g, b) + 60) & (r >= 120)
+    yellow = (r >= 170) & (g >= 170) & (b <= 130)
+    green = (g >= 110) & (g >= r + 25) & (b <= 130) & (g >= b + 40)
+    return F.when(red, "red").when(yellow, "amber").when(green, "green")

@@ -113,5 +113,19 @@ SELECT component, count(*) AS makers, floor(sum(s_acctbal) * 100 + 0.5) / 100 AS
   SELECT unnest(CASE s_suppkey % 3 WHEN 0 THEN ['blade', 'tower'] WHEN 1 THEN ['nacelle'] ELSE ['tower', 'hub', 'blade'] END) AS component, s_acctbal, s_nationkey FROM supplier) GROUP BY 1
 """
 
-QUERIES = {f.__name__: f for f in (aoi_validation, geohash_cells, layout_footprint, quantile_artifact, elevation_check, component_capacity)}
-SQL = {"aoi_validation": AOI_SQL, "geohash_cells": GEOHASH_SQL, "quantile_artifact": QUANTILE_SQL, "elevation_check": ELEVATION_SQL, "component_capacity": COMPONENT_SQL}
+def zone_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of each zone class by map, from their colours."""
+    k = F.col("p_partkey")
+    r, g, b = F.pmod(k * 37, F.lit(256)), F.pmod(k * 59, F.lit(256)), F.pmod(k * 83, F.lit(256))
+    rows = table(spark, sf_dir, "part").select("p_brand", shapes.zone_class(r, g, b).alias("class")).where("class IS NOT NULL")
+    return rows.groupBy("p_brand", "class").agg(F.count("*").alias("pixels"))
+
+
+ZONE_SQL = """
+SELECT p_brand, class, count(*) AS pixels FROM (
+  SELECT p_brand, CASE WHEN r >= greatest(g, b) + 60 AND r >= 120 THEN 'red' WHEN r >= 170 AND g >= 170 AND b <= 130 THEN 'amber' WHEN g >= 110 AND g >= r + 25 AND b <= 130 AND g >= b + 40 THEN 'green' END AS class
+  FROM (SELECT p_brand, p_partkey * 37 % 256 AS r, p_partkey * 59 % 256 AS g, p_partkey * 83 % 256 AS b FROM part)) WHERE class IS NOT NULL GROUP BY 1, 2
+"""
+
+QUERIES = {f.__name__: f for f in (aoi_validation, geohash_cells, layout_footprint, quantile_artifact, elevation_check, component_capacity, zone_pixels)}
+SQL = {"aoi_validation": AOI_SQL, "geohash_cells": GEOHASH_SQL, "quantile_artifact": QUANTILE_SQL, "elevation_check": ELEVATION_SQL, "component_capacity": COMPONENT_SQL, "zone_pixels": ZONE_SQL}

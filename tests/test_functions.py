@@ -116,3 +116,11 @@ def test_geohash_of_a_known_place(spark):
     from siteloom.operators.shapes import geohash
 
     assert one(spark, geohash(F.lit(-5.6), F.lit(42.6), 5)) == "ezs42"
+
+
+def test_simplify_keeps_what_sticks_out(spark):
+    from siteloom.operators.shapes import simplify
+
+    df = spark.createDataFrame([([0.0, 1.0, 2.0, 3.0, 4.0], [0.0, 0.001, 1.0, 0.0, 0.0]), ([0.0, 1.0], [0.0, 0.0]), ([], [])], "x array<double>, y array<double>")
+    assert [r["p"] for r in df.select(simplify(F.col("x"), F.col("y"), 0.01).alias("p")).collect()] == [[0, 1, 2, 3, 4], [0, 1], []]
+    assert [r["p"] for r in df.select(simplify(F.col("x"), F.col("y"), 0.6).alias("p")).collect()][0] == [0, 2, 4]
