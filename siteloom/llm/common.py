@@ -8,6 +8,7 @@ files, so a lost executor costs only the tasks it ran.
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -80,6 +81,13 @@ def id_crc(column: str) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
+def trim() -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks, and keep what they once took."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def rebatched(batches: Iterator[pa.RecordBatch], max_bytes: int, max_rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
     """Batches of about ``max_bytes`` each, however the input came; one huge row stays whole."""
     held: list[pa.RecordBatch] = []
@@ -93,12 +101,15 @@ def rebatched(batches: Iterator[pa.RecordBatch], max_bytes: int, max_rows: int =
             share = batch.nbytes * part.num_rows // batch.num_rows
             if held and (size + share > max_bytes or rows + part.num_rows > max_rows):
                 yield pa.concat_batches(held)
+                trim()
                 held, size, rows = [], 0, 0
             held.append(part)
             size += share
             rows += part.num_rows
     if held:
         yield pa.concat_batches(held)
+    held.clear()
+    trim()
 
 
 def split_words(text: pa.Array) -> tuple[np.ndarray, pa.Array]:

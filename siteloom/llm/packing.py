@@ -96,15 +96,16 @@ def word_ids(path: str, words: list[str], per_call: int = 400) -> tuple[np.ndarr
             parts.append((own, np.delete(ids, cuts)))
 
     def one_by_one(which: np.ndarray) -> None:
-        for i, ids in zip(which, _ids(tokenizer, [words[i] for i in which]), strict=True):
+        for i in which:
+            ids = _ids(tokenizer, [words[i]])[0]
             lengths[i] = len(ids)
             parts.append((np.asarray([i]), np.asarray(ids, np.uint32)))
 
     plain = np.flatnonzero((units > 0) & ~alone)
     odd: list[np.ndarray] = [np.flatnonzero((units == 0) & ~alone)]
     chunks = [plain[at : at + per_call] for at in range(0, len(plain), per_call)]
-    for own, found in zip(chunks, _ids(tokenizer, [" ".join([words[i] for i in own]) for own in chunks]), strict=True):
-        ids = np.asarray(found, np.uint32)
+    for own in chunks:  # an encoding takes far more room than its ids, so one at a time
+        ids = np.asarray(_ids(tokenizer, [" ".join([words[i] for i in own])])[0], np.uint32)
         last = np.flatnonzero(ends[np.minimum(ids, len(ends) - 1)])
         after = np.cumsum(units[own])
         if len(last) != after[-1] or last[-1] != len(ids) - 1:
@@ -128,7 +129,7 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
 
 
-def token_batches(batches: Iterator[pa.RecordBatch], text: str, path: str, end_id: int | None, max_bytes: int = 12 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def token_batches(batches: Iterator[pa.RecordBatch], text: str, path: str, end_id: int | None, max_bytes: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(batch, offsets, ids) of whole texts, each document's ids followed by ``end_id``."""
     for batch in rebatched(batches, max_bytes):
         offsets, flat = split_words(batch.column(text))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siteloom.llm.common import components, encoded_words, rebatched, split_words, staged, struct_of
+from siteloom.llm.common import components, encoded_words, rebatched, split_words, staged, struct_of, trim
 from siteloom.llm.substring import BASES, mixed, powers
 
 SHINGLE = 4
@@ -39,8 +39,8 @@ RADIUS = 4
 SEED = 42
 SLICES = 8
 BATCH = 8192  # fingerprints whose values share a block
-CHUNK = 1024  # fingerprints whose values are made at once
-PER_BUCKET = 1 << 21  # values that meet in one task
+CHUNK = 512  # fingerprints whose values are made at once
+PER_BUCKET = 1 << 20  # values that meet in one task
 SPREAD = 0xC2B2AE3D27D4EB4F  # an odd number; the top bits of a value times it decide its slice
 
 
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     schema = T.StructType([docs.select(id_column).schema[0], T.StructField("fp", T.LongType())])
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rebatched(batches, 16 << 20):
+        for batch in rebatched(batches, 8 << 20):
             found = [majority(shingle_hashes(x, shingle)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.asarray(found, np.uint64).view(np.int64))], names=schema.names)
 
@@ -121,11 +121,13 @@ def links(fps: DataFrame, radius: int = RADIUS, slices: int = SLICES) -> DataFra
                     names, heads = np.unique(bucket[order], return_index=True)
                     ends = np.append(heads[1:], len(values))
                     cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(heads, ends, strict=True)], pa.binary())  # noqa: B023, E731
+                    trim()
                     yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), cut(values), cut(place), pa.array([own.tobytes()] * len(names), pa.binary())], names=block.names)
 
         return emit
 
     def meet(table: pa.Table) -> pa.Table:
+        trim()
         hashes = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")])
         owners = np.concatenate([np.frombuffer(f.as_buffer(), np.uint64)[np.frombuffer(p.as_buffer(), np.uint16)] for f, p in zip(table.column("fps"), table.column("places"), strict=True)])
         ordered = np.sort(hashes)
@@ -219,7 +221,7 @@ def similar_texts(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     schema = T.StructType([T.StructField("id", id_type), T.StructField("node", T.LongType()), *(T.StructField(f"fp{s}", T.LongType()) for s in range(len(seeds)))])
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rebatched(batches, 8 << 20):
+        for batch in rebatched(batches, 4 << 20):
             whole, prints = word_fingerprints(batch.column("text"), seeds)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(whole.view(np.int64)), *(pa.array(np.ascontiguousarray(prints[:, s]).view(np.int64)) for s in range(len(seeds)))], names=schema.names)
 
@@ -239,7 +241,7 @@ def similar_texts(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     texts = slim.join(wanted, slim["id"].eqNullSafe(wanted["least"])).select("node", "text")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rebatched(batches, 8 << 20):
+        for batch in rebatched(batches, 4 << 20):
             values = batch.column("text")
             whole, _ = word_fingerprints(values, ())
             right = np.flatnonzero(whole.view(np.int64) == np.asarray(batch.column("node")))  # an id may stand for several texts
@@ -249,7 +251,7 @@ def similar_texts(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     sets = staged(texts.mapInArrow(hashes, "node long, shingles binary").dropDuplicates(["node"]))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rebatched(batches, 16 << 20):
+        for batch in rebatched(batches, 8 << 20):
             a, b = ([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(c)] for c in ("a", "b"))
             shared = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b, strict=True)], np.float64)
             total = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)], np.float64) - shared
