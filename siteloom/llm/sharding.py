@@ -28,10 +28,10 @@ def shards(docs: DataFrame, id_column: str = "doc_id", text: str = "text", n_sha
     value = F.coalesce(F.col(text), F.lit(""))
     slim = docs.select(F.col(id_column).alias("id"), (F.octet_length(value) + F.lit(extra)).cast("long").alias("size"), F.crc32(value.cast("binary")).cast("long").alias("text_crc32"))
     placed = ranked(slim, None, [F.col("id"), F.col("text_crc32"), F.col("size")], "size")
-    total = placed.agg(F.sum("size").alias("total"))
+    total = placed.agg(F.sum("size")).first()[0] or 1
     # Twice the middle of the document against twice the total, in whole numbers.
     middle = (F.col("before").cast("decimal(38,0)") * 2 + F.col("size")) * n_shards
-    dealt = placed.crossJoin(F.broadcast(total)).withColumn("shard", F.least(F.lit(n_shards - 1), F.floor(middle / (F.col("total").cast("decimal(38,0)") * 2)).cast("int")))
+    dealt = placed.withColumn("shard", F.least(F.lit(n_shards - 1), F.floor(middle / (F.lit(total).cast("decimal(38,0)") * 2)).cast("int")))
     dealt = staged(dealt.select("id", "size", "text_crc32", "shard", "position"))
     first = dealt.groupBy("shard").agg(F.min("position").alias("first"))  # a row for each shard
     return dealt.join(F.broadcast(first), "shard").select(F.col("id").alias(id_column), "size", "text_crc32", "shard", (F.col("position") - F.col("first")).alias("slot"))
