@@ -23,6 +23,7 @@ ids are null. An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -42,6 +43,9 @@ BATCH = 8192  # fingerprints whose values share a block
 CHUNK = 512  # fingerprints whose values are made at once
 PER_BUCKET = 1 << 20  # values that meet in one task
 SPREAD = 0xC2B2AE3D27D4EB4F  # an odd number; the top bits of a value times it decide its slice
+TILE = 256  # texts whose sets of shingles share a block
+TILE_BYTES = 8 << 20
+COLUMNS = 8192  # shingles that are counted at once
 
 
 def shingle_hashes(text: str | None, size: int, seed: int = SEED) -> list[int]:
@@ -207,6 +211,92 @@ def jaccard(a: str | None, b: str | None, size: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
+def alike(a: list[np.ndarray], b: list[np.ndarray] | None, similarity: float) -> np.ndarray:
+    """Which sets of ``a`` have a Jaccard similarity of ``similarity`` or more to which of ``b`` (None: of ``a``)."""
+    every = a if b is None else a + b
+    sizes = np.array([len(x) for x in every], np.int64)
+    values, place = np.unique(np.concatenate(every) if every else np.zeros(0, np.uint64), return_inverse=True)
+    often = np.bincount(place, minlength=len(values)) > 1
+    owner, column = np.repeat(np.arange(len(every)), sizes)[often[place]], (np.cumsum(often) - 1)[place[often[place]]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    left, right = np.arange(len(a)), np.arange(len(a)) if b is None else np.arange(len(a), len(every))
+    shared = np.zeros((len(left), len(right)))
+    for at in range(0, int(often.sum()), COLUMNS):
+        i, j = np.searchsorted(column, (at, at + COLUMNS))
+        held = np.zeros((len(every), min(COLUMNS, int(often.sum()) - at)), np.float32)
+        held[owner[i:j], column[i:j] - at] = 1
+        shared += held[left] @ held[right].T
+    return shared >= similarity * (sizes[left][:, None] + sizes[right][None, :] - shared)
+
+
+def stars(near: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix of links the first row of its component."""
+    n = len(near)
+    label = np.arange(n)
+    while n:
+        new = np.minimum(label, np.where(near, label[None, :], n).min(axis=1))
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
+def tile_links(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): links that connect all alike texts of each group but those in one component already.
+
+    ``groups`` has node, group, loose and ``of``. Texts go in blocks to the
+    other blocks of their group; blocks of one large component (not loose,
+    equal ``of``) don't meet each other. A pair of blocks returns a star for
+    each component it finds.
+    """
+    key = ["group", "loose", "of"]
+    held = groups.join(sets, "node")
+    parts = held.groupBy(key).agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum(F.length("shingles")) / TILE_BYTES)).alias("blocks"))
+    dealt = held.join(parts, key).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    block = struct_of(name=T.StringType(), group=T.LongType(), loose=T.BooleanType(), of=T.LongType(), nodes=T.BinaryType(), sizes=T.BinaryType(), hashes=T.BinaryType())
+
+    def pack(table: pa.Table) -> pa.Table:
+        first = table.slice(0, 1).to_pylist()[0]
+        found = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+        nodes = np.asarray(table.column("node")).astype(np.int64)
+        row = {"name": ":".join(str(first[k]) for k in (*key, "block")), **{k: first[k] for k in key}, "nodes": nodes.tobytes(), "sizes": np.array([len(x) for x in found], np.int64).tobytes(), "hashes": np.concatenate(found).tobytes()}
+        return pa.table({f: [row[f]] for f in block.names}, schema=pa.schema([("name", pa.string()), ("group", pa.int64()), ("loose", pa.bool_()), ("of", pa.int64()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("hashes", pa.binary())]))
+
+    packed = staged(dealt.select("node", *key, "block", "shingles").groupBy(*key, "block").applyInArrow(pack, block))
+    a, b = (packed.select("group", F.col("name").alias(f"{x}_name"), F.col("loose").alias(f"{x}_loose"), F.col("of").alias(f"{x}_of")) for x in "ab")
+    tiles = a.join(b, "group").where("a_name <= b_name and (a_loose or b_loose or a_of <> b_of)").select("a_name", "b_name")
+    whole = lambda x: packed.select(*(F.col(c).alias(f"{x}_{c}") for c in ("name", "nodes", "sizes", "hashes")))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def side(batch: pa.RecordBatch, x: str, at: int) -> tuple[np.ndarray, list[np.ndarray]]:
+            nodes, sizes = (np.frombuffer(batch.column(f"{x}_{c}")[at].as_buffer(), np.int64) for c in ("nodes", "sizes"))
+            return nodes, np.split(np.frombuffer(batch.column(f"{x}_hashes")[at].as_buffer(), np.uint64), np.cumsum(sizes)[:-1])
+
+        for batch in batches:
+            us, vs = [], []
+            for at in range(batch.num_rows):
+                nodes, sets_a = side(batch, "a", at)
+                if batch.column("a_name")[at] == batch.column("b_name")[at]:
+                    near = alike(sets_a, None, similarity)
+                else:
+                    other, sets_b = side(batch, "b", at)
+                    cross = alike(sets_a, sets_b, similarity)
+                    n, m = cross.shape
+                    near = np.zeros((n + m, n + m), bool)
+                    near[:n, n:], near[n:, :n] = cross, cross.T
+                    nodes = np.concatenate((nodes, other))
+                label = stars(near)
+                far = np.flatnonzero(label != np.arange(len(label)))
+                us.append(nodes[far])
+                vs.append(nodes[label[far]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (us, vs)], names=["u", "v"])
+            trim()
+
+    return tiles.join(whole("a"), "a_name").join(whole("b"), "b_name").select("a_name", "b_name", *(f"{x}_{c}" for x in "ab" for c in ("nodes", "sizes", "hashes"))).mapInArrow(compare, "u long, v long")
+
+
 def similar_texts(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS, seeds: tuple[int, ...] = (1, 2, 3), slices: int = SLICES) -> DataFrame:
     """id and component_id, where a link is a Jaccard similarity of ``similarity`` or more.
 
@@ -214,7 +304,15 @@ def similar_texts(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     within ``radius``; every link is then checked on the whole texts' shingles
     of ``shingle`` words. Texts equal but for case and white space are one
     node. The result is exact in what it links; near copies whose
-    fingerprints all differ by more than ``radius`` stay apart.
+    fingerprints all differ by more than ``radius`` stay apart, unless other
+    candidates join them.
+
+    The candidates come as stars, whose least text need not be alike to texts
+    that are alike to each other. So a group of candidates that its verified
+    stars leave in several components is gone through again: large groups by
+    stars around the text nearest to their majority, as long as these link at
+    least half of what is loose, and what is then in several components by
+    comparing all its texts in blocks.
     """
     id_type = docs.schema[id_column].dataType
     slim = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
@@ -258,8 +356,39 @@ def similar_texts(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
             good = pa.array(shared >= similarity * total)
             yield pa.RecordBatch.from_arrays([batch.column("u").filter(good), batch.column("v").filter(good)], names=["u", "v"])
 
-    pairs = edges.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
-    good = staged(pairs.select("u", "v", "a", "b").mapInArrow(check, "u long, v long"))
+    def verified(candidates: DataFrame) -> DataFrame:
+        pairs = candidates.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+        return staged(pairs.select("u", "v", "a", "b").mapInArrow(check, "u long, v long"))
+
+    groups = staged(components(docs.sparkSession, edges, "u", "v").withColumnRenamed("root", "group"))
+
+    def open_groups(good: DataFrame) -> DataFrame:
+        """node, group, loose (in a component under TILE), ``of`` (the component, 0 if loose) and the group's loose texts, of groups in several components."""
+        found = components(docs.sparkSession, good, "u", "v").withColumnRenamed("node", "member")
+        at = staged(groups.join(found, groups["node"] == found["member"], "left").select("node", "group", F.coalesce("root", "node").alias("root")))
+        size = at.groupBy("group", "root").agg(F.count("*").alias("n"))
+        several = size.groupBy("group").agg(F.count("*").alias("roots"), F.sum(F.when(F.col("n") < TILE, F.col("n")).otherwise(0)).alias("n_loose")).where("roots > 1")
+        some = at.join(several.select("group", "n_loose"), "group").join(size, ["group", "root"])
+        return staged(some.select("node", "group", (F.col("n") < TILE).alias("loose"), F.when(F.col("n") >= TILE, F.col("root")).otherwise(0).alias("of"), "n_loose"))
+
+    good = verified(edges)
+    rest = open_groups(good)
+    large = lambda: rest.where(F.col("loose") & (F.col("n_loose") > TILE))
+    count = large().count()
+    while count:
+        prints = staged(large().select("node", "group").join(nodes.select("node", *(f"fp{s}" for s in range(len(seeds)))), "node"))
+        bits = [(s, b) for s in range(len(seeds)) for b in range(64)]
+        votes = staged(prints.groupBy("group").agg(F.count("*").alias("n"), *(F.sum(F.shiftright(f"fp{s}", b).bitwiseAND(F.lit(1))).alias(f"b{s}_{b}") for s, b in bits)))
+        most = [reduce(lambda x, y: x + y, (F.when(F.col(f"b{s}_{b}") * 2 > F.col("n"), F.lit((1 << b) - (1 << 64 if b == 63 else 0))).otherwise(F.lit(0)) for b in range(64))).cast("long").alias(f"most{s}") for s in range(len(seeds))]
+        off = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"fp{s}").bitwiseXOR(F.col(f"most{s}"))) for s in range(len(seeds))))
+        centres = staged(prints.join(votes.select("group", *most), "group").groupBy("group").agg(F.min_by("node", F.struct(off, "node")).alias("centre")))
+        around = prints.join(centres, "group").where("node != centre").select(F.col("node").alias("u"), F.col("centre").alias("v"))
+        good = good.unionByName(verified(around))
+        rest = open_groups(good)
+        before, count = count, large().count()
+        if count * 2 > before:
+            break
+    good = staged(good.unionByName(tile_links(rest, sets, similarity)))
     found = components(docs.sparkSession, good, "u", "v").withColumnRenamed("node", "member")
     rooted = nodes.join(found, nodes["node"] == found["member"], "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")

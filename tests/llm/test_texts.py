@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest import words  # noqa: F401  (pytest puts this folder on the path)
@@ -138,6 +139,39 @@ def test_similar_texts_on_awkward_rows(awkward, empty):
     assert simhash.similar_texts(empty).count() == 0 and simhash.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("tile", [16, 1024])
+def test_similar_texts_holds_all_links_inside_the_radius(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "TILE", tile)
+    rng = random.Random(9)
+    base = words(rng, 400)
+    texts = []
+    for i in range(240):  # copies alike to the base, but not to each other
+        w = list(base)
+        for at in range(rng.randrange(20), 400, 57):
+            w[at] = f"own{i}x{at}"
+        texts.append(" ".join(w))
+    texts.append(" ".join(base))
+    for _ in range(12):  # one bag of words in three orders, two of them alike
+        w = words(rng, 100)
+        other = rng.sample(w, 100)
+        texts += [" ".join(x) for x in (w, other, [*other[:-2], other[-1], other[-2]])]
+    seeds = (1, 2, 3)
+    _, prints = simhash.word_fingerprints(pa.array(texts), seeds)
+    sets = [set(simhash.shingle_hashes(x, 5)) for x in texts]
+    inside, alike = list(range(len(texts))), list(range(len(texts)))
+    find = lambda label, x: x if label[x] == x else find(label, label[x])
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                for label in (alike, inside) if np.bitwise_count(prints[i] ^ prints[j]).min() <= simhash.RADIUS else (alike,):
+                    low, high = sorted((find(label, i), find(label, j)))
+                    label[high] = low
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(docs_of(spark, texts), seeds=seeds).collect()}
+    assert all(got[i] == got[find(inside, i)] and find(alike, i) == find(alike, got[i]) for i in got) and len(got) == len(texts)
+    assert sum(find(inside, i) == find(inside, 240) for i in range(240)) > 100
+    assert all(got[k + 1] == got[k + 2] == k + 1 and got[k] == k for k in range(241, 277, 3))
+
+
 # --- mixing
 
 
