@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteloom.functions import text as tx
@@ -120,22 +120,54 @@ FROM documents GROUP BY 1, 2
 """
 
 
+LONG_NAME = 20  # letters from which a name may have two edits
+
+
+def shortened(name: Column, edits: int) -> Column:
+    """A name and all that is left of it without one letter, or without one or two."""
+    one = lambda x: F.when(F.length(x) > 0, F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(x.substr(F.lit(1), i - 1), x.substr(i + 1, F.length(x))))).otherwise(F.array().cast("array<string>"))
+    out = F.concat(F.array(name), one(name))
+    return F.array_distinct(out if edits == 1 else F.concat(out, F.flatten(F.transform(one(name), one))))
+
+
+def nearest_names(typed: DataFrame, names: DataFrame, edits: int) -> DataFrame:
+    """(typed, name): the nearest name of at most ``edits`` edits, of several the least.
+
+    Texts that many edits apart share one of their shortened forms.
+    """
+    met = typed.select("typed", F.explode(shortened(F.col("typed"), edits)).alias("key")).join(names.select("name", F.explode(shortened(F.col("name"), edits)).alias("key")), "key")
+    near = met.select("typed", "name", F.levenshtein("typed", "name").alias("edits")).where(F.col("edits") <= edits)
+    return near.groupBy("typed").agg(F.min_by("name", F.struct("edits", "name")).alias("name"))
+
+
+def rollup_names(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """``rows`` (typed, mw, n) summed by name: an exact match, else one edit away, else two if the name is long.
+
+    What matches nothing keeps its own spelling as its name. Names meet the
+    second search only if their length is near that of a spelling still unmatched.
+    """
+    rest = rows.join(names, rows["typed"] == names["name"], "left_anti")
+    one = rest.join(nearest_names(rest, names, 1), "typed", "left")
+    left = one.where("name is null").select("typed")
+    lengths = left.select(F.explode(F.sequence(F.length("typed") - 2, F.length("typed") + 2)).alias("letters")).distinct()
+    near = names.where(F.length("name") >= LONG_NAME).join(F.broadcast(lengths), F.length("name") == F.col("letters"), "left_semi")
+    two = nearest_names(left.where(F.length("typed") >= LONG_NAME - 2), near, 2).withColumnRenamed("name", "second")
+    found = one.join(two, "typed", "left").select(F.coalesce("name", "second", "typed").alias("name"), "typed", "mw", "n")
+    exact = rows.join(names, rows["typed"] == names["name"]).select("name", "typed", "mw", "n")
+    return exact.unionByName(found).groupBy("name").agg(F.sum("mw").alias("mw"), F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_set("typed")), ",").alias("spellings"))
+
+
 def district_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Capacity by district where names are misspelt: an exact match, else the nearest name one edit away.
+    """Capacity by district where names are misspelt: an exact match, else the nearest name one edit away, or two for long names.
 
-    Candidates share their first letter and nearly their length; the exact matches are
-    taken out first, so only the misspelt names meet candidates.
+    Every row counts: a spelling without a match is a district of its own. The
+    exact matches are taken out first, so only the misspelt names meet candidates.
     """
     parts = table(spark, sf_dir, "part")
     plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z]", "")
     names = parts.select(plain(F.col("p_name")).alias("name")).distinct()
     typed = F.when(F.col("p_partkey") % 9 == 0, F.concat(F.substring(plain(F.col("p_name")), 1, 3), F.expr("substring(regexp_replace(lower(p_name), '[^a-z]', ''), 5)"))).otherwise(plain(F.col("p_name")))
-    rows = parts.groupBy(typed.alias("typed")).agg(F.sum("p_size").alias("mw"), F.count("*").alias("n"))
-    exact = rows.join(names, rows["typed"] == names["name"])
-    rest = rows.join(names, rows["typed"] == names["name"], "left_anti").withColumn("first", F.substring("typed", 1, 1))
-    near = rest.join(names.withColumn("first", F.substring("name", 1, 1)), "first").withColumn("edits", F.levenshtein("typed", "name")).where("edits <= 1")
-    best = near.groupBy("typed", "mw", "n").agg(F.min_by("name", F.struct("edits", "name")).alias("name"))
-    return exact.select("name", "typed", "mw", "n").unionByName(best.select("name", "typed", "mw", "n")).groupBy("name").agg(F.sum("mw").alias("mw"), F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_set("typed")), ",").alias("spellings"))
+    return rollup_names(parts.groupBy(typed.alias("typed")).agg(F.sum("p_size").alias("mw"), F.count("*").alias("n")), names)
 
 
 DISTRICT_SQL = """
