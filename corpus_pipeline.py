@@ -44,8 +44,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the documents' tokens into sequences."""
-    return packing.pack(docs)
+    """Pack the documents' tokens into sequences: each piece with its tokens and the number of its row, as documents may come twice."""
+    return packing.pack(docs, with_ids=True, with_row=True)
 
 
 STAGES = [

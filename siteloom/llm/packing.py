@@ -196,13 +196,13 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int],
     return bins, offsets
 
 
-def pack(docs: DataFrame, id_column: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, group_docs: int = GROUP_DOCS, seed: int = SEED, with_ids: bool = False) -> DataFrame:
-    """One row per piece with its sequence_id and offset; ``tokens`` holds its ids if ``with_ids``."""
+def pack(docs: DataFrame, id_column: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, group_docs: int = GROUP_DOCS, seed: int = SEED, with_ids: bool = False, with_row: bool = False) -> DataFrame:
+    """One row per piece with its sequence_id and offset; ``tokens`` holds its ids if ``with_ids``, ``row`` a number of its input row if ``with_row``."""
     path = path or tokenizer_path()
     groups = max(1, -(-docs.count() // group_docs))
     cut = pieces(docs, id_column, text, path, capacity, end_id, with_ids)
     dealt = cut.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "id", "row"), F.lit(groups)))
-    schema = T.StructType([f for f in dealt.schema if f.name not in ("row", "group")] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    schema = T.StructType([f for f in dealt.schema if f.name != "group" and (with_row or f.name != "row")] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def fit(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "id", "row", "start"], ascending=[False, True, True, True], kind="stable")

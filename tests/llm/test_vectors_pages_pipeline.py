@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -168,6 +169,27 @@ def test_pipeline_stages(spark, corpus, tmp_path):
     assert (packed.groupby("doc_id")["length"].sum() == packed.drop_duplicates("doc_id").set_index("doc_id")["doc_tokens"].mul(packed.groupby("doc_id").apply(lambda g: (g["start"] == 0).sum(), include_groups=False))).all()
 
 
+def test_packing_stage_emits_sequences_that_can_be_rebuilt(spark):
+    rng = random.Random(4)
+    texts = {1: " ".join(words(rng, 3000)), 2: "one two", 3: None}
+    docs = spark.createDataFrame([(i, texts[i], "en", "s", 1) for i in (1, 1, 2, 2, 3)], DOCS)
+    rows = corpus_pipeline.pack(spark, docs, "").collect()
+    copies, sequences = defaultdict(list), defaultdict(list)
+    for r in rows:
+        copies[(r["doc_id"], r["row"])].append((r["start"], bytes(r["tokens"]), r["doc_tokens"]))
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+        assert len(r["tokens"]) == 4 * r["length"] and zlib.crc32(bytes(r["tokens"])) == r["ids_crc32"]
+    assert Counter(i for i, _ in copies) == {1: 2, 2: 2, 3: 1}
+    whole = defaultdict(set)
+    for (i, _), own in copies.items():
+        data = b"".join(x for _, x, _ in sorted(own))
+        assert len(data) == 4 * own[0][2]
+        whole[i].add(data)
+    assert all(len(x) == 1 for x in whole.values())
+    for own in sequences.values():
+        assert all(a + n == b for (a, n), (b, _) in zip(sorted(own), sorted(own)[1:]))
+
+
 def test_jaccard():
     assert simhash.jaccard("a b c d e f", "A B C D E F", 5) == 1 and simhash.jaccard(None, "", 5) == 1 and simhash.jaccard("a", "b", 5) == 0
 
