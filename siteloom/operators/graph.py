@@ -2,34 +2,51 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; one of our own only where it names none, as in tests."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siteloom-"))
+from siteloom.operators.staging import drop_staged, staged
 
 
-def connected(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(node, root): the least node of each node's component.
+def components(spark: SparkSession, edges: DataFrame, left: str, right: str, max_rounds: int = 60) -> DataFrame:
+    """(node, root) for every node of ``edges``; root is the smallest node of its component.
 
-    Every round takes the least label among a node and its neighbours, then
-    the label of that label. Labels are checkpointed each round, so a lost
-    executor costs no more than the round in hand.
+    Alternating large-star and small-star rounds over (bigger, smaller) edges.
+    Each round finds every node's smallest neighbour by a pre-aggregated
+    minimum and joins it back, so a node with a million links is a join key
+    that Spark can split and never a group held by one task. Rounds end when
+    the edges stop changing; each round's edges are staged.
     """
-    ensure_checkpoint_dir(nodes.sparkSession)
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = nodes.select("node", F.col("node").alias("root")).checkpoint()
-    for _ in range(rounds):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("n")).agg(F.min("root").alias("near"))
-        low = labels.join(near, labels["node"] == near["n"], "left").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        hop = low.select(F.col("node").alias("at"), F.col("root").alias("further"))
-        new = low.join(hop, low["root"] == hop["at"]).select("node", "was", F.least("root", "further").alias("root")).checkpoint()
-        labels = new.select("node", "root")
-        if not new.where("root < was").take(1):
-            return labels
-    raise RuntimeError(f"labels did not settle in {rounds} rounds")
+    start = edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u > v").distinct()
+    now = staged(start)
+    mark = _mark(now)
+    for _ in range(max_rounds):
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Every neighbour above u goes to the least of u and its neighbours.
+        large = now.select(F.col("v").alias("u"), F.col("u").alias("w")).join(low, "u").select(F.col("w").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        joined = large.join(least, "u")
+        small = joined.select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u > v").distinct()
+        after = staged(small)
+        drop_staged(now)
+        now, last, mark = after, mark, _mark(after)
+        if mark == last:
+            break
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    roots = now.groupBy("u").agg(F.min("v").alias("root"))
+    out = roots.select(F.col("u").alias("node"), "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    out._staged_at = now._staged_at
+    return out
+
+
+def _mark(edges: DataFrame) -> tuple:
+    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+    return row["n"], row["s"]
+
+
+def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root) for every row of ``nodes``, those without an edge (a, b) included."""
+    found = components(nodes.sparkSession, edges, "a", "b").withColumnRenamed("node", "linked")
+    return nodes.join(found, nodes["node"] == found["linked"], "left").select("node", F.coalesce("root", "node").alias("root"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from siteloom.functions import text as tx
 from siteloom.functions.numeric import half_up
-from siteloom.operators.graph import connected, ensure_checkpoint_dir
+from siteloom.operators.graph import connected
+from siteloom.operators.staging import staged
 from siteloom.operators.spatial import around, cell_degrees, cells
 from siteloom.functions.geo import haversine_km, sql_haversine, synthetic_lat, synthetic_lon
 from siteloom.plans.spatial import MASTS
@@ -191,9 +192,8 @@ def dbscan_settlements(spark: SparkSession, sf_dir: str) -> DataFrame:
     cx, cy = cells(F.col("lon"), F.col("lat"), size)
     other = points.select(F.col("mast").alias("b"), F.col("lon").alias("blon"), F.col("lat").alias("blat")).withColumns({"cx": F.floor(F.col("blon") / size[0]).cast("int"), "cy": F.floor(F.col("blat") / size[1]).cast("int")})
     pairs = around(points, "lon", "lat", size).join(other, ["cx", "cy"]).where(haversine_km(F.col("lon"), F.col("lat"), F.col("blon"), F.col("blat")) <= DBSCAN_KM).select(F.col("mast").alias("a"), "b")
-    ensure_checkpoint_dir(spark)
-    pairs = pairs.checkpoint()
-    cores = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= DBSCAN_POINTS).select(F.col("a").alias("node"))
+    pairs = staged(pairs)
+    cores = staged(pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= DBSCAN_POINTS).select(F.col("a").alias("node")))
     reach = pairs.join(cores, pairs["b"] == cores["node"]).select("a", "b")
     links = reach.join(cores.withColumnRenamed("node", "core"), reach["a"] == F.col("core")).select("a", "b").where("a < b")
     clusters = connected(cores, links)
