@@ -1,73 +1,25 @@
-"""Helpers shared by the training-data operators: staging, Arrow batches, words.
-
-Staged tables live under ``spark.checkpoint.dir``, the folder that the driver
-and every executor share. A staged table cuts the lineage: what follows reads
-files, so a lost executor costs only the tasks it ran.
-"""
+"""Helpers shared by the training-data operators: Arrow batches, words, and the staging and components of the base engine."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siteloom.operators.graph import components
+from siteloom.operators.staging import cleaning, drop_staged, shared_dir, staged
+
+__all__ = ["WORD", "cleaning", "components", "drop_staged", "encoded_words", "id_crc", "rebatched", "shared_dir", "split_words", "staged", "struct_of", "text_key", "trim"]
+
 #: A word: a run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="siteloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-@contextlib.contextmanager
-def cleaning(spark: SparkSession) -> Iterator[None]:
-    """Writes within it drop their shuffle files as soon as they end."""
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(CLEANUP, before)
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet into the shared folder and read back.
-
-    The shuffle files of that write go as soon as it ends, so that the disk in
-    use is that of one step and not of all steps so far.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/siteloom/{uuid.uuid4().hex}"
-    with cleaning(spark):
-        df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_at = path
-    return out
-
-
-def drop_staged(*frames: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more."""
-    for df in frames:
-        path = getattr(df, "_staged_at", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def text_key(text: str | Column) -> list[Column]:
@@ -135,39 +87,3 @@ def encoded_words(flat: pa.Array) -> tuple[np.ndarray, list[str]]:
 
 def struct_of(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in fields.items()])
-
-
-def components(spark: SparkSession, edges: DataFrame, left: str, right: str, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of ``edges``; root is the smallest node of its component.
-
-    Alternating large-star and small-star rounds over (bigger, smaller) edges.
-    Each round finds every node's smallest neighbour by a pre-aggregated
-    minimum and joins it back, so a node with a million links is a join key
-    that Spark can split and never a group held by one task. Rounds end when
-    the edges stop changing; each round's edges are staged.
-    """
-    start = edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u > v").distinct()
-    now = staged(start)
-    mark = _mark(now)
-    for _ in range(max_rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        # Every neighbour above u goes to the least of u and its neighbours.
-        large = now.select(F.col("v").alias("u"), F.col("u").alias("w")).join(low, "u").select(F.col("w").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u > v").distinct()
-        after = staged(small)
-        drop_staged(now)
-        now, last, mark = after, mark, _mark(after)
-        if mark == last:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = now.groupBy("u").agg(F.min("v").alias("root"))
-    return roots.select(F.col("u").alias("node"), "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-
-
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-    return row["n"], row["s"]
