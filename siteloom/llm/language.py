@@ -1,14 +1,23 @@
 """Language identification by compression with per-language dictionaries.
 
-Text is lower-cased. A language's model is a zstandard raw-content dictionary of text in that
-language. A text is compressed once with each dictionary, block by block, and
-goes to the language whose output is smallest. The prediction is rejected when
-the runner-up is within ``MIN_MARGIN`` bytes.
+Text is lower-cased. A language's model is a zstandard raw-content dictionary
+of whole texts in that language. A text is compressed once with each
+dictionary, in blocks of ``BLOCK`` bytes and at one level whatever its length,
+and goes to the language whose output is smallest. The prediction is rejected
+when the runner-up's output is within ``MIN_BYTES`` bytes or ``MIN_SHARE`` of
+the best one's.
+
+The learned sample is bounded in rows: of each language at most
+``DOCS_PER_LANGUAGE`` rows in the order of a hash, those of up to
+``USUAL_BYTES`` first, as long as their whole texts together stay within
+``DICT_BYTES``; no text is cut. A language whose every text is longer than
+that learns from its first one alone.
 
 Null, empty and letterless texts are ``und`` with score 0 and are rejected.
 Ties go to the first language by code point and are rejected. Rows without a
-language, or without text, teach nothing. If nothing can be learned every text
+language, or without letters, teach nothing. If nothing can be learned every text
 is ``und``. Repeated rows are each predicted; long texts are read whole.
+Columns named like a result are replaced by it.
 """
 
 from __future__ import annotations
@@ -22,16 +31,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from siteloom.llm.common import id_crc, rebatched
+from siteloom.llm.common import id_crc, rebatched, struct_of
 
-DOCS_PER_LANGUAGE = 300  # learned rows per language, chosen by hash
-DICT_BYTES = 112 << 10  # of each dictionary
-BYTES_PER_DOC = 2048  # of each learned text that go into it
-BLOCK = 4096
-LEVEL = 6
-SHORT = 1024  # bytes below which a text is compressed harder, for there is less in it to tell by
-SHORT_LEVEL = 12
-MIN_MARGIN = 2
+DOCS_PER_LANGUAGE = 300  # learned rows per language at most
+DICT_BYTES = 112 << 10  # that their texts may have together
+USUAL_BYTES = 4096  # longer texts are learned only after all that are not
+BLOCK = 16 << 10
+LEVEL = 12
+MIN_BYTES = 2
+MIN_SHARE = 0.01
 TEMPERATURE = 6.0
 UNKNOWN = "und"
 
@@ -43,36 +51,39 @@ def held_out(id_column: str) -> Column:
 
 
 def learn(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, bytes]:
-    """Dictionaries by language, of at most DOCS_PER_LANGUAGE rows each, taken in the order of a hash.
+    """Dictionaries by language.
 
-    The bound keeps the result at DICT_BYTES a language whatever the corpus
-    holds; ranks are cut inside each task before any row is shuffled, and the
-    few chosen rows alone bring their text.
+    Ranks are cut inside each task before any row is shuffled, and only the few
+    chosen rows bring their text.
     """
+    size, mark = F.octet_length(text), F.xxhash64(F.lit(5), F.col(id_column), F.col(text))
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & ~held_out(id_column))
-    rows = rows.select(F.col(lang).alias("lang"), F.xxhash64(F.lit(5), F.col(id_column), F.length(text)).alias("h"), F.substring(F.col(text), 1, BYTES_PER_DOC).alias("text"))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))
-    chosen = rows.withColumn("n", rank).where(F.col("n") <= DOCS_PER_LANGUAGE).orderBy("lang", "n").collect()
+    rows = rows.select(F.col(lang).alias("lang"), mark.alias("h"), size.alias("bytes"), F.col(text).alias("text"))
+    order = W.partitionBy("lang").orderBy(F.col("bytes") > USUAL_BYTES, F.col("bytes") > DICT_BYTES, "h", "bytes")
+    ranked = rows.select("lang", "h", "bytes").withColumn("n", F.row_number().over(order)).where(F.col("n") <= DOCS_PER_LANGUAGE)
+    total = F.sum(F.col("bytes") + 1).over(W.partitionBy("lang").orderBy("n"))
+    chosen = ranked.withColumn("total", total).where((F.col("total") <= DICT_BYTES + 1) | (F.col("n") == 1)).select("lang", "h", "n").collect()
+    wanted = sorted({row["h"] for row in chosen})  # DOCS_PER_LANGUAGE numbers a language at most
+    if not wanted:
+        return {}
+    texts = {(r["lang"], r["h"]): r["text"] for r in rows.where(F.col("h").isin(wanted)).select("lang", "h", "text").dropDuplicates(["lang", "h"]).collect()}
     found: dict[str, list[bytes]] = {}
-    for row in chosen:
-        found.setdefault(row["lang"], []).append(row["text"].lower().encode())
-    return {k: b"\n".join(v)[:DICT_BYTES] for k, v in sorted(found.items())}
+    for row in sorted(chosen, key=lambda r: (r["lang"], r["n"])):
+        found.setdefault(row["lang"], []).append(texts[(row["lang"], row["h"])].lower().encode())
+    return {k: b"\n".join(v) for k, v in sorted(found.items())}
 
 
-def _models(dictionaries: dict[str, bytes]) -> list[list]:
-    """Compressors of each language, for texts of usual length and for short ones."""
+def _models(dictionaries: dict[str, bytes]) -> list:
+    """A compressor for each language."""
     import zstandard
 
     key = hash(tuple(dictionaries.items()))
     if key not in _compressors:
         out = []
-        for level in (LEVEL, SHORT_LEVEL):
-            of_level = []
-            for content in dictionaries.values():
-                own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                own.precompute_compress(level=level)
-                of_level.append(zstandard.ZstdCompressor(level=level, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False))
-            out.append(of_level)
+        for content in dictionaries.values():
+            own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            own.precompute_compress(level=LEVEL)
+            out.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False))
         _compressors.clear()
         _compressors[key] = out
     return _compressors[key]
@@ -82,22 +93,21 @@ def sizes(dictionaries: dict[str, bytes], text: str) -> list[int]:
     """Compressed bytes of the whole text with each dictionary."""
     data = text.lower().encode()
     blocks = [data[at : at + BLOCK] for at in range(0, len(data), BLOCK)]
-    return [sum([len(model.compress(b)) for b in blocks]) for model in _models(dictionaries)[len(data) < SHORT]]
+    return [sum([len(model.compress(b)) for b in blocks]) for model in _models(dictionaries)]
 
 
-def predict(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, lang_score and lang_rejected."""
+def judge(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text") -> DataFrame:
+    """``row``, a struct of all columns of ``docs``, beside lang_pred, lang_score and lang_rejected."""
     names = list(dictionaries)
     model = docs.sparkSession.sparkContext.broadcast(dictionaries)
-    columns = docs.columns
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    with_letters = docs.withColumn("lang_letters", letters)
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_rejected", T.BooleanType())])
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text).alias("text"), letters.alias("letters"))
+    schema = T.StructType([rows.schema["row"], *struct_of(lang_pred=T.StringType(), lang_score=T.DoubleType(), lang_rejected=T.BooleanType())])
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rebatched(batches, 16 << 20):
             pred, score, rejected = [], [], []
-            for value, known in zip(batch.column(text).to_pylist(), batch.column("lang_letters").to_pylist(), strict=True):
+            for value, known in zip(batch.column("text").to_pylist(), batch.column("letters").to_pylist(), strict=True):
                 if not known or not names:
                     pred.append(UNKNOWN)
                     score.append(0.0)
@@ -108,11 +118,22 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text")
                 rest = sorted(found)
                 pred.append(names[best])
                 score.append(float(1 / np.exp((min(found) - np.asarray(found, float)) / TEMPERATURE).sum()))
-                rejected.append(len(rest) > 1 and rest[1] - rest[0] < MIN_MARGIN)
-            kept = [batch.column(n) for n in columns]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=schema.names)
+                rejected.append(len(rest) > 1 and rest[1] - rest[0] < max(MIN_BYTES, MIN_SHARE * rest[0]))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=schema.names)
+
+    return rows.mapInArrow(classify, schema)
+
+
+def predict(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text") -> DataFrame:
+    """``docs`` with lang_pred, lang_score and lang_rejected."""
+    found = ("lang_pred", "lang_score", "lang_rejected")
+    return judge(docs, dictionaries, text).select(*(F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in found), *found)
+
 
-    return with_letters.mapInArrow(classify, schema)
+def sure(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with the prediction as their ``lang``; all other columns stay."""
+    kept = judge(docs, dictionaries, text).where("NOT lang_rejected")
+    return kept.select(*(F.col("lang_pred").alias(c) if c == lang else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def identify(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
