@@ -33,7 +33,10 @@ TRAIN_ROWS = 6000
 WORD_BUCKETS = 1 << 15
 BINS = 16
 FACTORS = 8
-EPOCHS = 12
+MOST_EPOCHS = 400
+STEP_ROWS = 32
+LEAST_LOSS = 0.02  # of the training rows, at which fitting ends
+LEAST_GAIN = 0.002  # or an epoch that lowers it by less than this share
 RATE = 0.05
 DECAY = 2e-4
 BATCH = 8 << 20
@@ -125,7 +128,7 @@ def raw_scores(model: dict, at: np.ndarray, ids: np.ndarray, weight: np.ndarray)
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 7) -> dict:
-    """Adagrad on the logistic loss over (ids, weights, statistics) of each labelled document."""
+    """Adagrad on the logistic loss over (ids, weights, statistics) of each labelled document, until the loss is small or falls no more."""
     rng = np.random.default_rng(seed)
     stats = np.stack([r[2] for r in rows])
     cuts = np.stack([np.quantile(stats[:, j], np.arange(1, BINS) / BINS) for j in range(stats.shape[1])])
@@ -135,9 +138,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarra
     mean = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3))
     model = {"b": np.log(mean / (1 - mean)), "w": np.zeros(size), "v": rng.normal(0, 0.05, (size, FACTORS)).astype(np.float32), "cuts": cuts}
     gw, gv = np.full(size, 1e-3), np.full((size, FACTORS), 1e-3, np.float32)
-    for _ in range(EPOCHS):
+    last = np.inf
+    for _ in range(MOST_EPOCHS):
         order = rng.permutation(len(rows))
-        for part in np.array_split(order, max(1, len(rows) // 64)):
+        for part in np.array_split(order, max(1, len(rows) // STEP_ROWS)):
             lengths = at[part + 1] - at[part]
             own = np.repeat(at[part] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
             i, x, a = ids[own], weight[own], np.concatenate(([0], np.cumsum(lengths)))
@@ -154,6 +158,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarra
             model["w"][held] -= RATE * dw / np.sqrt(gw[held])
             model["v"][held] -= RATE * dv / np.sqrt(gv[held])
             model["b"] -= RATE * slope.sum()
+        z = raw_scores(model, at, ids, weight)[0]
+        loss = float(np.logaddexp(0, np.where(labels > 0, -z, z)).mean())
+        if loss < LEAST_LOSS or loss > last * (1 - LEAST_GAIN):
+            break
+        last = loss
     return model
 
 
