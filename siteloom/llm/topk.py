@@ -1,24 +1,26 @@
 """Exact top-k by inner product with no-random-access aggregation.
 
 Components become whole numbers. For a query, every dimension is a list of the
-candidates sorted by what that dimension adds to their score. All lists are
-read in step. What has been read gives a candidate's score a lower bound (with
-the worst entry for lists it has not been seen in) and an upper bound (with
-the entry the list has come to). Reading stops when no candidate outside the
-k best lower bounds has an upper bound that reaches them; the candidates left
-are then scored exactly.
-
-Queries and candidates are packed into blocks and every block of queries meets
-every block of candidates once; a candidate block returns its own k best, and
-the best of those are the answer. The bounds of all a block's queries at one
-depth are four matrix products, for a list read to value f caps the entries
-not yet seen at f.
+candidates sorted by what that dimension adds to their score. The lists are
+read in step, from the top, and only what has been read is added up. An entry
+gives its candidate's score a lower bound (with the worst entry of the lists
+it has not been seen in) and an upper bound (with the entries those lists have
+come to). A candidate whose upper bound falls below the k-th best lower bound
+is out for good; reading stops when too few are left to be worth a further
+step, and these are then scored exactly.
+
+Queries and candidates are packed into blocks. A task takes one block of
+queries through the candidate blocks of a strip, one after another, and keeps
+each query's k best scores so far as the floor for the next block: a block
+whose best entries together stay below the floor is not read at all.
 
 Vectors that are null, empty, or hold null or non-finite components take no
 part; vectors of other length than a query's are not its candidates. Equal
 scores go to the smaller id. A row is never its own candidate; other rows with
-its id are. Null ids are candidates, after all others, and never queries.
-Scores must stay below 2**53. An empty table gives no rows.
+its id are. Null ids are candidates, after all others, and never queries. All
+sums are of 64-bit integers; where they might not fit the search raises an
+ArithmeticError instead of returning a wrong score. An empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -38,49 +40,81 @@ from siteloom.llm.vectors import matrix, unpacked, usable
 K = 10
 EVERY = 100
 SCALE = 1024
-CANDIDATES = 4096  # of a block
-QUERIES = 256
+CANDIDATES = 8192  # of a block at most
+QUERIES = 2048
+BLOCK_BYTES = 4 << 20
+STRIP = 8  # candidate blocks that one task goes through
 FIRST_DEPTH = 64
 LONG = T.LongType()
 
 
-def _kth(values: np.ndarray, k: int) -> np.ndarray:
-    """The k-th largest of each row."""
-    return np.partition(values, values.shape[1] - k, axis=1)[:, values.shape[1] - k]
+class Lists:
+    """A block of candidates with every dimension's sorted list."""
 
+    def __init__(self, values: np.ndarray):
+        self.values = values
+        rising = np.argsort(values, axis=0, kind="stable").T
+        self.order = np.concatenate((rising, rising[:, ::-1])).astype(np.int32)  # a row for each dimension and direction
+        self.sorted = np.take_along_axis(np.concatenate((values.T, values.T)), self.order, axis=1)
+        self.most = np.abs(values).max(axis=0).astype(object) if len(values) else np.zeros(values.shape[1], object)
 
-def block_top(queries: np.ndarray, candidates: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query rows, candidate rows, scores) that hold each query's k best of the block, ties included.
 
-    ``own`` marks the pairs that don't count.
+def read_lists(query: np.ndarray, lists: Lists, own: int, k: int, floor: int | None) -> tuple[np.ndarray, np.ndarray, int]:
+    """(places, scores, entries read): the candidates that may be among the query's k best, ties included.
+
+    ``own`` is the place that doesn't count, or -1; ``floor`` the score that
+    the query's k best so far reach.
     """
-    n = len(candidates)
-    q, v = queries.astype(np.float64), candidates.astype(np.float64)
-    up, down = np.maximum(q, 0), np.minimum(q, 0)
-    lists = np.sort(v, axis=0)
-    worst, best = lists[0], lists[-1]
-    waiting, depth = np.arange(len(q)), min(FIRST_DEPTH, n)
-    rows, columns = [], []
-    while len(waiting):
-        top, bottom = lists[n - depth], lists[depth - 1]
-        seen_top, seen_bottom = v >= top, v <= bottom
-        lower = up[waiting] @ np.where(seen_top, v, worst).T + down[waiting] @ np.where(seen_bottom, v, best).T
-        upper = up[waiting] @ np.where(seen_top, v, top).T + down[waiting] @ np.where(seen_bottom, v, bottom).T
-        lower[own[waiting]] = upper[own[waiting]] = -np.inf
-        floor = _kth(lower, k) if n > k else np.full(len(waiting), -np.inf)
-        alive = (upper >= floor[:, None]) & ~own[waiting]
-        settled = (alive.sum(axis=1) <= k) | (depth == n)
-        i, j = np.nonzero(alive[settled])
-        rows.append(waiting[settled][i])
-        columns.append(j)
-        waiting, depth = waiting[~settled], min(n, depth * 2)
-    i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, columns))
-    return i, j, np.einsum("nd,nd->n", queries[i], candidates[j])
+    n, d = lists.values.shape
+    if sum(abs(int(a)) * int(b) for a, b in zip(query, lists.most, strict=True)) >= 1 << 62:
+        raise ArithmeticError("scores may not fit into 64 bits")
+    own_lists = np.arange(d) + d * (query >= 0)
+    best, worst = query * lists.sorted[own_lists, 0], query * lists.sorted[own_lists, -1]
+    if floor is not None and best.sum() < floor:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    lower = np.full(n, worst.sum())  # of all; what is read adds its surplus over the worst
+    seen = np.zeros((d, n), bool)
+    alive = np.delete(np.arange(n), own) if own >= 0 else np.arange(n)
+    depth, step, read = 0, min(FIRST_DEPTH, n), 0
+    dims = np.arange(d)[:, None]
+    while len(alive) > 2 * k and depth < n:
+        upto = min(n, depth + step)
+        who = lists.order[own_lists, depth:upto]
+        adds = query[:, None] * lists.sorted[own_lists, depth:upto]
+        np.add.at(lower, who.ravel(), (adds - worst[:, None]).ravel())
+        seen[dims, who] = True
+        read += who.size
+        depth, step = upto, upto
+        # Lists that a candidate has not been seen in can add no more than the entry they have come to.
+        upper = lower[alive] + (adds[:, -1] - worst) @ ~seen[:, alive]
+        if len(alive) >= k:
+            reached = int(np.partition(lower[alive], len(alive) - k)[len(alive) - k])
+            floor = reached if floor is None else max(floor, reached)
+        if floor is not None:
+            alive = alive[upper >= floor]
+        if len(alive) * 4 <= step:
+            break
+    return alive, lists.values[alive] @ query, read
+
+
+class Best:
+    """A query's k best candidates so far: higher scores first, then smaller ids, null ids last, then rows."""
+
+    def __init__(self, k: int):
+        self.k, self.rows = k, []
+
+    def floor(self) -> int | None:
+        return -self.rows[-1][0] if len(self.rows) == self.k else None
+
+    def add(self, scores: np.ndarray, named: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+        new = zip((-scores).tolist(), (~named).tolist(), ids.tolist(), rows.tolist(), strict=True)
+        self.rows = sorted([*self.rows, *new])[: self.k]
 
 
 def blocks(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
-    """The rows dealt at random into blocks of about ``size``: block, dim, ids, rows, values; and how many."""
-    count = max(1, -(-rows.count() // size))
+    """The rows dealt at random into blocks of at most about ``size`` rows and BLOCK_BYTES: block, dim, ids, rows, values; and how many."""
+    found = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("dim"), F.lit(0)).alias("cells")).first()
+    count = max(1, -(-found["n"] // size), -(-found["cells"] * 8 // BLOCK_BYTES))
     schema = struct_of(block=T.IntegerType(), dim=T.IntegerType(), ids=T.BinaryType(), named=T.BinaryType(), rows=T.BinaryType(), vecs=T.BinaryType())
 
     def pack(table: pa.Table) -> pa.Table:
@@ -100,28 +134,30 @@ def top_k(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embeddin
     rows = staged(rows.withColumn("dim", F.size("vec")).withColumn("row", F.monotonically_increasing_id()))
     found, n_found = blocks(rows.select("id", "dim", "row", "vec"), CANDIDATES)
     asked, n_asked = blocks(rows.where("asks").select("id", "dim", "row", "vec"), QUERIES)
-    # Each block of the stated queries goes once to each block of candidates.
-    asked = asked.select(F.col("block").alias("q"), "dim", F.explode(F.sequence(F.lit(0), F.lit(n_found - 1))).alias("c"), *(F.col(x).alias(f"q_{x}") for x in ("ids", "rows", "vecs")))
-    found = found.select(F.col("block").alias("c"), "dim", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))).alias("q"), *(F.col(x).alias(f"c_{x}") for x in ("ids", "named", "rows", "vecs")))
+    # Each block of the stated queries goes once to each strip, and each block of candidates once to each block of queries.
+    strips = -(-n_found // STRIP)
+    asked = asked.withColumnRenamed("block", "q").withColumn("strip", F.explode(F.sequence(F.lit(0), F.lit(strips - 1))))
+    found = found.withColumn("strip", F.floor(F.col("block") / STRIP).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))))
     schema = T.StructType([T.StructField(x, LONG) for x in ("query_row", "query_id", "vec_id", "row", "score")])
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                get = lambda c, t: unpacked(batch.column(c)[at], t)  # noqa: B023, E731
-                d = batch.column("dim")[at].as_py()
-                q, v = get("q_vecs", np.int64).reshape(-1, d), get("c_vecs", np.int64).reshape(-1, d)
-                q_rows, c_rows, c_ids, named = get("q_rows", np.int64), get("c_rows", np.int64), get("c_ids", np.int64), get("c_named", bool)
-                i, j, score = block_top(q, v, q_rows[:, None] == c_rows[None, :], k)
-                # Of ties at the block's end the smaller ids are enough.
-                order = np.lexsort((c_rows[j], c_ids[j], ~named[j], -score, i))
-                i, j, score = i[order], j[order], score[order]
-                place = np.arange(len(i)) - np.searchsorted(i, i, side="left")
-                i, j, score = i[place < k], j[place < k], score[place < k]
-                ids = pa.array(c_ids[j], mask=~named[j])
-                yield pa.RecordBatch.from_arrays([pa.array(q_rows[i]), pa.array(get("q_ids", np.int64)[i]), ids, pa.array(c_rows[j]), pa.array(score)], names=schema.names)
-
-    best = asked.join(found, ["q", "c", "dim"]).mapInArrow(search, schema)
+    def search(asks: pa.Table, held: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if asks.num_rows and held.num_rows:
+            get = lambda table, i, c, kind: unpacked(table.column(c)[i], kind)
+            d = asks.column("dim")[0].as_py()
+            queries, q_rows, q_ids = get(asks, 0, "vecs", np.int64).reshape(-1, d), get(asks, 0, "rows", np.int64), get(asks, 0, "ids", np.int64)
+            best = [Best(k) for _ in q_rows]
+            for i in range(held.num_rows):
+                lists = Lists(get(held, i, "vecs", np.int64).reshape(-1, d))
+                c_rows, c_ids, named = get(held, i, "rows", np.int64), get(held, i, "ids", np.int64), get(held, i, "named", bool)
+                place = {r: at for at, r in enumerate(c_rows.tolist())}
+                for j, query in enumerate(queries):
+                    at, scores, _ = read_lists(query, lists, place.get(int(q_rows[j]), -1), k, best[j].floor())
+                    best[j].add(scores, named[at], c_ids[at], c_rows[at])
+            out = [(int(q_rows[j]), int(q_ids[j]), None if unnamed else i, r, -s) for j, b in enumerate(best) for s, unnamed, i, r in b.rows]
+        return pa.table({n: pa.array([x[c] for x in out], pa.int64()) for c, n in enumerate(schema.names)})
+
+    best = asked.groupBy("q", "strip", "dim").cogroup(found.groupBy("q", "strip", "dim")).applyInArrow(search, schema)
     order = W.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last(), "row")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("vec_id").alias(id_column), "score")
