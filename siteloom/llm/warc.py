@@ -1,19 +1,24 @@
 """Writing pages as WARC 1.1 archives and assembling captures from them.
 
 Every page gives a response (or revisit), a request and a metadata record; the
-latter two name the first in ``WARC-Concurrent-To``. Spark's text writer puts
-the records into archives in the shared folder, compressed, with the blank lines that end
-a record as its line separator, so they may lie in any store Spark writes to;
-``records_per_file`` bounds an archive. Reading takes each archive whole, steps
-through it by ``Content-Length``, joins the three kinds of record through
-their concurrent-to identifiers, and emits one nested row per capture.
+latter two name the first in ``WARC-Concurrent-To``. A task renders archives
+of about ``archive_bytes`` each, a warcinfo record first, and Spark's text
+writer puts every one into a gzip file of its own in the shared folder, so
+they may lie in any store Spark writes to. (That writer makes one gzip member
+a file, not one a record.) Reading takes each archive whole, steps through it
+by ``Content-Length``, joins the three kinds of record through their
+concurrent-to identifiers, and emits one nested row per capture.
 
 Of pages with equal payloads of at least ``min_bytes`` the one with the
-smallest id is kept as response, and the others revisit it. Pages with the
-same id and payload are all responses. A null id sorts last and comes back
-null; a null page is an empty payload; a null address leaves its header out,
-and characters that would end a header line are percent-encoded. An empty
-table gives no archives and no rows.
+smallest id is kept as response, and the others revisit it. Who revisits whom
+is decided on ids and digests alone. A record's id follows from its page's
+id, address and digest, so a task that runs again gives the same records.
+Pages with the same id and payload are all responses; rows alike in all three
+are written once each, numbered. A null id sorts last and comes back null; a
+null page is an empty payload; a null address leaves its header out, and
+characters that would end a header line are percent-encoded, in ids too. A
+page longer than ``archive_bytes`` has an archive of its own. An empty table
+gives no archives and no rows.
 """
 
 from __future__ import annotations
@@ -23,17 +28,17 @@ import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
-from urllib.parse import urlsplit
+from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siteloom.llm.common import cleaning, rebatched, shared_dir, staged, struct_of
+from siteloom.llm.common import cleaning, drop_staged, rebatched, shared_dir, staged, struct_of
 
 MIN_BYTES = 0
-RECORDS_PER_FILE = 3000
+ARCHIVE_BYTES = 32 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMESPACE = uuid.UUID("6f0c7d1e-5d0b-4c1c-9d55-0d3c1c0f1a77")
@@ -54,51 +59,79 @@ def _clean(url: str | None) -> str | None:
 
 
 def _record_id(*parts: object) -> str:
-    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, '|'.join(map(str, parts)))}>"
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, repr(parts))}>"
 
 
-def records_of(page_id: int | None, row: int, url: str | None, html: str, digest: str, first_row: int | None) -> list[str]:
-    """The three records of a page; ``first_row`` is that of the response it revisits, if it does."""
-    own, where = _record_id("capture", row), _clean(url)
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(html.encode())}{END}"
+def archive_head(name: str) -> str:
+    """The record that says what an archive is."""
+    return _header("warcinfo", _record_id("archive", name), [("Content-Type", "application/warc-fields")], "software: siteloom\r\nformat: WARC File Format 1.1\r\n")
+
+
+def records_of(page_id: object, url: str | None, html: str | None, size: int, digest: str, number: int, first: tuple | None) -> list[str]:
+    """The three records of a page; ``first`` names the response it revisits (id, address), if it does, and then ``html`` is not needed."""
+    own, where = _record_id("capture", page_id, url, digest, number), _clean(url)
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}{END}"
     common = [("WARC-Target-URI", where), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response")]
-    if first_row is None:
+    if first is None:
         main = _header("response", own, common, http + html)
     else:
-        main = _header("revisit", own, [*common, ("WARC-Profile", PROFILE), ("WARC-Refers-To", _record_id("capture", first_row))], http)
+        main = _header("revisit", own, [*common, ("WARC-Profile", PROFILE), ("WARC-Refers-To", _record_id("capture", *first, digest, 0))], http)
     try:
         parts = urlsplit(where or "")
         path, host = (parts.path or "/") + (f"?{parts.query}" if parts.query else ""), parts.netloc
     except ValueError:
         path, host = "/", ""
-    request = _header("request", _record_id("request", row), [("WARC-Target-URI", where), ("WARC-Concurrent-To", own), ("Content-Type", "application/http; msgtype=request")], f"GET {path} HTTP/1.1\r\nHost: {host}{END}")
-    about = _header("metadata", _record_id("metadata", row), [("WARC-Target-URI", where), ("WARC-Concurrent-To", own), ("Content-Type", "application/warc-fields")], f"page-id: {'' if page_id is None else page_id}\r\n")
+    request = _header("request", _record_id("request", own), [("WARC-Target-URI", where), ("WARC-Concurrent-To", own), ("Content-Type", "application/http; msgtype=request")], f"GET {path} HTTP/1.1\r\nHost: {host}{END}")
+    field = "" if page_id is None else f"page-id: {quote(str(page_id), safe='')}\r\n"
+    about = _header("metadata", _record_id("metadata", own), [("WARC-Target-URI", where), ("WARC-Concurrent-To", own), ("Content-Type", "application/warc-fields")], field)
     return [request, main, about]
 
 
-def write_archives(pages: DataFrame, path: str, id_column: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = MIN_BYTES, records_per_file: int = RECORDS_PER_FILE) -> None:
+def write_archives(pages: DataFrame, path: str, id_column: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = MIN_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write the pages' records below ``path``."""
     payload = F.coalesce(F.col(html), F.lit(""))
-    rows = pages.select(F.col(id_column).alias("page_id"), F.col(url).alias("url"), payload.alias("html"), F.monotonically_increasing_id().alias("row"))
-    rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    order = F.struct(F.col("page_id").isNull().alias("last"), F.col("page_id").alias("id"), F.col("row").alias("row"))
-    equal = rows.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.min(order).alias("first"))
-    marked = rows.join(equal, "digest", "left")
+    rows = pages.select(F.col(id_column).alias("page_id"), F.col(url).alias("url"), payload.alias("html"), F.sha1(payload.cast("binary")).alias("digest"))
+    slim = staged(rows.select("page_id", "url", "digest", F.octet_length("html").alias("size")))
+    order = F.struct(F.col("page_id").isNull().alias("unnamed"), F.col("page_id").alias("id"), F.col("url").alias("url"))
+    equal = slim.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    alike = slim.groupBy("page_id", "url", "digest").agg(F.count("*").alias("times"))
+    marked = alike.join(equal, "digest", "left")
     revisits = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.id"))
-    marked = marked.select("page_id", "row", "url", "html", "digest", F.when(revisits, F.col("first.row")).alias("first_row"))
+    # What is not simply a response, alone of its kind: few rows of a usual crawl, so that the pages need not move.
+    special = marked.where(revisits | (F.col("times") > 1)).select(F.col("page_id").alias("of_id"), F.col("url").alias("of_url"), F.col("digest").alias("of_digest"), "times", F.when(revisits, F.col("first")).alias("first"))
+    special = staged(special)
+    joined = rows.join(special, F.col("page_id").eqNullSafe(F.col("of_id")) & F.col("url").eqNullSafe(F.col("of_url")) & (F.col("digest") == F.col("of_digest")), "left")
+    once = joined.where("times IS NULL OR times = 1")
+    if special.where("times > 1").take(1):
+        once = once.unionByName(joined.where("times > 1").dropDuplicates(["page_id", "url", "digest"]))
+    known = F.col("first").isNotNull()
+    ready = once.select("page_id", "url", F.when(~known, F.col("html")).alias("html"), F.octet_length("html").alias("size"), "digest", F.coalesce("times", F.lit(1)).alias("times"), known.alias("known"), F.col("first.id").alias("first_id"), F.col("first.url").alias("first_url"))
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rebatched(batches, 16 << 20):
-            out = [x for row in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in _ordered(row)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+        held, size = [], 0
+        for batch in rebatched(batches, 8 << 20):
+            for page_id, where, text, length, hexed, times, revisit, first_id, first_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                digest = base64.b32encode(bytes.fromhex(hexed)).decode()
+                for number in range(times):
+                    found = records_of(page_id, where, text, length, digest, number, (first_id, first_url) if revisit else None)
+                    new = sum(len(x.encode()) + len(END) for x in found)
+                    if held and size + new > archive_bytes:
+                        yield _archive(held)
+                        held, size = [], 0
+                    held += found
+                    size += new
+        if held:
+            yield _archive(held)
 
     with cleaning(pages.sparkSession):
-        marked.mapInArrow(render, "value string").write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
+        ready.mapInArrow(render, "value string").write.option("lineSep", END).option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
+    drop_staged(slim, special)
 
 
-def _ordered(row: tuple) -> list[str]:
-    page_id, number, url, html, sha1, first_row = row
-    return records_of(page_id, number, url, html, base64.b32encode(bytes.fromhex(sha1)).decode(), first_row)
+def _archive(records: list[str]) -> pa.RecordBatch:
+    """One row: the text of a whole archive but for its last line ends."""
+    name = hashlib.sha256(records[0].encode()).hexdigest()
+    return pa.RecordBatch.from_arrays([pa.array([END.join([archive_head(name), *records])], pa.string())], names=["value"])
 
 
 def _plain(data: bytes) -> bytes:
@@ -171,8 +204,11 @@ def round_trip(pages: DataFrame, id_column: str = "page_id", url: str = "url", h
     path = f"{shared_dir(spark)}/siteloom/{uuid.uuid4().hex}/warc"
     id_type = pages.schema[id_column].dataType
     write_archives(pages, path, id_column, url, html, min_bytes)
-    number = F.nullif(F.regexp_extract("metadata.fields", r"page-id: (.*?)\r\n", 1), F.lit("")).cast(id_type)
-    found = staged(captures(staged(read_records(spark, path))).select("capture_id", number.alias("page_id"), F.col("response.kind").alias("record_type"), F.col("response.refers_to").alias("refers_to_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.coalesce("response.url", "request.url").alias("url")))
+    field = F.col("metadata.fields")
+    number = F.when(field.rlike(r"(?m)^page-id: "), F.url_decode(F.regexp_extract(field, r"page-id: (.*?)\r\n", 1))).cast(id_type)
+    records = staged(read_records(spark, path))
+    found = staged(captures(records).select("capture_id", number.alias("page_id"), F.col("response.kind").alias("record_type"), F.col("response.refers_to").alias("refers_to_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.coalesce("response.url", "request.url").alias("url")))
+    drop_staged(records)
     first = found.where("record_type = 'response'").select(F.col("capture_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("first_bytes"), F.col("payload_digest").alias("first_digest"))
     whole = found.join(first, "refers_to_id", "left")
     return whole.select(F.col("page_id").alias(id_column), F.coalesce("payload_bytes", "first_bytes").alias("payload_bytes"), F.coalesce("payload_digest", "first_digest").alias("payload_digest"), "record_type", "refers_to")
