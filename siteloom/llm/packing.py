@@ -1,16 +1,18 @@
 """Packing documents into training sequences, first-fit decreasing.
 
-Tokens are made once per document inside Spark tasks; only the pieces'
-lengths are shuffled. A document is cut into pieces of ``capacity`` ids and
-one remainder. Remainders are dealt at random over groups of about
-``group_docs`` documents, and each group is packed on its own: longest piece
-first, into the first sequence with room, which a tournament tree of the
-sequences' free space finds in logarithmic time. A group is bounded by
-``group_docs`` however large the corpus or one source is.
-
-Null text counts as empty: such a document is its end id alone. Repeated rows
-are packed once each. Very long texts give many full pieces. Ties in length go
-by document id, then by place. An empty table gives no rows.
+Tokens are made once per document inside Spark tasks. A document is cut into
+pieces of ``capacity`` ids and one remainder. Every piece is dealt on its own,
+by a hash, to one of groups of about ``group_pieces`` pieces, and each group
+is packed on its own: longest piece first, into the first sequence with room,
+which a tournament tree of the sequences' free space finds in logarithmic
+time. So a group is bounded however large the corpus, one source or one
+document is, and the result is the same on any cluster.
+
+Null text counts as empty: such a document is its end id alone. Rows alike in
+id and tokens are counted before they are dealt, and packed once each, told
+apart by ``copy`` (from 1). Very long texts give many full pieces. Ties in
+length go by document id, then by tokens, place and copy. An empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -20,19 +22,18 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siteloom.llm.common import encoded_words, rebatched, split_words
+from siteloom.llm.common import encoded_words, rebatched, split_words, staged
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
 END_ID = 1
-GROUP_DOCS = 2048
+GROUP_PIECES = 2048
 SEED = 20240917
 
 #: Words of these shapes are one or two of the tokenizer's units, so that many can be encoded in one call.
@@ -145,14 +146,17 @@ def token_batches(batches: Iterator[pa.RecordBatch], text: str, path: str, end_i
 
 
 def pieces(docs: DataFrame, id_column: str, text: str, path: str, capacity: int, end_id: int, with_ids: bool) -> DataFrame:
-    """Every document cut into pieces: id, start, length, ids_crc32, doc_tokens, row (of the input), tokens if asked for."""
-    wanted = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
-    schema = T.StructType([wanted.schema["id"], *(T.StructField(n, T.LongType()) for n in ("row", "start", "length", "ids_crc32", "doc_tokens")), *([T.StructField("tokens", T.BinaryType())] if with_ids else [])])
+    """Every document cut into pieces: id, document (a hash of all its ids), start, length, ids_crc32, doc_tokens, tokens if asked for."""
+    wanted = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    schema = T.StructType([wanted.schema["id"], *(T.StructField(n, T.LongType()) for n in ("document", "start", "length", "ids_crc32", "doc_tokens")), *([T.StructField("tokens", T.BinaryType())] if with_ids else [])])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch, offsets, ids in token_batches(batches, "text", path, end_id):
-            of, start, length, crc, tokens = [], [], [], [], []
+            of, whole, start, length, crc, tokens = [], [], [], [], [], []
             for i in range(batch.num_rows):
+                whole.append(xxhash.xxh3_64_intdigest(ids[offsets[i] : offsets[i + 1]].tobytes()))
                 for at in range(int(offsets[i]), int(offsets[i + 1]), capacity):
                     piece = ids[at : min(at + capacity, offsets[i + 1])].tobytes()
                     of.append(i)
@@ -162,7 +166,7 @@ def pieces(docs: DataFrame, id_column: str, text: str, path: str, capacity: int,
                     if with_ids:
                         tokens.append(piece)
             of = np.asarray(of, np.int64)
-            columns = [batch.column("id").take(pa.array(of)), batch.column("row").take(pa.array(of)), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.diff(offsets)[of], pa.int64())]
+            columns = [batch.column("id").take(pa.array(of)), pa.array(np.asarray(whole, np.uint64).view(np.int64)[of]), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.diff(offsets)[of], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(tokens, pa.binary())] if with_ids else []), names=schema.names)
 
     return wanted.mapInArrow(cut, schema)
@@ -196,17 +200,23 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int],
     return bins, offsets
 
 
-def pack(docs: DataFrame, id_column: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, group_docs: int = GROUP_DOCS, seed: int = SEED, with_ids: bool = False, with_row: bool = False) -> DataFrame:
-    """One row per piece with its sequence_id and offset; ``tokens`` holds its ids if ``with_ids``, ``row`` a number of its input row if ``with_row``."""
-    path = path or tokenizer_path()
-    groups = max(1, -(-docs.count() // group_docs))
-    cut = pieces(docs, id_column, text, path, capacity, end_id, with_ids)
-    dealt = cut.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "id", "row"), F.lit(groups)))
-    schema = T.StructType([f for f in dealt.schema if f.name != "group" and (with_row or f.name != "row")] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-
-    def fit(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "id", "row", "start"], ascending=[False, True, True, True], kind="stable")
-        bins, offsets = first_fit_decreasing(group["length"].tolist(), capacity)
-        return group.assign(sequence_id=np.asarray(bins, np.int64) + (int(key[0]) << 32), offset=np.asarray(offsets, np.int64))[schema.names]
-
-    return dealt.groupBy("group").applyInPandas(fit, schema).withColumnRenamed("id", id_column)
+def pack(docs: DataFrame, id_column: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, group_pieces: int = GROUP_PIECES, seed: int = SEED, with_ids: bool = False, with_copy: bool = False) -> DataFrame:
+    """One row per piece with its sequence_id and offset; ``tokens`` holds its ids if ``with_ids``; ``document`` and ``copy`` tell rows of one id apart if ``with_copy``."""
+    cut = pieces(docs, id_column, text, path or tokenizer_path(), capacity, end_id, with_ids)
+    key = ["id", "document", "start"]
+    alike = staged(cut.groupBy(*key).agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in cut.columns if c not in key)))
+    total = alike.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    groups = max(1, -(-total // group_pieces))
+    each = alike.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies")
+    dealt = each.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), *key, "copy"), F.lit(groups)))
+    kept = [f for f in dealt.schema if f.name != "group" and (with_copy or f.name not in ("document", "copy"))]
+    schema = T.StructType([*kept, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+
+    def fit(table: pa.Table) -> pa.Table:
+        order = [("length", "descending"), *((c, "ascending") for c in (*key, "copy"))]
+        table = table.take(pc.sort_indices(table.select([c for c, _ in order]), sort_keys=order))
+        bins, offsets = first_fit_decreasing(table.column("length").to_pylist(), capacity)
+        ids = np.asarray(bins, np.int64) + (table.column("group")[0].as_py() << 32)
+        return table.select([f.name for f in kept]).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offsets, pa.int64()))
+
+    return dealt.groupBy("group").applyInArrow(fit, schema).withColumnRenamed("id", id_column)
