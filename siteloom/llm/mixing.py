@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from siteloom.llm.common import WORD
+from siteloom.llm.common import WORD, staged
 from siteloom.llm.ranks import ranked
 
 WEIGHTS = (3, 1, 2)
@@ -62,9 +62,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
 
 def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST, seed: str = SEED) -> DataFrame:
     """id, source, size, source_size, target and copies of every row; ``text_hash`` tells rows of one id apart."""
-    slim = docs.select(F.col(id_column).alias("id"), F.col(source).alias("source"), n_words(text).alias("size"), F.xxhash64(F.col(text)).alias("text_hash"))
-    plan = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, most)
-    with_plan = slim.join(plan, slim["source"].eqNullSafe(plan["source"])).drop(plan["source"])
+    slim = staged(docs.select(F.col(id_column).alias("id"), F.col(source).alias("source"), n_words(text).alias("size"), F.xxhash64(F.col(text)).alias("text_hash")))
+    plan = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, most).withColumnRenamed("source", "named")
+    with_plan = slim.join(plan, slim["source"].eqNullSafe(plan["named"])).drop("named")
     placed = ranked(with_plan, "source_rank", [F.col("size").desc(), F.col("id"), F.col("text_hash")], "size")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     start = F.floor(F.col("position") * rate + offset(F.col("source"), seed))
@@ -78,11 +78,11 @@ def emit(docs: DataFrame, mixed: DataFrame, id_column: str = "doc_id", text: str
     Rows alike in id and text share their copies evenly, and what is left over
     goes to one of them.
     """
-    each = mixed.groupBy(F.col(id_column).alias("mixed_id"), "text_hash").agg(F.sum("copies").alias("copies_of_all"), F.count("*").alias("rows_alike"))
-    keyed = docs.withColumn("mixed_hash", F.xxhash64(F.col(text)))
-    joined = keyed.join(each, keyed[id_column].eqNullSafe(each["mixed_id"]) & (keyed["mixed_hash"] == each["text_hash"]))
+    each = mixed.groupBy(F.col(id_column).alias("id"), "text_hash").agg(F.sum("copies").alias("copies"), F.count("*").alias("alike"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_column).alias("row_id"), F.xxhash64(F.col(text)).alias("row_hash"))
+    joined = rows.join(each, F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_hash") == F.col("text_hash")))
     times = lambda n: F.explode(F.array_repeat(F.lit(1), n.cast("int")))
-    whole = joined.select(*docs.columns, times(F.floor(F.col("copies_of_all") / F.col("rows_alike"))).alias("copy_of"))
-    rest = joined.where((F.col("rows_alike") > 1) & (F.col("copies_of_all") % F.col("rows_alike") > 0)).dropDuplicates(["mixed_id", "mixed_hash"])
-    rest = rest.select(*docs.columns, times(F.col("copies_of_all") % F.col("rows_alike")).alias("copy_of"))
-    return whole.unionByName(rest).drop("copy_of")
+    whole = joined.select("row", times(F.floor(F.col("copies") / F.col("alike"))).alias("copy"))
+    rest = joined.where((F.col("alike") > 1) & (F.col("copies") % F.col("alike") > 0)).dropDuplicates(["row_id", "row_hash"])
+    rest = rest.select("row", times(F.col("copies") % F.col("alike")).alias("copy"))
+    return whole.unionByName(rest).select("row.*")
