@@ -184,12 +184,11 @@ def kept_mask(n: int, first: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def with_spans(docs: DataFrame, text: str, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``docs`` with ``repeated``: the spans of its repeated windows, null where it has none."""
+    """``row``, a struct of all columns of ``docs``, its text, and ``repeated``: the spans of its repeated windows, null where it has none."""
     found = spans(docs, text, length, gram)
-    k1, k2 = text_key(text)
-    keyed = docs.withColumns({"text_key_1": k1, "text_key_2": k2})
-    named = found.select(F.col("k1").alias("text_key_1"), F.col("k2").alias("text_key_2"), F.col("spans").alias("repeated"))
-    return keyed.join(named, ["text_key_1", "text_key_2"], "left").select(*docs.columns, "repeated")
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *text_key(text))
+    joined = keyed.join(found, ["k1", "k2"], "left")
+    return joined.select("row", F.col("row")[text].alias("text"), F.col("spans").alias("repeated"))
 
 
 def _mask(n: int, spans_of: pa.Array, i: int) -> np.ndarray:
@@ -200,6 +199,7 @@ def _mask(n: int, spans_of: pa.Array, i: int) -> np.ndarray:
 def digest(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """id, n_words, n_removed and the SHA-256 of the kept words joined by one space."""
     found = with_spans(docs.select(F.col(id_column), F.col(text).alias("text")), "text", length, gram)
+    found = found.select(F.col("row")[id_column].alias(id_column), "text", "repeated")
     schema = T.StructType([docs.select(id_column).schema[0], T.StructField("n_words", LONG), T.StructField("n_removed", LONG), T.StructField("kept_sha256", T.StringType())])
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,8 +226,9 @@ def cut(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = G
     stretches that a cut parts are joined by a line break.
     """
     found = with_spans(docs, text, length, gram)
-    schema = docs.schema
-    names = docs.columns
+    others = [c for c in docs.columns if c != text]
+    found = found.select(F.struct(F.lit(0).alias("none"), *(F.col("row")[c].alias(f"c{i}") for i, c in enumerate(others))).alias("row"), "text", "repeated")
+    schema = T.StructType([found.schema["row"], T.StructField("text", T.StringType())])
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
@@ -235,7 +236,7 @@ def cut(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = G
         word = re.compile(rb"[^\x20\x09-\x0D]+")
         for batch in rebatched(batches, BATCH):
             spans_of = batch.column("repeated")
-            values = batch.column(text).to_pylist()
+            values = batch.column("text").to_pylist()
             for i, value in enumerate(values):
                 if not spans_of[i].is_valid:
                     continue
@@ -243,7 +244,7 @@ def cut(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = G
                 at = [m.span() for m in word.finditer(data)]
                 edges = np.flatnonzero(np.diff(np.concatenate(([0], _mask(len(at), spans_of, i).astype(np.int8), [0]))))
                 values[i] = b"\n".join(data[at[a][0] : at[b - 1][1]] for a, b in edges.reshape(-1, 2)).decode()
-            columns = [pa.array(values, batch.column(n).type) if n == text else batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(values, batch.column("text").type)], names=schema.names)
 
-    return found.mapInArrow(rewrite, schema)
+    cut_rows = found.mapInArrow(rewrite, schema)
+    return cut_rows.select(*(F.col("text").alias(c) if c == text else F.col("row")[f"c{others.index(c)}"].alias(c) for c in docs.columns))
