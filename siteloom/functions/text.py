@@ -10,11 +10,50 @@ from pyspark.sql import functions as F
 # Entities that are decoded, the ampersand last.
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 # State abbreviations, matched in capitals only.
-STATES = {"MP": "Madhya Pradesh", "TN": "Tamil Nadu", "AP": "Andhra Pradesh", "UP": "Uttar Pradesh", "TG": "Telangana", "MH": "Maharashtra", "RJ": "Rajasthan", "KA": "Karnataka", "GJ": "Gujarat"}
+STATES = {
+    "MP": "Madhya Pradesh", "TN": "Tamil Nadu", "AP": "Andhra Pradesh", "UP": "Uttar Pradesh", "TG": "Telangana", "MH": "Maharashtra", "RJ": "Rajasthan", "KA": "Karnataka", "KL": "Kerala",
+    "WB": "West Bengal", "GJ": "Gujarat", "HP": "Himachal Pradesh", "JK": "Jammu and Kashmir",
+}
 # Misspellings, matched in any case.
-TYPOS = {"gujrat": "Gujarat", "maharastra": "Maharashtra", "karnatka": "Karnataka", "tamilnadu": "Tamil Nadu", "rajstan": "Rajasthan", "suzion": "Suzlon"}
+TYPOS = {
+    "Suzion": "Suzlon", "Suzlan": "Suzlon", "Suzolon": "Suzlon", "Vesta": "Vestas", "Siemens Gamesa": "Siemense Gamesa", "Gamesia": "Gamesa", "Inox": "Inox",
+    "Gujrat": "Gujarat", "Maharastra": "Maharashtra", "Maharasthra": "Maharashtra", "Karnatka": "Karnataka", "Karnatak": "Karnataka", "Tamilnadu": "Tamil Nadu", "Tamil nadu": "Tamil Nadu",
+    "Telangna": "Telangana", "Telengana": "Telangana", "Andra Pradesh": "Andhra Pradesh", "Madhyapradesh": "Madhya Pradesh", "Madhya pradesh": "Madhya Pradesh", "Rajstan": "Rajasthan", "Rajashtan": "Rajasthan",
+    "Uttarpradesh": "Uttar Pradesh", "Uttar pradesh": "Uttar Pradesh", "Himachalpradesh": "Himachal Pradesh", "West bengal": "West Bengal", "Westbengal": "West Bengal", "Orissa": "Odisha",
+}
 # Terms whose longer form is appended.
-EXPANSIONS = {"mast": "wind monitoring mast", "masts": "wind monitoring masts", "weg": "Wind Energy Generator"}
+EXPANSIONS = {
+    "mast": "wind monitoring mast", "masts": "wind monitoring masts", "WEG": "Wind Energy Generator", "WEGs": "Wind Energy Generators", "WTG": "Wind Turbine Generator", "WTGs": "Wind Turbine Generators",
+    "capacity": "installed capacity", "manufacturer": "WEG manufacturer", "turbine": "wind turbine generator WEG", "turbines": "wind turbine generators WEGs",
+}
+# Makers and states whose mention asks for tables of their own.
+MAKERS = [
+    "Suzlon", "Vestas", "GE", "Envision", "Senvion", "Inox", "Adani Green", "Adani", "Siemense Gamesa", "Gamesa", "Sany",
+    "Pioneer Wincon", "Pioneer", "SIVA Wind", "SIVA", "Nordex", "Regen Powertech", "Regen", "WEG Electric", "Emergya Wind",
+]
+FULL_STATES = ["Andhra Pradesh", "Gujarat", "Karnataka", "Maharashtra", "Tamil Nadu", "Madhya Pradesh", "Rajasthan", "Telangana", "Kerala", "West Bengal", "Odisha", "Goa", "Uttar Pradesh", "Himachal Pradesh"]
+# What is put before a query that asks for a table, by what the query mentions.
+VARIANTS = [
+    ("maker and year", "Manufacturer-wise capacity addition contribution MW during the year "),
+    ("maker and year", "Make and Year-wise WEG Installations in India table by manufacturer for FY year "),
+    ("maker and state", "State and Make-wise WEG Installations table by manufacturer and state "),
+    ("maker alone", "Manufacturer cumulative total installations and FY 2024-25 contribution MW summary "),
+    ("maker alone", "State and Make-wise WEG Installations cumulative total by manufacturer "),
+    ("mast", "NIWE total wind monitoring masts installed locations India "),
+    ("share", "Important facts and figures of Indian windpower percentage of estimated potential "),
+    ("how many makers", "List of WEG manufacturers offering wind electric generators in India ratings hub heights total models active "),
+]
+# Items about wind, and the class of a press release by the first pattern in its title.
+WIND = r"wind|turbine|\bwtg\b|offshore|repower|niwe|fdre|suzlon|inox|gamesa|vestas|nordex|envision|gwec|senvion|jsw\s*energy|adani\s*green|renew\s*power|serentica|ayana"
+RELEASES = [("wind", "Wind"), ("offshore", "Offshore"), ("repow", "Repowering")]
+# Which tenders count, and their class by the first pattern.
+TENDERS_KEPT = r"\bwind\b|\b(hybrid|fdre|rtc|round[- ]the[- ]clock)\b"
+TENDERS = [("offshore", "Offshore Wind"), ("repower", "Repowering"), ("fdre", "FDRE"), ("rtc|round[- ]the[- ]clock", "RTC"), ("hybrid", "Wind-Solar Hybrid")]
+
+
+def ascii_words(pattern: str) -> str:
+    """``pattern`` with its word boundaries between ASCII letters, digits and underscores and anything else."""
+    return pattern.replace(r"\b", "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))")
 
 
 def strip_html(html: Column) -> Column:
@@ -50,11 +89,34 @@ def max_voltage(raw: Column) -> Column:
 
 def rewrite(query: Column) -> Column:
     """States spelled out and typing errors mended."""
-    out = reduce(lambda q, s: F.regexp_replace(q, rf"\b{s[0]}\b", s[1]), STATES.items(), query)
-    return reduce(lambda q, t: F.regexp_replace(q, rf"(?i)\b{t[0]}\b", t[1]), TYPOS.items(), out)
+    out = reduce(lambda q, s: F.regexp_replace(q, f"(?<![A-Za-z]){s[0]}(?![A-Za-z])", s[1]), STATES.items(), query)
+    out = reduce(lambda q, t: F.regexp_replace(q, "(?i)" + ascii_words(rf"\b{t[0]}\b"), t[1]), TYPOS.items(), out)
+    return F.regexp_replace(out, r"^\s+|\s+$", "")
 
 
-def expanded(query: Column) -> Column:
-    """The query with the longer forms of its terms appended."""
-    more = [F.when(F.lower(query).rlike(rf"\b{k}\b"), v) for k, v in EXPANSIONS.items()]
-    return F.concat_ws(" ", query, *more)
+def expanded(canonical: Column) -> Column:
+    """The query with the longer forms of its terms in brackets, unless it holds them."""
+    more = F.array_compact(F.array(*[F.when(canonical.rlike(ascii_words(rf"\b{k}\b")) & ~F.contains(F.lower(canonical), F.lit(v.lower())), v) for k, v in EXPANSIONS.items()]))
+    return F.when(F.size(more) == 0, canonical).otherwise(F.concat(canonical, F.lit(" ("), F.array_join(more, "; "), F.lit(")")))
+
+
+MENTIONS = {
+    "maker": "(?i)" + rf"\b({'|'.join(MAKERS)})\b", "year": r"\b(FY|fiscal|20[0-9]{2}|20[0-9]{2}[-–][0-9]{2})\b", "state": "(?i)" + "|".join(FULL_STATES), "mast": r"(?i)\b(masts?|monitoring)\b",
+    "share": r"(?i)\b(percent|percentage|%|share|ratio|potential)\b", "how many": r"(?i)\bhow many\b", "makers": r"(?i)\b(manufacturer|maker|company|companies|vendors?)\b",
+}
+
+
+def variants(canonical: Column) -> Column:
+    """Other forms of the query, each of which aims at one table of the corpus."""
+    has = {k: canonical.rlike(ascii_words(v)) for k, v in MENTIONS.items()}
+    when = {"maker and year": has["maker"] & has["year"], "maker and state": has["maker"] & has["state"], "maker alone": has["maker"] & ~has["year"] & ~has["state"], "mast": has["mast"], "share": has["share"], "how many makers": has["how many"] & has["makers"]}
+    return F.array_compact(F.array(*[F.when(when[k], F.concat(F.lit(lead), canonical)) for k, lead in VARIANTS]))
+
+
+def first_match(text: Column, rules: list[tuple[str, str]], other: str) -> Column:
+    """The name of the first pattern found in ``text`` in any case."""
+    return F.coalesce(*[F.when(text.rlike("(?i)" + ascii_words(p)), name) for p, name in rules], F.lit(other))
+
+
+def sql_first_match(text: str, rules: list[tuple[str, str]], other: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({text}, '(?i){p}') THEN '{name}'" for p, name in rules) + f" ELSE '{other}' END"

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from siteloom.functions import text as tx
 from siteloom.functions.numeric import half_up
@@ -89,35 +90,106 @@ SELECT CASE WHEN red THEN 'crz_1' ELSE 'crz_other' END AS layer, CASE WHEN red T
     SELECT replace(lower({ZONES!r}[CAST(p_partkey % 8 + 1 AS INT)]), ' ', '') AS z, contains(lower(p_name), 'ring') OR contains(lower(p_type), 'econ') AS cover FROM part)) GROUP BY 1, 2, 3, 4
 """
 
-TAILS = [" in MP", " by gujrat masts", " WEG of TN", " Suzion in KA and rajstan", ""]
+# Endings that give the sample queries something to rewrite.
+TAILS = [
+    " in MP", " by gujrat masts", " WEG of TN", " Suzion in KA and rajstan", "", " how many makers does Vesta name in 2021", " GJ,MH;UP share of Siemens Gamesa", " installed capacity of westbengal turbines in FY 2024-25",
+    " which company monitoring percent  ", " UPS Kaput WTGs orissa", " mast of SIVA Wind in HP HP",
+]
 
 
 def query_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First turns of conversations as queries with shorthand, rewritten and expanded."""
-    k = F.col("conv_id")
-    tail = F.element_at(F.array(*[F.lit(t) for t in TAILS]), (F.pmod(k, F.lit(len(TAILS))) + 1).cast("int"))
-    rows = table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", F.concat(F.coalesce("text", F.lit("")), tail).alias("q")).withColumn("canonical", tx.rewrite(F.col("q")))
-    return rows.select("conv_id", F.md5(F.col("canonical").cast("binary")).alias("canonical_md5"), F.length(tx.expanded(F.col("canonical"))).alias("expanded_chars"), (F.col("q") != F.col("canonical")).alias("changed"))
+    """Every turn of the conversations as a query with shorthand, rewritten, expanded and given variants."""
+    tail = F.element_at(F.array(*[F.lit(t) for t in TAILS]), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(TAILS))) + 1).cast("int"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), tail).alias("q")).withColumn("canonical", tx.rewrite(F.col("q"))).withColumn("variants", tx.variants(F.col("canonical")))
+    md5 = lambda c: F.md5(c.cast("binary"))
+    return rows.select("conv_id", "turn", md5(F.col("canonical")).alias("canonical_md5"), md5(tx.expanded(F.col("canonical"))).alias("expanded_md5"), F.size("variants").alias("variants"), md5(F.array_join("variants", "|")).alias("variants_md5"), (F.col("q") != F.col("canonical")).alias("changed"))
 
 
 def _rewrite_sql() -> str:
-    out = reduce(lambda q, s: f"regexp_replace({q}, '\\b{s[0]}\\b', '{s[1]}', 'g')", tx.STATES.items(), "q")
+    state = lambda q, s: f"regexp_replace({q}, '(^|[^A-Za-z]){s[0]}($|[^A-Za-z])', '\\1{s[1]}\\2', 'g')"
+    out = reduce(lambda q, s: state(state(q, s), s), tx.STATES.items(), "q")  # neighbours share the letter between them, so twice
     out = reduce(lambda q, t: f"regexp_replace({q}, '\\b{t[0]}\\b', '{t[1]}', 'gi')", tx.TYPOS.items(), out)
-    more = ", ".join(f"CASE WHEN regexp_matches(lower(c), '\\b{k}\\b') THEN '{v}' END" for k, v in tx.EXPANSIONS.items())
-    return f"""SELECT conv_id, md5(c) AS canonical_md5, CAST(length(concat_ws(' ', c, {more})) AS INT) AS expanded_chars, q <> c AS changed FROM (
-      SELECT conv_id, q, {out} AS c FROM (SELECT conv_id, coalesce(text, '') || {TAILS!r}[CAST(conv_id % 5 + 1 AS INT)] AS q FROM conversations WHERE turn = 0))"""
+    more = ", ".join(f"CASE WHEN regexp_matches(c, '\\b{k}\\b') AND NOT contains(lower(c), '{v.lower()}') THEN '{v}' END" for k, v in tx.EXPANSIONS.items())
+    has = {k: f"regexp_matches(c, '{v}')" for k, v in tx.MENTIONS.items()}
+    when = {"maker and year": f"{has['maker']} AND {has['year']}", "maker and state": f"{has['maker']} AND {has['state']}", "maker alone": f"{has['maker']} AND NOT {has['year']} AND NOT {has['state']}", "mast": has["mast"], "share": has["share"], "how many makers": f"{has['how many']} AND {has['makers']}"}
+    forms = ", ".join(f"CASE WHEN {when[k]} THEN '{lead}' || c END" for k, lead in tx.VARIANTS)
+    keep = "lambda x: x IS NOT NULL"
+    return f"""SELECT conv_id, turn, md5(c) AS canonical_md5, md5(CASE WHEN len(m) = 0 THEN c ELSE c || ' (' || array_to_string(m, '; ') || ')' END) AS expanded_md5, CAST(len(v) AS INT) AS variants, md5(coalesce(array_to_string(v, '|'), '')) AS variants_md5, q <> c AS changed FROM (
+      SELECT *, list_filter([{more}], {keep}) AS m, list_filter([{forms}], {keep}) AS v FROM (
+        SELECT conv_id, turn, q, regexp_replace({out}, '^\\s+|\\s+$', '', 'g') AS c FROM (SELECT conv_id, turn, coalesce(text, '') || {TAILS!r}[CAST((conv_id + turn) % {len(TAILS)} + 1 AS INT)] AS q FROM conversations)))"""
+
+
+# Headlines of the sample news and tenders, to which a document's text is the summary.
+HEADLINES = [
+    "Offshore wind lease in Gujarat", "Offshore substation order", "Repowering of old sites in Tamil Nadu", "Solar park opens", "WTG maker Suzlon wins order", "पवन ऊर्जा", "JSW  Energy results", "Tender for 300 MW FDRE in Karnataka",
+    "Wind-solar hybrid tender in Rajasthan", "RTC power tender", "Windfall tax", "Round-the-clock supply of 100 MW",
+]
+
+
+def _news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    title = F.element_at(F.array(*[F.lit(h) for h in HEADLINES]), (F.pmod(k, F.lit(len(HEADLINES))) + 1).cast("int"))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(k * 7, F.lit(365)).cast("int"))
+    return table(spark, sf_dir, "documents").select(k.alias("item"), title.alias("title"), F.coalesce("text", F.lit("")).alias("summary"), F.col("source"), day.alias("published"), F.concat(F.lit("u"), F.floor(k / 2)).alias("url"))
+
+
+NEWS = f"SELECT doc_id AS item, {HEADLINES!r}[CAST(doc_id % {len(HEADLINES)} + 1 AS INT)] AS title, coalesce(text, '') AS summary, source, DATE '2024-01-01' + CAST(doc_id * 7 % 365 AS INT) AS published, 'u' || (doc_id // 2) AS url FROM documents"
 
 
 def news_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by the first rule that matches their text."""
-    low = F.lower("text")
-    kind = F.when(low.rlike(r"\bth"), "th").when(low.rlike("tion"), "tion").when(low.rlike("ment|ung"), "other").otherwise("none")
-    return table(spark, sf_dir, "documents").groupBy("lang", kind.alias("kind")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    """News by source: whether about wind, its class by title, whether in Hindi; and the same items as tenders."""
+    title = F.col("title")
+    relevant = F.concat_ws(" ", title, "summary").rlike("(?i)" + tx.ascii_words(tx.WIND))
+    kept = title.rlike("(?i)" + tx.ascii_words(tx.TENDERS_KEPT))
+    rows = _news(spark, sf_dir).select("source", relevant.alias("relevant"), tx.first_match(title, tx.RELEASES, "General").alias("release"), title.rlike("[ऀ-ॿ]").alias("hindi"), F.when(kept, tx.first_match(title, tx.TENDERS, "Wind Auction")).alias("tender"))
+    return rows.groupBy("source", "relevant", "release", "hindi", "tender").agg(F.count("*").alias("n"))
+
+
+NEWS_SQL = f"""
+SELECT source, regexp_matches(title || ' ' || summary, '(?i){tx.WIND}') AS relevant, {tx.sql_first_match('title', tx.RELEASES, 'General')} AS release, regexp_matches(title, '[ऀ-ॿ]') AS hindi,
+  CASE WHEN regexp_matches(title, '(?i){tx.TENDERS_KEPT}') THEN {tx.sql_first_match('title', tx.TENDERS, 'Wind Auction')} END AS tender, count(*) AS n FROM ({NEWS}) GROUP BY ALL
+"""
+
+FEED_STATES = ["Gujarat", "Tamil Nadu", "Karnataka", "Goa"]
+FEED_ITEMS = 30
+
+
+def news_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 30 items of each state: those that name it, or all where none does; of equal addresses the first counts, items about wind go first."""
+    key = F.struct(F.col("item"))
+    once = _news(spark, sf_dir).groupBy("url").agg(F.min_by(F.struct("item", "title", "summary", "published"), key).alias("i")).select("i.*")
+    hay = F.lower(F.concat_ws(" ", "title", "summary"))
+    names = F.array_compact(F.array(*[F.when(F.contains(hay, F.lit(s.lower())), s) for s in FEED_STATES]))
+    items = once.select("item", "title", "published", names.alias("names"), F.col("title").rlike("(?i)" + tx.ascii_words(tx.WIND)).alias("wind"))
+    found = items.select(F.explode("names").alias("state")).distinct()
+    every = spark.createDataFrame([(s,) for s in FEED_STATES], "state string")
+    national = every.join(F.broadcast(found), "state", "left_anti").agg(F.sort_array(F.collect_list("state")).alias("states"))  # one row
+    shown = items.crossJoin(F.broadcast(national)).select("item", "title", "published", "wind", F.explode(F.concat("names", "states")).alias("state"), F.col("states"))
+    order = W.partitionBy("state").orderBy(F.col("wind").desc(), F.col("published").desc(), "item")
+    return shown.withColumn("place", F.row_number().over(order)).where(F.col("place") <= FEED_ITEMS).select("state", "place", "item", F.col("published").cast("string").alias("published"), F.array_contains("states", F.col("state")).alias("national"))
+
+
+FEED_SQL = f"""
+WITH o AS (SELECT * FROM ({NEWS}) QUALIFY row_number() OVER (PARTITION BY url ORDER BY item) = 1),
+s AS (SELECT unnest({FEED_STATES!r}) AS state), m AS (SELECT state, item, title, published FROM o JOIN s ON contains(lower(title || ' ' || summary), lower(state))),
+a AS (SELECT *, false AS national FROM m UNION ALL SELECT state, item, title, published, true FROM o, s WHERE state NOT IN (SELECT state FROM m)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY state ORDER BY regexp_matches(title, '(?i){tx.WIND}') DESC, published DESC, item) AS INT) AS place FROM a)
+SELECT state, place, item, CAST(published AS VARCHAR) AS published, national FROM r WHERE place <= {FEED_ITEMS}
+"""
+
+
+def tariff_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as tariff events: by nation and kind how many, the latest day, and its newest order."""
+    kind = F.when(F.col("o_orderpriority").startswith("1"), "order").when(F.col("o_orderpriority").startswith("2"), "amendment").otherwise("notice")
+    events = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey"), kind.alias("kind")).agg(F.count("*").alias("n"), F.max(F.struct(F.to_date("o_orderdate").alias("day"), (-F.col("o_orderkey")).alias("key"))).alias("last"))
+    by = events.join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey").groupBy(F.col("c_nationkey").alias("nation"), "kind").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+    return by.select("nation", "kind", "n", F.col("last.day").cast("string").alias("latest"), (-F.col("last.key")).alias("newest"))
 
 
-NEWS_SQL = """
-SELECT lang, CASE WHEN regexp_matches(lower(text), '\\bth') THEN 'th' WHEN contains(lower(text), 'tion') THEN 'tion' WHEN regexp_matches(lower(text), 'ment|ung') THEN 'other' ELSE 'none' END AS kind, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars
-FROM documents GROUP BY 1, 2
+TARIFF_SQL = """
+SELECT c_nationkey AS nation, CASE WHEN o_orderpriority LIKE '1%' THEN 'order' WHEN o_orderpriority LIKE '2%' THEN 'amendment' ELSE 'notice' END AS kind, count(*) AS n, CAST(CAST(max(o_orderdate) AS DATE) AS VARCHAR) AS latest,
+  arg_min(o_orderkey, (-CAST(epoch(CAST(o_orderdate AS DATE)) AS BIGINT), o_orderkey)) AS newest
+FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2
 """
 
 
@@ -208,5 +280,5 @@ r AS (SELECT core AS a, core AS b FROM c UNION SELECT r.a, e.b FROM r JOIN e ON
 SELECT p.a AS mast, min(cluster) AS cluster FROM p JOIN k ON p.b = k.core GROUP BY p.a
 """
 
-QUERIES = {f.__name__: f for f in (html_strip, html_row_extract, parse_power_voltage, event_properties, classify_features, query_rewrite, news_categories, district_rollup, dbscan_settlements)}
-SQL = {"html_strip": STRIP_SQL, "html_row_extract": ROWS_SQL, "parse_power_voltage": PARSE_SQL, "event_properties": PROPS_SQL, "classify_features": CLASSIFY_SQL, "query_rewrite": _rewrite_sql(), "news_categories": NEWS_SQL, "district_rollup": DISTRICT_SQL, "dbscan_settlements": DBSCAN_SQL}
+QUERIES = {f.__name__: f for f in (html_strip, html_row_extract, parse_power_voltage, event_properties, classify_features, query_rewrite, news_categories, news_feed, tariff_events, district_rollup, dbscan_settlements)}
+SQL = {"html_strip": STRIP_SQL, "html_row_extract": ROWS_SQL, "parse_power_voltage": PARSE_SQL, "event_properties": PROPS_SQL, "classify_features": CLASSIFY_SQL, "query_rewrite": _rewrite_sql(), "news_categories": NEWS_SQL, "news_feed": FEED_SQL, "tariff_events": TARIFF_SQL, "district_rollup": DISTRICT_SQL, "dbscan_settlements": DBSCAN_SQL}
