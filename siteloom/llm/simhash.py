@@ -8,11 +8,13 @@ value are linked to the least of them: all of these are within ``radius`` of
 each other, so a star loses no connection that the pairs would make, and the
 links stay as many as the meetings. Each link's distance is checked.
 
-The values are 2081 to a fingerprint at radius 4. They travel packed, a block
-of values for each batch and bucket, and in ``slices`` one after another, so
-that the disk in use is one slice's; a slice's values are made again from the
-fingerprints. A value is held by at most 2081 distinct fingerprints, so no
-bucket can be hot, however many copies a text has.
+The values are 2081 to a fingerprint at radius 4. Each is made once and travels
+as 10 bytes, the value and the number of the mask that gives the fingerprint
+back, packed into a block for each batch and bucket. They go in ``slices``, a
+fixed number, one after another, so that the disk in use is one slice's. So
+the shuffle is 20 KB a distinct fingerprint, and grows in proportion. A value
+is held by at most 2081 distinct fingerprints, so no bucket can be hot,
+however many copies a text has.
 
 Null and empty texts have fingerprint 0 and link like any other. Texts with
 fewer words than a shingle hash their words as one. Repeated rows, also with
@@ -32,20 +34,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siteloom.llm.common import components, encoded_words, rebatched, split_words, staged, struct_of, trim
-from siteloom.llm.substring import BASES, mixed, powers
+from siteloom.llm.common import components, drop_staged, encoded_words, rebatched, split_words, staged, struct_of, trim
+from siteloom.llm.substring import mixed
 
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
 SLICES = 8
 BATCH = 8192  # fingerprints whose values share a block
-CHUNK = 512  # fingerprints whose values are made at once
 PER_BUCKET = 1 << 20  # values that meet in one task
-SPREAD = 0xC2B2AE3D27D4EB4F  # an odd number; the top bits of a value times it decide its slice
+SPREAD = 0xC2B2AE3D27D4EB4F  # an odd number that tells the hashes of one word apart
+PRINTS = 12  # word fingerprints of a text
+WIDTH = 48  # bits of each
+PRINT_RADIUS = 2
+CENTRE_PRINTS = 3  # of them decide which text lies in the middle of a group
+CHUNK = 8192  # words whose votes are counted at once
 TILE = 256  # texts whose sets of shingles share a block
 TILE_BYTES = 8 << 20
 COLUMNS = 8192  # shingles that are counted at once
+NODE = "V16"  # a text's 128 bits
 
 
 def shingle_hashes(text: str | None, size: int, seed: int = SEED) -> list[int]:
@@ -86,91 +93,116 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     return docs.select(F.col(id_column), F.col(text).alias("text")).mapInArrow(compute, schema)
 
 
-def ball(half: int) -> np.ndarray:
-    """All 64-bit masks of at most ``half`` bits."""
-    return np.array([sum(1 << b for b in bits) for k in range(half + 1) for bits in combinations(range(64), k)], np.uint64)
+def ball(half: int, width: int = 64) -> np.ndarray:
+    """All masks of at most ``half`` of the lowest ``width`` bits."""
+    return np.array([sum(1 << b for b in bits) for k in range(half + 1) for bits in combinations(range(width), k)], np.uint64)
 
 
-def links(fps: DataFrame, radius: int = RADIUS, slices: int = SLICES) -> DataFrame:
-    """(fp, to): links among the distinct fingerprints in ``fps`` that connect all within ``radius``."""
-    half = (radius + 1) // 2
-    masks = ball(half)
+def slice_of(values: np.ndarray, slices: int) -> np.ndarray:
+    """The slice of each value: parities of half of its bits, so that slice(a ^ b) = slice(a) ^ slice(b)."""
+    planes = mixed(np.arange(1, slices.bit_length(), dtype=np.uint64) * np.uint64(SPREAD))
+    out = np.zeros(len(values), np.int64)
+    for k, plane in enumerate(planes):
+        out |= (np.bitwise_count(values & plane).astype(np.int64) & 1) << k
+    return out
+
+
+def slice_values(prints: np.ndarray, masks: np.ndarray, part: int, slices: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values of ``prints`` that fall into slice ``part``, and the number of the mask that made each.
+
+    As slices are linear, the masks that lead a fingerprint into a slice are
+    known beforehand, and no value is made that another slice holds.
+    """
+    of_print, of_mask = slice_of(prints, slices), slice_of(masks, slices)
+    values, numbers = [], []
+    for own in range(slices):
+        some, which = prints[of_print == own], np.flatnonzero(of_mask == own ^ part).astype(np.uint16)
+        values.append((some[:, None] ^ masks[which][None, :]).ravel())
+        numbers.append(np.tile(which, len(some)))
+    return np.concatenate(values), np.concatenate(numbers)
+
+
+def value_blocks(values: np.ndarray, numbers: np.ndarray, bits: int) -> tuple[np.ndarray, list[bytes], list[bytes]]:
+    """The values dealt into ``2 ** bits`` buckets: a bucket's name, values and mask numbers; 10 bytes a value, however many buckets there are."""
+    bucket = (mixed(values) >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32) if bits else np.zeros(len(values), np.uint16)
+    order = np.argsort(bucket, kind="stable")
+    values, numbers = values[order], numbers[order]
+    names, heads = np.unique(bucket[order], return_index=True)
+    ends = np.append(heads[1:], len(values))
+    return names.astype(np.int32), *([x[a:b].tobytes() for a, b in zip(heads, ends, strict=True)] for x in (values, numbers))
+
+
+def links(fps: DataFrame, radius: int = RADIUS, slices: int = SLICES, width: int = 64) -> DataFrame:
+    """(fp, to): links among the distinct fingerprints in ``fps`` that connect all within ``radius``.
+
+    Only the lowest ``width`` bits may differ. ``slices`` is a power of two.
+    """
+    masks = ball((radius + 1) // 2, width)
     count = fps.count()
-    total = count * len(masks)
-    cuts = max(0, int(np.ceil(np.log2(max(slices, total / (PER_BUCKET << 16)))))) if total > PER_BUCKET else 0
-    bits = min(16, max(0, int(np.ceil(np.log2(max(1, total / PER_BUCKET)))) - cuts))
-    block = struct_of(bucket=T.IntegerType(), hashes=T.BinaryType(), places=T.BinaryType(), fps=T.BinaryType())
+    bits = min(30, max(0, int(np.ceil(np.log2(max(1, count * len(masks) / slices / PER_BUCKET))))))
+    block = struct_of(bucket=T.IntegerType(), values=T.BinaryType(), masks=T.BinaryType())
     edge = struct_of(fp=T.LongType(), to=T.LongType())
     dealt = fps.repartition(max(1, -(-count // BATCH)), "fp")
 
     def emit_for(part: int):
-        def values_of(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """The slice's values of the fingerprints, mixed, and whose they are."""
-            hashes, places = [], []
-            for at in range(0, len(own), CHUNK):
-                value = (own[at : at + CHUNK, None] ^ masks[None, :]).ravel()
-                here = np.flatnonzero((value * np.uint64(SPREAD)) >> np.uint64(64 - cuts) == part) if cuts else np.arange(len(value))
-                hashes.append(mixed(value[here]))
-                places.append((at + here // len(masks)).astype(np.uint16))
-            return np.concatenate(hashes), np.concatenate(places)
-
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in rebatched(batches, 1 << 30, BATCH):
                 for at in range(0, batch.num_rows, BATCH):
                     own = np.asarray(batch.column("fp").slice(at, BATCH)).view(np.uint64)
-                    values, place = values_of(own)
-                    bucket = (values >> np.uint64(64 - bits)).astype(np.uint16) if bits else np.zeros(len(values), np.uint16)
-                    order = np.argsort(bucket, kind="stable")
-                    values, place = values[order], place[order]
-                    names, heads = np.unique(bucket[order], return_index=True)
-                    ends = np.append(heads[1:], len(values))
-                    cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(heads, ends, strict=True)], pa.binary())  # noqa: B023, E731
+                    names, values, numbers = value_blocks(*slice_values(own, masks, part, slices), bits)
                     trim()
-                    yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), cut(values), cut(place), pa.array([own.tobytes()] * len(names), pa.binary())], names=block.names)
+                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(values, pa.binary()), pa.array(numbers, pa.binary())], names=block.names)
 
         return emit
 
     def meet(table: pa.Table) -> pa.Table:
         trim()
-        hashes = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")])
-        owners = np.concatenate([np.frombuffer(f.as_buffer(), np.uint64)[np.frombuffer(p.as_buffer(), np.uint16)] for f, p in zip(table.column("fps"), table.column("places"), strict=True)])
-        ordered = np.sort(hashes)
+        values = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("values")])
+        numbers = np.concatenate([np.frombuffer(x.as_buffer(), np.uint16) for x in table.column("masks")])
+        ordered = np.sort(values)
         twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
         low = np.uint64((1 << 22) - 1)
         maybe = np.zeros(1 << 22, bool)
-        maybe[twice & low] = True
-        some = np.flatnonzero(maybe[hashes & low])
-        some = some[np.isin(hashes[some], twice)]
-        h, fp = hashes[some], owners[some]
-        order = np.lexsort((fp, h))
-        h, fp = h[order], fp[order]
-        new = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
-        least = fp[np.flatnonzero(new)][np.cumsum(new) - 1] if len(h) else fp
+        maybe[mixed(twice) & low] = True
+        some = np.flatnonzero(maybe[mixed(values) & low]) if len(twice) else np.zeros(0, np.int64)
+        some = some[np.isin(values[some], twice)]
+        v, fp = values[some], values[some] ^ masks[numbers[some]]
+        order = np.lexsort((fp, v))
+        v, fp = v[order], fp[order]
+        new = np.concatenate(([True], v[1:] != v[:-1])) if len(v) else np.zeros(0, bool)
+        least = fp[np.flatnonzero(new)][np.cumsum(new) - 1] if len(v) else fp
         far = np.bitwise_count(fp ^ least)
         good = (far > 0) & (far <= radius)
         pairs = np.unique(np.stack([fp[good], least[good]], axis=1), axis=0) if good.any() else np.zeros((0, 2), np.uint64)
-        return pa.table({"fp": pa.array(pairs[:, 0].view(np.int64) if len(pairs) else np.zeros(0, np.int64)), "to": pa.array(np.ascontiguousarray(pairs[:, 1]).view(np.int64) if len(pairs) else np.zeros(0, np.int64))})
+        return pa.table({name: pa.array(np.ascontiguousarray(pairs[:, k]).view(np.int64)) for k, name in enumerate(edge.names)})
 
-    out = None
-    for part in range(1 << cuts):
-        met = dealt.mapInArrow(emit_for(part), block).groupBy("bucket").applyInArrow(meet, edge)
-        met = staged(met.distinct())
-        out = met if out is None else out.unionByName(met)
-    return out.distinct()
+    met = [staged(dealt.mapInArrow(emit_for(part), block).repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(meet, edge)) for part in range(slices)]
+    out = staged(reduce(DataFrame.unionByName, met).distinct())
+    drop_staged(*met)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, slices: int = SLICES) -> DataFrame:
     """id, ``fp`` and ``component_id``, the least id of all documents reachable by links."""
     own = staged(fingerprints(docs, id_column, text, shingle))
     least = staged(own.groupBy("fp").agg(F.min(id_column).alias("least")))
-    found = components(docs.sparkSession, links(least.select("fp"), radius, slices), "fp", "to")
+    edges = links(least.select("fp"), radius, slices)
+    found = components(docs.sparkSession, edges, "fp", "to")
     rooted = least.join(found, least["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return own.join(staged(named), "fp").select(id_column, "fp", "component_id")
+    named = staged(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id"))
+    drop_staged(least, edges, found)
+    return own.join(named, "fp").select(id_column, "fp", "component_id")
 
 
-def word_fingerprints(text: pa.Array, seeds: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each text's lower-cased words in order, and its fingerprints (a column for each seed).
+def text_nodes(texts: list[str | None]) -> list[bytes]:
+    """128 bits that stand for each text's lower-cased words in order."""
+    import xxhash
+
+    return [xxhash.xxh3_128_digest(b" ".join((x or "").encode().lower().split())) for x in texts]
+
+
+def word_fingerprints(text: pa.Array, prints: int = PRINTS) -> np.ndarray:
+    """``prints`` fingerprints of ``WIDTH`` bits of each text, the number of the fingerprint in the bits above them.
 
     The votes are those of the distinct words, each with the square root of
     its count: a few changed words move few bits, and common words alone do
@@ -180,29 +212,24 @@ def word_fingerprints(text: pa.Array, seeds: tuple[int, ...]) -> tuple[np.ndarra
 
     offsets, flat = split_words(text)
     index, words = encoded_words(flat)
-    lowered = [w.encode().lower() for w in words]
-    base = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in lowered), np.uint64, len(words))
-    n = len(text)
+    base = np.fromiter((xxhash.xxh3_64_intdigest(w.encode().lower()) for w in words), np.uint64, len(words))
+    n, columns = len(text), prints * WIDTH
     doc = np.repeat(np.arange(n), np.diff(offsets))
-    _, merged, same = np.unique(base, return_index=True, return_inverse=True) if len(words) else (None, np.zeros(0, np.int64), np.zeros(0, np.int64))
-    key, count = np.unique(doc * max(1, len(merged)) + same[index], return_counts=True) if len(index) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    owner, word = key // max(1, len(merged)), key % max(1, len(merged))
+    base, same = np.unique(base, return_inverse=True)
+    key, count = np.unique(doc * max(1, len(base)) + same[index], return_counts=True) if len(index) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    owner, word = key // max(1, len(base)), key % max(1, len(base))
     weight = np.sqrt(count).astype(np.float32)
-    prints = np.zeros((n, len(seeds)), np.uint64)
+    hashes = np.stack([mixed(base + np.uint64(seed * SPREAD & (1 << 64) - 1)) for seed in range(1, -(-columns // 64) + 1)], axis=1)
+    signs = np.unpackbits(hashes.byteswap().view(np.uint8), axis=1)[:, :columns].astype(np.int8) * np.int8(2) - np.int8(1)
+    votes = np.zeros((n, columns), np.float32)
     bounds = np.searchsorted(owner, np.arange(n + 1))
-    for s, seed in enumerate(seeds):
-        hashes = mixed(base[merged] + np.uint64(seed))
-        signs = np.unpackbits(hashes.byteswap().view(np.uint8).reshape(-1, 8), axis=1).astype(np.int8) * np.int8(2) - np.int8(1)
-        for i in range(n):
-            a, b = bounds[i], bounds[i + 1]
-            if b > a:
-                votes = weight[a:b] @ signs[word[a:b]].astype(np.float32)
-                prints[i, s] = int.from_bytes(np.packbits(votes > 0).tobytes(), "big")
-    # The order of the words, as a sum of their hashes times powers of an odd number.
-    power, inverse = powers(BASES[0], len(index) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(base[index] * power[: len(index)], dtype=np.uint64)))
-    whole = mixed((sums[offsets[1:]] - sums[offsets[:-1]]) * inverse[offsets[:-1]])
-    return whole, prints
+    for i in range(n):
+        for a in range(bounds[i], bounds[i + 1], CHUNK):
+            b = min(a + CHUNK, bounds[i + 1])
+            votes[i] += weight[a:b] @ signs[word[a:b]].astype(np.float32)
+    packed = np.zeros((n, prints, 8), np.uint8)
+    packed[:, :, 8 - WIDTH // 8 :] = np.packbits((votes > 0).reshape(n, prints, WIDTH), axis=2)
+    return packed.view(">u8").reshape(n, prints).astype(np.uint64) | (np.arange(prints, dtype=np.uint64) << np.uint64(WIDTH))
 
 
 def jaccard(a: str | None, b: str | None, size: int) -> float:
@@ -255,14 +282,14 @@ def tile_links(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     held = groups.join(sets, "node")
     parts = held.groupBy(key).agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum(F.length("shingles")) / TILE_BYTES)).alias("blocks"))
     dealt = held.join(parts, key).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    block = struct_of(name=T.StringType(), group=T.LongType(), loose=T.BooleanType(), of=T.LongType(), nodes=T.BinaryType(), sizes=T.BinaryType(), hashes=T.BinaryType())
+    block = struct_of(name=T.StringType(), group=T.BinaryType(), loose=T.BooleanType(), of=T.BinaryType(), nodes=T.BinaryType(), sizes=T.BinaryType(), hashes=T.BinaryType())
 
     def pack(table: pa.Table) -> pa.Table:
         first = table.slice(0, 1).to_pylist()[0]
         found = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
-        nodes = np.asarray(table.column("node")).astype(np.int64)
-        row = {"name": ":".join(str(first[k]) for k in (*key, "block")), **{k: first[k] for k in key}, "nodes": nodes.tobytes(), "sizes": np.array([len(x) for x in found], np.int64).tobytes(), "hashes": np.concatenate(found).tobytes()}
-        return pa.table({f: [row[f]] for f in block.names}, schema=pa.schema([("name", pa.string()), ("group", pa.int64()), ("loose", pa.bool_()), ("of", pa.int64()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("hashes", pa.binary())]))
+        name = ":".join(str(x.hex() if isinstance(x, bytes) else x) for x in (first[k] for k in (*key, "block")))
+        row = {"name": name, **{k: first[k] for k in key}, "nodes": b"".join(table.column("node").to_pylist()), "sizes": np.array([len(x) for x in found], np.int64).tobytes(), "hashes": np.concatenate(found).tobytes()}
+        return pa.table({f: [row[f]] for f in block.names}, schema=pa.schema([("name", pa.string()), ("group", pa.binary()), ("loose", pa.bool_()), ("of", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("hashes", pa.binary())]))
 
     packed = staged(dealt.select("node", *key, "block", "shingles").groupBy(*key, "block").applyInArrow(pack, block))
     a, b = (packed.select("group", F.col("name").alias(f"{x}_name"), F.col("loose").alias(f"{x}_loose"), F.col("of").alias(f"{x}_of")) for x in "ab")
@@ -271,7 +298,7 @@ def tile_links(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFra
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def side(batch: pa.RecordBatch, x: str, at: int) -> tuple[np.ndarray, list[np.ndarray]]:
-            nodes, sizes = (np.frombuffer(batch.column(f"{x}_{c}")[at].as_buffer(), np.int64) for c in ("nodes", "sizes"))
+            nodes, sizes = (np.frombuffer(batch.column(f"{x}_{c}")[at].as_buffer(), kind) for c, kind in (("nodes", NODE), ("sizes", np.int64)))
             return nodes, np.split(np.frombuffer(batch.column(f"{x}_hashes")[at].as_buffer(), np.uint64), np.cumsum(sizes)[:-1])
 
         for batch in batches:
@@ -289,23 +316,24 @@ def tile_links(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFra
                     nodes = np.concatenate((nodes, other))
                 label = stars(near)
                 far = np.flatnonzero(label != np.arange(len(label)))
-                us.append(nodes[far])
-                vs.append(nodes[label[far]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (us, vs)], names=["u", "v"])
+                us += nodes[far].tolist()
+                vs += nodes[label[far]].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (us, vs)], names=["u", "v"])
             trim()
 
-    return tiles.join(whole("a"), "a_name").join(whole("b"), "b_name").select("a_name", "b_name", *(f"{x}_{c}" for x in "ab" for c in ("nodes", "sizes", "hashes"))).mapInArrow(compare, "u long, v long")
+    return tiles.join(whole("a"), "a_name").join(whole("b"), "b_name").select("a_name", "b_name", *(f"{x}_{c}" for x in "ab" for c in ("nodes", "sizes", "hashes"))).mapInArrow(compare, "u binary, v binary")
 
 
-def similar_texts(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS, seeds: tuple[int, ...] = (1, 2, 3), slices: int = SLICES) -> DataFrame:
-    """id and component_id, where a link is a Jaccard similarity of ``similarity`` or more.
+def similar_texts(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, prints: int = PRINTS, radius: int = PRINT_RADIUS, slices: int = SLICES) -> DataFrame:
+    """id, node, root and component_id, where a link is a Jaccard similarity of ``similarity`` or more.
 
-    Candidates are texts whose weighted word fingerprints, of any seed, lie
+    Candidates are texts of which any of the ``prints`` word fingerprints lie
     within ``radius``; every link is then checked on the whole texts' shingles
     of ``shingle`` words. Texts equal but for case and white space are one
-    node. The result is exact in what it links; near copies whose
-    fingerprints all differ by more than ``radius`` stay apart, unless other
-    candidates join them.
+    node, named by 128 bits; ``root`` is the least node of a component and
+    ``component_id`` the least id in it. The result is exact in what it links;
+    near copies whose fingerprints all differ by more than ``radius`` stay
+    apart, unless other candidates join them.
 
     The candidates come as stars, whose least text need not be alike to texts
     that are alike to each other. So a group of candidates that its verified
@@ -314,39 +342,37 @@ def similar_texts(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     least half of what is loose, and what is then in several components by
     comparing all its texts in blocks.
     """
-    id_type = docs.schema[id_column].dataType
+    spark = docs.sparkSession
     slim = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
-    schema = T.StructType([T.StructField("id", id_type), T.StructField("node", T.LongType()), *(T.StructField(f"fp{s}", T.LongType()) for s in range(len(seeds)))])
+    schema = T.StructType([slim.schema["id"], *struct_of(node=T.BinaryType(), prints=T.ArrayType(T.LongType()))])
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rebatched(batches, 4 << 20):
-            whole, prints = word_fingerprints(batch.column("text"), seeds)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(whole.view(np.int64)), *(pa.array(np.ascontiguousarray(prints[:, s]).view(np.int64)) for s in range(len(seeds)))], names=schema.names)
+            found = word_fingerprints(batch.column("text"), prints).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * prints), pa.array(found.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(text_nodes(batch.column("text").to_pylist()), pa.binary()), lists], names=schema.names)
 
     own = staged(slim.mapInArrow(compute, schema))
-    nodes = staged(own.groupBy("node").agg(F.min("id").alias("least"), *(F.first(f"fp{s}").alias(f"fp{s}") for s in range(len(seeds)))))
-    edges = None
-    for s in range(len(seeds)):
-        least = nodes.groupBy(F.col(f"fp{s}").alias("fp")).agg(F.min("node").alias("first"))
-        inside = nodes.join(least, F.col(f"fp{s}") == F.col("fp")).select(F.col("node").alias("u"), F.col("first").alias("v"))
-        across = links(least.select("fp"), radius, slices)
-        across = across.join(least.select("fp", F.col("first").alias("u")), "fp").join(least.select(F.col("fp").alias("to"), F.col("first").alias("v")), "to").select("u", "v")
-        both = inside.unionByName(across).where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        edges = both if edges is None else edges.unionByName(both)
-    edges = staged(edges.distinct())
+    nodes = staged(own.groupBy("node").agg(F.min("id").alias("least"), F.first("prints").alias("prints")))
+    each = nodes.select("node", F.explode("prints").alias("fp"))
+    least = staged(each.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")))
+    inside = each.join(least.where("n > 1"), "fp").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    met = links(least.select("fp"), radius, slices, WIDTH)
+    across = met.join(least.select("fp", F.col("first").alias("u")), "fp").join(least.select(F.col("fp").alias("to"), F.col("first").alias("v")), "to").select("u", "v")
+    edges = staged(inside.unionByName(across).where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    drop_staged(least, met)
     # The texts of the nodes that have links, one of each, and their sets of shingles.
     wanted = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct().join(nodes.select("node", "least"), "node")
     texts = slim.join(wanted, slim["id"].eqNullSafe(wanted["least"])).select("node", "text")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rebatched(batches, 4 << 20):
-            values = batch.column("text")
-            whole, _ = word_fingerprints(values, ())
-            right = np.flatnonzero(whole.view(np.int64) == np.asarray(batch.column("node")))  # an id may stand for several texts
-            found = [np.unique(np.asarray(shingle_hashes(values[int(i)].as_py(), shingle), np.uint64)).tobytes() for i in right]
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(right)), pa.array(found, pa.binary())], names=["node", "shingles"])
+            values, named = batch.column("text").to_pylist(), batch.column("node").to_pylist()
+            right = [i for i, x in enumerate(text_nodes(values)) if x == named[i]]  # an id may stand for several texts
+            found = [np.unique(np.asarray(shingle_hashes(values[i], shingle), np.uint64)).tobytes() for i in right]
+            yield pa.RecordBatch.from_arrays([pa.array([named[i] for i in right], pa.binary()), pa.array(found, pa.binary())], names=["node", "shingles"])
 
-    sets = staged(texts.mapInArrow(hashes, "node long, shingles binary").dropDuplicates(["node"]))
+    sets = staged(texts.mapInArrow(hashes, "node binary, shingles binary").dropDuplicates(["node"]))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rebatched(batches, 8 << 20):
@@ -358,38 +384,70 @@ def similar_texts(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
 
     def verified(candidates: DataFrame) -> DataFrame:
         pairs = candidates.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
-        return staged(pairs.select("u", "v", "a", "b").mapInArrow(check, "u long, v long"))
+        return staged(pairs.select("u", "v", "a", "b").mapInArrow(check, "u binary, v binary"))
 
-    groups = staged(components(docs.sparkSession, edges, "u", "v").withColumnRenamed("root", "group"))
+    groups = staged(components(spark, edges, "u", "v").withColumnRenamed("root", "group"))
 
     def open_groups(good: DataFrame) -> DataFrame:
-        """node, group, loose (in a component under TILE), ``of`` (the component, 0 if loose) and the group's loose texts, of groups in several components."""
-        found = components(docs.sparkSession, good, "u", "v").withColumnRenamed("node", "member")
-        at = staged(groups.join(found, groups["node"] == found["member"], "left").select("node", "group", F.coalesce("root", "node").alias("root")))
+        """node, group, loose (in a component under TILE), ``of`` (the component, empty if loose) and the group's loose texts, of groups in several components."""
+        found = components(spark, good, "u", "v")
+        member = found.withColumnRenamed("node", "member")
+        at = staged(groups.join(member, groups["node"] == member["member"], "left").select("node", "group", F.coalesce("root", "node").alias("root")))
         size = at.groupBy("group", "root").agg(F.count("*").alias("n"))
         several = size.groupBy("group").agg(F.count("*").alias("roots"), F.sum(F.when(F.col("n") < TILE, F.col("n")).otherwise(0)).alias("n_loose")).where("roots > 1")
         some = at.join(several.select("group", "n_loose"), "group").join(size, ["group", "root"])
-        return staged(some.select("node", "group", (F.col("n") < TILE).alias("loose"), F.when(F.col("n") >= TILE, F.col("root")).otherwise(0).alias("of"), "n_loose"))
+        out = staged(some.select("node", "group", (F.col("n") < TILE).alias("loose"), F.when(F.col("n") >= TILE, F.col("root")).otherwise(F.lit(b"")).alias("of"), "n_loose"))
+        drop_staged(at, found)
+        return out
 
     good = verified(edges)
     rest = open_groups(good)
     large = lambda: rest.where(F.col("loose") & (F.col("n_loose") > TILE))
     count = large().count()
     while count:
-        prints = staged(large().select("node", "group").join(nodes.select("node", *(f"fp{s}" for s in range(len(seeds)))), "node"))
-        bits = [(s, b) for s in range(len(seeds)) for b in range(64)]
-        votes = staged(prints.groupBy("group").agg(F.count("*").alias("n"), *(F.sum(F.shiftright(f"fp{s}", b).bitwiseAND(F.lit(1))).alias(f"b{s}_{b}") for s, b in bits)))
-        most = [reduce(lambda x, y: x + y, (F.when(F.col(f"b{s}_{b}") * 2 > F.col("n"), F.lit((1 << b) - (1 << 64 if b == 63 else 0))).otherwise(F.lit(0)) for b in range(64))).cast("long").alias(f"most{s}") for s in range(len(seeds))]
-        off = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"fp{s}").bitwiseXOR(F.col(f"most{s}"))) for s in range(len(seeds))))
-        centres = staged(prints.join(votes.select("group", *most), "group").groupBy("group").agg(F.min_by("node", F.struct(off, "node")).alias("centre")))
-        around = prints.join(centres, "group").where("node != centre").select(F.col("node").alias("u"), F.col("centre").alias("v"))
-        good = good.unionByName(verified(around))
+        centring = min(prints, CENTRE_PRINTS)
+        named = [F.col("prints")[k].alias(f"fp{k}") for k in range(centring)]
+        around = staged(large().select("node", "group").join(nodes.select("node", *named), "node"))
+        bits = [(k, b) for k in range(centring) for b in range(WIDTH)]
+        votes = staged(around.groupBy("group").agg(F.count("*").alias("n"), *(F.sum(F.shiftright(f"fp{k}", b).bitwiseAND(F.lit(1))).alias(f"b{k}_{b}") for k, b in bits)))
+        most = [reduce(lambda x, y: x + y, (F.when(F.col(f"b{k}_{b}") * 2 > F.col("n"), F.lit(1 << b)).otherwise(F.lit(0)) for b in range(WIDTH))).cast("long").alias(f"most{k}") for k in range(centring)]
+        off = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"fp{k}").bitwiseAND(F.lit((1 << WIDTH) - 1)).bitwiseXOR(F.col(f"most{k}"))) for k in range(centring)))
+        centres = staged(around.join(votes.select("group", *most), "group").groupBy("group").agg(F.min_by("node", F.struct(off, "node")).alias("centre")))
+        good = good.unionByName(verified(around.join(centres, "group").where("node != centre").select(F.col("node").alias("u"), F.col("centre").alias("v"))))
+        drop_staged(around, votes, centres, rest)
         rest = open_groups(good)
         before, count = count, large().count()
         if count * 2 > before:
             break
     good = staged(good.unionByName(tile_links(rest, sets, similarity)))
-    found = components(docs.sparkSession, good, "u", "v").withColumnRenamed("node", "member")
+    found = components(spark, good, "u", "v").withColumnRenamed("node", "member")
     rooted = nodes.join(found, nodes["node"] == found["member"], "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
-    return own.join(staged(named), "node").select(F.col("id").alias(id_column), "node", "component_id")
+    named = staged(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "root", "component_id"))
+    drop_staged(nodes, edges, sets, groups, rest, good)
+    return own.join(named, "node").select(F.col("id").alias(id_column), "node", "root", "component_id")
+
+
+def first_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` that stay if of every component of ``similar_texts`` one row does.
+
+    That is the row with the least id, null ids last; of several texts with that
+    id the one with the least node, and of repeated rows any one.
+    """
+    found = staged(similar_texts(docs, id_column, text, **how))
+    place = F.struct(F.col(id_column).isNull().alias("unnamed"), F.col(id_column).alias("id"), "node")
+    first = found.groupBy("root").agg(F.min(place).alias("first"))
+    chosen = found.groupBy("node", F.col(id_column).alias("id")).agg(F.count("*").alias("times"))
+    chosen = chosen.join(first.select(F.col("first.node").alias("node"), F.col("first.id").alias("first_id")), "node").where(F.col("id").eqNullSafe(F.col("first_id"))).select("node", "id", "times")
+    chosen = staged(chosen)
+    drop_staged(found)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_column).alias("row_id"), F.col(text).alias("text"))
+    schema = T.StructType([rows.schema["row"], rows.schema["row_id"], T.StructField("row_node", T.BinaryType())])
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("row_id"), pa.array(text_nodes(batch.column("text").to_pylist()), pa.binary())], names=schema.names)
+
+    named = rows.mapInArrow(name, schema)
+    kept = named.join(chosen, F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_node") == F.col("node")))
+    once = kept.where("times > 1").dropDuplicates(["row_node"])
+    return kept.where("times = 1").select("row.*").unionByName(once.select("row.*"))
