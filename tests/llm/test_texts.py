@@ -1,6 +1,7 @@
 """Substring dedup, SimHash, mixing, sharding, packing, language and quality on awkward and small random tables."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -96,8 +97,23 @@ def test_simhash_equals_brute_force(awkward):
     assert got == Counter(zip([r["doc_id"] for r in rows], prints, brute_components([r["doc_id"] for r in rows], prints, 4), strict=True))
 
 
-@pytest.mark.parametrize("per_bucket", [1 << 21, 1 << 14])
-def test_links_connect_all_within_the_radius(spark, monkeypatch, per_bucket):
+def test_every_value_is_made_in_one_slice_and_costs_ten_bytes():
+    rng = np.random.default_rng(3)
+    prints, masks = rng.integers(0, 1 << 63, 300, dtype=np.uint64), simhash.ball(2)
+    made = [simhash.slice_values(prints, masks, part, 8) for part in range(8)]
+    assert len(masks) == 2081 and all(0.7 < len(v) * 8 / (300 * 2081) < 1.3 for v, _ in made)
+    values, numbers = (np.concatenate(x) for x in zip(*made, strict=True))
+    want = (prints[:, None] ^ masks[None, :]).ravel()
+    assert (np.sort(values) == np.sort(want)).all() and Counter((values ^ masks[numbers]).tolist()) == {x: 2081 for x in prints.tolist()}
+    for bits in (0, 3, 9, 17):
+        names, blocks, of = simhash.value_blocks(values, numbers, bits)
+        assert sum(map(len, blocks)) == 8 * len(values) and sum(map(len, of)) == 2 * len(values) and len(names) <= 1 << bits
+    low = simhash.ball(1, 48)
+    assert len(low) == 49 and low.max() == 1 << 47
+
+
+@pytest.mark.parametrize(("per_bucket", "slices"), [(1 << 20, 8), (1 << 12, 2)])
+def test_links_connect_all_within_the_radius(spark, monkeypatch, per_bucket, slices):
     monkeypatch.setattr(simhash, "PER_BUCKET", per_bucket)
     rng = random.Random(1)
     prints = {rng.getrandbits(64) for _ in range(60)}
@@ -107,7 +123,7 @@ def test_links_connect_all_within_the_radius(spark, monkeypatch, per_bucket):
             prints.add(x)
     prints = sorted(prints)
     fps = spark.createDataFrame([(x - 2**64 if x >= 2**63 else x,) for x in prints], "fp long")
-    found = simhash.links(fps).collect()
+    found = simhash.links(fps, slices=slices).collect()
     assert all(bin((r["fp"] ^ r["to"]) % 2**64).count("1") <= 4 for r in found)
     at = {x: i for i, x in enumerate(prints)}
     label = list(range(len(prints)))
@@ -155,23 +171,67 @@ def test_similar_texts_holds_all_links_inside_the_radius(spark, monkeypatch, til
         w = words(rng, 100)
         other = rng.sample(w, 100)
         texts += [" ".join(x) for x in (w, other, [*other[:-2], other[-1], other[-2]])]
-    seeds = (1, 2, 3)
-    _, prints = simhash.word_fingerprints(pa.array(texts), seeds)
+    prints = simhash.word_fingerprints(pa.array(texts))
     sets = [set(simhash.shingle_hashes(x, 5)) for x in texts]
     inside, alike = list(range(len(texts))), list(range(len(texts)))
     find = lambda label, x: x if label[x] == x else find(label, label[x])
     for i in range(len(texts)):
         for j in range(i):
             if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                for label in (alike, inside) if np.bitwise_count(prints[i] ^ prints[j]).min() <= simhash.RADIUS else (alike,):
+                for label in (alike, inside) if np.bitwise_count(prints[i] ^ prints[j]).min() <= simhash.PRINT_RADIUS else (alike,):
                     low, high = sorted((find(label, i), find(label, j)))
                     label[high] = low
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(docs_of(spark, texts), seeds=seeds).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(docs_of(spark, texts)).collect()}
     assert all(got[i] == got[find(inside, i)] and find(alike, i) == find(alike, got[i]) for i in got) and len(got) == len(texts)
     assert sum(find(inside, i) == find(inside, 240) for i in range(240)) > 100
     assert all(got[k + 1] == got[k + 2] == k + 1 and got[k] == k for k in range(241, 277, 3))
 
 
+def test_copies_alike_to_each_other_but_not_to_the_least_are_linked(spark):
+    """The least text of a group of candidates may be alike to none of them (A-L and B-L fail, A-B holds)."""
+    rng = random.Random(21)
+    base = words(rng, 300)
+
+    def changed(w, places, mark):
+        out = list(w)
+        for at in places:
+            out[at] = f"{mark}{at}"
+        return out
+
+    least = changed(base, range(0, 300, 33), "l")
+    a, b = changed(base, range(5, 300, 33), "a"), None
+    b = changed(a, [150], "b")
+    texts = [" ".join(x) for x in (least, a, b)]
+    assert simhash.jaccard(texts[0], texts[1], 5) < 0.8 and simhash.jaccard(texts[0], texts[2], 5) < 0.8 <= simhash.jaccard(texts[1], texts[2], 5)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(docs_of(spark, texts)).collect()}
+    assert got == {0: 0, 1: 1, 2: 1}
+
+
+def test_candidates_catch_nearly_all_pairs_at_the_threshold(spark):
+    rng = random.Random(22)
+    a, b = [], []
+    while len(a) < 300:
+        w = words(rng, rng.randrange(60, 500), 900)
+        other = list(w)
+        for at in rng.sample(range(len(w)), max(1, len(w) // 52)):
+            other[at] = f"new{rng.randrange(10**6)}"
+        if 0.8 <= simhash.jaccard(" ".join(w), " ".join(other), 5) < 0.86:
+            a.append(" ".join(w))
+            b.append(" ".join(other))
+    x, y = (simhash.word_fingerprints(pa.array(t)) for t in (a, b))
+    assert (np.bitwise_count(x ^ y).min(axis=1) <= simhash.PRINT_RADIUS).mean() >= 0.95
+
+
+def test_first_of_each_keeps_one_row(awkward, empty):
+    out = simhash.first_of_each(awkward)
+    assert out.columns == awkward.columns
+    got = Counter(r["doc_id"] for r in out.collect())
+    texts = {r["doc_id"]: r["text"] for r in awkward.collect()}
+    apart = {3} if simhash.jaccard(texts[1], texts[3], 5) < 0.8 else set()
+    assert got == Counter({1, 4, 7, 8, 9, 10, 11, 12, 13, None} | apart)
+    assert simhash.first_of_each(empty).count() == 0
+
+
 # --- mixing
 
 
@@ -255,6 +315,17 @@ def test_packing_round_trip(awkward, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_is_the_same_on_any_layout_and_deals_pieces_singly(spark):
+    rng = random.Random(7)
+    texts = [" ".join(words(rng, rng.randrange(1, 300))) for _ in range(60)] + [" ".join(words(rng, 9000))] * 3
+    docs = docs_of(spark, texts).withColumn("doc_id", F.least("doc_id", F.lit(60)))
+    one, other = (packing.pack(d, group_pieces=8, with_copy=True).toPandas().sort_values(["doc_id", "document", "start", "copy"]).reset_index(drop=True) for d in (docs.coalesce(1), docs.repartition(7)))
+    assert one.equals(other)
+    assert one.groupby(one["sequence_id"] // 2**32).size().max() < 30
+    copies = one[one["doc_id"] == 60]
+    assert set(copies["copy"]) == {1, 2, 3} and (copies.groupby("copy")["length"].sum() == copies["doc_tokens"].iloc[0]).all()
+
+
 def test_first_fit_decreasing_is_first_fit():
     rng = random.Random(0)
     lengths = sorted((rng.randrange(1, 2048) for _ in range(700)), reverse=True)
@@ -292,6 +363,40 @@ def test_language_held_out_accuracy(spark):
     assert got["lang_score"].between(0, 1).all()
 
 
+FIXTURES = "/root/testdata/sf0.01"
+on_fixtures = pytest.mark.skipif(not os.path.isdir(FIXTURES), reason="test tables are not here")
+
+
+@on_fixtures
+def test_language_accuracy_on_the_fixture_tables(spark):
+    docs = spark.read.parquet(f"{FIXTURES}/documents.parquet")
+    got = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where(language.held_out("doc_id") & F.col("lang").isNotNull()).toPandas()
+    base = got["lang"].value_counts(normalize=True).iloc[0]
+    assert len(got) > 200 and base < 0.8 and (got["lang"] == got["lang_pred"]).mean() >= 0.97
+
+
+def test_dictionaries_hold_whole_texts_within_the_bound(spark):
+    rng = random.Random(14)
+    rows = [(i, " ".join(words(rng, rng.randrange(20, 1500))) + " é", "en", "s", 1) for i in range(200)] + [(1000 + i, "ß" * (60000 + i), "de", "s", 1) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = language.learn(docs)
+    texts = {t.lower().encode() for _, t, *_ in rows}
+    assert set(found) == {"de", "en"} and all(x in texts for d in found.values() for x in d.split(b"\n"))
+    assert 90 << 10 < len(found["en"]) <= language.DICT_BYTES and found["de"].decode().strip("ß") == ""
+    assert language.learn(docs.repartition(5)) == found
+
+
+@on_fixtures
+def test_language_rejects_long_texts_of_no_language(spark):
+    rng = random.Random(15)
+    junk = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(6000))
+    docs = spark.read.parquet(f"{FIXTURES}/documents.parquet")
+    learned = language.learn(docs)
+    clean = " ".join(r["text"] for r in docs.where("lang = 'de'").limit(40).collect())
+    got = {r["doc_id"]: r for r in language.predict(docs_of(spark, [junk, clean]), learned).collect()}
+    assert got[0]["lang_rejected"] and not got[1]["lang_rejected"] and got[1]["lang_pred"] == "de"
+
+
 def test_language_on_awkward_rows(spark, awkward, empty):
     learned = language.learn(spoken(spark))
     got = language.predict(awkward, learned)
@@ -322,6 +427,15 @@ def test_quality_held_out_accuracy(spark, awkward, empty):
     assert quality.learn(empty, labels) is None and set(quality.score(docs, None).toPandas()["score"]) == {0.5}
 
 
+@on_fixtures
+def test_quality_beats_the_base_rate_on_the_fixture_labels(spark):
+    docs, labels = (spark.read.parquet(f"{FIXTURES}/{n}.parquet") for n in ("documents", "labels"))
+    found = quality.score(docs, quality.learn(docs, labels)).join(labels.where("quality IS NOT NULL"), "doc_id").where(quality.held_out("doc_id")).toPandas()
+    right = (found["score"] >= 0.5) == (found["quality"] == 1)
+    base = max(found["quality"].mean(), 1 - found["quality"].mean())
+    assert len(found) > 100 and right.mean() >= base + 0.06 and right[found["quality"] == 0].mean() >= 0.8
+
+
 def test_sum_of_squares_identity():
     rng = np.random.default_rng(0)
     size = quality.WORD_BUCKETS

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from siteloom.llm import neardup_vectors, simhash, topk, warc
-from siteloom.llm.common import components
+from siteloom.llm.common import components, staged
 
 VECTORS = "vec_id long, embedding array<float>, label int"
 INF, NAN = float("inf"), float("nan")
@@ -79,15 +79,31 @@ def test_top_k_equals_brute_force(vectors):
     assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == want
 
 
-def test_block_top_stops_early_and_is_exact():
+def test_lists_are_read_in_part_and_the_result_is_exact():
     rng = np.random.default_rng(2)
-    q, v = rng.integers(-300, 300, (9, 6)), rng.integers(-300, 300, (2000, 6))
-    i, j, score = topk.block_top(q, v, np.zeros((9, 2000), bool), 5)
-    exact = q @ v.T
-    for k in range(9):
-        best = np.sort(score[i == k])[::-1][:5]
-        assert (best == np.sort(exact[k])[::-1][:5]).all()
-    assert len(i) < 9 * 2000 / 4
+    v = (rng.gamma(0.3, 300, (4000, 6)) * rng.choice([-1, 1], (4000, 6))).astype(np.int64)
+    lists, read, skipped = topk.Lists(v), 0, 0
+    for q in rng.integers(-300, 300, (20, 6)):
+        want = np.sort(v @ q)[::-1][:5]
+        at, scores, n = topk.read_lists(q, lists, -1, 5, None)
+        assert (np.sort(scores)[::-1][:5] == want).all() and (v[at] @ q == scores).all()
+        read += n
+        # With a floor that others have reached less is read, and nothing where no candidate can reach it.
+        at, scores, less = topk.read_lists(q, lists, -1, 5, int(want[2]))
+        assert less <= n and set(want[:3].tolist()) <= set(scores.tolist())
+        skipped += topk.read_lists(q, lists, -1, 5, int(np.abs(q) @ np.abs(v).max(axis=0)) + 1)[2]
+    assert read < 20 * v.size / 2 and skipped == 0
+    with pytest.raises(ArithmeticError):
+        topk.read_lists(np.array([1 << 40]), topk.Lists(np.array([[1 << 40]])), -1, 1, None)
+
+
+@pytest.mark.parametrize(("candidates", "strip"), [(16, 2), (8192, 8)])
+def test_top_k_of_many_equal_vectors(spark, monkeypatch, candidates, strip):
+    monkeypatch.setattr(topk, "CANDIDATES", candidates)
+    monkeypatch.setattr(topk, "STRIP", strip)
+    table = spark.createDataFrame([(i, [1.0, -0.5] if i % 2 else [0.25, 0.5], 0) for i in range(150)], VECTORS)
+    got = topk.top_k(table, k=3).collect()
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in got} == {(0, 1, 2), (0, 2, 4), (0, 3, 6), (100, 1, 0), (100, 2, 2), (100, 3, 4)}
 
 
 def test_empty_vectors(spark):
@@ -126,9 +142,27 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_ids_of_any_text_and_repeated_rows(spark):
+    rows = [("a\r\nb: c", "u", "x"), ("a\r\nb: c", "u", "x"), ("a\r\nb: c", "u", "x"), ("", "u", "x"), ("é %2B +", None, "y"), (None, "u", "y"), (None, "u", "y")]
+    got = Counter(tuple(r) for r in warc.round_trip(spark.createDataFrame(rows, "page_id string, url string, html string")).select("page_id", "record_type", "refers_to").collect())
+    assert got == {("", "response", None): 1, ("a\r\nb: c", "revisit", ""): 3, ("é %2B +", "response", None): 1, (None, "revisit", "é %2B +"): 2}
+
+
+def test_archives_are_bounded_and_say_what_they_are(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://a.example/{i}", "x" * 3000 + str(i)) for i in range(200)], "page_id long, url string, html string").coalesce(2)
+    warc.write_archives(pages, str(tmp_path / "w"), archive_bytes=50_000)
+    files = list((tmp_path / "w").glob("part-*"))
+    data = [warc._plain(f.read_bytes()) for f in files]
+    assert len(files) > 10 and all(len(d) < 52_000 for d in data)
+    kinds = [[h["warc-type"] for h, _ in warc.parse(d)] for d in data]
+    assert all(k[0] == "warcinfo" and k.count("warcinfo") == 1 for k in kinds) and sum(k.count("response") for k in kinds) == 200
+    ids = [h["warc-record-id"] for d in data for h, _ in warc.parse(d)]
+    assert len(set(ids)) == len(ids)
+
+
 def test_captures_are_nested_and_hold_the_payload(spark, tmp_path):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
-    warc.write_archives(pages, str(tmp_path / "w"), records_per_file=4)
+    warc.write_archives(pages, str(tmp_path / "w"), archive_bytes=2000)
     found = warc.captures(warc.read_records(spark, str(tmp_path / "w"), with_payload=True)).collect()
     assert len(found) == len(PAGES) and all(r["request"] is not None and r["metadata"] is not None for r in found)
     assert {bytes(r["response"]["payload"]).decode() for r in found if r["response"]["kind"] == "response"} == {h or "" for _, _, h in PAGES}
@@ -169,6 +203,28 @@ def test_pipeline_stages(spark, corpus, tmp_path):
     assert (packed.groupby("doc_id")["length"].sum() == packed.drop_duplicates("doc_id").set_index("doc_id")["doc_tokens"].mul(packed.groupby("doc_id").apply(lambda g: (g["start"] == 0).sum(), include_groups=False))).all()
 
 
+#: Names that the operators use inside, among others.
+CLASHING = (
+    "id", "row", "row_id", "row_node", "row_hash", "node", "root", "member", "group", "component_id", "rows", "kept_id", "stays", "least", "prints", "fp", "first", "first_id", "times", "n", "u", "v",
+    "lang_letters", "letters", "lang_pred", "lang_score", "lang_rejected", "h", "bytes", "total", "k1", "k2", "text_key_1", "text_key_2", "spans", "repeated", "none", "c0", "c1", "anchor", "context", "todo", "at",
+    "copy", "copies", "copy_of", "copies_of_all", "rows_alike", "alike", "text_hash", "mixed_hash", "mixed_id", "size", "named", "position", "before", "part", "all_rows", "document", "tokens", "start", "length", "sequence_id", "offset", "bucket", "values", "masks", "value", "dotted.name",
+)
+
+
+def test_stages_leave_columns_of_any_name_alone(spark, corpus):
+    docs = corpus.where("doc_id < 30 OR doc_id BETWEEN 100 AND 105 OR doc_id >= 300")
+    docs = docs.select("*", *(F.concat(F.lit(f"{name}="), F.col("doc_id")).alias(name) for name in CLASHING))
+    given = {r["doc_id"]: r for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = staged(stage(spark, docs, ""))
+        if name == "packing":
+            break
+        out = docs.collect()
+        assert docs.columns == [*DOCS.names, *CLASHING] and out
+        assert all(r[c] == given[r["doc_id"]][c] for r in out for c in (*CLASHING, "source"))
+    assert docs.count()
+
+
 def test_packing_stage_emits_sequences_that_can_be_rebuilt(spark):
     rng = random.Random(4)
     texts = {1: " ".join(words(rng, 3000)), 2: "one two", 3: None}
@@ -176,12 +232,12 @@ def test_packing_stage_emits_sequences_that_can_be_rebuilt(spark):
     rows = corpus_pipeline.pack(spark, docs, "").collect()
     copies, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
-        copies[(r["doc_id"], r["row"])].append((r["start"], bytes(r["tokens"]), r["doc_tokens"]))
+        copies[(r["doc_id"], r["document"], r["copy"])].append((r["start"], bytes(r["tokens"]), r["doc_tokens"]))
         sequences[r["sequence_id"]].append((r["offset"], r["length"]))
         assert len(r["tokens"]) == 4 * r["length"] and zlib.crc32(bytes(r["tokens"])) == r["ids_crc32"]
-    assert Counter(i for i, _ in copies) == {1: 2, 2: 2, 3: 1}
+    assert Counter(i for i, *_ in copies) == {1: 2, 2: 2, 3: 1}
     whole = defaultdict(set)
-    for (i, _), own in copies.items():
+    for (i, *_), own in copies.items():
         data = b"".join(x for _, x, _ in sorted(own))
         assert len(data) == 4 * own[0][2]
         whole[i].add(data)
