@@ -19,23 +19,17 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is told with a margin, and note it in ``lang``."""
-    found = language.predict(docs, language.learn(docs))
-    kept = found.where(~F.col("lang_rejected"))
-    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    return language.sure(docs, language.learn(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep, of documents whose five-word shingles are alike to 0.8 or more, the one with the least id."""
-    found = simhash.similar_texts(docs)
-    rows = found.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("rows"), F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
-    kept = docs.join(rows.where("stays"), docs["doc_id"].eqNullSafe(F.col("kept_id"))).withColumn("text_hash", F.xxhash64("text"))
-    repeated = kept.where("rows > 1").dropDuplicates(["kept_id", "text_hash"])
-    return kept.where("rows = 1").select(*docs.columns).unionByName(repeated.select(*docs.columns))
+    return simhash.first_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages of 35 words or more that stand more than once; documents left without words go."""
-    return _measured(substring.cut(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))).select(*docs.columns)
+    return _measured(substring.cut(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +38,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the documents' tokens into sequences: each piece with its tokens and the number of its row, as documents may come twice."""
-    return packing.pack(docs, with_ids=True, with_row=True)
+    """Pack the documents' tokens into sequences: each piece with its tokens and the number of its copy, as documents may come twice."""
+    return packing.pack(docs, with_ids=True, with_copy=True)
 
 
 STAGES = [
