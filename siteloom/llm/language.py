@@ -36,6 +36,7 @@ from siteloom.llm.common import id_crc, rebatched, struct_of
 DOCS_PER_LANGUAGE = 300  # learned rows per language at most
 DICT_BYTES = 112 << 10  # that their texts may have together
 USUAL_BYTES = 4096  # longer texts are learned only after all that are not
+DEALS = 128  # groups of tasks that choose among themselves first
 BLOCK = 16 << 10
 LEVEL = 12
 MIN_BYTES = 2
@@ -59,8 +60,14 @@ def learn(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang:
     size, mark = F.octet_length(text), F.xxhash64(F.lit(5), F.col(id_column), F.col(text))
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & ~held_out(id_column))
     rows = rows.select(F.col(lang).alias("lang"), mark.alias("h"), size.alias("bytes"), F.col(text).alias("text"))
-    order = W.partitionBy("lang").orderBy(F.col("bytes") > USUAL_BYTES, F.col("bytes") > DICT_BYTES, "h", "bytes")
-    ranked = rows.select("lang", "h", "bytes").withColumn("n", F.row_number().over(order)).where(F.col("n") <= DOCS_PER_LANGUAGE)
+    order = (F.col("bytes") > USUAL_BYTES, F.col("bytes") > DICT_BYTES, "h", "bytes")
+
+    def first(of: DataFrame, *key: str) -> DataFrame:
+        return of.withColumn("n", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where(F.col("n") <= DOCS_PER_LANGUAGE)
+
+    # First among the rows of a few tasks, then among what those leave, so that no task sees the choice of every task.
+    dealt = rows.select("lang", "h", "bytes").withColumn("deal", F.pmod(F.spark_partition_id(), F.lit(DEALS)))
+    ranked = first(first(dealt, "lang", "deal").drop("n"), "lang")
     total = F.sum(F.col("bytes") + 1).over(W.partitionBy("lang").orderBy("n"))
     chosen = ranked.withColumn("total", total).where((F.col("total") <= DICT_BYTES + 1) | (F.col("n") == 1)).select("lang", "h", "n").collect()
     wanted = sorted({row["h"] for row in chosen})  # DOCS_PER_LANGUAGE numbers a language at most
