@@ -10,17 +10,18 @@ is out for good; reading stops when too few are left to be worth a further
 step, and these are then scored exactly.
 
 Queries and candidates are packed into blocks. A task takes one block of
-queries through the candidate blocks of a strip, one after another, and keeps
-each query's k best scores so far as the floor for the next block: a block
-whose best entries together stay below the floor is not read at all.
+queries through the candidate blocks of a strip, one after another, the first
+of them a small one, and keeps each query's k best scores so far as the floor
+for the next block: a block whose best entries together stay below the floor
+is not read at all.
 
 Vectors that are null, empty, or hold null or non-finite components take no
 part; vectors of other length than a query's are not its candidates. Equal
 scores go to the smaller id. A row is never its own candidate; other rows with
 its id are. Null ids are candidates, after all others, and never queries. All
-sums are of 64-bit integers; where they might not fit the search raises an
-ArithmeticError instead of returning a wrong score. An empty table gives no
-rows.
+sums are whole numbers below 2**53 and so exact; where they might not be the
+search raises an ArithmeticError instead of returning a wrong score. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -44,57 +45,59 @@ CANDIDATES = 8192  # of a block at most
 QUERIES = 2048
 BLOCK_BYTES = 4 << 20
 STRIP = 8  # candidate blocks that one task goes through
-FIRST_DEPTH = 64
+FIRST = 512  # candidates of a strip that are searched first, for a floor
+STEPS = 8  # in which a block's lists are read at most
+LEAST_STEP = 64
+EXACT = float(1 << 53)
 LONG = T.LongType()
 
 
 class Lists:
-    """A block of candidates with every dimension's sorted list."""
+    """A block of candidates with every dimension's list, sorted either way; whole numbers, held as doubles."""
 
     def __init__(self, values: np.ndarray):
-        self.values = values
+        self.values = values.astype(np.float64)
         rising = np.argsort(values, axis=0, kind="stable").T
-        self.order = np.concatenate((rising, rising[:, ::-1])).astype(np.int32)  # a row for each dimension and direction
-        self.sorted = np.take_along_axis(np.concatenate((values.T, values.T)), self.order, axis=1)
-        self.most = np.abs(values).max(axis=0).astype(object) if len(values) else np.zeros(values.shape[1], object)
+        self.order = np.ascontiguousarray(np.concatenate((rising, rising[:, ::-1])))  # a row for each dimension and direction
+        self.sorted = np.take_along_axis(np.concatenate((self.values.T, self.values.T)), self.order, axis=1)
+        self.most = np.abs(self.values).max(axis=0) if len(values) else np.zeros(values.shape[1])
 
 
-def read_lists(query: np.ndarray, lists: Lists, own: int, k: int, floor: int | None) -> tuple[np.ndarray, np.ndarray, int]:
+def read_lists(query: np.ndarray, lists: Lists, own: int, k: int, floor: float | None) -> tuple[np.ndarray, np.ndarray, int]:
     """(places, scores, entries read): the candidates that may be among the query's k best, ties included.
 
     ``own`` is the place that doesn't count, or -1; ``floor`` the score that
     the query's k best so far reach.
     """
     n, d = lists.values.shape
-    if sum(abs(int(a)) * int(b) for a, b in zip(query, lists.most, strict=True)) >= 1 << 62:
-        raise ArithmeticError("scores may not fit into 64 bits")
-    own_lists = np.arange(d) + d * (query >= 0)
-    best, worst = query * lists.sorted[own_lists, 0], query * lists.sorted[own_lists, -1]
+    query = query.astype(np.float64)
+    if np.abs(query) @ lists.most >= EXACT:
+        raise ArithmeticError("scores may not be whole numbers below 2**53")
+    lines = np.arange(d) + d * (query >= 0)
+    best, worst = query * lists.sorted[lines, 0], query * lists.sorted[lines, -1]
     if floor is not None and best.sum() < floor:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
     lower = np.full(n, worst.sum())  # of all; what is read adds its surplus over the worst
-    seen = np.zeros((d, n), bool)
+    unseen = np.ones((d, n))
     alive = np.delete(np.arange(n), own) if own >= 0 else np.arange(n)
-    depth, step, read = 0, min(FIRST_DEPTH, n), 0
-    dims = np.arange(d)[:, None]
+    step, depth = max(LEAST_STEP, -(-n // STEPS)), 0
+    base = (np.arange(d) * n)[:, None]
     while len(alive) > 2 * k and depth < n:
         upto = min(n, depth + step)
-        who = lists.order[own_lists, depth:upto]
-        adds = query[:, None] * lists.sorted[own_lists, depth:upto]
-        np.add.at(lower, who.ravel(), (adds - worst[:, None]).ravel())
-        seen[dims, who] = True
-        read += who.size
-        depth, step = upto, upto
-        # Lists that a candidate has not been seen in can add no more than the entry they have come to.
-        upper = lower[alive] + (adds[:, -1] - worst) @ ~seen[:, alive]
+        who = lists.order[lines, depth:upto]
+        adds = query[:, None] * lists.sorted[lines, depth:upto] - worst[:, None]
+        np.add.at(lower, who.ravel(), adds.ravel())
+        unseen.reshape(-1)[(who + base).ravel()] = 0
+        depth = upto
         if len(alive) >= k:
-            reached = int(np.partition(lower[alive], len(alive) - k)[len(alive) - k])
+            reached = float(np.partition(lower[alive], len(alive) - k)[len(alive) - k])
             floor = reached if floor is None else max(floor, reached)
+        # Lists that a candidate has not been seen in can add no more than the entry they have come to.
         if floor is not None:
-            alive = alive[upper >= floor]
+            alive = alive[(lower + adds[:, -1] @ unseen)[alive] >= floor]
         if len(alive) * 4 <= step:
             break
-    return alive, lists.values[alive] @ query, read
+    return alive, (lists.values[alive] @ query).astype(np.int64), depth * d
 
 
 class Best:
@@ -148,12 +151,15 @@ def top_k(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embeddin
             queries, q_rows, q_ids = get(asks, 0, "vecs", np.int64).reshape(-1, d), get(asks, 0, "rows", np.int64), get(asks, 0, "ids", np.int64)
             best = [Best(k) for _ in q_rows]
             for i in range(held.num_rows):
-                lists = Lists(get(held, i, "vecs", np.int64).reshape(-1, d))
-                c_rows, c_ids, named = get(held, i, "rows", np.int64), get(held, i, "ids", np.int64), get(held, i, "named", bool)
-                place = {r: at for at, r in enumerate(c_rows.tolist())}
-                for j, query in enumerate(queries):
-                    at, scores, _ = read_lists(query, lists, place.get(int(q_rows[j]), -1), k, best[j].floor())
-                    best[j].add(scores, named[at], c_ids[at], c_rows[at])
+                whole = get(held, i, "vecs", np.int64).reshape(-1, d), get(held, i, "rows", np.int64), get(held, i, "ids", np.int64), get(held, i, "named", bool)
+                for part in (slice(0, FIRST), slice(FIRST, None)) if i == 0 else (slice(None),):
+                    vecs, c_rows, c_ids, named = (x[part] for x in whole)
+                    if not len(c_rows):
+                        continue
+                    lists, place = Lists(vecs), {r: at for at, r in enumerate(c_rows.tolist())}
+                    for j, query in enumerate(queries):
+                        at, scores, _ = read_lists(query, lists, place.get(int(q_rows[j]), -1), k, best[j].floor())
+                        best[j].add(scores, named[at], c_ids[at], c_rows[at])
             out = [(int(q_rows[j]), int(q_ids[j]), None if unnamed else i, r, -s) for j, b in enumerate(best) for s, unnamed, i, r in b.rows]
         return pa.table({n: pa.array([x[c] for x in out], pa.int64()) for c, n in enumerate(schema.names)})
 
