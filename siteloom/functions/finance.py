@@ -95,6 +95,18 @@ def first_year_paid(flows: Column) -> Column:
     return F.aggregate(flows, start, step)["paid"]
 
 
+def payback(flows: Column) -> Column:
+    """The point, in years, at which the running sum stops being negative, between two years by the share of the later flow; LIFE if it never does."""
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("year"), F.lit(None).cast("double").alias("paid"))
+
+    def step(s: Column, c: Column) -> Column:
+        total, year = s["sum"] + c, s["year"] + 1
+        crossed = s["paid"].isNull() & (total >= 0) & (s["sum"] < 0)
+        return F.struct(total.alias("sum"), year.alias("year"), F.when(crossed, year - s["sum"] / c).otherwise(s["paid"]).alias("paid"))
+
+    return F.coalesce(F.aggregate(flows, start, step)["paid"], F.lit(float(LIFE)))
+
+
 def irr_of(flows: np.ndarray, steps: int = 120) -> np.ndarray:
     """Bisection for the rate at which each row's value is nothing; NaN where both ends have one sign."""
     years = flows.shape[1]

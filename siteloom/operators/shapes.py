@@ -167,3 +167,26 @@ def zone_class(r: Column, g: Column, b: Column) -> Column:
     yellow = (r >= 170) & (g >= 170) & (b <= 130)
     green = (g >= 110) & (g >= r + 25) & (b <= 130) & (g >= b + 40)
     return F.when(red, "red").when(yellow, "amber").when(green, "green")
+
+
+def clipped(ring: Column, window: Column) -> Column:
+    """The part of an open ring inside a convex open ring that runs counter-clockwise; empty if they don't meet.
+
+    The ring is cut along each edge of the window in turn: a corner inside stays, and an edge that crosses gives the crossing.
+    """
+    m = F.size(window)
+
+    def cut(own: Column, i: Column) -> Column:
+        a, b = F.get(window, i), F.get(window, F.pmod(i + 1, m))
+        side = lambda p: (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
+
+        def edge(p: Column, j: Column) -> Column:
+            q = F.get(own, F.pmod(j + 1, F.size(own)))
+            s, t = side(p), side(q)
+            at = F.when(s != t, s / (s - t)).otherwise(0.0)
+            crossing = F.struct((p["x"] + (q["x"] - p["x"]) * at).alias("x"), (p["y"] + (q["y"] - p["y"]) * at).alias("y"))
+            return F.when((s >= 0) & (t >= 0), F.array(q)).when(s >= 0, F.array(crossing)).when(t >= 0, F.array(crossing, q)).otherwise(F.array().cast("array<struct<x: double, y: double>>"))
+
+        return F.flatten(F.transform(own, edge))
+
+    return F.aggregate(F.sequence(F.lit(0), m - 1), ring, cut)

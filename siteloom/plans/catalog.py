@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siteloom.plans import climate, finance, labels, policy, records, retrieval, shapes, spatial, text, wind
+from siteloom.plans import climate, fields, finance, labels, policy, records, reports, retrieval, shapes, spatial, text, wind
 
-FAMILIES = (wind, spatial, climate, policy, finance, text, retrieval, shapes, labels, records)
+FAMILIES = (wind, spatial, climate, policy, finance, text, retrieval, shapes, labels, records, fields, reports)
 
 
 def queries() -> dict:

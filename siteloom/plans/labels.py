@@ -53,8 +53,8 @@ def display_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     lon, lat = synthetic_lon(k) - 80, synthetic_lat(k) - 20
     day = F.when(k % 3 == 0, F.date_format("o_orderdate", "d/M/yyyy")).when(k % 3 == 1, F.date_format("o_orderdate", "dd-MM-yyyy")).otherwise(F.concat(F.lit("31/13/"), F.year("o_orderdate")))
     return table(spark, sf_dir, "orders").select(
-        k.alias("item"), labels.rupees(x * scale + 0.25).alias("rupees"), labels.rupees_short(x * scale + 0.001).alias("short"), labels.kilometres(x * scale / 100 + 0.25).alias("km"), labels.percent(share).alias("percent"),
-        labels.area_percent(share).alias("area"), labels.coordinates(lon, lat).alias("place"), labels.with_unit(x * scale + 0.001, "kV").alias("kv"), labels.day_label(day).alias("day"),
+        k.alias("item"), labels.rupees(x * scale + 0.25).alias("rupees"), labels.rupees_short(x * scale + 0.00137).alias("short"), labels.kilometres(x * scale / 100 + 0.25).alias("km"), labels.percent(share).alias("percent"),
+        labels.area_percent(share).alias("area"), labels.coordinates(lon, lat).alias("place"), labels.with_unit(x * scale + 0.00137, "kV").alias("kv"), labels.day_label(day).alias("day"),
     )
 
 
@@ -70,11 +70,11 @@ def _formats_sql() -> str:
 WITH o AS (SELECT o_orderkey AS k, o_totalprice * [0.01::DOUBLE, 1.0::DOUBLE, 37.0::DOUBLE, 1900.0::DOUBLE][CAST(o_orderkey % 4 + 1 AS INT)] AS x, CASE WHEN o_orderkey % 5 <> 0 THEN ((o_orderkey * 7 % 999) + 0.3::DOUBLE) / 99900.0::DOUBLE END AS share,
   {sql_lon('o_orderkey')} - 80 AS lon, {sql_lat('o_orderkey')} - 20 AS lat, o_orderdate AS d FROM orders)
 SELECT k AS item, '₹' || {_grouped_sql(whole('x + 0.25'))} AS rupees,
-  CASE WHEN abs(x + 0.001) >= 1e7 THEN printf('₹%.2f Cr', (x + 0.001) / 1e7) WHEN abs(x + 0.001) >= 1e5 THEN printf('₹%.2f L', (x + 0.001) / 1e5) ELSE '₹' || {_grouped_sql(whole('x + 0.001'))} END AS short,
+  CASE WHEN abs(x + 0.00137) >= 1e7 THEN printf('₹%.2f Cr', (x + 0.00137) / 1e7) WHEN abs(x + 0.00137) >= 1e5 THEN printf('₹%.2f L', (x + 0.00137) / 1e5) ELSE '₹' || {_grouped_sql(whole('x + 0.00137'))} END AS short,
   {_grouped_sql(whole('x / 100 + 0.25'))} || ' km' AS km, CASE WHEN share IS NULL THEN '—' ELSE printf('%.1f%%', share * 100) END AS percent,
   CASE WHEN share * 100 <= 0 THEN '0%' WHEN share * 100 < 1 THEN printf('%.1f%%', share * 100) ELSE {whole('share * 100')} || '%' END AS area,
   printf('%.4f° ', abs(lat)) || CASE WHEN lat >= 0 THEN 'N' ELSE 'S' END || ', ' || printf('%.4f° ', abs(lon)) || CASE WHEN lon >= 0 THEN 'E' ELSE 'W' END AS place,
-  regexp_replace(printf('%.2f', x + 0.001), '\\.?0+$', '') || ' kV' AS kv, CASE WHEN k % 3 = 2 THEN '31/13/' || year(d) ELSE day(d) || ' ' || strftime(d, '%b') || ' ' || year(d) END AS day
+  regexp_replace(printf('%.2f', x + 0.00137), '\\.?0+$', '') || ' kV' AS kv, CASE WHEN k % 3 = 2 THEN '31/13/' || year(d) ELSE day(d) || ' ' || strftime(d, '%b') || ' ' || year(d) END AS day
 FROM o
 """
 

@@ -66,12 +66,12 @@ GEOHASH_SQL = f"SELECT substr(hash, 1, 5) AS cell, count(*) AS masts, min(hash)
 
 
 def layout_footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hull of each nation's masts: its corners, area and middle."""
+    """Hull of each nation's masts: its corners, area and middle; in whole thousandths of a degree, so that points in line are told exactly."""
     k = F.col("c_custkey")
-    masts = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), synthetic_lon(k * 3 + 1).alias("x"), synthetic_lat(k * 5 + 2).alias("y"))
-    corners = shapes.convex_hulls(masts, "nation", "x", "y")
+    masts = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.floor(synthetic_lon(k * 3 + 1) * 1000 + 0.5).alias("x"), F.floor(synthetic_lat(k * 5 + 2) * 1000 + 0.5).alias("y"))
+    corners = shapes.convex_hulls(masts, "nation", "x", "y").withColumns({"x": F.col("x") / 1000, "y": F.col("y") / 1000})
     rings = corners.groupBy("nation").agg(F.transform(F.array_sort(F.collect_list(F.struct("corner", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("ring"), F.avg("x").alias("x"), F.avg("y").alias("y"))
-    return rings.select("nation", F.size("ring").alias("corners"), half_up(shapes.area_km2(F.col("ring")), 2).alias("km2"), half_up(F.col("x"), 5).alias("x"), half_up(F.col("y"), 5).alias("y"))
+    return rings.select("nation", F.size("ring").alias("corners"), half_up(shapes.area_km2(F.col("ring")), 2).alias("km2"), half_up(F.col("x"), 4).alias("x"), half_up(F.col("y"), 4).alias("y"))
 
 
 def quantile_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,3 +124,45 @@ def test_simplify_keeps_what_sticks_out(spark):
     df = spark.createDataFrame([([0.0, 1.0, 2.0, 3.0, 4.0], [0.0, 0.001, 1.0, 0.0, 0.0]), ([0.0, 1.0], [0.0, 0.0]), ([], [])], "x array<double>, y array<double>")
     assert [r["p"] for r in df.select(simplify(F.col("x"), F.col("y"), 0.01).alias("p")).collect()] == [[0, 1, 2, 3, 4], [0, 1], []]
     assert [r["p"] for r in df.select(simplify(F.col("x"), F.col("y"), 0.6).alias("p")).collect()][0] == [0, 2, 4]
+
+
+def test_clipping_is_exact_on_convex_and_other_rings(spark):
+    from pyspark.sql import functions as F
+
+    from siteloom.operators.shapes import clipped
+
+    window = [(0.0, 0.0), (4.0, 0.0), (5.0, 3.0), (1.0, 4.0)]
+    rings = {"inside": [(1.0, 1.0), (2.0, 1.0), (2.0, 2.0)], "around": [(-9.0, -9.0), (9.0, -9.0), (9.0, 9.0), (-9.0, 9.0)], "apart": [(8.0, 8.0), (9.0, 8.0), (9.0, 9.0)], "notched": [(-1.0, 1.0), (3.0, 1.0), (1.0, 1.5), (3.0, 2.0), (-1.0, 2.0)]}
+    xy = "array<struct<x: double, y: double>>"
+    rows = spark.createDataFrame([(k, r, window) for k, r in rings.items()], f"name string, ring {xy}, window {xy}")
+    got = {r["name"]: [(p["x"], p["y"]) for p in r["cut"]] for r in rows.select("name", clipped(F.col("ring"), F.col("window")).alias("cut")).collect()}
+    area = lambda r: abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, [*r[1:], *r[:1]], strict=True))) / 2
+    assert area(got["inside"]) == area(rings["inside"]) and abs(area(got["around"]) - area(window)) < 1e-12 and got["apart"] == []
+    inside = lambda p, r: sum(((a[1] > p[1]) != (b[1] > p[1])) and p[0] < (b[0] - a[0]) * (p[1] - a[1]) / (b[1] - a[1]) + a[0] for a, b in zip(r, [*r[1:], *r[:1]], strict=True)) % 2 == 1
+    steps = [(i + 0.5) / 100 for i in range(-150, 450)]
+    counted = sum(inside((x, y), rings["notched"]) and inside((x, y), window) for x in steps for y in steps if 0.9 < y < 2.1) / 1e4
+    assert abs(area(got["notched"]) - counted) < 0.02
+
+
+def test_links_of_areas_read_back(spark):
+    from pyspark.sql import functions as F
+
+    from siteloom.functions import labels
+
+    ring = [(77.123456, 8.5), (78.0, 8.5), (78.0, 9.0), (77.123456, 9.0)]
+    rows = spark.createDataFrame([(ring,)], "ring array<struct<x: double, y: double>>").withColumn("link", labels.permalink(F.col("ring")))
+    row = rows.select(
+        "link", labels.ring_of(F.col("link")).alias("back"), labels.ring_of(F.lit("#aoi=0!!")).alias("none"), labels.ring_of(labels.inflated(labels.deflated(F.col("link")))).alias("again"), labels.inflated(F.lit("aoi=1zzzz")).alias("bad")
+    ).first()
+    assert [tuple(p) for p in row["back"]] == ring == [tuple(p) for p in row["again"]] and row["none"] is None and row["bad"] is None
+
+
+def test_mast_labels_give_place_names(spark):
+    from pyspark.sql import functions as F
+
+    from siteloom.functions import labels
+
+    want = {"Aladar150m Jul24-Jun25_Pvt. Mast": ("Aladar", 150), "Ratkuriya-V_Pvt. WM_65m": ("Ratkuriya-V", 65), "Jura CECL_65m_WM_June2010-May2013": ("Jura", 65), "Mast-1_80m_Pvt. Mast": ("Mast-1", 80), "_Pvt. WM-Humbarne": ("Humbarne", None), "Sri Palvan-1 Dec09": ("Sri Palvan-1", None), "Guttaseema Wind": ("Guttaseema Wind", None), "Mayurbhanj 5m": ("Mayurbhanj 5m", None)}
+    rows = spark.createDataFrame([(k,) for k in want], "label string")
+    got = {r["label"]: (r["name"], r["h"]) for r in rows.select("label", labels.display_name(F.col("label")).alias("name"), labels.height_m(F.col("label")).alias("h")).collect()}
+    assert got == want
