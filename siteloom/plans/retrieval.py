@@ -2,36 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from siteloom.functions.numeric import half_up
 from siteloom.operators.ranking import if_small
+from siteloom.operators.vectors import best_by_cosine
 from siteloom.plans.tables import table
 
 TOP = 10
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
 def vector_topk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten best vectors for each of three query vectors of every label, merged by their best score.
-
-    The queries are a fixed number per label and are broadcast; each task keeps
-    its own ten best before anything is shuffled.
-    """
-    vectors = table(spark, sf_dir, "embeddings").withColumn("norm", F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
-    asked = vectors.where("vec_id < 30").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), F.col("norm").alias("qn"))
-    met = vectors.join(F.broadcast(asked), F.col("vec_id") != F.col("query")).withColumn("score", half_up(dot(F.col("embedding"), F.col("q")) / (F.col("norm") * F.col("qn")), 9))
-    best = met.select("query", "vec_id", "score").withColumn("n", F.row_number().over(W.partitionBy("query").orderBy(F.col("score").desc(), "vec_id"))).where(F.col("n") <= TOP)
-    return best.groupBy("vec_id").agg(half_up(F.max("score"), 6).alias("score"), F.count("*").alias("queries"))
+    """Ten best vectors for every query, those whose id is divisible by 50, merged by their best score."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")).where("vec IS NOT NULL AND NOT exists(vec, x -> x IS NULL)")
+    met = best_by_cosine(vectors, vectors.where("id % 50 = 0"), TOP)
+    best = met.withColumn("n", F.row_number().over(W.partitionBy("query").orderBy(F.col("score").desc(), "id"))).where(F.col("n") <= TOP)
+    return best.groupBy(F.col("id").alias("vec_id")).agg(half_up(F.max("score"), 6).alias("score"), F.count("*").alias("queries"))
 
 
 TOPK_SQL = """
-WITH s AS (SELECT q.vec_id AS query, v.vec_id, floor(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) * 1e9::DOUBLE + 0.5) / 1e9::DOUBLE AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id < 30)
+WITH s AS (SELECT q.vec_id AS query, v.vec_id, floor(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) * 1e9::DOUBLE + 0.5) / 1e9::DOUBLE AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)
 SELECT vec_id, floor(max(score) * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS score, count(*) AS queries FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS n FROM s) WHERE n <= 10 GROUP BY vec_id
 """
 
