@@ -203,6 +203,7 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector: str =
     named = classes.select("cls", "k1", "k2", "n", "least").join(found, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
     named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").join(links, "cls", "left")
     named = staged(named.select("k1", "k2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id", F.lit(True).alias("linked")))
+    drop_staged(classes, met, found)
     out = rows.select("id", "k1", "k2").join(named, ["k1", "k2"], "left")
     component = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("id"))
     out = out.select(F.col("id").alias(id_column), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
