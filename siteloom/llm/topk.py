@@ -41,8 +41,8 @@ from siteloom.llm.vectors import matrix, unpacked, usable
 K = 10
 EVERY = 100
 SCALE = 1024
-CANDIDATES = 8192  # of a block at most
-QUERIES = 2048
+CANDIDATES = 4096  # of a block at most
+QUERIES = (64, 8192)  # of a block: so many that every core has work, within these bounds
 BLOCK_BYTES = 4 << 20
 STRIP = 8  # candidate blocks that one task goes through
 FIRST = 512  # candidates of a strip that are searched first, for a floor
@@ -136,9 +136,11 @@ def top_k(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embeddin
     rows = vectors.where(usable(vector)).select(F.col(id_column).cast("long").alias("id"), F.coalesce(query, F.lit(False)).alias("asks"), F.transform(F.col(vector), lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))).alias("vec"))
     rows = staged(rows.withColumn("dim", F.size("vec")).withColumn("row", F.monotonically_increasing_id()))
     found, n_found = blocks(rows.select("id", "dim", "row", "vec"), CANDIDATES)
-    asked, n_asked = blocks(rows.where("asks").select("id", "dim", "row", "vec"), QUERIES)
-    # Each block of the stated queries goes once to each strip, and each block of candidates once to each block of queries.
     strips = -(-n_found // STRIP)
+    asks = rows.where("asks").select("id", "dim", "row", "vec")
+    share = -(-asks.count() * strips // (2 * vectors.sparkSession.sparkContext.defaultParallelism))
+    # Each block of the stated queries goes once to each strip, and each block of candidates once to each block of queries.
+    asked, n_asked = blocks(asks, min(max(share, QUERIES[0]), QUERIES[1]))
     asked = asked.withColumnRenamed("block", "q").withColumn("strip", F.explode(F.sequence(F.lit(0), F.lit(strips - 1))))
     found = found.withColumn("strip", F.floor(F.col("block") / STRIP).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))))
     schema = T.StructType([T.StructField(x, LONG) for x in ("query_row", "query_id", "vec_id", "row", "score")])
