@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -52,8 +53,9 @@ TENDERS = [("offshore", "Offshore Wind"), ("repower", "Repowering"), ("fdre", "F
 
 
 def ascii_words(pattern: str) -> str:
-    """``pattern`` with its word boundaries between ASCII letters, digits and underscores and anything else."""
-    return pattern.replace(r"\b", "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))")
+    """``pattern`` with word boundaries that count only ASCII letters, digits and underscores: before a letter, digit or bracket one that starts a word, else one that ends it."""
+    starts = re.sub(r"\\b(?=[A-Za-z0-9(\[])", "(?<![A-Za-z0-9_])", pattern)
+    return starts.replace(r"\b", "(?![A-Za-z0-9_])")
 
 
 def strip_html(html: Column) -> Column:
@@ -87,11 +89,16 @@ def max_voltage(raw: Column) -> Column:
     return F.array_max(F.filter(values, lambda x: x > 0))
 
 
-def rewrite(query: Column) -> Column:
-    """States spelled out and typing errors mended."""
+def with_states(query: Column) -> Column:
+    """State abbreviations spelled out; queries without any pass by the rules."""
     out = reduce(lambda q, s: F.regexp_replace(q, f"(?<![A-Za-z]){s[0]}(?![A-Za-z])", s[1]), STATES.items(), query)
-    out = reduce(lambda q, t: F.regexp_replace(q, "(?i)" + ascii_words(rf"\b{t[0]}\b"), t[1]), TYPOS.items(), out)
-    return F.regexp_replace(out, r"^\s+|\s+$", "")
+    return F.when(query.rlike(f"({'|'.join(STATES)})"), out).otherwise(query)
+
+
+def mended(query: Column) -> Column:
+    """Typing errors mended, white space cut from both ends; queries without any error pass by the rules."""
+    out = reduce(lambda q, t: F.regexp_replace(q, "(?i)" + ascii_words(rf"\b{t[0]}\b"), t[1]), TYPOS.items(), query)
+    return F.regexp_replace(F.when(query.rlike(f"(?i)({'|'.join(TYPOS)})"), out).otherwise(query), r"^\s+|\s+$", "")
 
 
 def expanded(canonical: Column) -> Column:
@@ -102,13 +109,17 @@ def expanded(canonical: Column) -> Column:
 
 MENTIONS = {
     "maker": "(?i)" + rf"\b({'|'.join(MAKERS)})\b", "year": r"\b(FY|fiscal|20[0-9]{2}|20[0-9]{2}[-–][0-9]{2})\b", "state": "(?i)" + "|".join(FULL_STATES), "mast": r"(?i)\b(masts?|monitoring)\b",
-    "share": r"(?i)\b(percent|percentage|%|share|ratio|potential)\b", "how many": r"(?i)\bhow many\b", "makers": r"(?i)\b(manufacturer|maker|company|companies|vendors?)\b",
+    "share": r"(?i)\b(percent|percentage|share|ratio|potential)\b|[A-Za-z0-9_]%[A-Za-z0-9_]", "how many": r"(?i)\bhow many\b", "makers": r"(?i)\b(manufacturer|maker|company|companies|vendors?)\b",
 }
 
 
-def variants(canonical: Column) -> Column:
-    """Other forms of the query, each of which aims at one table of the corpus."""
-    has = {k: canonical.rlike(ascii_words(v)) for k, v in MENTIONS.items()}
+def mentions(canonical: Column) -> Column:
+    """What the query mentions, a flag each."""
+    return F.struct(*[canonical.rlike(ascii_words(v)).alias(k) for k, v in MENTIONS.items()])
+
+
+def variants(canonical: Column, has: Column) -> Column:
+    """Other forms of the query, each of which aims at one table of the corpus, by what it mentions."""
     when = {"maker and year": has["maker"] & has["year"], "maker and state": has["maker"] & has["state"], "maker alone": has["maker"] & ~has["year"] & ~has["state"], "mast": has["mast"], "share": has["share"], "how many makers": has["how many"] & has["makers"]}
     return F.array_compact(F.array(*[F.when(when[k], F.concat(F.lit(lead), canonical)) for k, lead in VARIANTS]))
 

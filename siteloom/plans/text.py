@@ -100,7 +100,8 @@ TAILS = [
 def query_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn of the conversations as a query with shorthand, rewritten, expanded and given variants."""
     tail = F.element_at(F.array(*[F.lit(t) for t in TAILS]), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(TAILS))) + 1).cast("int"))
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), tail).alias("q")).withColumn("canonical", tx.rewrite(F.col("q"))).withColumn("variants", tx.variants(F.col("canonical")))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), tail).alias("q"))
+    rows = rows.withColumn("stated", tx.with_states(F.col("q"))).withColumn("canonical", tx.mended(F.col("stated"))).withColumn("has", tx.mentions(F.col("canonical"))).withColumn("variants", tx.variants(F.col("canonical"), F.col("has")))
     md5 = lambda c: F.md5(c.cast("binary"))
     return rows.select("conv_id", "turn", md5(F.col("canonical")).alias("canonical_md5"), md5(tx.expanded(F.col("canonical"))).alias("expanded_md5"), F.size("variants").alias("variants"), md5(F.array_join("variants", "|")).alias("variants_md5"), (F.col("q") != F.col("canonical")).alias("changed"))
 

@@ -84,7 +84,7 @@ def test_rated_power(spark, raw, want):
 
 def test_voltage_and_rewrite(spark):
     assert one(spark, text.max_voltage(F.lit("33; abc;132.0;-5"))) == 132.0
-    assert one(spark, text.rewrite(F.lit("masts in MP or gujrat, not AMP"))) == "masts in Madhya Pradesh or Gujarat, not AMP"
+    assert one(spark, text.mended(text.with_states(F.lit("masts in MP or gujrat, not AMP")))) == "masts in Madhya Pradesh or Gujarat, not AMP"
     assert one(spark, text.strip_html(F.lit("<p>a &amp; b</p><script>x</script>"))) == "a & b"
 
 
