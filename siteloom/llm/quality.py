@@ -172,7 +172,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
     chosen = marked.orderBy(F.xxhash64(F.lit(11), "id"), "label").limit(train_rows)
     size = F.col(chars).cast("double") if chars else F.length(text).cast("double")
     wanted = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(size, F.lit(0.0)).alias("chars"))
-    sample = wanted.join(F.broadcast(chosen), "id").select("label", "text", "chars", F.xxhash64(F.lit(11), "id", "text").alias("h")).orderBy("h", "label").limit(train_rows)
+    sample = wanted.join(F.broadcast(chosen), "id").select("label", "text", "chars", F.xxhash64(F.lit(11), "id", "text").alias("h"))
     schema = struct_of(label=T.DoubleType(), h=T.LongType(), ids=T.ArrayType(T.IntegerType()), weights=T.ArrayType(T.FloatType()), stats=T.ArrayType(T.DoubleType()))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,8 +181,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
             lists = lambda v, kind: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(v, kind))
             yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("h"), lists(ids.astype(np.int32), pa.int32()), lists(weight.astype(np.float32), pa.float32()), pa.array(list(stats), pa.list_(pa.float64()))], names=schema.names)
 
-    # One sample's features: train_rows documents, however large the tables.
-    found = sample.mapInArrow(encode, schema).toArrow().sort_by([("h", "ascending"), ("label", "ascending")])
+    # One sample's features: train_rows documents of at most WORD_BUCKETS words each, however large the tables and long the texts.
+    found = sample.mapInArrow(encode, schema).orderBy("h", "label").limit(train_rows).toArrow().sort_by([("h", "ascending"), ("label", "ascending")])
     if not found.num_rows:
         return None
     rows = list(zip(*[[np.asarray(x.values, d) for x in found.column(c)] for c, d in (("ids", np.int64), ("weights", float), ("stats", float))], strict=True))
