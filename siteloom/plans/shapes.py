@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siteloom.functions.geo import sql_lat, sql_lon, synthetic_lat, synthetic_lon
 from siteloom.functions.numeric import half_up
 from siteloom.operators import shapes
+from siteloom.operators.ranking import quantiles
 from siteloom.plans.tables import table
 
 # Corner offsets, in degrees, of the shapes that the sample areas take in turn: a square, a bow tie, a line, a square with repeats, one too large, one too small.
@@ -76,9 +77,8 @@ def layout_footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quantile_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """101 quantiles of all valid pixels at three decimals."""
-    steps = F.array(*[F.lit(i / 100) for i in range(101)])
-    found = table(spark, sf_dir, "part").where("p_retailprice > 0").agg(F.percentile(F.col("p_retailprice"), steps).alias("q"))
-    return found.select(F.posexplode("q").alias("percent", "v")).select("percent", half_up(F.col("v"), 3).alias("value"))
+    found = quantiles(table(spark, sf_dir, "part").where("p_retailprice > 0"), "p_retailprice", [i / 100 for i in range(101)])
+    return found.select(F.floor(F.col("share") * 100 + 0.5).cast("int").alias("percent"), half_up(F.col("p_retailprice"), 3).alias("value"))
 
 
 QUANTILE_SQL = """

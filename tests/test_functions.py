@@ -166,3 +166,20 @@ def test_mast_labels_give_place_names(spark):
     rows = spark.createDataFrame([(k,) for k in want], "label string")
     got = {r["label"]: (r["name"], r["h"]) for r in rows.select("label", labels.display_name(F.col("label")).alias("name"), labels.height_m(F.col("label")).alias("h")).collect()}
     assert got == want
+
+
+def test_quantiles_are_exact_with_repeats(spark):
+    import random
+
+    import numpy as np
+
+    from siteloom.operators.ranking import quantiles
+
+    rng = random.Random(3)
+    values = [float(rng.choice([1.5, 1.5, 7.25, rng.uniform(-50, 900)])) for _ in range(700)] + [5e6]
+    rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    shares = [0.0, 0.1, 0.25, 0.333, 0.5, 0.999, 1.0]
+    got = {r["share"]: r["v"] for r in quantiles(rows, "v", shares, stretches=16).collect()}
+    assert all(abs(got[s] - np.percentile(values, s * 100)) < 1e-6 for s in shares)
+    same = {r["share"]: r["v"] for r in quantiles(spark.createDataFrame([(2.0,)] * 5, "v double"), "v", [0.0, 0.5, 1.0]).collect()}
+    assert set(same.values()) == {2.0} and len(same) == 3
