@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from siteloom.functions.numeric import half_up
-from siteloom.operators.ranking import if_small
+from siteloom.operators.search import holding
 from siteloom.operators.vectors import best_by_cosine
 from siteloom.plans.tables import table
 
@@ -47,16 +47,12 @@ SELECT doc_id, 'hit' AS kind, n_chars AS score FROM h UNION ALL SELECT doc_id, '
 
 
 def retrieval_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every benchmark needle, in how many documents its text stands, white space and case aside.
-
-    The needles are broadcast if their number allows it; else every part of
-    the documents meets every part of the needles.
-    """
+    """For every benchmark needle, in how many documents its text stands, white space and case aside."""
     plain = lambda c: F.regexp_replace(F.lower(c), "[ \\t\\r\\n]+", "")
-    needles = table(spark, sf_dir, "benchmark").select("item_id", plain(F.col("text")).alias("needle"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", plain(F.col("text")).alias("hay"))
-    found = docs.join(if_small(needles), F.col("hay").contains(F.col("needle"))).groupBy("item_id").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"))
-    return needles.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("docs", F.lit(0)).alias("docs"), "first", F.col("docs").isNotNull().alias("hit"))
+    needles = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), plain(F.col("text")).alias("needle"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), plain(F.col("text")).alias("text"))
+    found = holding(docs, needles).groupBy(F.col("item").alias("item_id")).agg(F.count("*").alias("docs"), F.min("id").alias("first"))
+    return needles.select(F.col("item").alias("item_id")).join(found, "item_id", "left").select("item_id", F.coalesce("docs", F.lit(0)).alias("docs"), "first", F.col("docs").isNotNull().alias("hit"))
 
 
 HIT_SQL = """

@@ -183,3 +183,15 @@ def test_quantiles_are_exact_with_repeats(spark):
     assert all(abs(got[s] - np.percentile(values, s * 100)) < 1e-6 for s in shares)
     same = {r["share"]: r["v"] for r in quantiles(spark.createDataFrame([(2.0,)] * 5, "v double"), "v", [0.0, 0.5, 1.0]).collect()}
     assert set(same.values()) == {2.0} and len(same) == 3
+
+
+@pytest.mark.parametrize("most", [50_000, 2])
+def test_needles_are_found_wherever_they_stand(spark, monkeypatch, most):
+    from siteloom.operators import search
+
+    monkeypatch.setattr(search, "MOST_NEEDLES", most)
+    long = "x" * 40
+    needles = [(1, "ab"), (2, "aba"), (3, ""), (4, long + "1"), (5, long + "2"), (6, "ab"), (7, None)]
+    texts = [(1, "cababa"), (2, "xx" + long + "2"), (3, None), (4, ""), (5, long)]
+    got = {tuple(r) for r in search.holding(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(needles, "item long, needle string")).collect()}
+    assert got == {(i, t) for i, n in needles for t, x in texts if n is not None and x is not None and n in x}
