@@ -21,7 +21,7 @@ def elevation_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masts with the height of their coordinates, met by a key of six decimals; heights are known on a grid of half degrees, and some are missing."""
     grid = spark.range(ROWS * COLUMNS).select(F.floor(F.col("id") / COLUMNS).alias("r"), F.pmod("id", F.lit(COLUMNS)).alias("c"))
     key = lambda lon, lat: F.format_string("%.6f|%.6f", lon, lat)
-    heights = grid.select(key(F.lit(LON0) + F.col("c") * STEP, F.lit(LAT0) + F.col("r") * STEP).alias("key"), (F.pmod(F.col("r") * 37 + F.col("c") * 11, F.lit(900)) * 1.5).alias("metres")).where("(r * 7 + c) % 13 != 0")
+    heights = grid.select(key(F.lit(LON0) + F.col("c") * STEP, F.lit(LAT0) + F.col("r") * STEP).alias("key"), F.when((F.col("r") * 7 + F.col("c")) % 13 != 0, F.pmod(F.col("r") * 37 + F.col("c") * 11, F.lit(900)) * 1.5).alias("metres"))
     k = F.col("c_custkey")
     lon, lat = F.lit(LON0) + F.pmod(k * 3, F.lit(COLUMNS)) * STEP, F.lit(LAT0) + F.pmod(k * 5, F.lit(ROWS)) * STEP
     masts = table(spark, sf_dir, "customer").select(k.alias("mast"), key(lon + F.when(k % 10 == 0, 0.0000004).when(k % 10 == 1, 0.00001).otherwise(0.0), lat).alias("key"))

@@ -170,23 +170,23 @@ SELECT p_brand, count(*) AS n, count(kw) AS rated, count(start) AS dated, floor(
   SELECT p_brand, p_partkey // 3 AS osm_id, CASE WHEN p_partkey % 4 <> 0 THEN p_size * 100.0::DOUBLE END AS kw, CASE WHEN p_partkey % 5 <> 0 THEN p_type END AS start FROM part) GROUP BY 1
 """
 
-TTL_HOURS, NOW = 48, "2024-02-01 00:00:00"
+TTL_HOURS, SIDE = 48, 256  # tiles of zoom 8
 
 
 def tile_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a cache answers for each tile asked for: its newest entry while fresh, a stale one where fetching failed, else a fetch; and the tiles still to seed."""
     k = F.col("event_id")
-    tile = F.concat_ws("/", F.lit("6"), F.pmod(k * 3, F.lit(64)).cast("int"), F.pmod(F.floor(k / 5), F.lit(64)).cast("int"))
+    tile = F.concat_ws("/", F.lit("8"), F.pmod(k * 3, F.lit(SIDE)).cast("int"), F.pmod(F.floor(k / 5), F.lit(SIDE)).cast("int"))
     age = F.pmod(k * 13, F.lit(200))
-    kept = table(spark, sf_dir, "events").where(k % 3 != 0).groupBy(tile.alias("tile")).agg(F.min(age).alias("age"))
-    cover = spark.range(64).select(F.col("id").alias("x")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(63)))).select(F.concat_ws("/", F.lit("6"), F.col("x").cast("int"), "y").alias("tile"), (F.pmod(F.col("x") + F.col("y"), F.lit(10)) == 0).alias("down"))
+    kept = table(spark, sf_dir, "events").groupBy(tile.alias("tile")).agg(F.min(age).alias("age"))
+    cover = spark.range(SIDE).select(F.col("id").alias("x")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1)))).select(F.concat_ws("/", F.lit("8"), F.col("x").cast("int"), "y").alias("tile"), (F.pmod(F.col("x") + F.col("y"), F.lit(10)) == 0).alias("down"))
     state = F.when(F.col("age") < TTL_HOURS, "hit").when(F.col("age").isNotNull() & F.col("down"), "stale").when(F.col("down"), "unavailable").otherwise("fetch")
     return cover.join(kept, "tile", "left").groupBy(state.alias("state")).agg(F.count("*").alias("tiles"), F.count(F.when(F.col("age").isNull(), 1)).alias("to_seed"), F.max("age").alias("oldest"))
 
 
 CACHE_SQL = f"""
-WITH k AS (SELECT '6/' || (event_id * 3 % 64) || '/' || (event_id // 5 % 64) AS tile, min(event_id * 13 % 200) AS age FROM events WHERE event_id % 3 <> 0 GROUP BY 1),
-c AS (SELECT '6/' || x || '/' || y AS tile, (x + y) % 10 = 0 AS down FROM range(64) AS a(x), range(64) AS b(y))
+WITH k AS (SELECT '8/' || (event_id * 3 % {SIDE}) || '/' || (event_id // 5 % {SIDE}) AS tile, min(event_id * 13 % 200) AS age FROM events GROUP BY 1),
+c AS (SELECT '8/' || x || '/' || y AS tile, (x + y) % 10 = 0 AS down FROM range({SIDE}) AS a(x), range({SIDE}) AS b(y))
 SELECT CASE WHEN age < {TTL_HOURS} THEN 'hit' WHEN age IS NOT NULL AND down THEN 'stale' WHEN down THEN 'unavailable' ELSE 'fetch' END AS state, count(*) AS tiles, count(*) - count(age) AS to_seed, max(age) AS oldest FROM c LEFT JOIN k USING (tile) GROUP BY 1
 """
 

@@ -83,7 +83,8 @@ def state_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     touched = F.array_distinct(F.array(F.col("s_nationkey"), F.when(k % 3 == 0, F.pmod(F.col("s_nationkey") + 1, F.lit(25)).cast("int")).otherwise(F.col("s_nationkey"))))
     rows = table(spark, sf_dir, "supplier").select(k.alias("site"), (F.pmod(k * 7, F.lit(60)) / F.lit(50.0)).alias("cf"), F.explode(touched).alias("state"))
-    factors = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("state"), F.col("n_name"), (F.lit(0.8) + F.col("n_nationkey") / F.lit(50.0)).alias("factor"))
+    has = F.col("n_nationkey") % 2 == 0  # the sample states that have a factor
+    factors = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("state"), F.when(has, F.col("n_name")).alias("n_name"), F.when(has, F.lit(0.8) + F.col("n_nationkey") / F.lit(50.0)).alias("factor"))
     met = rows.join(F.broadcast(factors), "state", "left").groupBy("site", "cf").agg(F.avg("factor").alias("mean"), F.array_join(F.array_sort(F.collect_list("n_name")), ", ").alias("basis"))
     factor = F.coalesce("mean", F.lit(1.0))
     return met.select("site", half_up(factor, 6).alias("factor"), half_up(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("cf") * factor)), 6).alias("calibrated"), F.col("mean").isNotNull().alias("known"), "basis")
@@ -153,7 +154,7 @@ def asof_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = F.col("event_id") % 2 == 0
     seen = e.withColumn("prior", F.last(F.when(~left, F.struct("event_id", "value")), ignorenulls=True).over(order)).where(left)
     mine = seen.groupBy("user_id").agg(F.count("*").alias("n"), F.count("prior").alias("matched"), half_up(F.sum("prior.value"), 2).alias("value"))
-    customers = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("customer"), "c_nationkey")
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer"), "c_nationkey")
     both = mine.join(customers, mine["user_id"] == customers["customer"], "full_outer")
     return both.select(F.coalesce("user_id", "customer").alias("key"), "n", "matched", "value", F.col("customer").isNotNull().alias("customer"), F.col("user_id").isNotNull().alias("active"))
 
@@ -161,7 +162,7 @@ def asof_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 ASOF_SQL = """
 WITH l AS (SELECT * FROM events WHERE event_id % 2 = 0), r AS (SELECT * FROM events WHERE event_id % 2 <> 0),
 p AS (SELECT l.event_id, l.user_id, arg_max(r.value, (r.ts, r.event_id)) AS value FROM l LEFT JOIN r ON r.user_id = l.user_id AND (r.ts, r.event_id) < (l.ts, l.event_id) GROUP BY 1, 2),
-m AS (SELECT user_id, count(*) AS n, count(value) AS matched, floor(sum(value) * 100 + 0.5) / 100 AS value FROM p GROUP BY 1), c AS (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)
+m AS (SELECT user_id, count(*) AS n, count(value) AS matched, floor(sum(value) * 100 + 0.5) / 100 AS value FROM p GROUP BY 1), c AS (SELECT c_custkey FROM customer)
 SELECT coalesce(user_id, c_custkey) AS key, n, matched, value, c_custkey IS NOT NULL AS customer, user_id IS NOT NULL AS active FROM m FULL OUTER JOIN c ON user_id = c_custkey
 """
 
