@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from siteloom.llm.common import WORD, staged
+from siteloom.llm.common import WORD, drop_staged, staged
 from siteloom.llm.ranks import ranked
 
 WEIGHTS = (3, 1, 2)
@@ -66,6 +66,7 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
     plan = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, most).withColumnRenamed("source", "named")
     with_plan = slim.join(plan, slim["source"].eqNullSafe(plan["named"])).drop("named")
     placed = ranked(with_plan, "source_rank", [F.col("size").desc(), F.col("id"), F.col("text_hash")], "size")
+    drop_staged(slim)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     start = F.floor(F.col("position") * rate + offset(F.col("source"), seed))
     end = F.floor((F.col("position") + 1) * rate + offset(F.col("source"), seed))
