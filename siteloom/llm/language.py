@@ -38,9 +38,9 @@ DICT_BYTES = 112 << 10  # that their texts may have together
 USUAL_BYTES = 4096  # longer texts are learned only after all that are not
 DEALS = 128  # groups of tasks that choose among themselves first
 BLOCK = 16 << 10
-LEVEL = 9
+LEVEL = 6
 MIN_BYTES = 2
-MIN_SHARE = 0.01
+MIN_SHARE = 0.003
 TEMPERATURE = 6.0
 UNKNOWN = "und"
 
