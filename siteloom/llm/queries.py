@@ -78,6 +78,28 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siteloom.llm.common import id_crc
+    from siteloom.llm.merkle import manifest
+
+    chosen = F.col("doc_id").isNotNull() & (F.pmod(id_crc("doc_id"), F.lit(2)) == 0)
+    without = F.when(chosen, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    found = manifest(table(spark, sf_dir, "documents"), tampered={"text": without})
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siteloom.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siteloom.llm.tokencount import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -164,9 +186,52 @@ FROM embeddings e JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
 """
 
 
+#: crc32 is not in DuckDB: its bits are shifted in one by one. A tree is kept as its levels, and a leaf's proof is what each level has beside its place.
+OP11_SQL = r"""
+WITH RECURSIVE c AS (
+  SELECT *, replace(text, chr(10), '') AS plain,
+    list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 1, 2, 3, 4, 5, 6, 7]), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)) AS crc
+  FROM documents
+), h AS (
+  SELECT doc_id, source,
+    sha256(array_to_string(list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), text], lambda v: coalesce(octet_length(encode(v)) || ':' || v, '-')), '')) AS leaf,
+    sha256(array_to_string(list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), CASE WHEN xor(crc, 4294967295::BIGINT) % 2 = 0 THEN plain ELSE text END], lambda v: coalesce(octet_length(encode(v)) || ':' || v, '-')), '')) AS seen
+  FROM c
+), leaves AS (
+  SELECT *, coalesce('=' || source, '-') AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY source) AS n FROM h
+), up AS (
+  SELECT tree, 0::BIGINT AS level, place, n, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, place // 3, (max(n) + 2) // 3, sha256(string_agg(digest, '' ORDER BY place)) FROM up WHERE n > 1 GROUP BY tree, level, place // 3
+), subroots AS (
+  SELECT tree, digest, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS n FROM up WHERE n = 1
+), top AS (
+  SELECT 1000::BIGINT AS level, place, n, digest FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 3, (max(n) + 2) // 3, sha256(string_agg(digest, '' ORDER BY place)) FROM top WHERE n > 1 GROUP BY level, place // 3
+), step AS (
+  SELECT tree, level, place, concat(lag(digest, 2) OVER r, lag(digest) OVER r) AS l, concat(lead(digest) OVER r, lead(digest, 2) OVER r) AS r FROM up WHERE n > 1 WINDOW r AS (PARTITION BY tree, level, place // 3 ORDER BY place)
+), top_step AS (
+  SELECT level, place, concat(lag(digest, 2) OVER r, lag(digest) OVER r) AS l, concat(lead(digest) OVER r, lead(digest, 2) OVER r) AS r FROM top WHERE n > 1 WINDOW r AS (PARTITION BY level, place // 3 ORDER BY place)
+), path AS (
+  SELECT x.tree, x.place, s.level, s.l, s.r FROM leaves x JOIN step s ON s.tree = x.tree AND s.place = x.place // CAST(pow(3, s.level) AS BIGINT)
+  UNION ALL
+  SELECT x.tree, x.place, s.level, s.l, s.r FROM leaves x JOIN subroots b ON b.tree = x.tree JOIN top_step s ON s.place = b.place // CAST(pow(3, s.level - 1000) AS BIGINT)
+), proof AS (
+  SELECT tree, place, list({'l': l, 'r': r} ORDER BY level) AS steps, string_agg(concat(l, r), '' ORDER BY level) AS siblings FROM path GROUP BY tree, place
+), folded AS (
+  SELECT x.*, b.digest AS subroot, (SELECT digest FROM top WHERE n = 1) AS root, sha256(coalesce(siblings, '')) AS proof_sha256,
+    list_reduce(list_prepend({'l': seen, 'r': ''}, coalesce(steps, [])), lambda a, s: {'l': sha256(concat(s.l, a.l, s.r)), 'r': ''}).l AS folded_root
+  FROM leaves x JOIN subroots b USING (tree) LEFT JOIN proof p ON p.tree = x.tree AND p.place = x.place
+)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_fm, op3_simhash_near_dedup, op4_mixing, op5_warc, op6_exact_topk, op7_language_id, op8_embedding_near_dedup, op9_sharding, op10_packing)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_fm, op3_simhash_near_dedup, op4_mixing, op5_warc, op6_exact_topk, op7_language_id, op8_embedding_near_dedup, op9_sharding, op10_packing, op11_merkle_manifest, op12_whitening, op13_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op4_mixing": OP4_SQL, "op5_warc": OP5_SQL, "op6_exact_topk": OP6_SQL, "op8_embedding_near_dedup": OP8_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op4_mixing": OP4_SQL, "op5_warc": OP5_SQL, "op6_exact_topk": OP6_SQL, "op8_embedding_near_dedup": OP8_SQL, "op11_merkle_manifest": OP11_SQL}
