@@ -8,10 +8,11 @@ when the runner-up's output is within ``MIN_BYTES`` bytes or ``MIN_SHARE`` of
 the best one's.
 
 The learned sample is bounded in rows: of each language at most
-``DOCS_PER_LANGUAGE`` rows in the order of a hash, those of up to
-``USUAL_BYTES`` first, as long as their whole texts together stay within
-``DICT_BYTES``; no text is cut. A language whose every text is longer than
-that learns from its first one alone.
+``DOCS_PER_LANGUAGE`` in the order of a hash. Texts of up to ``USUAL_BYTES``
+come first, longer ones only where a language has too few of those, and none
+over what the rows may have together, ``DOCS_PER_LANGUAGE * USUAL_BYTES``
+bytes (640 KB): that bounds what is broadcast. No text is cut. A language all of
+whose texts are longer than that is not learned.
 
 Null, empty and letterless texts are ``und`` with score 0 and are rejected.
 Ties go to the first language by code point and are rejected. Rows without a
@@ -33,14 +34,14 @@ from pyspark.sql import Window as W
 
 from siteloom.llm.common import id_crc, rebatched, struct_of
 
-DOCS_PER_LANGUAGE = 300  # learned rows per language at most
-DICT_BYTES = 112 << 10  # that their texts may have together
-USUAL_BYTES = 4096  # longer texts are learned only after all that are not
+DOCS_PER_LANGUAGE = 160  # learned rows per language at most
+USUAL_BYTES = 4096  # of a text that teaches before longer ones do
+MOST_BYTES = DOCS_PER_LANGUAGE * USUAL_BYTES  # of a language's dictionary
 DEALS = 128  # groups of tasks that choose among themselves first
 BLOCK = 16 << 10
-LEVEL = 6
+LEVEL = 12
 MIN_BYTES = 2
-MIN_SHARE = 0.003
+MIN_SHARE = 0.01
 TEMPERATURE = 6.0
 UNKNOWN = "und"
 
@@ -58,9 +59,9 @@ def learn(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang:
     chosen rows bring their text.
     """
     size, mark = F.octet_length(text), F.xxhash64(F.lit(5), F.col(id_column), F.col(text))
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & ~held_out(id_column))
+    rows = docs.where(F.col(lang).isNotNull() & (size <= MOST_BYTES) & F.col(text).rlike(r"\p{L}") & ~held_out(id_column))
     rows = rows.select(F.col(lang).alias("lang"), mark.alias("h"), size.alias("bytes"), F.col(text).alias("text"))
-    order = (F.col("bytes") > USUAL_BYTES, F.col("bytes") > DICT_BYTES, "h", "bytes")
+    order = (F.col("bytes") > USUAL_BYTES, "h", "bytes")
 
     def first(of: DataFrame, *key: str) -> DataFrame:
         return of.withColumn("n", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where(F.col("n") <= DOCS_PER_LANGUAGE)
@@ -69,7 +70,7 @@ def learn(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang:
     dealt = rows.select("lang", "h", "bytes").withColumn("deal", F.pmod(F.spark_partition_id(), F.lit(DEALS)))
     ranked = first(first(dealt, "lang", "deal").drop("n"), "lang")
     total = F.sum(F.col("bytes") + 1).over(W.partitionBy("lang").orderBy("n"))
-    chosen = ranked.withColumn("total", total).where((F.col("total") <= DICT_BYTES + 1) | (F.col("n") == 1)).select("lang", "h", "n").collect()
+    chosen = ranked.withColumn("total", total).where(F.col("total") <= MOST_BYTES + F.col("n")).select("lang", "h", "n").collect()
     wanted = sorted({row["h"] for row in chosen})  # DOCS_PER_LANGUAGE numbers a language at most
     if not wanted:
         return {}
@@ -103,38 +104,50 @@ def sizes(dictionaries: dict[str, bytes], text: str) -> list[int]:
     return [sum([len(model.compress(b)) for b in blocks]) for model in _models(dictionaries)]
 
 
-def judge(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text") -> DataFrame:
-    """``row``, a struct of all columns of ``docs``, beside lang_pred, lang_score and lang_rejected."""
-    names = list(dictionaries)
+def judge(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """``row``, a struct of the columns ``carry`` (all) beside lang_pred, lang_score and lang_rejected.
+
+    A text goes to Python once, and comes back only if it is carried.
+    """
+    names, carry = list(dictionaries), docs.columns if carry is None else carry
     model = docs.sparkSession.sparkContext.broadcast(dictionaries)
+    others, back = [c for c in carry if c != text], text in carry
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text).alias("text"), letters.alias("letters"))
-    schema = T.StructType([rows.schema["row"], *struct_of(lang_pred=T.StringType(), lang_score=T.DoubleType(), lang_rejected=T.BooleanType())])
+    rows = docs.select(F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others))).alias("own"), F.col(text).alias("text"), letters.alias("letters"))
+    schema = T.StructType([rows.schema["own"], *([rows.schema["text"]] if back else []), *struct_of(lang_pred=T.StringType(), lang_score=T.DoubleType(), lang_rejected=T.BooleanType())])
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rebatched(batches, 16 << 20):
             pred, score, rejected = [], [], []
-            for value, known in zip(batch.column("text").to_pylist(), batch.column("letters").to_pylist(), strict=True):
+            for value, known in zip(batch.column("text"), batch.column("letters").to_pylist(), strict=True):
                 if not known or not names:
                     pred.append(UNKNOWN)
                     score.append(0.0)
                     rejected.append(True)
                     continue
-                found = sizes(model.value, value)
-                best = int(np.argmin(found))
-                rest = sorted(found)
+                best, share, unsure = verdict(sizes(model.value, value.as_py()))
                 pred.append(names[best])
-                score.append(float(1 / np.exp((min(found) - np.asarray(found, float)) / TEMPERATURE).sum()))
-                rejected.append(len(rest) > 1 and rest[1] - rest[0] < max(MIN_BYTES, MIN_SHARE * rest[0]))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=schema.names)
+                score.append(share)
+                rejected.append(unsure)
+            yield pa.RecordBatch.from_arrays([batch.column("own"), *([batch.column("text")] if back else []), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=schema.names)
+
+    found = rows.mapInArrow(classify, schema)
+    fields = [F.col("text").alias(c) if c == text else F.col("own")[f"c{others.index(c)}"].alias(c) for c in carry]
+    return found.select(F.struct(*fields).alias("row"), "lang_pred", "lang_score", "lang_rejected")
+
 
-    return rows.mapInArrow(classify, schema)
+def verdict(found: list[int]) -> tuple[int, float, bool]:
+    """Of the compressed sizes: which is least (of equal ones the first), its share, and whether the next is too near."""
+    best, rest = int(np.argmin(found)), sorted(found)
+    share = float(1 / np.exp((rest[0] - np.asarray(found, float)) / TEMPERATURE).sum())
+    return best, share, len(rest) > 1 and rest[1] - rest[0] < max(MIN_BYTES, MIN_SHARE * rest[0])
 
 
-def predict(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, lang_score and lang_rejected."""
+def predict(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """``docs``, or its columns ``carry``, with lang_pred, lang_score and lang_rejected."""
     found = ("lang_pred", "lang_score", "lang_rejected")
-    return judge(docs, dictionaries, text).select(*(F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in found), *found)
+    kept = [c for c in (docs.columns if carry is None else carry) if c.lower() not in found]
+    return judge(docs, dictionaries, text, kept).select(*(F.col("row")[c].alias(c) for c in kept), *found)
 
 
 def sure(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", lang: str = "lang") -> DataFrame:
@@ -144,5 +157,5 @@ def sure(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", la
 
 
 def identify(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Learn from the rows that are not held out and predict every row."""
-    return predict(docs.select(id_column, text), learn(docs, id_column, text, lang), text)
+    """Learn from the rows that are not held out and predict every row: its id and the prediction."""
+    return predict(docs.select(id_column, text), learn(docs, id_column, text, lang), text, [id_column])

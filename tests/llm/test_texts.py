@@ -1,6 +1,7 @@
 """Substring dedup, SimHash, mixing, sharding, packing, language and quality on awkward and small random tables."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -292,6 +293,25 @@ def test_shards_are_balanced_and_written_whole(spark, tmp_path):
     assert {(r["doc_id"], r["text"]) for r in back.collect()} == {(r["doc_id"], r["text"]) for r in docs.collect()}
 
 
+def test_repeated_rows_are_written_to_slots_of_their_own(spark, awkward, tmp_path):
+    docs = awkward.unionByName(awkward).unionByName(awkward.where("doc_id = 2").withColumn("lang", F.lit("zz"))).withColumn("shard", F.lit(9))
+    sharding.write_shards(docs, str(tmp_path / "out"), n_shards=5)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == docs.count() and back.select("shard", "slot").distinct().count() == docs.count()
+    assert Counter((r["doc_id"], r["text"], r["lang"]) for r in back.collect()) == Counter((r["doc_id"], r["text"], r["lang"]) for r in docs.collect())
+    assert Counter((r["shard"], r["slot"]) for r in back.collect()) == Counter((r["shard"], r["slot"]) for r in sharding.shards(docs, n_shards=5).collect())
+
+
+def test_a_context_whose_text_has_many_copies_is_extended_once(spark):
+    rng = random.Random(17)
+    shared, other = words(rng, 60), words(rng, 45)
+    # One anchor in two contexts: the copies' own, and one that stands alone.
+    rows = [" ".join(words(random.Random(18), 20) + shared)] * 40 + [" ".join(other + shared[:40] + words(rng, 30))]
+    docs = docs_of(spark, rows)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring.digest(docs).collect()}
+    assert all(got[i] == (80, 80) for i in range(40)) and got[40] == (115, 40)
+
+
 # --- packing
 
 
@@ -382,7 +402,10 @@ def test_dictionaries_hold_whole_texts_within_the_bound(spark):
     found = language.learn(docs)
     texts = {t.lower().encode() for _, t, *_ in rows}
     assert set(found) == {"de", "en"} and all(x in texts for d in found.values() for x in d.split(b"\n"))
-    assert 90 << 10 < len(found["en"]) <= language.DICT_BYTES and found["de"].decode().strip("ß") == ""
+    assert 90 << 10 < len(found["en"]) <= language.MOST_BYTES + language.DOCS_PER_LANGUAGE and found["de"].decode().strip("ß\n") == ""
+    assert all(len(d.split(b"\n")) <= language.DOCS_PER_LANGUAGE for d in found.values())
+    long = spark.createDataFrame([(2000, "ñ" * language.MOST_BYTES, "es")], "doc_id long, text string, lang string")
+    assert set(language.learn(docs.select("doc_id", "text", "lang").unionByName(long))) == {"de", "en"}  # too long to be broadcast
     assert language.learn(docs.repartition(5)) == found
 
 
@@ -397,6 +420,51 @@ def test_language_rejects_long_texts_of_no_language(spark):
     assert got[0]["lang_rejected"] and not got[1]["lang_rejected"] and got[1]["lang_pred"] == "de"
 
 
+def plain_verdict(dictionaries, text):
+    """Language, score and rejection of one text, by the law written out."""
+    import zstandard
+
+    if text is None or not any(c.isalpha() for c in text) or not dictionaries:
+        return "und", 0.0, True
+    found = {}
+    for lang, content in dictionaries.items():
+        data, total = text.lower().encode(), 0
+        while data:
+            own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            own.precompute_compress(level=12)
+            total += len(zstandard.ZstdCompressor(level=12, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False).compress(data[:16384]))
+            data = data[16384:]
+        found[lang] = total
+    first = min(found.values())
+    near = sorted(found.values())
+    score = 1 / sum(math.exp((first - v) / 6) for v in found.values())
+    return min(k for k, v in found.items() if v == first), score, len(near) > 1 and near[1] - first < max(2, 0.01 * first)
+
+
+def test_language_equals_a_plain_loop(spark, awkward):
+    docs = spoken(spark, 60)
+    learned = language.learn(docs)
+    learned["aa"] = learned["de"]  # equal sizes always: the first one wins, and is rejected
+    learned = dict(sorted(learned.items()))
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(r["doc_id"], r["text"]) for r in awkward.collect()]
+    got = Counter((r["doc_id"], r["lang_pred"], round(r["lang_score"], 9), r["lang_rejected"]) for r in language.predict(spark.createDataFrame(rows, "doc_id long, text string"), learned, carry=["doc_id"]).collect())
+    want = Counter((i, p, round(s, 9), r) for i, t in rows for p, s, r in [plain_verdict(learned, t)])
+    assert got == want
+    assert any(k[1] == "aa" for k in got) and all(k[3] for k in got if k[1] == "aa") and not any(k[1] == "de" for k in got)
+
+
+LARGER = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="test tables are not here")
+def test_language_accuracy_of_short_texts_too(spark):
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet")
+    got = language.identify(docs).join(docs.select("doc_id", "lang", F.length("text").alias("chars")), "doc_id").where(language.held_out("doc_id") & F.col("lang").isNotNull()).toPandas()
+    right = got["lang"] == got["lang_pred"]
+    assert len(got) > 2000 and right.mean() >= 0.994
+    assert right[got["chars"] < 400].mean() >= 0.95
+
+
 def test_language_on_awkward_rows(spark, awkward, empty):
     learned = language.learn(spoken(spark))
     got = language.predict(awkward, learned)
@@ -436,6 +504,40 @@ def test_quality_beats_the_base_rate_on_the_fixture_labels(spark):
     assert len(found) > 100 and right.mean() >= base + 0.06 and right[found["quality"] == 0].mean() >= 0.8
 
 
+def plain_score(model, text, chars):
+    """A document's score from its text, one feature and one pair at a time."""
+    data, ws = (text or "").encode(), re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    counts = Counter(zlib.crc32(w.lower().encode()) % quality.WORD_BUCKETS for w in ws)
+    weights = {i: 1 + math.log(n) for i, n in counts.items()}
+    norm = math.sqrt(sum(x * x for x in weights.values()))
+    features = [(i, x / max(norm, 1e-9)) for i, x in weights.items()]
+    size, n = max(1, len(data)), max(1, len(ws))
+    marks = "!#$%&*|{}[]<>=_/@\"',.;:-"
+    kinds = [*[lambda b, m=m: b == ord(m) for m in marks], lambda b: 65 <= b <= 90, lambda b: 48 <= b <= 57, lambda b: b in (10, 11, 12, 13), lambda b: b in (9, 32), lambda b: b >= 128]
+    shares = [math.sqrt(sum(map(k, data)) / size) for k in kinds]
+    shares.append(math.sqrt(sum(not any(k(b) for k in kinds) for b in data) / size))
+    more = [math.log1p(len(data)) / 14, math.log1p(len(ws)) / 12, math.log1p(len(data) / n) / 4, len(set(ws)) / n, sum(a == b for a, b in zip(ws, ws[1:])) / n]
+    stats = [*(shares + more)[: quality.STATS], math.log1p(max(chars or 0, 0)) / 14]
+    for j, v in enumerate(stats):
+        features.append((quality.WORD_BUCKETS + j * quality.BINS + int(np.searchsorted(model["cuts"][j], v, side="right")), 1 / math.sqrt(len(stats))))
+    z = model["b"] + sum(model["w"][i] * x for i, x in features)
+    for a, (i, x) in enumerate(features):
+        for j, y in features[:a]:
+            z += float(model["v"][i].astype(float) @ model["v"][j].astype(float)) * x * y
+    return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+
+def test_quality_scores_equal_a_plain_scorer(spark, awkward):
+    rng = random.Random(16)
+    rows = [(i, " ".join((w.upper() + "!!" if i % 3 == 0 else w) for w in words(rng, 60, 300)), rng.randrange(500)) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    model = quality.learn(docs, spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(120)], "doc_id long, quality int"))
+    both = docs.where("doc_id < 20").unionByName(awkward.where("doc_id <> 11 OR doc_id IS NULL").select("doc_id", "text", "n_chars"))
+    got = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, round(r["score"], 4)) for r in quality.score(both, model).collect()))
+    want = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, round(plain_score(model, r["text"], r["n_chars"]), 4)) for r in both.collect()))
+    assert len(got) == len(want) and all(a[:2] == b[:2] and abs(a[2] - b[2]) < 2e-3 for a, b in zip(got, want, strict=True))
+
+
 def test_sum_of_squares_identity():
     rng = np.random.default_rng(0)
     size = quality.WORD_BUCKETS
