@@ -164,7 +164,8 @@ def spans(docs: DataFrame, text: str, length: int, gram: int) -> DataFrame:
             own = pa.array(doc)
             yield pa.RecordBatch.from_arrays([_array(words.run(0, start, length).view(np.int64), pa.int64()), _array(words.run(1, start, length).view(np.int64), pa.int64()), batch.column("k1").take(own), batch.column("k2").take(own), _array(first, pa.int32()), pa.array(alone, pa.bool_())], names=window_schema.names)
 
-    windows = staged(keyed.join(todo, ["k1", "k2"]).select("k1", "k2", "text", "todo").mapInArrow(extend, window_schema))
+    # One row a text, however many copies it has.
+    windows = staged(keyed.join(todo, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("k1", "k2", "text", "todo").mapInArrow(extend, window_schema))
     drop_staged(todo)
     at = F.struct("k1", "k2", "first")
     shared = windows.groupBy("w1", "w2").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a != b").select("w1", "w2")
