@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,7 @@ from siteloom.functions.geo import EARTH_KM
 #: What a ring is to its group: it covers, only what lies in it counts, or what lies in it does not count.
 ZONE, WINDOW, HOLE = "zone", "window", "hole"
 CROWD = 64  # pieces of a cell above which it is cut again
+PIECES = 1 << 19  # of edges that a sweep holds at once, about
 FINEST = 6  # a cell's sides are halved as often as that at most
 
 
@@ -60,8 +61,9 @@ def pieces_of(ring: np.ndarray, size: float) -> Iterator[tuple[int, int, np.ndar
 
 
 def _cut(rings: DataFrame, cell: float) -> DataFrame:
-    """``rings`` (xs, ys, halvings and more) cut to the cells of ``cell`` degrees, halved so often, that they touch, as cx, cy."""
-    others = [c for c in rings.columns if c not in ("xs", "ys", "cx", "cy")]
+    """``rings`` (xs, ys, halvings and more), cut to their ``box`` if they have one and to the cells of ``cell`` degrees, halved so often, that they touch, as cx, cy."""
+    boxed = "box" in rings.columns
+    others = [c for c in rings.columns if c not in ("xs", "ys", "cx", "cy", "box")]
     schema = T.StructType([*(rings.schema[c] for c in others), *(T.StructField(c, T.LongType()) for c in ("cx", "cy")), *(T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("xs", "ys"))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,6 +74,12 @@ def _cut(rings: DataFrame, cell: float) -> DataFrame:
                 sizes = cell / 2.0 ** batch.column("halvings").to_numpy()
                 for i, (x, y) in enumerate(zip(batch.column("xs"), batch.column("ys"), strict=True)):
                     ring = np.stack([x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)], axis=1)
+                    if boxed:
+                        box = batch.column("box")[i].values.to_numpy()
+                        for axis in (0, 1):
+                            ring = half(half(ring, axis, box[axis], True), axis, box[axis + 2], False)
+                        if len(ring) < 3:
+                            continue
                     for cx, cy, piece in pieces_of(ring, sizes[i]):
                         of.append(i)
                         cxs.append(cx)
@@ -81,7 +89,7 @@ def _cut(rings: DataFrame, cell: float) -> DataFrame:
                 kept = batch.select(others).take(pa.array(of, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(cxs, pa.int64()), pa.array(cys, pa.int64()), pa.array(xs, pa.list_(pa.float64())), pa.array(ys, pa.list_(pa.float64()))], names=schema.names)
 
-    return rings.select(*others, "xs", "ys").mapInArrow(cut, schema)
+    return rings.select(*others, "xs", "ys", *(["box"] if boxed else [])).mapInArrow(cut, schema)
 
 
 def covered_km2(parts: DataFrame, keys: list[str], cell: float, within: bool = False) -> DataFrame:
@@ -96,6 +104,9 @@ def covered_km2(parts: DataFrame, keys: list[str], cell: float, within: bool = F
     flat = parts.where(usable).select(*keys, "role", "polygon", F.transform("ring", lambda p: p["x"].cast("double")).alias("xs"), F.transform("ring", lambda p: p["y"].cast("double")).alias("ys"))
     one = flat.groupBy(*keys, "role", "polygon").agg(F.sort_array(F.collect_list(F.struct("xs", "ys"))).alias("rings"))
     one = one.dropDuplicates([*keys, "role", "rings"]).withColumn("ring", F.explode("rings")).select(*keys, "role", "polygon", F.col("ring.xs").alias("xs"), F.col("ring.ys").alias("ys"), F.lit(0).alias("halvings"))
+    if within:  # nothing beyond the windows' box counts
+        ends = [F.min(F.array_min("xs")), F.min(F.array_min("ys")), F.max(F.array_max("xs")), F.max(F.array_max("ys"))]
+        one = one.join(one.where(F.col("role") == WINDOW).groupBy(*keys).agg(F.array(*ends).alias("box")), keys)
     coarse = _cut(one, cell)
     place = [*keys, "cx", "cy"]
     counts = coarse.groupBy(*place).agg(F.count("*").alias("pieces"), F.count_if(F.col("role") == ZONE).alias("zones"), F.count_if(F.col("role") == WINDOW).alias("windows"))
@@ -156,25 +167,57 @@ def swept(edges: np.ndarray, polygon: np.ndarray, role: np.ndarray, within: bool
     edges = np.where(back[:, None], edges[:, [2, 3, 0, 1]], edges)
     upright = edges[:, 0] == edges[:, 2]
     edges, polygon, role = edges[~upright], polygon[~upright], role[~upright]
+    if not len(edges):
+        return 0.0
     cuts = np.unique(np.concatenate((edges[:, 0], edges[:, 2], crossings(edges))))
     ax, ay, bx, by = edges.T
     slope = (by - ay) / (bx - ax)
-    total = 0.0
-    for x0, x1 in zip(cuts, cuts[1:], strict=False):
-        own = np.flatnonzero((ax <= x0) & (bx >= x1))
-        if not len(own):
-            continue
-        y0, y1 = ay[own] + slope[own] * (x0 - ax[own]), ay[own] + slope[own] * (x1 - ax[own])
-        order = np.argsort(y0 + y1, kind="stable")
-        own, y0, y1 = own[order], y0[order], y1[order]
-        by_polygon = np.argsort(polygon[own], kind="stable")
-        same = polygon[own][by_polygon]
-        first = np.concatenate(([True], same[1:] != same[:-1]))
-        place = np.arange(len(own)) - np.maximum.accumulate(np.where(first, np.arange(len(own)), 0))
-        sign = np.empty(len(own), int)
-        sign[by_polygon] = np.where(place % 2 == 0, 1, -1)
-        depth = [np.cumsum(sign * (role[own] == k)) for k in range(3)]
-        inside = (depth[0] > 0) & (depth[2] == 0) & ((depth[1] > 0) | (not within))
-        heights = below(x0, y0, x1, y1)
-        total += float((heights[1:] - heights[:-1])[inside[:-1]].sum())
+    first, last = np.searchsorted(cuts, ax), np.searchsorted(cuts, bx)
+    # Strips are taken some at a time, so that the pieces of edges in them stay bounded.
+    change = np.zeros(len(cuts), np.int64)
+    np.add.at(change, first, 1)
+    np.add.at(change, last, -1)
+    pieces = np.cumsum(np.cumsum(change))
+    total, start = 0.0, 0
+    while start < len(cuts) - 1:
+        stop = max(start + 1, int(np.searchsorted(pieces, (pieces[start - 1] if start else 0) + PIECES)))
+        stop = min(stop, len(cuts) - 1)
+        total += _strips(cuts, start, stop, edges, slope, first, last, polygon, role, within)
+        start = stop
     return total
+
+
+def _strips(cuts: np.ndarray, start: int, stop: int, edges: np.ndarray, slope: np.ndarray, first: np.ndarray, last: np.ndarray, polygon: np.ndarray, role: np.ndarray, within: bool) -> float:
+    """The covered area of the strips from one cut to another."""
+    low, high = np.maximum(first, start), np.minimum(last, stop)
+    own = np.flatnonzero(low < high)
+    times = (high - low)[own]
+    edge = np.repeat(own, times)
+    strip = np.arange(len(edge)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low[own], times)
+    x0, x1 = cuts[strip], cuts[strip + 1]
+    y0, y1 = (edges[edge, 1] + slope[edge] * (x - edges[edge, 0]) for x in (x0, x1))
+    # A polygon's edges in a strip, from below: into it and out of it in turn.
+    order = np.lexsort((y0 + y1, polygon[edge], strip))
+    fresh = np.concatenate(([True], (strip[order][1:] != strip[order][:-1]) | (polygon[edge][order][1:] != polygon[edge][order][:-1])))
+    place = np.arange(len(order)) - np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
+    sign = np.empty(len(order), np.int64)
+    sign[order] = np.where(place % 2 == 0, 1, -1)
+    # All edges of a strip, from below; every polygon is left again before the next strip.
+    order = np.lexsort((y0 + y1, strip))
+    sign, kind, strip, heights = sign[order], role[edge][order], strip[order], below(x0, y0, x1, y1)[order]
+    depth = [np.cumsum(sign * (kind == k)) for k in range(3)]
+    inside = (depth[0] > 0) & (depth[2] == 0) & ((depth[1] > 0) | (not within))
+    inside = inside[:-1] & (strip[1:] == strip[:-1])
+    return float((heights[1:] - heights[:-1])[inside].sum())
+
+
+def ring_km2(ring: Column) -> Column:
+    """Area of an open ring with the same integral, so that areas of parts add up to it."""
+    n = F.size(ring)
+
+    def term(p: Column, i: Column) -> Column:
+        q = F.get(ring, F.pmod(i + 1, n))
+        middle, half_way = F.radians((p["y"] + q["y"]) / 2), F.radians((q["y"] - p["y"]) / 2)
+        return F.radians(q["x"] - p["x"]) * F.sin(middle) * F.when(half_way == 0, 1.0).otherwise(F.sin(half_way) / half_way)
+
+    return F.abs(F.aggregate(F.transform(ring, term), F.lit(0.0), lambda a, t: a + t)) * F.lit(EARTH_KM**2)
