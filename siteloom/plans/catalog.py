@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siteloom.plans import climate, fields, finance, labels, policy, records, reports, retrieval, shapes, spatial, text, wind, zones
+from siteloom.plans import climate, fields, finance, grids, labels, policy, records, reports, retrieval, shapes, spatial, text, wind, zones
 
-FAMILIES = (wind, spatial, climate, policy, finance, text, retrieval, shapes, labels, records, fields, reports, zones)
+FAMILIES = (wind, spatial, climate, policy, finance, text, retrieval, shapes, labels, records, fields, reports, zones, grids)
 
 
 def queries() -> dict:
