@@ -24,6 +24,7 @@ from siteloom.operators.staging import staged
 LEAF_BITS = 12  # ids of a leaf
 FOLDER_LEAVES = 64  # leaves of a folder
 PART_BYTES = 64 << 20  # payload bytes of a folder
+NAMED = 1000  # folders that a read names at most
 
 
 @F.pandas_udf(T.LongType())
@@ -65,6 +66,12 @@ def write_archive(tiles: DataFrame, path: str) -> None:
     leaves.groupBy("folder").agg(F.min("leaf").alias("first_leaf"), F.count("*").alias("leaves"), F.sum(F.size("entries")).alias("entries")).coalesce(1).write.mode("overwrite").parquet(f"{path}/root")
 
 
+def _folders(stored: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """``stored`` without the folders that ``wanted`` has no row for, where those it has can be named in a filter; the join that follows is right either way."""
+    some = [r[0] for r in wanted.select(column).distinct().limit(NAMED + 1).collect()]
+    return stored.where(F.col(column).isin(some)) if len(some) <= NAMED else stored
+
+
 def locate(spark: SparkSession, path: str, asked: DataFrame) -> DataFrame:
     """``asked`` (z, x, y) that the archive has, with offset, length and part of their payloads."""
     root = spark.read.parquet(f"{path}/root").select("folder")
@@ -72,7 +79,7 @@ def locate(spark: SparkSession, path: str, asked: DataFrame) -> DataFrame:
     known = staged(keyed.join(if_small(root), "folder", "left_semi"))
     leaves = spark.read.parquet(f"{path}/leaves")
     wanted = if_small(known.select("folder", "leaf").distinct())
-    entries = leaves.join(wanted, ["folder", "leaf"]).select("leaf", F.explode("entries").alias("e")).select("leaf", "e.*")
+    entries = _folders(leaves, "folder", known).join(wanted, ["folder", "leaf"]).select("leaf", F.explode("entries").alias("e")).select("leaf", "e.*")
     met = known.join(entries, "leaf").where((F.col("id") >= F.col("first")) & (F.col("id") < F.col("first") + F.col("ids")))
     return met.select("z", "x", "y", "offset", "length", F.floor(F.col("offset") / PART_BYTES).cast("int").alias("part"))
 
@@ -82,4 +89,4 @@ def read_tiles(spark: SparkSession, path: str, asked: DataFrame) -> DataFrame:
     found = staged(locate(spark, path, asked))
     payloads = spark.read.parquet(f"{path}/payloads")
     places = if_small(found.select("part", "offset").distinct())
-    return payloads.join(places, ["part", "offset"]).select("offset", "data").join(found, "offset").select("z", "x", "y", "data")
+    return _folders(payloads, "part", found).join(places, ["part", "offset"]).select("offset", "data").join(found, "offset").select("z", "x", "y", "data")
