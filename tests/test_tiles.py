@@ -103,7 +103,7 @@ def test_archive_reads_only_what_is_asked_for(spark, tmp_path, monkeypatch):
     asked = spark.createDataFrame([(z, 0, 0), (z, 0, 0), (z, 0, 3), (z, 9, 9)], "z int, x long, y long")
     found = tilearchive.read_tiles(spark, path, asked)
     assert {(r["x"], r["y"]) for r in found.collect()} == {(0, 0), (0, 3)}
-    opened = files_read(found)
+    opened = files_read(tilearchive.read_tiles(spark, path, asked))
     parts = payloads.select("part").distinct().count()
     assert parts > 10 and 0 < opened["payloads"] <= 2
 
