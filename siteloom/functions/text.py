@@ -131,3 +131,20 @@ def first_match(text: Column, rules: list[tuple[str, str]], other: str) -> Colum
 
 def sql_first_match(text: str, rules: list[tuple[str, str]], other: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({text}, '(?i){p}') THEN '{name}'" for p, name in rules) + f" ELSE '{other}' END"
+
+#: Districts by other spellings, older names and places in them, by their letters; and what a text that names several districts holds.
+DISTRICT_ALIASES = {
+    "anantapuram": "anantapur", "ananthapuram": "anantapur", "ananthapuramu": "anantapur", "anantpur": "anantapur", "anantpuram": "anantapur", "anantpurum": "anantapur",
+    "anathapuramu": "anantapur", "kadappah": "cuddapah", "kodappah": "cuddapah", "ysrkadapa": "cuddapah", "yskadapa": "cuddapah", "kadapa": "cuddapah",
+    "bhoynagor": "bhavnagar", "bhuj": "kachchh", "kutch": "kachchh", "devbhumidwarka": "jamnagar", "devbhumidwrk": "jamnagar", "devbhoomidwrk": "jamnagar",
+    "dwarka": "jamnagar", "khambaliya": "jamnagar", "kariyana": "rajkot", "kalawad": "jamnagar", "babra": "amreli", "porbander": "porbandar",
+    "surendemagar": "surendranagar", "surendernagar": "surendranagar", "dharampur": "valsad", "morbi": "rajkot", "botad": "bhavnagar", "godag": "gadag",
+    "tumkar": "tumkur", "belgavi": "belgaum", "belagavi": "belgaum", "ballari": "bellary", "vijayapura": "bijapur", "vijayapr": "bijapur", "vijayanagar": "bellary",
+    "vijayanagara": "bellary", "vijaynagar": "bellary", "kopal": "koppal", "kopol": "koppal", "davengere": "davangere", "darwad": "dharwad", "gulburga": "gulbarga",
+    "kalaburagi": "gulbarga", "sandur": "bellary", "dhajpur": "shajapur", "jaora": "ratlam", "dharashiv": "osmanabad", "yavotmal": "yavatmal", "sanghli": "sangli",
+    "jaiselmer": "jaisalmer", "tuticorin": "thoothukudi", "thoothukkudi": "thoothukudi", "thoolthukudi": "thoothukudi", "tirunelveli": "tirunelvelikattabo",
+    "tiruneveli": "tirunelvelikattabo", "tirupur": "coimbatore", "thirupur": "coimbatore", "tiruppur": "coimbatore", "tirupu": "coimbatore", "udumalpet": "coimbatore",
+    "ramnad": "ramanathapuram", "muppandal": "kanniyakumari", "kayathor": "thoothukudi", "tenkasi": "tirunelvelikattabo", "dharampuri": "dharmapuri",
+    "rangareddi": "rangareddy", "kerala": "palakkad", "kerla": "palakkad",
+}
+SEVERAL_DISTRICTS = r"[&/,]| and |\+"

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from siteloom.functions import text as tx
 from siteloom.functions.numeric import half_up
 from siteloom.operators.graph import connected
+from siteloom.operators.names import resolved
 from siteloom.operators.staging import staged
 from siteloom.operators.spatial import around, cell_degrees, cells
 from siteloom.functions.geo import haversine_km, sql_haversine, synthetic_lat, synthetic_lon
@@ -194,62 +195,79 @@ FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2
 """
 
 
-LONG_NAME = 20  # letters from which a name may have two edits
+STATES = "ABCDE"
 
 
-def shortened(name: Column, edits: int) -> Column:
-    """A name and all that is left of it without one letter, or without one or two."""
-    one = lambda x: F.when(F.length(x) > 0, F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(x.substr(F.lit(1), i - 1), x.substr(i + 1, F.length(x))))).otherwise(F.array().cast("array<string>"))
-    out = F.concat(F.array(name), one(name))
-    return F.array_distinct(out if edits == 1 else F.concat(out, F.flatten(F.transform(one(name), one))))
+def _projects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Parts as projects (id, state, district, mw) whose districts are misspelt in several ways, and the districts (name, state)."""
+    k, name = F.col("p_partkey"), F.col("p_name")
+    part = table(spark, sf_dir, "part")
+    spelt = (
+        F.when(k % 11 == 0, F.concat(name, F.lit(" & "), name)).when(k % 13 == 0, F.lit("12")).when(k % 17 == 0, F.lit("Kutch")).when(k % 19 == 0, F.concat(F.lit("Qzx"), F.reverse(name)))
+        .when(k % 9 == 0, F.concat(F.substring(name, 1, 3), F.expr("substring(p_name, 5)"))).when(k % 7 == 0, F.concat(F.substring(name, 1, 1), name)).otherwise(F.initcap(name))
+    )
+    state = lambda n: F.substring(F.lit("ABCDEF"), (F.pmod(k, F.lit(n)) + 1).cast("int"), F.lit(1))
+    projects = part.select(k.alias("id"), F.lower(state(6)).alias("state"), spelt.alias("district"), F.col("p_size").alias("mw"))
+    districts = part.select(F.regexp_replace(F.lower(name), "[^a-z]", "").alias("name"), state(5).alias("state")).distinct()
+    return projects, districts.unionByName(spark.createDataFrame([("kachchh", "B")], "name string, state string"))
 
 
-def nearest_names(typed: DataFrame, names: DataFrame, edits: int) -> DataFrame:
-    """(typed, name): the nearest name of at most ``edits`` edits, of several the least.
-
-    Texts that many edits apart share one of their shortened forms.
-    """
-    met = typed.select("typed", F.explode(shortened(F.col("typed"), edits)).alias("key")).join(names.select("name", F.explode(shortened(F.col("name"), edits)).alias("key")), "key")
-    near = met.select("typed", "name", F.levenshtein("typed", "name").alias("edits")).where(F.col("edits") <= edits)
-    return near.groupBy("typed").agg(F.min_by("name", F.struct("edits", "name")).alias("name"))
-
-
-def rollup_names(rows: DataFrame, names: DataFrame) -> DataFrame:
-    """``rows`` (typed, mw, n) summed by name: an exact match, else one edit away, else two if the name is long.
-
-    What matches nothing keeps its own spelling as its name. Names meet the
-    second search only if their length is near that of a spelling still unmatched.
-    """
-    rest = rows.join(names, rows["typed"] == names["name"], "left_anti")
-    one = rest.join(nearest_names(rest, names, 1), "typed", "left")
-    left = one.where("name is null").select("typed")
-    lengths = left.select(F.explode(F.sequence(F.length("typed") - 2, F.length("typed") + 2)).alias("letters")).distinct()
-    near = names.where(F.length("name") >= LONG_NAME).join(F.broadcast(lengths), F.length("name") == F.col("letters"), "left_semi")
-    two = nearest_names(left.where(F.length("typed") >= LONG_NAME - 2), near, 2).withColumnRenamed("name", "second")
-    found = one.join(two, "typed", "left").select(F.coalesce("name", "second", "typed").alias("name"), "typed", "mw", "n")
-    exact = rows.join(names, rows["typed"] == names["name"]).select("name", "typed", "mw", "n")
-    return exact.unionByName(found).groupBy("name").agg(F.sum("mw").alias("mw"), F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_set("typed")), ",").alias("spellings"))
+def _resolved_projects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    projects, districts = _projects(spark, sf_dir)
+    return resolved(projects, districts, tx.DISTRICT_ALIASES, tx.SEVERAL_DISTRICTS), districts
 
 
 def district_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Capacity by district where names are misspelt: an exact match, else the nearest name one edit away, or two for long names.
-
-    Every row counts: a spelling without a match is a district of its own. The
-    exact matches are taken out first, so only the misspelt names meet candidates.
-    """
-    parts = table(spark, sf_dir, "part")
+    """Capacity by district where names are misspelt: by alias, else equal letters, else the best ratio of 0.9 or more. A district of several states is taken for that of its first project, or else the first."""
+    found, districts = _resolved_projects(spark, sf_dir)
     plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z]", "")
-    names = parts.select(plain(F.col("p_name")).alias("name")).distinct()
-    typed = F.when(F.col("p_partkey") % 9 == 0, F.concat(F.substring(plain(F.col("p_name")), 1, 3), F.expr("substring(regexp_replace(lower(p_name), '[^a-z]', ''), 5)"))).otherwise(plain(F.col("p_name")))
-    return rollup_names(parts.groupBy(typed.alias("typed")).agg(F.sum("p_size").alias("mw"), F.count("*").alias("n")), names)
-
-
-DISTRICT_SQL = """
-WITH p AS (SELECT regexp_replace(lower(p_name), '[^a-z]', '', 'g') AS name, p_partkey, p_size FROM part), names AS (SELECT DISTINCT name FROM p),
-r AS (SELECT CASE WHEN p_partkey % 9 = 0 THEN substr(name, 1, 3) || substr(name, 5) ELSE name END AS typed, sum(p_size) AS mw, count(*) AS n FROM p GROUP BY 1),
-m AS (SELECT typed, mw, n, name, row_number() OVER (PARTITION BY typed ORDER BY levenshtein(typed, name), name) AS k FROM r JOIN names ON typed = name OR (substr(typed, 1, 1) = substr(name, 1, 1) AND levenshtein(typed, name) <= 1))
-SELECT name, CAST(sum(mw) AS BIGINT) AS mw, CAST(sum(n) AS BIGINT) AS n, array_to_string(list_sort(list(DISTINCT typed)), ',') AS spellings FROM m WHERE k = 1 GROUP BY name
+    sums = found.where("name IS NOT NULL").groupBy("name").agg(F.sum("mw").alias("mw"), F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("district")), ",").alias("spellings"), F.min_by(plain(F.col("state")), "id").alias("wanted"))
+    met = sums.join(districts.withColumnRenamed("state", "held"), "name")
+    chosen = met.groupBy("name", "mw", "n", "spellings").agg(F.min(F.struct(F.col("wanted") != plain(F.col("held")), "held")).alias("c"))
+    return chosen.select("name", F.col("c.held").alias("state"), "mw", "n", "spellings")
+
+
+def district_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How projects found their district, and the share of all capacity of each way."""
+    found, _ = _resolved_projects(spark, sf_dir)
+    sums = found.groupBy("how").agg(F.count("*").alias("n"), F.sum("mw").alias("mw"))
+    total = sums.agg(F.sum("mw").alias("all"))  # one row
+    return sums.crossJoin(F.broadcast(total)).select("how", "n", "mw", half_up(F.col("mw") / F.col("all") * 100, 1).alias("share"))
+
+
+def district_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projects over 20 MW that found no district, and why."""
+    found, _ = _resolved_projects(spark, sf_dir)
+    return found.where("name IS NULL AND mw > 20").select("id", "state", "district", "mw", "how")
+
+
+#: The ratio by its law: the longest run of letters in common, the first of several, then what lies left and right of it.
+PROJECTS_SQL = f"""
+WITH RECURSIVE proj AS (SELECT p_partkey AS id, lower(substr('ABCDEF', CAST(p_partkey % 6 + 1 AS INT), 1)) AS state, p_size AS mw,
+  CASE WHEN p_partkey % 11 = 0 THEN p_name || ' & ' || p_name WHEN p_partkey % 13 = 0 THEN '12' WHEN p_partkey % 17 = 0 THEN 'Kutch' WHEN p_partkey % 19 = 0 THEN 'Qzx' || reverse(p_name)
+    WHEN p_partkey % 9 = 0 THEN substr(p_name, 1, 3) || substr(p_name, 5) WHEN p_partkey % 7 = 0 THEN substr(p_name, 1, 1) || p_name
+    ELSE array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ') END AS district FROM part),
+dist AS (SELECT DISTINCT regexp_replace(lower(p_name), '[^a-z]', '', 'g') AS name, substr('ABCDEF', CAST(p_partkey % 5 + 1 AS INT), 1) AS held FROM part UNION ALL SELECT 'kachchh', 'B'),
+spelt AS (SELECT DISTINCT district, regexp_replace(lower(district), '[^a-z]', '', 'g') AS typed FROM proj),
+sought AS (SELECT district, typed, CASE WHEN typed = 'kutch' THEN 'kachchh' ELSE typed END AS sought, CASE WHEN regexp_matches(district, '[&/,]| and |\\+') THEN 'combo' WHEN typed = '' THEN 'empty' END AS dropped FROM spelt),
+known AS (SELECT DISTINCT name FROM dist), pair AS (SELECT DISTINCT sought AS b, name AS a FROM sought, known WHERE dropped IS NULL AND sought NOT IN (SELECT name FROM known) AND 2 * least(length(sought), length(name)) >= 0.9 * (length(sought) + length(name)) - 1e-9),
+run AS (
+  SELECT a, b, 0::BIGINT AS al, length(a)::BIGINT AS ah, 0::BIGINT AS bl, length(b)::BIGINT AS bh, 0::BIGINT AS m FROM pair
+  UNION ALL
+  SELECT a, b, s.al, s.ah, s.bl, s.bh, s.m FROM (
+    SELECT a, b, unnest([{{'al': al, 'ah': i, 'bl': bl, 'bh': j, 'm': n}}, {{'al': i + n, 'ah': ah, 'bl': j + n, 'bh': bh, 'm': 0::BIGINT}}]) AS s FROM (
+      SELECT *, row_number() OVER (PARTITION BY a, b, al, bl ORDER BY n DESC, i, j) AS k FROM (
+        SELECT *, list_max(list_transform(range(0, least(ah - i, bh - j) + 1), lambda q: CASE WHEN substr(a, CAST(i + 1 AS INT), CAST(q AS INT)) = substr(b, CAST(j + 1 AS INT), CAST(q AS INT)) THEN q ELSE 0 END)) AS n
+        FROM run, unnest(range(al, ah)) AS u(i), unnest(range(bl, bh)) AS v(j))) WHERE k = 1 AND n > 0)
+), best AS (SELECT b, arg_max(a, {{'r': r, 'a': a}}) AS fuzzy FROM (SELECT a, b, 2.0::DOUBLE * sum(m)::DOUBLE / (length(a) + length(b)) AS r FROM run GROUP BY a, b) WHERE r >= 0.9 GROUP BY b),
+res AS (SELECT s.district, CASE WHEN dropped IS NULL THEN coalesce(k.name, fuzzy) END AS name, coalesce(dropped, CASE WHEN k.name IS NOT NULL THEN CASE WHEN sought <> typed THEN 'alias' ELSE 'exact' END WHEN fuzzy IS NOT NULL THEN 'fuzzy' ELSE 'unmatched' END) AS how FROM sought s LEFT JOIN known k ON k.name = s.sought LEFT JOIN best ON best.b = s.sought),
+found AS (SELECT proj.*, name, how FROM proj JOIN res USING (district))
+"""
+DISTRICT_SQL = PROJECTS_SQL + """, sums AS (SELECT name, sum(mw) AS mw, count(*) AS n, array_to_string(list_sort(list(DISTINCT district)), ',') AS spellings, arg_min(state, id) AS wanted FROM found WHERE name IS NOT NULL GROUP BY name)
+SELECT name, coalesce(min(held) FILTER (lower(held) = wanted), min(held)) AS state, CAST(mw AS BIGINT) AS mw, n, spellings FROM sums JOIN dist USING (name) GROUP BY name, mw, n, spellings, wanted
 """
+MATCHES_SQL = PROJECTS_SQL + "SELECT how, count(*) AS n, CAST(sum(mw) AS BIGINT) AS mw, floor(sum(mw)::DOUBLE / (SELECT sum(mw) FROM found)::DOUBLE * 100 * 10 + 0.5) / 10 AS share FROM found GROUP BY how"
+DROPS_SQL = PROJECTS_SQL + "SELECT id, state, district, mw, how FROM found WHERE name IS NULL AND mw > 20"
 
 DBSCAN_KM, DBSCAN_POINTS = 60.0, 4
 
@@ -281,5 +299,5 @@ r AS (SELECT core AS a, core AS b FROM c UNION SELECT r.a, e.b FROM r JOIN e ON
 SELECT p.a AS mast, min(cluster) AS cluster FROM p JOIN k ON p.b = k.core GROUP BY p.a
 """
 
-QUERIES = {f.__name__: f for f in (html_strip, html_row_extract, parse_power_voltage, event_properties, classify_features, query_rewrite, news_categories, news_feed, tariff_events, district_rollup, dbscan_settlements)}
-SQL = {"html_strip": STRIP_SQL, "html_row_extract": ROWS_SQL, "parse_power_voltage": PARSE_SQL, "event_properties": PROPS_SQL, "classify_features": CLASSIFY_SQL, "query_rewrite": _rewrite_sql(), "news_categories": NEWS_SQL, "news_feed": FEED_SQL, "tariff_events": TARIFF_SQL, "district_rollup": DISTRICT_SQL, "dbscan_settlements": DBSCAN_SQL}
+QUERIES = {f.__name__: f for f in (html_strip, html_row_extract, parse_power_voltage, event_properties, classify_features, query_rewrite, news_categories, news_feed, tariff_events, district_rollup, district_matches, district_drops, dbscan_settlements)}
+SQL = {"html_strip": STRIP_SQL, "html_row_extract": ROWS_SQL, "parse_power_voltage": PARSE_SQL, "event_properties": PROPS_SQL, "classify_features": CLASSIFY_SQL, "query_rewrite": _rewrite_sql(), "news_categories": NEWS_SQL, "news_feed": FEED_SQL, "tariff_events": TARIFF_SQL, "district_rollup": DISTRICT_SQL, "district_matches": MATCHES_SQL, "district_drops": DROPS_SQL, "dbscan_settlements": DBSCAN_SQL}

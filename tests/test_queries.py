@@ -78,16 +78,6 @@ def test_tornado_ranks_by_influence(spark):
         assert (size.diff().dropna() <= 1e-9).all()
 
 
-def test_misspelt_names_find_theirs_and_no_row_is_lost(spark):
-    from siteloom.plans.text import rollup_names
-
-    long = "thiruvananthapuramrural"
-    names = spark.createDataFrame([("kutch",), ("bhuj",), (long,)], "name string")
-    typed = ["kutch", "utch", "mutch", "akutch", "kutc", "bhuxx", "", "x" + long[1:-1], long[:9] + long[11:], "abc" + long[3:]]
-    got = {r["name"]: (r["mw"], r["n"], r["spellings"]) for r in rollup_names(spark.createDataFrame([(t, 1 << i, 1) for i, t in enumerate(typed)], "typed string, mw long, n long"), names).collect()}
-    assert got == {"kutch": (31, 5, "akutch,kutc,kutch,mutch,utch"), "bhuxx": (32, 1, "bhuxx"), "": (64, 1, ""), long: (384, 2, ",".join(sorted(typed[7:9]))), typed[9]: (512, 1, typed[9])}
-
-
 def test_every_query_is_registered():
     import __spark_entry__ as entry
 
