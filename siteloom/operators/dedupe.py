@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -26,11 +29,29 @@ def overlay(base: DataFrame, over: DataFrame, key: str, columns: list[str]) -> D
     return b.join(o, F.col(f"b.{key}") == F.col(f"o.{key}"), "full_outer").select(F.coalesce(f"o.{key}", f"b.{key}").alias(key), *picked)
 
 
-def upsert(current: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """``current`` with the rows of ``changes`` put in by key."""
-    return current.join(changes.select(*keys).distinct(), keys, "left_anti").unionByName(changes)
+def last_by(df: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """One row of each key, nulls being a key too: the last by ``order``, then by all columns that have one.
+
+    A maximum by key, so that tasks take it of their own rows first.
+    """
+    rest = [f.name for f in df.schema if f.name not in {*keys, *(order or [])} and "map<" not in f.dataType.simpleString()]
+    rank = F.struct(*[F.col(c) for c in [*(order or []), *rest]], F.lit(0).alias("none_"))
+    found = df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), rank).alias("row_"))
+    return found.select(*[F.col("row_")[c].alias(c) for c in df.columns])
+
+
+def lacking(df: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``df`` whose key ``others`` lacks; a null key equals a null key."""
+    known = others.select(*[F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)]).distinct()
+    same = [df[k].eqNullSafe(known[f"key_{i}"]) for i, k in enumerate(keys)]
+    return df.join(known, reduce(and_, same), "left_anti")
+
+
+def upsert(current: DataFrame, changes: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """``current`` with the rows of ``changes`` put in by key; of several changes of a key the last by ``order``, then by their columns."""
+    return lacking(current, changes, keys).unionByName(last_by(changes, keys, order))
 
 
-def insert_absent(current: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:
-    """``current`` and those candidates whose key it lacks."""
-    return current.unionByName(candidates.join(current.select(*keys).distinct(), keys, "left_anti"))
+def insert_absent(current: DataFrame, candidates: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """``current`` and those candidates whose key it lacks, one a key, chosen likewise."""
+    return current.unionByName(last_by(lacking(candidates, current, keys), keys, order))

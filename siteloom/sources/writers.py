@@ -9,16 +9,39 @@ from pyspark.sql import Window as W
 from siteloom.operators.dedupe import insert_absent, upsert
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of ``path``, and a maker of its paths."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
+
+
+def _move(fs, source, target) -> None:
+    """A rename that raises if it did not happen; file systems only say so."""
+    if not fs.rename(source, target):
+        raise OSError(f"{source} could not be renamed to {target}")
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Bring back a table that a replacement left under its spare name when it broke off."""
+    fs, make = _files(spark, path)
+    if not fs.exists(make(path)) and fs.exists(make(path + ".old")):
+        _move(fs, make(path + ".old"), make(path))
+
+
 def _swap(df: DataFrame, path: str) -> None:
-    """Replace the table at ``path``: the new one is whole before the old one goes."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    at, fresh, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, path + ".new", path + ".old"))
+    """Replace the table at ``path``: the new one is whole before the old one is moved, and in place before that one goes."""
+    recover(df.sparkSession, path)
     df.write.mode("overwrite").parquet(path + ".new")
-    fs = at.getFileSystem(conf)
+    fs, make = _files(df.sparkSession, path)
+    at, fresh, old = make(path), make(path + ".new"), make(path + ".old")
     if fs.exists(at):
-        fs.rename(at, old)
-    fs.rename(fresh, at)
+        fs.delete(old, True)  # of an earlier replacement that was all but done
+        _move(fs, at, old)
+    try:
+        _move(fs, fresh, at)
+    except Exception:
+        recover(df.sparkSession, path)
+        raise
     fs.delete(old, True)
 
 
@@ -27,16 +50,18 @@ def replace_all(df: DataFrame, path: str) -> None:
     _swap(df, path)
 
 
-def upsert_table(changes: DataFrame, path: str, keys: list[str]) -> None:
-    """Rows of ``changes`` put into the table by key."""
+def upsert_table(changes: DataFrame, path: str, keys: list[str], order: list[str] | None = None) -> None:
+    """Rows of ``changes`` put into the table by key; of several of a key the last by ``order``."""
+    recover(changes.sparkSession, path)
     current = changes.sparkSession.read.schema(changes.schema).parquet(path)
-    _swap(upsert(current, changes, keys), path)
+    _swap(upsert(current, changes, keys, order), path)
 
 
-def insert_table(candidates: DataFrame, path: str, keys: list[str]) -> None:
+def insert_table(candidates: DataFrame, path: str, keys: list[str], order: list[str] | None = None) -> None:
     """Rows whose key the table lacks."""
+    recover(candidates.sparkSession, path)
     current = candidates.sparkSession.read.schema(candidates.schema).parquet(path)
-    _swap(insert_absent(current, candidates, keys), path)
+    _swap(insert_absent(current, candidates, keys, order), path)
 
 
 def replace_partitions(df: DataFrame, path: str, columns: list[str]) -> None:
