@@ -12,9 +12,17 @@ from pyspark.sql import types as T
 
 from siteloom.functions.text import ascii_words
 
-# What can't be part of a place name in a mast's label (the first seven), and what may open one but ends it.
-MONTH = "(jan(uary)?|feb(ruary)?|mar(ch)?|apr(il)?|may|june?|july?|aug(ust)?|sept?(ember)?|oct(ober)?|nov(ember)?|dec(ember)?)"
-STRONG = [r"Pvt\b", r"[0-9]{2,3}(\.[0-9]+)?\s*m\b", r"\bHt(\b\.?|[0-9]+)", rf"\b([0-9]{{1,2}})?{MONTH}\.?\s*'?[0-9]{{2,4}}\b", r"\b(19|20)[0-9]{2}\b", r"\b[0-9]+\s*year\b", r"\b(MPWL|CECL(WM)?|MEIL|Suzlon|Vestas)\b"]
+# What can't be part of a place name in a mast's label, in any case: a company's form, a height, a
+# height's mark, a month with a year, a year, a period, makers' codes; and what may open a name but ends it.
+STRONG = [
+    r"Pvt\b",
+    r"\d{2,3}(?:\.\d+)?\s*m\b",
+    r"\bHt(?:\b\.?|(?=\d))",
+    r"\b(?:\d{1,2})?(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\.?\s*'?\d{2,4}\b",
+    r"\b(?:19|20)\d{2}\b",
+    r"\b\d+\s*year\b",
+    r"\b(?:MPWL|CECL(?:WM)?|MEIL|Suzlon|Vestas)\b",
+]
 WEAK = [r"\bWM\b", r"\bmast\b"]
 AT_ENDS = [r"\bwind\b"]
 EDGE = r"[\s.,\-]"
@@ -22,13 +30,13 @@ LEAST_NAME = 3
 
 
 def any_of(patterns: list[str]) -> str:
-    return "(" + "|".join(patterns) + ")"
+    return "(?:" + "|".join(patterns) + ")"
 
 
 #: Patterns of label clean-up: the text before the first marker, markers at the end and at the start, a marker at the start.
 BEFORE_MARKER = rf"(?is)^(.*?){any_of(STRONG + WEAK)}"
-TAIL = rf"(?i)({any_of(STRONG + WEAK + AT_ENDS)}{EDGE}*)+$"
-HEAD = rf"(?i)^({EDGE}*{any_of(STRONG + WEAK + AT_ENDS)})+"
+TAIL = rf"(?i)(?:{any_of(STRONG + WEAK + AT_ENDS)}{EDGE}*)+$"
+HEAD = rf"(?i)^(?:{EDGE}*{any_of(STRONG + WEAK + AT_ENDS)})+"
 OPENS_STRONG = rf"(?i)^{any_of(STRONG)}"
 
 

@@ -53,8 +53,14 @@ TENDERS = [("offshore", "Offshore Wind"), ("repower", "Repowering"), ("fdre", "F
 
 
 def ascii_words(pattern: str) -> str:
-    """``pattern`` with word boundaries that count only ASCII letters, digits and underscores: before a letter, digit or bracket one that starts a word, else one that ends it."""
-    starts = re.sub(r"\\b(?=[A-Za-z0-9(\[])", "(?<![A-Za-z0-9_])", pattern)
+    """``pattern`` with word boundaries that count only ASCII letters, digits and underscores.
+
+    Before a letter, digit or bracket a boundary starts a word, else it ends one;
+    where a sign may stand between two, it is written out in full.
+    """
+    if "%" in pattern:
+        return pattern.replace(r"\b", "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))")
+    starts = re.sub(r"\\b(?=[A-Za-z0-9(\[]|\\d)", "(?<![A-Za-z0-9_])", pattern)
     return starts.replace(r"\b", "(?![A-Za-z0-9_])")
 
 
@@ -107,9 +113,15 @@ def expanded(canonical: Column) -> Column:
     return F.when(F.size(more) == 0, canonical).otherwise(F.concat(canonical, F.lit(" ("), F.array_join(more, "; "), F.lit(")")))
 
 
+# What tells that a query mentions a thing.
 MENTIONS = {
-    "maker": "(?i)" + rf"\b({'|'.join(MAKERS)})\b", "year": r"\b(FY|fiscal|20[0-9]{2}|20[0-9]{2}[-–][0-9]{2})\b", "state": "(?i)" + "|".join(FULL_STATES), "mast": r"(?i)\b(masts?|monitoring)\b",
-    "share": r"(?i)\b(percent|percentage|share|ratio|potential)\b|[A-Za-z0-9_]%[A-Za-z0-9_]", "how many": r"(?i)\bhow many\b", "makers": r"(?i)\b(manufacturer|maker|company|companies|vendors?)\b",
+    "maker": "(?i)" + rf"\b({'|'.join(MAKERS)})\b",
+    "year": r"\b(FY|fiscal|20\d{2}|20\d{2}[-–]\d{2})\b",
+    "state": "(?i)" + "|".join(FULL_STATES),
+    "mast": r"(?i)\bmast(s)?\b|\bmonitoring\b",
+    "share": r"(?i)\b(percent|percentage|%|share|ratio|potential)\b",
+    "how many": r"(?i)\bhow many\b",
+    "makers": r"(?i)\b(manufacturer|maker|company|companies|vendors?)\b",
 }
 
 

@@ -224,7 +224,7 @@ ARMS = ("ppa", "rec", "tod", "carbon", "om", "interest", "capex", "cuf_scale")
 
 
 def sensitivity_tornado(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far each input, moved alone to either bound, moves a site's return; largest first."""
+    """How far each input, moved alone to either bound, moves a site's return; largest first. An arm without a return at one end moves it beyond measure and comes first; sites without a return of their own are left out."""
     base = {"ppa": fin.PPA, "rec": fin.REC, "tod": fin.TOD, "carbon": fin.CARBON, "om": fin.OM_CR, "interest": fin.INTEREST, "capex": fin.CAPEX_CR, "cuf_scale": 1.0}
     arm = lambda name, side, moved: F.struct(F.lit(name).alias("arm"), F.lit(side).alias("side"), *[F.lit(float(moved if k == name else v)).alias(k) for k, v in base.items()])
     arms = F.array(arm("base", "base", 0), *[arm(a, s, fin.DRAWS[a][i]) for a in ARMS for s, i in (("low", 0), ("high", 2))])
@@ -233,9 +233,9 @@ def sensitivity_tornado(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rows.select("site", "arm", "side", fin.irr(flows).alias("irr"))
     by = lambda side: F.max(F.when(F.col("side") == side, F.col("irr")))
     wide = found.where("side <> 'base'").groupBy("site", "arm").agg(by("low").alias("low"), by("high").alias("high"))
-    zero = found.where("side = 'base'").select("site", F.col("irr").alias("base"))
+    zero = found.where("side = 'base' AND irr IS NOT NULL").select("site", F.col("irr").alias("base"))
     moved = wide.join(zero, "site").select("site", "arm", half_up(F.col("low") - F.col("base"), 6).alias("low"), half_up(F.col("high") - F.col("base"), 6).alias("high"))
-    order = F.coalesce(F.greatest(F.abs("low"), F.abs("high")), F.lit(float("inf"))).desc()
+    order = F.when(F.col("low").isNull() | F.col("high").isNull(), F.lit(float("inf"))).otherwise(F.greatest(F.abs("low"), F.abs("high"))).desc()
     return moved.withColumn("rank", F.row_number().over(W.partitionBy("site").orderBy(order, "arm")))
 
 

@@ -24,7 +24,8 @@ def mast_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_text(pattern: str) -> str:
-    return pattern.replace("'", "''")
+    """A pattern in SQL, whose engine can't look ahead: the digits after a height's mark are read instead."""
+    return pattern.replace(r"(?=\d)", r"\d+").replace("'", "''")
 
 
 def _tidy_sql(x: str) -> str:

@@ -36,9 +36,9 @@ WITH a AS (SELECT * FROM (VALUES {BASE_ARM}, {ARMS_SQL}) AS t(arm, side, ppa, re
 s AS (SELECT site || '|' || arm || '|' || side AS id, site, arm, side, {sql_piecewise('speed', wind.CUF_CURVE)} * cuf_scale * 8766.0::DOUBLE AS mwh, ppa + rec + tod + carbon AS tariff, capex, om, interest FROM ({SITES_SQL}), a),
 f AS (SELECT id, {finance._equity_sql('mwh', 'tariff', 'capex', 'om', 'interest')} AS e FROM s),
 i AS (SELECT s.site, s.arm, s.side, irr FROM s LEFT JOIN {finance._irr_sql('f', 'id', 'e')} r ON r.id = s.id),
-w AS (SELECT site, arm, max(irr) FILTER (side = 'low') AS low, max(irr) FILTER (side = 'high') AS high FROM i WHERE side <> 'base' GROUP BY 1, 2), b AS (SELECT site, irr AS base FROM i WHERE side = 'base'),
+w AS (SELECT site, arm, max(irr) FILTER (side = 'low') AS low, max(irr) FILTER (side = 'high') AS high FROM i WHERE side <> 'base' GROUP BY 1, 2), b AS (SELECT site, irr AS base FROM i WHERE side = 'base' AND irr IS NOT NULL),
 m AS (SELECT site, arm, floor((low - base) * 1e6 + 0.5) / 1e6 AS low, floor((high - base) * 1e6 + 0.5) / 1e6 AS high FROM w JOIN b USING (site))
-SELECT *, CAST(row_number() OVER (PARTITION BY site ORDER BY coalesce(greatest(abs(low), abs(high)), 'inf'::DOUBLE) DESC, arm) AS INT) AS rank FROM m
+SELECT *, CAST(row_number() OVER (PARTITION BY site ORDER BY CASE WHEN low IS NULL OR high IS NULL THEN 'inf'::DOUBLE ELSE greatest(abs(low), abs(high)) END DESC, arm) AS INT) AS rank FROM m
 """
 REPORT_SQL = f"""
 SELECT s.site, s.score, s.rank, m.mast AS nearest_mast, n.score AS best_nearby, n.ring_km, t.arm AS driver, greatest(abs(t.low), abs(t.high)) AS swing, CASE WHEN n.score IS NOT NULL THEN 'look nearby' ELSE 'keep' END AS verdict
@@ -114,13 +114,11 @@ FROM ({SITES}), range({CANDIDATES}) AS r(i)) WHERE lon BETWEEN 67 AND 98 AND lat
 """
 
 
-def state_news_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items of sample feeds: the source from its tag, else from what follows the last dash of the title, else the feed's own name; the summary without mark-up."""
-    k = F.col("doc_id")
-    title = F.concat(F.lit("Wind - order "), k, F.when(k % 3 == 0, " - The Paper").when(k % 3 == 1, " - Wire").otherwise(""))
-    body = F.concat(F.lit("<item><title>"), F.when(k % 2 == 0, F.concat(F.lit("<![CDATA["), title, F.lit("]]>"))).otherwise(title), F.lit("</title><link> http://a.example/"), k, F.lit(" </link>"), F.when(k % 4 == 1, "<source url='x'>Wire</source>").otherwise(""), F.when(k % 5 != 0, "<description><![CDATA[<b>Short</b> text &amp; more]]></description>").otherwise(""), F.lit("</item>"))
+def feed_items(feeds: DataFrame, feed: str) -> DataFrame:
+    """Items of feeds: id, headline, source, link and summary. The source is that of its tag, else what follows the last dash of the title, else the feed's own name; the summary goes without mark-up."""
     tag = lambda n: F.trim(F.regexp_replace(F.regexp_extract("item", rf"(?is)<{n}[^>]*>(.*?)</{n}>", 1), r"(?s)^<!\[CDATA\[(.*)\]\]>$", "$1"))
-    rows = table(spark, sf_dir, "documents").select(k.alias("id"), body.alias("item")).select("id", tag("title").alias("title"), tag("link").alias("link"), tag("source").alias("tagged"), tx.strip_html(tag("description")).alias("summary")).where("title <> '' AND link <> ''")
+    items = feeds.select("id", F.explode(F.regexp_extract_all(feed, F.lit(r"(?is)<item>(.*?)</item>"), 1)).alias("item"))
+    rows = items.select("id", tag("title").alias("title"), tag("link").alias("link"), tag("source").alias("tagged"), tx.strip_html(tag("description")).alias("summary")).where("title <> '' AND link <> ''")
     cut = F.regexp_extract("title", r"(?s)^(.+) - (.*)$", 1)
     found = F.when(F.col("tagged") != "", F.col("tagged")).when(cut != "", F.trim(F.regexp_extract("title", r"(?s)^(.+) - (.*)$", 2))).otherwise("Google News")
     ends = F.endswith(F.col("title"), F.concat(F.lit(" - "), "tagged"))
@@ -128,10 +126,23 @@ def state_news_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", headline.alias("headline"), found.alias("source"), "link", F.left("summary", F.lit(280)).alias("summary"))
 
 
-ITEMS_SQL = """
-WITH d AS (SELECT doc_id AS id, 'Wind - order ' || doc_id || CASE doc_id % 3 WHEN 0 THEN ' - The Paper' WHEN 1 THEN ' - Wire' ELSE '' END AS title, CASE WHEN doc_id % 4 = 1 THEN 'Wire' ELSE '' END AS tagged FROM documents)
-SELECT id, CASE WHEN tagged <> '' THEN CASE WHEN ends_with(title, ' - ' || tagged) THEN title[:-8] ELSE title END ELSE regexp_extract(title, '^(.+) - (.*)$', 1) END AS headline, CASE WHEN tagged <> '' THEN tagged ELSE regexp_extract(title, '^(.+) - (.*)$', 2) END AS source,
-  'http://a.example/' || id AS link, CASE WHEN id % 5 <> 0 THEN 'Short text & more' ELSE '' END AS summary FROM d
+def state_news_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a feed: a line of a text is the title of an item, and the whole text its description."""
+    k, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    clean = F.regexp_replace(text, r"[<>&\[\]]", " ")
+    first = F.trim(F.regexp_extract(clean, r"^\s*([^\n]*)", 1))
+    title = F.concat(F.left(first, F.lit(60)), F.when(k % 3 == 0, " - The Paper").when(k % 3 == 1, " - Wire").otherwise(""))
+    body = F.concat(F.lit("<rss><item><title>"), F.when(k % 2 == 0, F.concat(F.lit("<![CDATA["), title, F.lit("]]>"))).otherwise(title), F.lit("</title><link> http://a.example/"), k, F.lit(" </link>"), F.when(k % 4 == 1, "<source url='x'>Wire</source>").otherwise(""), F.when(k % 5 != 0, F.concat(F.lit("<description><![CDATA[<b>"), clean, F.lit("</b>]]></description>"))).otherwise(""), F.lit("</item><item><title></title></item></rss>"))
+    return feed_items(table(spark, sf_dir, "documents").select(k.alias("id"), body.alias("feed")), "feed")
+
+
+_SPACES = r"[ \t\r\n]+"
+ITEMS_SQL = rf"""
+WITH d AS (SELECT doc_id AS k, regexp_replace(coalesce(text, ''), '[<>&\[\]]', ' ', 'g') AS clean FROM documents),
+f AS (SELECT k, clean, trim(left(trim(regexp_extract(clean, '^\s*([^\n]*)', 1)), 60) || CASE k % 3 WHEN 0 THEN ' - The Paper' WHEN 1 THEN ' - Wire' ELSE '' END) AS title, CASE WHEN k % 4 = 1 THEN 'Wire' ELSE '' END AS tagged FROM d),
+c AS (SELECT *, regexp_extract(title, '(?s)^(.+) - (.*)$', 1) AS cut FROM f WHERE title <> '')
+SELECT k AS id, CASE WHEN tagged <> '' AND ends_with(title, ' - ' || tagged) THEN trim(left(title, length(title) - length(tagged) - 3)) WHEN tagged <> '' THEN title WHEN cut <> '' THEN trim(cut) ELSE title END AS headline,
+  CASE WHEN tagged <> '' THEN tagged WHEN cut <> '' THEN trim(regexp_extract(title, '(?s)^(.+) - (.*)$', 2)) ELSE 'Google News' END AS source, 'http://a.example/' || k AS link, CASE WHEN k % 5 <> 0 THEN left(trim(regexp_replace(clean, '{_SPACES}', ' ', 'g')), 280) ELSE '' END AS summary FROM c
 """
 
 

@@ -69,21 +69,21 @@ SELECT site, floor(cuf * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS cuf, floor(resource
 
 
 def shear_fit_by_site(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wind shear exponent: slope of log speed over log height, held to [0, 0.6]; 1/7 where it can't be fitted."""
+    """Wind shear exponent: slope of log speed over log height at all three heights, held to [0, 0.6]; 1/7 where one of them has no positive speed."""
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("site"), (F.pmod("l_linenumber", F.lit(3)) * 50 + 50).cast("double").alias("height"), F.col("l_quantity").alias("q"))
-    rows = rows.withColumn("v", (F.lit(4.0) + F.col("q") / F.lit(25.0)) * F.pow(F.col("height") / F.lit(100.0), F.lit(0.2)))
+    rows = rows.withColumn("v", (F.lit(4.0) + F.col("q") / F.lit(25.0)) * F.pow(F.col("height") / F.lit(100.0), F.lit(0.2))).where((F.col("site") % 8 != 3) | (F.col("height") != 150.0))  # some sites lack a height
     means = rows.groupBy("site", "height").agg(F.avg("v").alias("v"))
     fit = means.groupBy("site").agg(F.regr_slope(F.log("v"), F.log("height")).alias("slope"), F.min("v").alias("least"), F.count("*").alias("heights"))
-    shear = F.when((F.col("least") > 0) & (F.col("heights") > 1), clamp(F.col("slope"), 0, 0.6)).otherwise(F.lit(1 / 7))
+    shear = F.when((F.col("least") > 0) & (F.col("heights") == 3), clamp(F.col("slope"), 0, 0.6)).otherwise(F.lit(1 / 7))
     return fit.select("site", "heights", half_up(shear, 6).alias("shear"))
 
 
 SHEAR_SQL = """
 WITH m AS (
   SELECT l_suppkey AS site, (l_linenumber % 3 * 50 + 50)::DOUBLE AS height, avg((4.0::DOUBLE + l_quantity / 25) * pow((l_linenumber % 3 * 50 + 50) / 100.0::DOUBLE, 0.2)) AS v
-  FROM lineitem GROUP BY 1, 2
+  FROM lineitem WHERE l_suppkey % 8 <> 3 OR l_linenumber % 3 <> 2 GROUP BY 1, 2
 )
-SELECT site, count(*) AS heights, floor(CASE WHEN min(v) > 0 AND count(*) > 1 THEN least(0.6::DOUBLE, greatest(0, regr_slope(ln(v), ln(height)))) ELSE 1 / 7.0::DOUBLE END * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS shear
+SELECT site, count(*) AS heights, floor(CASE WHEN min(v) > 0 AND count(*) = 3 THEN least(0.6::DOUBLE, greatest(0, regr_slope(ln(v), ln(height)))) ELSE 1 / 7.0::DOUBLE END * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS shear
 FROM m GROUP BY site
 """
 
