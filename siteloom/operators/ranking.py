@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from siteloom.operators.positions import ranked
+
 
 def global_rank(df: DataFrame, score: str, key: str, width: int = 1 << 20) -> DataFrame:
     """``df`` with ``rank``: its place by falling ``score`` of few distinct values, ties by rising whole-number ``key``.
@@ -28,25 +30,24 @@ def if_small(df: DataFrame, most: int = 50_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def quantiles(df: DataFrame, value: str, shares: list[float], stretches: int = 4096) -> DataFrame:
-    """share and ``value`` at each of ``shares``, exact, on a straight line between the two values around its place; nulls don't count.
+def quantiles(df: DataFrame, value: str, shares: list[float], by: str | None = None) -> DataFrame:
+    """share and ``value`` at each of ``shares``, exact, on a straight line between the two values around its place; for each ``by`` if given; nulls don't count.
 
-    Equal values are counted first. The counts of ``stretches`` equal parts of
-    the range, a small table, tell in which of them each place lies, and only
-    the values of those few are put in order, each part on its own.
+    Equal values are counted first, and the counts get their place among all
+    values, or those of their group, by ranges of values that tasks sort on
+    their own. So neither an outlier nor a large group gathers in one task.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    ends = counted.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("all"))  # one row
-    part = F.when(F.col("high") > F.col("low"), F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * stretches)).otherwise(F.lit(0)).cast("long")
-    dealt = counted.crossJoin(F.broadcast(ends)).withColumn("part", part)
-    parts = dealt.groupBy("part").agg(F.sum("n").alias("rows"))
-    before = F.coalesce(F.sum("rows").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    at = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(s)).alias("share")) for i, s in enumerate(shares)])).alias("s")
-    places = ends.select("all", at).select("s.share", (F.col("s.share") * (F.col("all") - 1)).alias("place")).withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("index", F.when(F.col("side") == 0, F.floor("place")).otherwise(F.ceil("place")))
-    wanted = places.join(F.broadcast(parts.withColumn("before", before)), (F.col("index") >= F.col("before")) & (F.col("index") < F.col("before") + F.col("rows")))
-    own = dealt.join(F.broadcast(wanted.select("part", "before").distinct()), "part")
-    upto = F.sum("n").over(W.partitionBy("part").orderBy("v")) + F.col("before")
-    ordered = own.select("part", "v", "n", upto.alias("upto"))
-    met = wanted.select("share", "place", "side", "index", "part").join(ordered, "part").where((F.col("index") < F.col("upto")) & (F.col("index") >= F.col("upto") - F.col("n")))
-    pair = met.groupBy("share", "place").agg(F.max(F.when(F.col("side") == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("v"))).alias("b"))
-    return pair.select("share", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("place") - F.floor("place"))).alias(value))
+    of = F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit("-")) if by else F.lit("")
+    named = [F.first(by).alias(by)] if by else []
+    rows = df.where(F.col(value).isNotNull()).withColumn("of_", of)
+    counted = rows.groupBy("of_", F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"), *named)
+    placed = ranked(counted, "of_", ["v"], "n")
+    totals = placed.groupBy("of_").agg(F.sum("n").alias("all"), *named)
+    at = F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share")
+    places = totals.select("*", at).withColumn("place", F.col("share") * (F.col("all") - 1))
+    wanted = places.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("index", F.when(F.col("side") == 0, F.floor("place")).otherwise(F.ceil("place")))
+    held = placed.select(F.col("of_").alias("held_"), "v", "n", "before")
+    met = held.join(if_small(wanted), F.col("held_") == F.col("of_")).where((F.col("index") >= F.col("before")) & (F.col("index") < F.col("before") + F.col("n")))
+    keys = [*([by] if by else []), "share"]
+    pair = met.groupBy("of_", "share", "place").agg(F.max(F.when(F.col("side") == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("v"))).alias("b"), *named)
+    return pair.select(*keys, (F.col("a") + (F.col("b") - F.col("a")) * (F.col("place") - F.floor("place"))).alias(value))

@@ -92,7 +92,9 @@ def elevation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By brand: median, mean and 90th-percentile gap between two heights of a part, and the part with the largest."""
     gap = F.abs(F.col("p_size") * 20 - F.col("p_retailprice"))
     rows = table(spark, sf_dir, "part").select("p_brand", "p_partkey", gap.alias("gap"))
-    return rows.groupBy("p_brand").agg(F.count("*").alias("n"), half_up(F.percentile("gap", F.lit(0.5)), 3).alias("median"), half_up(F.avg("gap"), 3).alias("mean"), half_up(F.percentile("gap", F.lit(0.9)), 3).alias("p90"), F.max_by("p_partkey", F.struct("gap", -F.col("p_partkey"))).alias("worst"))
+    found = quantiles(rows, "gap", [0.5, 0.9], "p_brand").groupBy("p_brand").agg(*[half_up(F.max(F.when(F.col("share") == s, F.col("gap"))), 3).alias(n) for s, n in ((0.5, "median"), (0.9, "p90"))])
+    sums = rows.groupBy("p_brand").agg(F.count("*").alias("n"), half_up(F.avg("gap"), 3).alias("mean"), F.max_by("p_partkey", F.struct("gap", -F.col("p_partkey"))).alias("worst"))
+    return sums.join(found, "p_brand").select("p_brand", "n", "median", "mean", "p90", "worst")
 
 
 ELEVATION_SQL = """

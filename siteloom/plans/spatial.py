@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siteloom.functions.geo import segment_km, sql_haversine, sql_lat, sql_lon, synthetic_lat, synthetic_lon, tile_x, tile_y
 from siteloom.functions.numeric import half_up
+from siteloom.operators.ranking import quantiles
 from siteloom.operators.spatial import around, cell_degrees, cells, nearest, points_in_rings, within_radius
 from siteloom.plans.tables import table
 
@@ -257,7 +258,10 @@ def terrain_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
     dx, dy = (F.col("east") - F.col("west")) / (2 * metres), (F.col("south") - F.col("north")) / (2 * metres)
     slope = F.degrees(F.atan(F.sqrt(dx * dx + dy * dy)))
     held = rows.withColumn("slope", slope).where(F.col("slope").isNotNull() & F.col("own").isNotNull())
-    return held.groupBy(F.floor(F.col("row") / 4).cast("int").alias("block")).agg(F.count("*").alias("pixels"), half_up(F.avg("slope"), 4).alias("mean"), half_up(F.percentile("slope", F.lit(0.9)), 4).alias("p90"), half_up(F.avg((F.col("slope") > 15).cast("double")), 4).alias("steep"))
+    blocks = held.withColumn("block", F.floor(F.col("row") / 4).cast("int"))
+    p90 = quantiles(blocks, "slope", [0.9], "block").select("block", half_up(F.col("slope"), 4).alias("p90"))
+    sums = blocks.groupBy("block").agg(F.count("*").alias("pixels"), half_up(F.avg("slope"), 4).alias("mean"), half_up(F.avg((F.col("slope") > 15).cast("double")), 4).alias("steep"))
+    return sums.join(p90, "block").select("block", "pixels", "mean", "p90", "steep")
 
 
 SLOPE_SQL = f"""

@@ -7,19 +7,18 @@ from pyspark.sql import functions as F
 
 from siteloom.functions import wind
 from siteloom.functions.numeric import clamp, half_up, sql_piecewise
-from siteloom.operators.ranking import global_rank
+from siteloom.operators.ranking import global_rank, quantiles
 from siteloom.plans.tables import table
 
 
 def zonal_wind_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of the finite pixels of each zone; ``exceed90`` is the speed 90 % of the area exceeds."""
     pixels = table(spark, sf_dir, "part").select(F.col("p_brand").alias("site"), (F.lit(4.0) + F.col("p_size") / F.lit(10.0)).alias("v"))
-    rows = pixels.where(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("site").agg(
-        F.count("*").alias("pixels"), half_up(F.avg("v"), 4).alias("mean"), F.min("v").alias("least"), F.max("v").alias("most"),
-        F.percentile("v", F.array(*[F.lit(p) for p in (0.1, 0.25, 0.5, 0.75)])).alias("p"),
-    )
-    names = ["exceed90", "p25", "p50", "p75"]
-    return rows.select("site", "pixels", "mean", "least", "most", *[half_up(F.get("p", F.lit(i)), 6).alias(n) for i, n in enumerate(names)])
+    finite = pixels.where(F.col("v").isNotNull() & ~F.isnan("v"))
+    rows = finite.groupBy("site").agg(F.count("*").alias("pixels"), half_up(F.avg("v"), 4).alias("mean"), F.min("v").alias("least"), F.max("v").alias("most"))
+    names = {0.1: "exceed90", 0.25: "p25", 0.5: "p50", 0.75: "p75"}
+    places = quantiles(finite, "v", list(names), "site").groupBy("site").agg(*[half_up(F.max(F.when(F.col("share") == s, F.col("v"))), 6).alias(n) for s, n in names.items()])
+    return rows.join(places, "site").select("site", "pixels", "mean", "least", "most", *names.values())
 
 
 ZONAL_SQL = """
