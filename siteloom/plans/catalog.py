@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siteloom.plans import climate, fields, finance, grids, labels, policy, records, reports, retrieval, shapes, spatial, text, tiles, wind, zones
+from siteloom.plans import analysis, climate, fields, finance, grids, labels, policy, records, reports, retrieval, shapes, spatial, text, tiles, wind, zones
 
-FAMILIES = (wind, spatial, climate, policy, finance, text, retrieval, shapes, labels, records, fields, reports, zones, grids, tiles)
+FAMILIES = (wind, spatial, climate, policy, finance, text, retrieval, shapes, labels, records, fields, reports, zones, grids, tiles, analysis)
 
 
 def queries() -> dict:
