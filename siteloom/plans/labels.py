@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siteloom.functions import labels
 from siteloom.functions.geo import sql_lat, sql_lon, synthetic_lat, synthetic_lon
+from siteloom.operators.ranking import if_small
 from siteloom.plans.tables import table
 
 # What the sample mast labels append to, or put before, a place name.
@@ -106,7 +107,7 @@ def place_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     city = F.when(k % 4 == 0, None).when(k % 4 == 1, F.col("n_name")).otherwise(F.concat(F.lit("City"), k % 50))
     name = F.when(k % 6 == 0, F.col("r_name")).when(k % 7 == 0, None).otherwise(F.concat(F.lit("City"), k % 51))
-    rows = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = table(spark, sf_dir, "customer").join(if_small(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(if_small(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     parts = rows.select(k.alias("place"), name.alias("name"), F.array(city, F.col("n_name"), F.col("r_name")).alias("parts"), F.array(synthetic_lon(k), synthetic_lat(k), synthetic_lon(k) + 1, synthetic_lat(k) - 1).alias("e")).where("name IS NOT NULL")
     kept = F.filter("parts", lambda v: v.isNotNull() & (v != F.col("name")))
     line = parts.withColumn("kept", kept).withColumn("line", F.filter("kept", lambda v, i: (i == 0) | (v != F.get(F.col("kept"), i - 1))))

@@ -15,6 +15,7 @@ from siteloom.operators.shapes import area_km2, clipped
 from siteloom.operators.spatial import around
 from siteloom.plans import finance, spatial
 from siteloom.plans.spatial import MASTS, SITES, _masts, _sites
+from siteloom.operators.ranking import if_small
 from siteloom.plans.tables import table
 from siteloom.plans.wind import SITES_SQL, screening_score_rank
 from siteloom.plans.wind import SQL as WIND_SQL
@@ -85,7 +86,7 @@ def state_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "supplier").select(k.alias("site"), (F.pmod(k * 7, F.lit(60)) / F.lit(50.0)).alias("cf"), F.explode(touched).alias("state"))
     has = F.col("n_nationkey") % 2 == 0  # the sample states that have a factor
     factors = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("state"), F.when(has, F.col("n_name")).alias("n_name"), F.when(has, F.lit(0.8) + F.col("n_nationkey") / F.lit(50.0)).alias("factor"))
-    met = rows.join(F.broadcast(factors), "state", "left").groupBy("site", "cf").agg(F.avg("factor").alias("mean"), F.array_join(F.array_sort(F.collect_list("n_name")), ", ").alias("basis"))
+    met = rows.join(if_small(factors), "state", "left").groupBy("site", "cf").agg(F.avg("factor").alias("mean"), F.array_join(F.array_sort(F.collect_list("n_name")), ", ").alias("basis"))
     factor = F.coalesce("mean", F.lit(1.0))
     return met.select("site", half_up(factor, 6).alias("factor"), half_up(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("cf") * factor)), 6).alias("calibrated"), F.col("mean").isNotNull().alias("known"), "basis")
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.functions.geo import segment_km, sql_haversine, sql_lat, sql_lon, synthetic_lat, synthetic_lon, tile_x, tile_y
+from siteloom.functions.geo import EARTH_KM, haversine_km, segment_km, sql_haversine, sql_lat, sql_lon, synthetic_lat, synthetic_lon, tile_x, tile_y
 from siteloom.functions.numeric import half_up
+from siteloom.operators.proximity import counts_within, nearest_within
 from siteloom.operators.ranking import quantiles
 from siteloom.operators.spatial import around, cell_degrees, cells, nearest, points_in_rings, within_radius
 from siteloom.plans.tables import table
@@ -30,11 +33,8 @@ KM = sql_haversine("lon", "lat", "plon", "plat")
 def masts_within_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masts within 100, 25 and 20 km of each site, in one pass."""
     sites = _sites(spark, sf_dir)
-    pairs = within_radius(sites, _masts(spark, sf_dir), 100.0)
-    counts = pairs.groupBy("site").agg(F.count("*").alias("n100"), F.count_if(F.col("km") <= 25).alias("n25"), F.count_if(F.col("km") <= 20).alias("n20"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    confidence = F.when(F.coalesce("n20", F.lit(0)) >= 2, "high").when(F.coalesce("n25", F.lit(0)) >= 1, "medium").otherwise("low")
-    return sites.select("site").join(counts, "site", "left").select("site", zero("n100"), zero("n25"), zero("n20"), confidence.alias("confidence"))
+    confidence = F.when(F.col("n20") >= 2, "high").when(F.col("n25") >= 1, "medium").otherwise("low")
+    return counts_within(sites, _masts(spark, sf_dir), [100.0, 25.0, 20.0]).select("site", "n100", "n25", "n20", confidence.alias("confidence"))
 
 
 WITHIN_SQL = f"""
@@ -46,9 +46,12 @@ SELECT *, CASE WHEN n20 >= 2 THEN 'high' WHEN n25 >= 1 THEN 'medium' ELSE 'low'
 
 def nearest_mast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mast within 100 km that is nearest on the plane of degrees, with its distance on the sphere."""
-    pairs = within_radius(_sites(spark, sf_dir), _masts(spark, sf_dir), 100.0)
+    km = haversine_km(F.col("lon"), F.col("lat"), F.col("plon"), F.col("plat"))
     plane = (F.col("plon") - F.col("lon")) * (F.col("plon") - F.col("lon")) + (F.col("plat") - F.col("lat")) * (F.col("plat") - F.col("lat"))
-    return nearest(pairs.withColumn("plane", plane), "site", ["plane", "mast"]).select("site", "mast", half_up(F.col("km"), 3).alias("km"))
+    # What lies within r km holds all within r km of degrees at their widest; out of reach counts as infinitely far.
+    seen = lambda r: (r / (EARTH_KM * math.pi / 180) * 0.999) ** 2
+    best = nearest_within(_sites(spark, sf_dir), _masts(spark, sf_dir), 100.0, F.when(km <= 100, plane).otherwise(F.lit(float("inf"))), seen, ["mast", km.alias("km")])
+    return best.where(F.col("distance") < float("inf")).select("site", "mast", half_up(F.col("km"), 3).alias("km"))
 
 
 NEAREST_SQL = f"""
@@ -92,13 +95,12 @@ def nearest_line_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     A line is at most 0.1 degrees long, so a cell that spans 50 km and that
     length around its start holds every line in reach.
     """
-    width, height = cell_degrees(50.0)
-    size = (width + 0.1, height + 0.1)
-    cx, cy = cells(F.col("ax"), F.col("ay"), size)
-    met = around(_sites(spark, sf_dir), "lon", "lat", size).join(_lines(spark, sf_dir).withColumns({"cx": cx, "cy": cy}), ["cx", "cy"])
-    met = met.withColumn("km", segment_km(*[F.col(c) for c in ("lon", "lat", "ax", "ay", "bx", "by")])).where("km <= 50")
-    best = met.groupBy("site").agg(F.min(F.struct("km", "line", "kv")).alias("best"), F.bool_or((F.col("kv") >= 220) & (F.col("km") <= 25)).alias("high_voltage"))
-    return best.select("site", F.col("best.line").alias("line"), half_up(F.col("best.km"), 3).alias("km"), F.col("best.kv").alias("kv"), "high_voltage")
+    sites, lines = _sites(spark, sf_dir), _lines(spark, sf_dir)
+    km = segment_km(*[F.col(c) for c in ("lon", "lat", "ax", "ay", "bx", "by")])
+    # Distances are on a plane at the site: off by less than a hundredth in reach.
+    near = lambda some, reach: nearest_within(sites, some, reach, km, lambda r: r * 0.99, ["line", "kv"], ("ax", "ay"), 0.1).where(F.col("distance") <= reach)
+    high = near(lines.where("kv >= 220"), 25.0).select("site", F.lit(True).alias("high"))
+    return near(lines, 50.0).join(high, "site", "left").select("site", "line", half_up(F.col("distance"), 3).alias("km"), "kv", F.coalesce("high", F.lit(False)).alias("high_voltage"))
 
 
 def _segment_sql() -> str:

@@ -10,11 +10,9 @@ from pyspark.sql import Window as W
 
 from siteloom.functions import text as tx
 from siteloom.functions.numeric import half_up
-from siteloom.operators.graph import connected
 from siteloom.operators.names import resolved
-from siteloom.operators.staging import staged
-from siteloom.operators.spatial import around, cell_degrees, cells
-from siteloom.functions.geo import haversine_km, sql_haversine, synthetic_lat, synthetic_lon
+from siteloom.operators.proximity import clusters
+from siteloom.functions.geo import sql_haversine, synthetic_lat, synthetic_lon
 from siteloom.plans.spatial import MASTS
 from siteloom.plans.tables import table
 
@@ -275,20 +273,12 @@ DBSCAN_KM, DBSCAN_POINTS = 60.0, 4
 def dbscan_settlements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Density clusters of masts: cores with 4 points (themselves too) within 60 km, and what lies within 60 km of a core.
 
-    Pairs come from a join on cells of that width; cores are joined into
-    components, and a border point goes to its least core's cluster.
+    Clusters grow over cells whose points are all in reach of each other, and a
+    border point goes to the least of the clusters around it.
     """
-    points = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("mast"), synthetic_lon(F.col("c_custkey") * 3 + 1).alias("lon"), synthetic_lat(F.col("c_custkey") * 5 + 2).alias("lat"))
-    size = cell_degrees(DBSCAN_KM)
-    cx, cy = cells(F.col("lon"), F.col("lat"), size)
-    other = points.select(F.col("mast").alias("b"), F.col("lon").alias("blon"), F.col("lat").alias("blat")).withColumns({"cx": F.floor(F.col("blon") / size[0]).cast("int"), "cy": F.floor(F.col("blat") / size[1]).cast("int")})
-    pairs = around(points, "lon", "lat", size).join(other, ["cx", "cy"]).where(haversine_km(F.col("lon"), F.col("lat"), F.col("blon"), F.col("blat")) <= DBSCAN_KM).select(F.col("mast").alias("a"), "b")
-    pairs = staged(pairs)
-    cores = staged(pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= DBSCAN_POINTS).select(F.col("a").alias("node")))
-    reach = pairs.join(cores, pairs["b"] == cores["node"]).select("a", "b")
-    links = reach.join(cores.withColumnRenamed("node", "core"), reach["a"] == F.col("core")).select("a", "b").where("a < b")
-    clusters = connected(cores, links)
-    return reach.join(clusters, reach["b"] == clusters["node"]).groupBy(F.col("a").alias("mast")).agg(F.min("root").alias("cluster"))
+    k = F.col("c_custkey")
+    points = table(spark, sf_dir, "customer").select(k.alias("id"), synthetic_lon(k * 3 + 1).alias("lon"), synthetic_lat(k * 5 + 2).alias("lat"))
+    return clusters(points, DBSCAN_KM, DBSCAN_POINTS).select(F.col("id").alias("mast"), "cluster")
 
 
 DBSCAN_SQL = f"""
