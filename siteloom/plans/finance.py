@@ -259,6 +259,9 @@ TRAILER_RATES = {"standard": 70, "blade": 115, "hydraulic": 185}
 CRANES = [(40.0, 100, 30000), (80.0, 250, 90000), (120.0, 400, 300000), (1e12, 750, 600000)]
 
 
+MOST_PLANTS = 10_000
+
+
 def logistics_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest plant that makes each of four components, for every site; plants are a fixed list."""
     from siteloom.functions.geo import ROUTE_EARTH_KM, synthetic_lat, synthetic_lon
@@ -266,7 +269,9 @@ def logistics_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     plants = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("plant"), synthetic_lon(F.col("n_nationkey") * 211).alias("plon"), synthetic_lat(F.col("n_nationkey") * 307).alias("plat"), F.pmod("n_nationkey", F.lit(4)).cast("int").alias("component"))
     k = F.col("s_suppkey")
     rows = table(spark, sf_dir, "supplier").select(k.alias("site"), synthetic_lon(k).alias("lon"), synthetic_lat(k).alias("lat"))
-    pairs = rows.crossJoin(if_small(plants))  # every site against the catalogue of plants
+    if plants.limit(MOST_PLANTS + 1).count() > MOST_PLANTS:
+        raise ValueError(f"a catalogue of over {MOST_PLANTS} plants needs a search by cells, see operators.proximity")
+    pairs = rows.crossJoin(F.broadcast(plants))  # every site against the catalogue of plants, of a checked size
     km = haversine_km(*[F.col(c) for c in ("lon", "lat", "plon", "plat")], ROUTE_EARTH_KM) * 1.3
     best = pairs.withColumn("km", km).groupBy("site", "component").agg(F.min(F.struct("km", "plant")).alias("b"))
     return best.select("site", "component", F.col("b.plant").alias("plant"), half_up(F.col("b.km"), 3).alias("km"), half_up(F.col("b.km") / 40, 3).alias("hours"))
@@ -283,6 +288,34 @@ SELECT site, component, plant, floor(km * 1000 + 0.5) / 1000 AS km, floor(km / 4
       (SELECT n_nationkey AS plant, CAST(n_nationkey % 4 AS INT) AS component, {sql_lon('n_nationkey * 211')} AS plon, {sql_lat('n_nationkey * 307')} AS plat FROM nation))) WHERE n = 1"""
 
 
+COMPONENTS = ("blade", "nacelle", "tower", "hub")
+
+
+def component_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each component of a site's turbines comes from: the nearest plant of its maker, still at work, that makes it; else its maker's nearest plant at work; else its maker's first plant."""
+    from siteloom.functions.geo import ROUTE_EARTH_KM, synthetic_lat, synthetic_lon
+
+    n, k = F.col("n_nationkey"), F.col("s_suppkey")
+    makes = F.when(n % 3 == 0, F.array(F.lit("blade"), F.lit("tower"))).when(n % 3 == 1, F.array(F.lit("nacelle"))).otherwise(F.array(F.lit("hub"), F.lit("blade")))
+    plants = table(spark, sf_dir, "nation").select(n.alias("plant"), F.pmod(n, F.lit(6)).alias("maker"), ((n % 4 == 0) | (n % 6 == 5)).alias("legacy"), makes.alias("products"), synthetic_lon(n * 211).alias("plon"), synthetic_lat(n * 307).alias("plat"))
+    sites = table(spark, sf_dir, "supplier").select(k.alias("site"), F.pmod(k, F.lit(6)).alias("maker"), synthetic_lon(k).alias("lon"), synthetic_lat(k).alias("lat"), F.explode(F.array(*[F.lit(c) for c in COMPONENTS])).alias("component"))
+    km = haversine_km(*[F.col(c) for c in ("lon", "lat", "plon", "plat")], ROUTE_EARTH_KM)
+    tier = F.when(~F.col("legacy") & F.array_contains("products", F.col("component")), 1).when(~F.col("legacy"), 2).otherwise(3)
+    met = sites.join(if_small(plants), "maker").withColumns({"tier": tier, "km": km})
+    best = met.groupBy("site", "component").agg(F.min(F.struct("tier", F.when(F.col("tier") < 3, F.col("km")).otherwise(0.0).alias("by"), "plant", "km")).alias("b"))
+    return best.select("site", "component", F.col("b.plant").alias("plant"), (F.col("b.tier") > 1).alias("sourced_locally"), half_up(F.col("b.km"), 3).alias("km"))
+
+
+def _origins_sql() -> str:
+    from siteloom.functions.geo import ROUTE_EARTH_KM, sql_haversine, sql_lat, sql_lon
+
+    return f"""
+WITH p AS (SELECT n_nationkey AS plant, n_nationkey % 6 AS maker, n_nationkey % 4 = 0 OR n_nationkey % 6 = 5 AS legacy, CASE n_nationkey % 3 WHEN 0 THEN ['blade', 'tower'] WHEN 1 THEN ['nacelle'] ELSE ['hub', 'blade'] END AS products, {sql_lon('n_nationkey * 211')} AS plon, {sql_lat('n_nationkey * 307')} AS plat FROM nation),
+s AS (SELECT s_suppkey AS site, s_suppkey % 6 AS maker, {sql_lon('s_suppkey')} AS lon, {sql_lat('s_suppkey')} AS lat, unnest({list(COMPONENTS)!r}) AS component FROM supplier),
+m AS (SELECT *, {sql_haversine('lon', 'lat', 'plon', 'plat', ROUTE_EARTH_KM)} AS km, CASE WHEN NOT legacy AND list_contains(products, component) THEN 1 WHEN NOT legacy THEN 2 ELSE 3 END AS tier FROM s JOIN p USING (maker))
+SELECT site, component, plant, tier > 1 AS sourced_locally, floor(km * 1000 + 0.5) / 1000 AS km FROM (SELECT *, row_number() OVER (PARTITION BY site, component ORDER BY tier, CASE WHEN tier < 3 THEN km ELSE 0 END, plant) AS n FROM m) WHERE n = 1"""
+
+
 def logistics_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transport, crane and total cost of each plan: a supplier's parts as shipments of heavy loads."""
     k = F.col("l_partkey")
@@ -307,5 +340,5 @@ k AS (SELECT *, (CASE WHEN heaviest <= 40 THEN 30000 WHEN heaviest <= 80 THEN 90
 SELECT *, floor((transport * 1.05::DOUBLE + crane * 1.18::DOUBLE) * 100 + 0.5) / 100 AS total FROM k
 """
 
-QUERIES = {f.__name__: f for f in (cashflow_irr, lcoe_npv, bankability_dcf, prng_draws, monte_carlo_band, irr_histogram, sensitivity_tornado, nearby_better_site, logistics_origin, logistics_cost)}
-SQL = {"cashflow_irr": IRR_SQL, "lcoe_npv": LCOE_SQL, "bankability_dcf": _bank_sql(), "prng_draws": PRNG_SQL, "irr_histogram": HIST_SQL, "nearby_better_site": NEARBY_SQL, "logistics_origin": _origin_sql(), "logistics_cost": COST_SQL}
+QUERIES = {f.__name__: f for f in (cashflow_irr, lcoe_npv, bankability_dcf, prng_draws, monte_carlo_band, irr_histogram, sensitivity_tornado, nearby_better_site, logistics_origin, component_origins, logistics_cost)}
+SQL = {"cashflow_irr": IRR_SQL, "lcoe_npv": LCOE_SQL, "bankability_dcf": _bank_sql(), "prng_draws": PRNG_SQL, "irr_histogram": HIST_SQL, "nearby_better_site": NEARBY_SQL, "logistics_origin": _origin_sql(), "component_origins": _origins_sql(), "logistics_cost": COST_SQL}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from siteloom.functions.numeric import half_up
+from siteloom.operators.dedupe import keep_first
+from siteloom.operators.staging import shared_dir
 from siteloom.plans.tables import table
+from siteloom.streaming import loads
 
 # The policy dimensions (key, category, value type, unit, place in its category) and the order of the categories.
 DIMENSIONS = [
@@ -192,3 +196,19 @@ SELECT CASE WHEN age < {TTL_HOURS} THEN 'hit' WHEN age IS NOT NULL AND down THEN
 
 QUERIES = {f.__name__: f for f in (policy_meta, policy_record_errors, district_feature_errors, request_bounds, license_manifest, ingest_summary, tile_cache)}
 SQL = {"policy_meta": META_SQL, "policy_record_errors": RECORD_SQL, "district_feature_errors": DISTRICT_SQL, "request_bounds": BOUNDS_SQL, "license_manifest": MANIFEST_SQL, "ingest_summary": INGEST_SQL, "tile_cache": CACHE_SQL}
+
+
+def incremental_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's newest event, loaded as a stream: the files that are there now go into the table batch by batch, changes of a key once."""
+    events = table(spark, sf_dir, "events")
+    at = f"{shared_dir(spark)}/siteloom/load-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/events.parquet*")
+    changes = stream.select("user_id", "ts", "event_id", "event_type")
+    loads.load(changes, f"{at}/table", f"{at}/checkpoint", ["user_id"], ["ts", "event_id"]).awaitTermination()
+    # Batches hold the newest of their own files; of several batches the newest counts, not the last.
+    return keep_first(spark.read.parquet(f"{at}/table/batch-*"), ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()]).select("user_id", "event_id", "event_type")
+
+
+INCREMENTAL_SQL = "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1"
+QUERIES["incremental_latest"] = incremental_latest
+SQL["incremental_latest"] = INCREMENTAL_SQL
