@@ -34,7 +34,9 @@ def bearing(p: Column, q: Column) -> Column:
 def arc(p: Column, start: Column, turn: Column, km: Column, steps: int = STEPS) -> Column:
     """Points around ``p`` from direction ``start`` over ``turn`` degrees to the left, both ends included."""
     n = F.greatest(F.lit(1), F.ceil(turn * steps / 360)).cast("int")
-    return F.transform(F.sequence(F.lit(0), n), lambda i: destination(p, start - turn * i / n, km))
+    # The directions are worked out once and not for each point: they are the only element of an array that is gone through.
+    once = F.array(F.struct(p["x"].alias("x"), p["y"].alias("y"), start.alias("start"), turn.alias("turn"), n.alias("n")))
+    return F.flatten(F.transform(once, lambda o: F.transform(F.sequence(F.lit(0), o["n"]), lambda i: destination(o, o["start"] - o["turn"] * i / o["n"], km))))
 
 
 def circle(p: Column, km: Column, steps: int = STEPS) -> Column:

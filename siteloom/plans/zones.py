@@ -13,7 +13,7 @@ from siteloom.operators.spatial import around
 from siteloom.plans.spatial import MASTS, SITES, _masts, _sites
 from siteloom.plans.tables import table
 
-CELL = 0.25
+CELL = 1.0
 AREA = [(-0.3, -0.3), (0.3, -0.25), (0.1, 0.0), (0.3, 0.3), (-0.25, 0.3)]  # degrees around an area's point; concave
 SHAPES = ([(-0.5, -0.4), (0.4, -0.2), (0.1, 0.1), (0.2, 0.6), (-0.2, 0.1)], [(-0.4, -0.5), (0.5, 0.1), (-0.5, 0.2), (0.3, -0.6), (0.1, 0.6)])  # of zones: concave, and crossing itself
 REACH = 0.95  # degrees at most between the points of a zone and an area that meet
