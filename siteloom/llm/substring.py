@@ -150,7 +150,17 @@ def spans(docs: DataFrame, text: str, length: int, gram: int) -> DataFrame:
     window_schema = struct_of(w1=LONG, w2=LONG, k1=LONG, k2=LONG, first=T.IntegerType(), alone=T.BooleanType())
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in rebatched(batches, BATCH):
+            # A task extends a text once, however many copies of it the join, which Spark may split, brings.
+            fresh = []
+            for i, key in enumerate(zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), strict=True)):
+                if key not in seen:
+                    seen.add(key)
+                    fresh.append(i)
+            if not fresh:
+                continue
+            batch = batch.take(pa.array(fresh))
             words = Words(batch.column("text"))
             lists = batch.column("todo")
             doc = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()).astype(np.int64))
@@ -164,8 +174,7 @@ def spans(docs: DataFrame, text: str, length: int, gram: int) -> DataFrame:
             own = pa.array(doc)
             yield pa.RecordBatch.from_arrays([_array(words.run(0, start, length).view(np.int64), pa.int64()), _array(words.run(1, start, length).view(np.int64), pa.int64()), batch.column("k1").take(own), batch.column("k2").take(own), _array(first, pa.int32()), pa.array(alone, pa.bool_())], names=window_schema.names)
 
-    # One row a text, however many copies it has.
-    windows = staged(keyed.join(todo, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("k1", "k2", "text", "todo").mapInArrow(extend, window_schema))
+    windows = staged(keyed.join(todo, ["k1", "k2"]).select("k1", "k2", "text", "todo").mapInArrow(extend, window_schema))
     drop_staged(todo)
     at = F.struct("k1", "k2", "first")
     shared = windows.groupBy("w1", "w2").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a != b").select("w1", "w2")
