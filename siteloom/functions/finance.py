@@ -107,30 +107,47 @@ def payback(flows: Column) -> Column:
     return F.coalesce(F.aggregate(flows, start, step)["paid"], F.lit(float(LIFE)))
 
 
-def irr_of(flows: np.ndarray, steps: int = 120) -> np.ndarray:
-    """Bisection for the rate at which each row's value is nothing; NaN where both ends have one sign."""
+def irr_of(flows: np.ndarray, steps: int = 120, halvings: int = 4) -> np.ndarray:
+    """The rate at which each row's value is nothing; NaN where both ends have one sign.
+
+    A few halvings, then Newton's steps as long as they stay within the
+    bracket, which every step narrows; rows that no longer move are done.
+    """
     years = flows.shape[1]
 
-    def value(rate: np.ndarray) -> np.ndarray:
-        x, out = 1 / (1 + rate), np.zeros(len(rate))
+    def value(own: np.ndarray, rate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A row's value at a rate, and its slope."""
+        x = 1 / (1 + rate)
+        out, slope = np.zeros(len(rate)), np.zeros(len(rate))
         for t in range(years - 1, -1, -1):
-            out = out * x + flows[:, t]
-        return out
+            slope = slope * x + out
+            out = out * x + own[:, t]
+        return out, -slope * x * x
 
     low, high = np.full(len(flows), IRR_LOW), np.full(len(flows), IRR_HIGH)
-    at_low = value(low)
+    at_low = value(flows, low)[0]
     with np.errstate(invalid="ignore"):
-        none = ~(at_low * value(high) <= 0)
-    for _ in range(steps):
-        middle = (low + high) / 2
-        here = value(middle)
-        left = at_low * here < 0
-        high = np.where(left, middle, high)
-        at_low = np.where(left, at_low, here)
-        low = np.where(left, low, middle)
-        if np.max(high - low, initial=0) < 1e-13:
+        none = ~(at_low * value(flows, high)[0] <= 0)
+    found = np.where(none, np.nan, (low + high) / 2)
+    left = np.flatnonzero(~none)
+    own, low, high, at_low, rate = flows[left], low[left], high[left], at_low[left], found[left]
+    for k in range(steps):
+        if not len(left):
             break
-    return np.where(none, np.nan, (low + high) / 2)
+        here, slope = value(own, rate)
+        below = at_low * here < 0
+        high = np.where(below, rate, high)
+        at_low = np.where(below, at_low, here)
+        low = np.where(below, low, rate)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            newton = rate - here / slope
+        inside = (newton >= low) & (newton <= high) if k >= halvings else np.zeros(len(left), bool)
+        after = np.where(inside, newton, (low + high) / 2)
+        done = (np.abs(after - rate) < 1e-14) | (high - low < 1e-13)
+        found[left] = after
+        keep = ~done
+        left, own, low, high, at_low, rate = left[keep], own[keep], low[keep], high[keep], at_low[keep], after[keep]
+    return found
 
 
 @F.pandas_udf(T.DoubleType())
