@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,16 +26,22 @@ def canonical(ring: Column) -> Column:
     return F.when((F.size(once) > 1) & (F.get(once, F.lit(0)) == last), F.slice(once, 1, F.greatest(F.size(once) - 1, F.lit(0)))).otherwise(once)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def area_km2(ring: Column) -> Column:
     """Area of an open ring on the sphere."""
-    n = F.size(ring)
 
-    def term(p: Column, i: Column) -> Column:
-        q = F.get(ring, F.pmod(i + 1, n))
-        return F.radians(q["x"] - p["x"]) * (F.lit(2.0) + F.sin(F.radians(p["y"])) + F.sin(F.radians(q["y"])))
+    def total(own: Column) -> Column:
+        def term(p: Column, i: Column) -> Column:
+            q = F.get(own, F.pmod(i + 1, F.size(own)))
+            return F.radians(q["x"] - p["x"]) * (F.lit(2.0) + F.sin(F.radians(p["y"])) + F.sin(F.radians(q["y"])))
 
-    total = F.aggregate(F.transform(ring, term), F.lit(0.0), lambda a, t: a + t)
-    return F.abs(total) * F.lit(EARTH_KM**2 / 2)
+        return F.aggregate(F.transform(own, term), F.lit(0.0), lambda a, t: a + t)
+
+    return F.abs(once(ring, total)) * F.lit(EARTH_KM**2 / 2)
 
 
 def crosses_itself(ring: Column) -> Column:
@@ -174,19 +180,24 @@ def clipped(ring: Column, window: Column) -> Column:
 
     The ring is cut along each edge of the window in turn: a corner inside stays, and an edge that crosses gives the crossing.
     """
-    m = F.size(window)
+    corner = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    none = F.slice(F.array(corner), 1, 0)
 
-    def cut(own: Column, i: Column) -> Column:
-        a, b = F.get(window, i), F.get(window, F.pmod(i + 1, m))
+    def cut(own: Column, ends: Column) -> Column:
+        a, b = ends["a"], ends["b"]
         side = lambda p: (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
 
-        def edge(p: Column, j: Column) -> Column:
-            q = F.get(own, F.pmod(j + 1, F.size(own)))
-            s, t = side(p), side(q)
+        def edge(pair: Column) -> Column:
+            p, q, s, t = (pair[c] for c in "pqst")
             at = F.when(s != t, s / (s - t)).otherwise(0.0)
             crossing = F.struct((p["x"] + (q["x"] - p["x"]) * at).alias("x"), (p["y"] + (q["y"] - p["y"]) * at).alias("y"))
-            return F.when((s >= 0) & (t >= 0), F.array(q)).when(s >= 0, F.array(crossing)).when(t >= 0, F.array(crossing, q)).otherwise(F.array().cast("array<struct<x: double, y: double>>"))
+            return F.when((s >= 0) & (t >= 0), F.array(q)).when(s >= 0, F.array(crossing)).when(t >= 0, F.array(crossing, q)).otherwise(none)
+
+        def pair(p: Column, j: Column) -> Column:
+            return once(F.get(own, F.pmod(j + 1, F.size(own))), lambda q: F.struct(p.alias("p"), q.alias("q"), side(p).alias("s"), side(q).alias("t")))
 
-        return F.flatten(F.transform(own, edge))
+        return F.flatten(F.transform(F.transform(own, pair), edge))
 
-    return F.aggregate(F.sequence(F.lit(0), m - 1), ring, cut)
+    # The ring and the window are bound once: named again in every step, they would be built again there.
+    sides = once(window, lambda w: F.transform(w, lambda a, i: F.struct(a.alias("a"), F.get(w, F.pmod(i + 1, F.size(w))).alias("b"))))
+    return F.aggregate(sides, ring, cut)

@@ -34,6 +34,20 @@ ON_BORDERS = keyed("part", "p_partkey", "[6700, 14400, 18360, 100, 200, 300, 400
 MANY_MASTS = f"SELECT * REPLACE (k AS c_custkey) FROM (SELECT c.*, r.k FROM '{DATA}/customer.parquet' c, range(1, 15001) r(k) WHERE c_custkey = (SELECT min(c_custkey) FROM '{DATA}/customer.parquet'))".replace("SELECT *", "SELECT * EXCLUDE (k)", 1)
 
 
+def test_zones_that_touch_an_area(same):
+    same("exclusion_overlap", supplier=keyed("supplier", "s_suppkey", "[382, 7, 11]"), customer=MANY_MASTS)
+
+
+def test_a_ring_is_built_once_in_clipping(spark):
+    from pyspark.sql import functions as F
+
+    from siteloom.operators.shapes import clipped
+
+    ring = F.array(*[F.struct((F.col("id") + float(a)).alias("x"), F.lit(float(b)).alias("y")) for a, b in ((0, 0), (4, 0), (4, 4), (0, 4))])
+    plan = spark.range(1).select(clipped(ring, ring).alias("cut"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("named_struct(x") < 40
+
+
 def test_masts_in_reach_are_told_in_few_rows(spark, same):
     """Sites' cells are told within one step over arrays, not by a row and formulas for every cell."""
     from pyspark.sql import functions as F
