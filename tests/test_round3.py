@@ -35,6 +35,10 @@ def test_turbines_on_an_areas_border(same):
     assert same("turbines_in_aoi", part=f"SELECT * EXCLUDE (k) REPLACE (k AS p_partkey) FROM (SELECT p.*, r.k FROM '{DATA}/part.parquet' p, range(0, 20000, 200) r(k) WHERE p_partkey <= 1) UNION ALL {ON_BORDERS}") > 5
 
 
+def test_sites_on_an_areas_border(same):
+    same("point_exclusion_hits", supplier=keyed("supplier", "s_suppkey", "[800, 382, 1, 2]"))
+
+
 def test_pixels_on_an_areas_border(same):
     same("exclusion_coverage", part=ON_BORDERS)
 
