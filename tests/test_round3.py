@@ -43,6 +43,10 @@ def test_pixels_on_an_areas_border(same):
     same("exclusion_coverage", part=ON_BORDERS)
 
 
+def test_districts_of_turbines_on_a_border(same):
+    assert same("turbine_districts", part=ON_BORDERS) == 9
+
+
 MANY_MASTS = f"SELECT * REPLACE (k AS c_custkey) FROM (SELECT c.*, r.k FROM '{DATA}/customer.parquet' c, range(1, 15001) r(k) WHERE c_custkey = (SELECT min(c_custkey) FROM '{DATA}/customer.parquet'))".replace("SELECT *", "SELECT * EXCLUDE (k)", 1)
 
 
