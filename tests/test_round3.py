@@ -47,6 +47,13 @@ def test_districts_of_turbines_on_a_border(same):
     assert same("turbine_districts", part=ON_BORDERS) == 9
 
 
+def test_shear_takes_every_line(spark):
+    """A site with key 3 modulo 8 has lines at all three heights, and all are fitted."""
+    found = catalog.queries()["shear_fit_by_site"](spark, DATA).where("site % 8 = 3").collect()
+    assert found and all(r["heights"] == 3 for r in found)
+    assert "l_suppkey % 8" not in catalog.oracle_sql()["shear_fit_by_site"]
+
+
 MANY_MASTS = f"SELECT * REPLACE (k AS c_custkey) FROM (SELECT c.*, r.k FROM '{DATA}/customer.parquet' c, range(1, 15001) r(k) WHERE c_custkey = (SELECT min(c_custkey) FROM '{DATA}/customer.parquet'))".replace("SELECT *", "SELECT * EXCLUDE (k)", 1)
 
 
