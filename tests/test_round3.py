@@ -82,3 +82,9 @@ def test_masts_in_reach_are_told_in_few_rows(spark, same):
     plan = counts_within(spark.createDataFrame([(1, 70.0, 20.0)], "site long, lon double, lat double"), points, [100.0, 20.0])._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "Generate" not in plan
     assert "strategy=merge" in plan and "strategy=shuffle_hash" in plan
+
+
+def test_rings_of_masts_without_pairs(spark, same, tmp_path):
+    assert same("ring_search", supplier=keyed("supplier", "s_suppkey", "range(1, 11)"), customer=MANY_MASTS) == 10
+    plan = catalog.queries()["ring_search"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 0
