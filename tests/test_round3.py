@@ -88,3 +88,9 @@ def test_rings_of_masts_without_pairs(spark, same, tmp_path):
     assert same("ring_search", supplier=keyed("supplier", "s_suppkey", "range(1, 11)"), customer=MANY_MASTS) == 10
     plan = catalog.queries()["ring_search"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate") == 0
+
+
+def test_the_nearest_usable_mast_is_sought_in_widening_cells(spark, same, tmp_path):
+    same("mast_validation", supplier=keyed("supplier", "s_suppkey", "range(1, 11)"), customer=MANY_MASTS)
+    plan = catalog.queries()["mast_validation"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
