@@ -94,3 +94,23 @@ def test_the_nearest_usable_mast_is_sought_in_widening_cells(spark, same, tmp_pa
     same("mast_validation", supplier=keyed("supplier", "s_suppkey", "range(1, 11)"), customer=MANY_MASTS)
     plan = catalog.queries()["mast_validation"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan
+
+
+def test_zones_are_cut_once_for_all_areas(spark, same):
+    assert same("exclusion_union", supplier=keyed("supplier", "s_suppkey", "range(1, 4)"), customer=MANY_MASTS.replace("range(1, 15001)", "range(1, 601)")) >= 0
+    plan = catalog.queries()["exclusion_union"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" not in plan and "MapInArrow" in plan
+
+
+def test_pieces_that_fill_their_cell_are_told():
+    import numpy as np
+
+    from siteloom.operators.coverage import _half, _pieces, fills, half
+
+    ring = [(0.15, 0.1), (0.95, 0.2), (0.5, 0.5), (0.9, 0.9), (0.1, 0.8)]
+    for axis, bound, above in ((0, 0.4, True), (1, 0.6, False), (0, 2.0, True), (1, 0.0, True)):
+        got, want = _half(ring, axis, bound, above), half(np.array(ring), axis, bound, above)
+        turned = sorted(got)
+        assert np.allclose(turned, sorted(map(tuple, want.tolist()))) if got else not len(want)
+    told = {(cx, cy): fills(piece, cx, cy, 0.1) for cx, cy, piece in _pieces(ring, 0.1, _half)}
+    assert told[3, 4] is True and told[1, 1] is False and told.get((7, 5)) is not True
