@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteloom.functions.geo import EARTH_KM, haversine_km, sql_haversine, sql_lat, sql_lon, synthetic_lat, synthetic_lon
 from siteloom.functions.numeric import half_up
+from siteloom.operators.proximity import spread_over
 from siteloom.operators.shapes import area_km2
 from siteloom.operators.spatial import around, cell_degrees
 from siteloom.plans.spatial import MASTS, RASTER, SITES, _masts, _raster, _sites
@@ -86,11 +87,19 @@ KINDS = ["Mast", "Mast (PVT)", "Substation"]
 def snap_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks drawn to the feature of the first kind within the tolerance box, of equal ones the one with the least id, and how far that moved them."""
     clicks = _sites(spark, sf_dir).select("site", "lon", "lat")
-    size = (SNAP_DEGREES * 2, SNAP_DEGREES * 2)
+    side = SNAP_DEGREES / 4
     marks = _masts(spark, sf_dir).select(F.col("mast").alias("mark"), F.pmod("mast", F.lit(len(KINDS))).alias("kind"), F.col("plon").alias("blon"), F.col("plat").alias("blat"))
-    held = marks.withColumns({"cx": F.floor(F.col("blon") / size[0]).cast("int"), "cy": F.floor(F.col("blat") / size[1]).cast("int")})
-    near = around(clicks, "lon", "lat", size).join(held, ["cx", "cy"]).where((F.abs(F.col("lon") - F.col("blon")) <= SNAP_DEGREES) & (F.abs(F.col("lat") - F.col("blat")) <= SNAP_DEGREES))
-    first = near.groupBy("site").agg(F.min(F.struct("kind", "mark", "blon", "blat")).alias("m"))
+    held = marks.withColumns({"cx": F.floor(F.col("blon") / side).cast("int"), "cy": F.floor(F.col("blat") / side).cast("int")})
+    # Cells inside the box give their first mark; of those its edge cuts, only the ones with an earlier mark are opened.
+    firsts = held.groupBy("cx", "cy").agg(F.min(F.struct("kind", "mark", "blon", "blat")).alias("m"))
+    ends = lambda c: F.sequence(F.floor((F.col(c) - SNAP_DEGREES) / side).cast("int") - 1, F.floor((F.col(c) + SNAP_DEGREES) / side).cast("int") + 1)
+    cells = clicks.repartition(spread_over(clicks), "site").withColumn("cx", F.explode(ends("lon"))).withColumn("cy", F.explode(ends("lat")))
+    within = lambda c, at, slack: (F.col(at) * side >= F.col(c) - SNAP_DEGREES + slack) & ((F.col(at) + 1) * side <= F.col(c) + SNAP_DEGREES - slack)
+    met = cells.withColumn("inside", within("lon", "cx", 1e-9) & within("lat", "cy", 1e-9)).join(firsts.hint("shuffle_hash"), ["cx", "cy"])
+    sure = met.where("inside").groupBy("site").agg(F.min("m").alias("sure"))
+    opened = met.where("NOT inside").select("site", "lon", "lat", "cx", "cy", F.col("m").alias("cell")).join(sure, "site", "left").where(F.col("sure").isNull() | (F.col("cell") < F.col("sure")))
+    near = opened.select("site", "lon", "lat", "cx", "cy").join(held.hint("merge"), ["cx", "cy"]).where((F.abs(F.col("lon") - F.col("blon")) <= SNAP_DEGREES) & (F.abs(F.col("lat") - F.col("blat")) <= SNAP_DEGREES))
+    first = sure.select("site", F.col("sure").alias("m")).unionByName(near.select("site", F.struct("kind", "mark", "blon", "blat").alias("m"))).groupBy("site").agg(F.min("m").alias("m"))
     rows = clicks.join(first, "site", "left")
     found = F.col("m").isNotNull()
     name = F.when(found, F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.col("m.kind") + 1).cast("int"))).otherwise("Point")
@@ -139,14 +148,21 @@ SCALE, FINE = 10, 4
 
 
 def regrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raster on a grid four times as fine: bilinear between the four pixels around, as whole tenths; 0 where one of them has no value. Each pixel goes to the points it touches, so the keys are points."""
+    """The raster on a grid four times as fine: bilinear between the four pixels around, as whole tenths; 0 where one of them has no value. Each pixel goes to the four squares it is a corner of, and a square makes its points."""
     pixels = _raster(spark, sf_dir).where("z IS NOT NULL")
-    shift = lambda axis: F.explode(F.sequence(F.lit(1 - FINE), F.lit(FINE - 1))).alias(axis)
-    weight = lambda d: (F.lit(float(FINE)) - F.abs(F.col(d))) / FINE
-    sent = pixels.select("row", "col", "z", shift("dr")).select("*", shift("dc")).select((F.col("row") * FINE + F.col("dr")).alias("r"), (F.col("col") * FINE + F.col("dc")).alias("c"), (weight("dr") * weight("dc")).alias("w"), "z")
-    points = sent.groupBy("r", "c").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("z")).alias("s"))
-    value = F.when(F.col("w") > 0.999999, F.floor(F.col("s") * SCALE + 0.5)).otherwise(0).cast("long")
-    return points.groupBy(F.floor(F.col("r") / (4 * FINE)).cast("int").alias("block")).agg(F.count("*").alias("points"), F.count(F.when(value > 0, 1)).alias("known"), F.sum(value).alias("total"), F.max(value).alias("most"))
+    corners = [(i, j) for i in (0, 1) for j in (0, 1)]
+    sent = pixels.select("z", F.explode(F.array(*[F.struct((F.col("row") - i).alias("r"), (F.col("col") - j).alias("c"), F.lit(2 * i + j).alias("corner")) for i, j in corners])).alias("p")).select("z", "p.*")
+    squares = sent.groupBy("r", "c").agg(*[F.sum(F.when(F.col("corner") == k, F.col("z"))).alias(f"s{k}") for k in range(4)], *[F.count_if(F.col("corner") == k).alias(f"n{k}") for k in range(4)])
+
+    def point(a: int, b: int) -> Column:
+        """A square's point, ``a`` and ``b`` steps from its first corner: its weight and sum, null where no pixel touches it."""
+        shares = [((FINE - a if not i else a) * (FINE - b if not j else b) / FINE**2, 2 * i + j) for i, j in corners]
+        w = sum((F.lit(share) * F.col(f"n{k}") for share, k in shares if share), F.lit(0.0))
+        s = sum((F.lit(share) * F.coalesce(f"s{k}", F.lit(0.0)) for share, k in shares if share), F.lit(0.0))
+        return F.when(w > 0, F.when(w > 0.999999, F.floor(s * SCALE + 0.5)).otherwise(0).cast("long"))
+
+    points = squares.select(F.floor(F.col("r") / 4).cast("int").alias("block"), F.explode(F.array(*[point(a, b) for a in range(FINE) for b in range(FINE)])).alias("v")).where("v IS NOT NULL")
+    return points.groupBy("block").agg(F.count("*").alias("points"), F.count(F.when(F.col("v") > 0, 1)).alias("known"), F.sum("v").alias("total"), F.max("v").alias("most"))
 
 
 REGRID_SQL = f"""

@@ -96,6 +96,18 @@ def test_the_nearest_usable_mast_is_sought_in_widening_cells(spark, same, tmp_pa
     assert "Window" not in plan
 
 
+def test_regridded_points_come_from_squares(spark, same):
+    assert same("regrid", part=keyed("part", "p_partkey", "range(1, 400, 3)")) > 1
+    plan = catalog.queries()["regrid"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan and "explode([-3" not in plan
+
+
+def test_clicks_open_only_cells_with_an_earlier_mark(spark, same):
+    assert same("snap_points", supplier=keyed("supplier", "s_suppkey", "range(1, 11)"), customer=MANY_MASTS) == 10
+    plan = catalog.queries()["snap_points"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=shuffle_hash" in plan and "strategy=merge" in plan
+
+
 def test_zones_are_cut_once_for_all_areas(spark, same):
     assert same("exclusion_union", supplier=keyed("supplier", "s_suppkey", "range(1, 4)"), customer=MANY_MASTS.replace("range(1, 15001)", "range(1, 601)")) >= 0
     plan = catalog.queries()["exclusion_union"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
