@@ -108,6 +108,12 @@ def test_clicks_open_only_cells_with_an_earlier_mark(spark, same):
     assert "strategy=shuffle_hash" in plan and "strategy=merge" in plan
 
 
+def test_a_cube_counts_parts_without_rows_for_each_set(spark, same):
+    same("line_cube", lineitem=f"SELECT * FROM '{DATA}/lineitem.parquet' UNION ALL (SELECT * REPLACE (CAST(NULL AS BIGINT) AS l_partkey, CAST(NULL AS VARCHAR) AS l_returnflag) FROM '{DATA}/lineitem.parquet' LIMIT 50)")
+    plan = catalog.queries()["line_cube"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(distinct" not in plan
+
+
 def test_zones_are_cut_once_for_all_areas(spark, same):
     assert same("exclusion_union", supplier=keyed("supplier", "s_suppkey", "range(1, 4)"), customer=MANY_MASTS.replace("range(1, 15001)", "range(1, 601)")) >= 0
     plan = catalog.queries()["exclusion_union"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
