@@ -45,3 +45,26 @@ def test_a_filled_cell_brings_no_other_pieces(spark):
         got.setdefault((r["group"]["layer"], r["cx"], r["cy"]), []).append(r["whole"])
     assert got["a", 9, 0] == [True] and got["b", 9, 0] == [True] and got["c", 9, 0] == [False]
     assert got["a", 0, 0] == [True] and got["a", 10, 0] == [False]
+
+
+def test_polygons_are_mended_together_as_each_on_its_own(spark, same, monkeypatch):
+    from siteloom.operators import repair
+
+    rng = np.random.default_rng(4)
+    many = [[rng.integers(0, 6, (int(rng.integers(0, 9)), 2)).astype(float) for _ in range(k % 3 + 1)] for k in range(60)]
+    alone = [[[r.tolist() for r in p] for p in repair.polygons(m)] for m in many]
+    calls, noded = [], repair.noded
+    monkeypatch.setattr(repair, "noded", lambda *own: calls.append(1) or noded(*own))
+    flat = [r for m in many for r in m]
+    points = np.concatenate(flat)
+    found = repair.mended(points[:, 0], points[:, 1], np.repeat(np.arange(len(flat)), [len(r) for r in flat]), np.repeat(np.arange(60), [len(m) for m in many]), 60)
+    assert [[[list(map(list, r)) for r in p] for p in m] for m in found] == alone and len(calls) == 1 and sum(map(len, alone)) > 30
+    assert same("repaired_zones", customer=keyed("customer", "c_custkey", "range(1, 151)")) > 100
+
+
+def test_rows_of_small_tables_are_dealt_before_much_work(spark):
+    from siteloom.plans import catalog
+
+    for name in ("repaired_zones",):
+        plan = catalog.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan, name
