@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,45 +84,60 @@ def geohash(lon: Column, lat: Column, length: int = 8) -> Column:
     return F.concat(*letters)
 
 
-def hull(points: np.ndarray) -> np.ndarray:
+def hull(points: np.ndarray | list[tuple[float, float]]) -> list[tuple[float, float]]:
     """Corners of the convex hull, counter-clockwise from the leftmost point."""
-    rows = np.unique(points, axis=0)
+    rows = sorted(set(map(tuple, points)))
     if len(rows) < 3:
         return rows
 
-    def half(order: np.ndarray) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
+    def half(order: list[tuple[float, float]]) -> list[tuple[float, float]]:
+        out: list[tuple[float, float]] = []
         for p in order:
             while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
                 out.pop()
             out.append(p)
         return out[:-1]
 
-    return np.array(half(rows) + half(rows[::-1]))
+    return half(rows) + half(rows[::-1])
 
 
-def convex_hulls(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    """(key, x, y, corner): the hull of each key's points.
+def hull_rings(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
+    """(key, hull): the hull of each key's points, as an open array of (x, y).
 
     Each task first takes the hulls of its own rows, so that what meets for a
-    key is the corners of as many hulls as there were tasks, however many
+    key is the corners of as many hulls as there were batches, however many
     points the key has.
     """
     slim = df.select(F.col(key).alias("key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
     kind = slim.schema["key"].dataType.simpleString()
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def arrays(hulls: list[list[tuple[float, float]]]) -> list[pa.Array]:
+        """The hulls' xs and ys."""
+        offsets = pa.array(np.concatenate(([0], np.cumsum([len(h) for h in hulls]))).astype(np.int32))
+        corners = np.array([p for h in hulls for p in h], float).reshape(-1, 2)
+        return [pa.ListArray.from_arrays(offsets, pa.array(corners[:, i])) for i in (0, 1)]
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = batch.column("key").dictionary_encode(null_encoding="encode")
+            own: list[list] = [[] for _ in range(len(coded.dictionary))]
+            for k, *p in zip(coded.indices.to_pylist(), batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                own[k].append(p)
+            yield pa.RecordBatch.from_arrays([coded.dictionary, *arrays([hull(points) for points in own])], names=["key", "xs", "ys"])
+
+    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, own in batch.groupby("key", dropna=False):
-                corners = hull(own[["x", "y"]].to_numpy())
-                yield pd.DataFrame({"key": [k] * len(corners), "x": corners[:, 0], "y": corners[:, 1]})
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *arrays([hull(list(zip(xs, ys, strict=True))) for xs, ys in zip(batch.column("xs").to_pylist(), batch.column("ys").to_pylist(), strict=True)])], names=["key", "xs", "ys"])
+
+    lists = f"key {kind}, xs array<double>, ys array<double>"
+    parts = slim.mapInArrow(partial, lists).groupBy("key").agg(F.collect_list(F.struct("xs", "ys")).alias("parts"))
+    met = parts.select("key", *[F.flatten(F.transform("parts", lambda p: p[c])).alias(c) for c in ("xs", "ys")]).mapInArrow(final, lists)
+    return met.select(F.col("key").alias(key), F.zip_with("xs", "ys", lambda x, y: F.struct(x.alias("x"), y.alias("y"))).alias("hull"))
 
-    def final(own: pd.DataFrame) -> pd.DataFrame:
-        corners = hull(own[["x", "y"]].to_numpy())
-        return pd.DataFrame({"key": [own["key"].iloc[0]] * len(corners), "x": corners[:, 0], "y": corners[:, 1], "corner": range(len(corners))})
 
-    met = slim.mapInPandas(partial, f"key {kind}, x double, y double").groupBy("key").applyInPandas(final, f"key {kind}, x double, y double, corner int")
-    return met.withColumnRenamed("key", key)
+def convex_hulls(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
+    """(key, x, y, corner): the corners of each key's hull in a row each."""
+    return hull_rings(df, key, x, y).select(key, F.posexplode("hull").alias("corner", "p")).select(key, "p.x", "p.y", "corner")
 
 
 def kms_square(lon: Column, lat: Column, km: float) -> Column:

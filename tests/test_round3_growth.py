@@ -68,3 +68,13 @@ def test_rows_of_small_tables_are_dealt_before_much_work(spark):
     for name in ("repaired_zones",):
         plan = catalog.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert "REPARTITION_BY_NUM" in plan, name
+
+
+def test_hulls_come_from_arrays_and_not_a_frame_for_each_key(spark, same):
+    from siteloom.operators.shapes import hull_rings
+    from siteloom.plans import catalog
+
+    assert same("layout_screens", customer=keyed("customer", "c_custkey", "range(0, 150)")) == 19
+    assert "Pandas" not in catalog.queries()["layout_screens"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    frame = spark.createDataFrame([(None, 0.0, 0.0), (None, 2.0, 0.0), (None, 1.0, 0.0), (None, 0.0, 1.0), (None, 2.0, None), ("a", 1.0, 1.0), ("a", 1.0, 1.0)], "k string, x double, y double")
+    assert {r["k"]: [tuple(p) for p in r["hull"]] for r in hull_rings(frame, "k", "x", "y").collect()} == {None: [(0.0, 0.0), (2.0, 0.0), (0.0, 1.0)], "a": [(1.0, 1.0)]}
