@@ -10,12 +10,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siteloom.operators.proximity import spread_over
+
 EXTENT = 4096
 #: Fixed values of the format: field numbers of tile, layer, feature and value, and geometry commands.
 LAYER, NAME, FEATURE, KEY, VALUE, EXTENT_FIELD, VERSION = 3, 1, 2, 3, 4, 5, 15
@@ -23,6 +27,7 @@ ID, TAGS, TYPE, GEOMETRY = 1, 2, 3, 4
 INT_VALUE = 4
 MOVE, LINE = 1, 2
 LINES = 2  # the type of line features
+SOME = 4096  # features that are Python objects at once
 
 
 def varint(n: int) -> bytes:
@@ -140,6 +145,38 @@ def on_grid(parts: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
+def tile_of(features: pa.Table, extent: int) -> bytes:
+    """The message of one tile's features (layer, id, attrs, geometry). They stay in Arrow, but for some at a time."""
+    own = features.select(["layer", "id", "attrs", "geometry"]).combine_chunks()
+    order = pc.sort_indices(own, sort_keys=[(c, "ascending") for c in ("layer", "id", "geometry")])
+    out, body = bytearray(), bytearray()
+    name: str | None = None
+    keys: dict[str, int] = {}
+    values: dict[int, int] = {}
+
+    def close() -> None:
+        """Puts the layer that has been gathered into the tile."""
+        nonlocal body
+        body += b"".join(field(KEY, k.encode()) for k in keys) + b"".join(field(VALUE, field(INT_VALUE, v & (1 << 64) - 1)) for v in values) + field(EXTENT_FIELD, extent)
+        head = field(VERSION, 2) + field(NAME, name.encode())
+        out.extend(varint(LAYER << 3 | 2) + varint(len(head) + len(body)) + head)
+        out.extend(body)
+        body = bytearray()
+        keys.clear()
+        values.clear()
+
+    for at in range(0, len(order), SOME):
+        for r in own.take(order.slice(at, SOME)).to_pylist():
+            if name is not None and r["layer"] != name:
+                close()
+            name = r["layer"]
+            tags = b"".join(varint(keys.setdefault(a["key"], len(keys))) + varint(values.setdefault(a["value"], len(values))) for a in r["attrs"] or [] if a["value"] is not None)
+            body += field(FEATURE, field(ID, r["id"]) + field(TAGS, tags) + field(TYPE, LINES) + field(GEOMETRY, r["geometry"]))
+    if name is not None:
+        close()
+    return bytes(out)
+
+
 def encode_tiles(lines: DataFrame, zoom: int, extent: int = EXTENT) -> DataFrame:
     """z, x, y and data: tiles of ``lines`` (id, layer, attrs: map of whole numbers, points: array of (lon, lat) as x and y).
 
@@ -147,7 +184,7 @@ def encode_tiles(lines: DataFrame, zoom: int, extent: int = EXTENT) -> DataFrame
     """
     scale = float(2**zoom)
     points = F.transform("points", lambda p: F.struct(((p["x"] + 180.0) / 360.0 * scale).alias("x"), ((1.0 - F.log(F.tan(F.radians(p["y"])) + 1.0 / F.cos(F.radians(p["y"]))) / math.pi) / 2.0 * scale).alias("y")))
-    sound = lines.where((F.size("points") > 1) & F.forall("points", lambda p: p["x"].isNotNull() & p["y"].isNotNull()))
+    sound = lines.repartition(spread_over(lines)).where((F.size("points") > 1) & F.forall("points", lambda p: p["x"].isNotNull() & p["y"].isNotNull()))
     placed = sound.select("id", "layer", "attrs", points.alias("points"))
     span = lambda axis: F.sequence(F.floor(F.array_min(F.transform("points", lambda p: p[axis]))), F.floor(F.array_max(F.transform("points", lambda p: p[axis]))))
     spread = placed.withColumn("x", F.explode(span("x"))).withColumn("y", F.explode(span("y"))).where((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < scale) & (F.col("y") < scale))
@@ -168,62 +205,55 @@ def encode_tiles(lines: DataFrame, zoom: int, extent: int = EXTENT) -> DataFrame
     cut = flat.mapInArrow(encode, f"id long, layer string, x long, y long, attrs {kinds['attrs']}, geometry binary")
 
     def gather(table: pa.Table) -> pa.Table:
-        rows = sorted(table.select(["layer", "id", "attrs", "geometry"]).to_pylist(), key=lambda r: (r["layer"], r["id"], r["geometry"]))
-        layers: dict[str, list] = {}
-        for r in rows:
-            layers.setdefault(r["layer"], []).append(r)
-        out = b""
-        for name, own in layers.items():
-            keys: dict[str, int] = {}
-            values: dict[int, int] = {}
-            body = b""
-            for r in own:
-                tags = b"".join(varint(keys.setdefault(a["key"], len(keys))) + varint(values.setdefault(a["value"], len(values))) for a in r["attrs"] or [] if a["value"] is not None)
-                body += field(FEATURE, field(ID, r["id"]) + field(TAGS, tags) + field(TYPE, LINES) + field(GEOMETRY, r["geometry"]))
-            body += b"".join(field(KEY, k.encode()) for k in keys) + b"".join(field(VALUE, field(INT_VALUE, v & (1 << 64) - 1)) for v in values)
-            out += field(LAYER, field(VERSION, 2) + field(NAME, name.encode()) + body + field(EXTENT_FIELD, extent))
-        return pa.table({"z": pa.array([zoom], pa.int32()), "x": table.column("x")[:1], "y": table.column("y")[:1], "data": pa.array([out], pa.binary())})
+        return pa.table({"z": pa.array([zoom], pa.int32()), "x": table.column("x")[:1], "y": table.column("y")[:1], "data": pa.array([tile_of(table, extent)], pa.binary())})
 
     return cut.groupBy("x", "y").applyInArrow(gather, "z int, x long, y long, data binary")
 
 
 def decode_layer(data: memoryview) -> Iterator[dict]:
     """Features of one layer: id, attrs and lines."""
-    keys, values, features = [], [], []
-    for number, value in fields(data):
+    keys, values = [], []
+    for number, value in fields(data):  # they stand behind the features, which are gone through again
         if number == KEY:
             keys.append(bytes(value).decode())
         elif number == VALUE:
             whole = dict(fields(value))[INT_VALUE]
             values.append(whole - (1 << 64) if whole >> 63 else whole)
-        elif number == FEATURE:
-            features.append(dict(fields(value)))
-    for own in features:
+    for number, value in fields(data):
+        if number != FEATURE:
+            continue
+        own = dict(fields(value))
         tags = varints(own.get(TAGS, memoryview(b"")))
         yield {"id": own.get(ID), "attrs": [(keys[k], values[v]) for k, v in zip(tags[::2], tags[1::2], strict=True)], "lines": [[{"x": x, "y": y} for x, y in line] for line in lines_of(varints(own.get(GEOMETRY, memoryview(b""))))]}
 
 
+def decoded(tile: pa.BinaryScalar, wanted: dict[bytes, str]) -> list[pa.RecordBatch]:
+    """layer, id, attrs and lines of a tile's features, which become Arrow some at a time; nothing of a tile that is null or broken."""
+    kinds = {"layer": pa.string(), "id": pa.int64(), "attrs": pa.map_(pa.string(), pa.int64()), "lines": pa.list_(pa.list_(pa.struct([("x", pa.int64()), ("y", pa.int64())])))}
+    out: list[pa.RecordBatch] = []
+    try:
+        for number, layer in fields(tile.as_buffer()) if tile.is_valid else ():
+            name = next((bytes(v) for n, v in fields(layer) if n == NAME), b"") if number == LAYER else b""
+            if name not in wanted:
+                continue
+            features = decode_layer(layer)
+            while some := list(islice(features, SOME)):
+                out.append(pa.RecordBatch.from_arrays([pa.array([wanted[name]] * len(some) if c == "layer" else [f[c] for f in some], kind) for c, kind in kinds.items()], names=list(kinds)))
+    except (IndexError, KeyError, ValueError, TypeError):
+        return []
+    return out
+
+
 def decode_tiles(tiles: DataFrame, layers: list[str]) -> DataFrame:
     """z, x, y, layer, id, attrs and lines of the features of ``layers``; other layers are passed over unread. A tile that is null or broken holds nothing."""
     wanted = {name.encode(): name for name in layers}
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of, names, found = [], [], []
-            for i, data in enumerate(batch.column("data")):
-                own = []
-                try:
-                    for number, layer in fields(data.as_buffer()) if data.is_valid else ():
-                        name = next((bytes(v) for n, v in fields(layer) if n == NAME), b"") if number == LAYER else b""
-                        if name in wanted:
-                            own += [(wanted[name], f) for f in decode_layer(layer)]
-                except (IndexError, KeyError, ValueError, TypeError):
-                    own = []
-                of += [i] * len(own)
-                names += [n for n, _ in own]
-                found += [f for _, f in own]
-            kept = batch.select(["z", "x", "y"]).take(pa.array(of, pa.int64()))
-            line = pa.list_(pa.list_(pa.struct([("x", pa.int64()), ("y", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(names, pa.string()), pa.array([f["id"] for f in found], pa.int64()), pa.array([f["attrs"] for f in found], pa.map_(pa.string(), pa.int64())), pa.array([f["lines"] for f in found], line)], names=["z", "x", "y", "layer", "id", "attrs", "lines"])
+            for i in range(batch.num_rows):
+                own = batch.slice(i, 1)
+                for found in decoded(own.column("data")[0], wanted):
+                    place = own.select(["z", "x", "y"]).take(pa.array(np.zeros(found.num_rows, np.int64)))
+                    yield pa.RecordBatch.from_arrays([*place.columns, *found.columns], names=["z", "x", "y", *found.schema.names])
 
     return tiles.select(F.col("z").cast("int").alias("z"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "data").mapInArrow(decode, "z int, x long, y long, layer string, id long, attrs map<string, long>, lines array<array<struct<x: long, y: long>>>")

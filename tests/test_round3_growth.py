@@ -78,3 +78,24 @@ def test_hulls_come_from_arrays_and_not_a_frame_for_each_key(spark, same):
     assert "Pandas" not in catalog.queries()["layout_screens"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     frame = spark.createDataFrame([(None, 0.0, 0.0), (None, 2.0, 0.0), (None, 1.0, 0.0), (None, 0.0, 1.0), (None, 2.0, None), ("a", 1.0, 1.0), ("a", 1.0, 1.0)], "k string, x double, y double")
     assert {r["k"]: [tuple(p) for p in r["hull"]] for r in hull_rings(frame, "k", "x", "y").collect()} == {None: [(0.0, 0.0), (2.0, 0.0), (0.0, 1.0)], "a": [(1.0, 1.0)]}
+
+
+def test_a_tile_is_made_and_read_some_features_at_a_time(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from siteloom.sources import vectortiles as v
+
+    n = 30_000
+    kind = pa.list_(pa.struct([("key", pa.string()), ("value", pa.int64())]))
+    table = pa.table({"id": range(n), "layer": [("a", "b")[i % 2] for i in range(n)], "attrs": pa.array([[{"key": "kv", "value": i % 5}] for i in range(n)], kind), "geometry": pa.array([v.commands([np.array([[0, 0], [i % 90, 1]])]) for i in range(n)], pa.binary())})
+    tracemalloc.start()
+    data = v.tile_of(table, v.EXTENT)
+    found = v.decoded(pa.scalar(data, pa.binary()), {b"b": "b"})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12_000_000 and len(found) > 1
+    got = [r for batch in found for r in batch.to_pylist()]
+    assert [r["id"] for r in got] == list(range(1, n, 2)) and all(r["attrs"] == [("kv", r["id"] % 5)] and r["lines"] == [[{"x": 0, "y": 0}, {"x": r["id"] % 90, "y": 1}]] for r in got)
+    assert v.decoded(pa.scalar(data + b"\x1a", pa.binary()), {b"b": "b"}) == [] and v.decoded(pa.scalar(None, pa.binary()), {b"b": "b"}) == []
