@@ -2,15 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 QUERIES, VECTORS = 2048, 8192  # rows of a block
+SOME = 128  # queries of a block that are scored at once
 DIGITS = 1e9  # scores are compared at nine decimals
 
 
+def best_of(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each query its id repeated, and the ids and scores of the ``k`` best vectors, which stand by id; some queries' scores are held at once."""
+    for at in range(0, len(q), SOME):
+        scores = q[at : at + SOME] @ v.T
+        scores *= DIGITS
+        scores += 0.5
+        np.floor(scores, out=scores)
+        scores /= DIGITS
+        scores[q_ids[at : at + SOME, None] == ids[None, :]] = -np.inf
+        for name, row in zip(q_ids[at : at + SOME], scores, strict=True):
+            some = np.argsort(-row, kind="stable")[:k]
+            some = some[np.isfinite(row[some])]
+            yield np.full(len(some), name), ids[some], row[some]
+
+
 def best_by_cosine(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """query, id and score: the ``k`` best of ``vectors`` (id, vec) for each row of ``asked`` within its pair of blocks, itself left out.
 
@@ -29,12 +47,7 @@ def best_by_cosine(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
             (q_ids, q), (ids, v) = (unit(t) for t in (asks, held))
             order = np.argsort(ids, kind="stable")
             ids, v = ids[order], v[order]
-            scores = np.floor(q @ v.T * DIGITS + 0.5) / DIGITS
-            scores[q_ids[:, None] == ids[None, :]] = -np.inf
-            for name, row in zip(q_ids, scores, strict=True):
-                some = np.argsort(-row, kind="stable")[:k]
-                some = some[np.isfinite(row[some])]
-                out.append((np.full(len(some), name), ids[some], row[some]))
+            out = list(best_of(q_ids, q, ids, v, k))
         parts = [np.concatenate(x) if out else np.zeros(0) for x in (zip(*out, strict=True) if out else ((), (), ()))]
         return pa.table({n: pa.array(x, t) for n, x, t in zip(("query", "id", "score"), parts, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
 

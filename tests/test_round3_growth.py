@@ -65,7 +65,7 @@ def test_polygons_are_mended_together_as_each_on_its_own(spark, same, monkeypatc
 def test_rows_of_small_tables_are_dealt_before_much_work(spark):
     from siteloom.plans import catalog
 
-    for name in ("repaired_zones",):
+    for name in ("repaired_zones", "buffer_zones", "raster_windows"):
         plan = catalog.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert "REPARTITION_BY_NUM" in plan, name
 
@@ -99,3 +99,23 @@ def test_a_tile_is_made_and_read_some_features_at_a_time(monkeypatch):
     got = [r for batch in found for r in batch.to_pylist()]
     assert [r["id"] for r in got] == list(range(1, n, 2)) and all(r["attrs"] == [("kv", r["id"] % 5)] and r["lines"] == [[{"x": 0, "y": 0}, {"x": r["id"] % 90, "y": 1}]] for r in got)
     assert v.decoded(pa.scalar(data + b"\x1a", pa.binary()), {b"b": "b"}) == [] and v.decoded(pa.scalar(None, pa.binary()), {b"b": "b"}) == []
+
+
+def test_a_block_of_queries_is_scored_some_at_a_time():
+    import tracemalloc
+
+    from siteloom.operators.vectors import best_of
+
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((4000, 16))
+    v /= np.sqrt((v * v).sum(axis=1))[:, None]
+    ids = np.arange(4000)
+    tracemalloc.start()
+    found = list(best_of(ids[:1000], v[:1000], ids, v, 10))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12_000_000 and len(found) == 1000
+    for name, best, score in found[::200]:
+        want = np.floor(v @ v[name[0]] * 1e9 + 0.5) / 1e9
+        want[name[0]] = -np.inf
+        assert best.tolist() == np.argsort(-want, kind="stable")[:10].tolist() and len(score) == 10
