@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siteloom.operators.proximity import spread_over
+
 #: Most pixels of one window.
 MOST_PIXELS = 4_000_000
+SOME_PIXELS = 1 << 18  # of blocks that are cut at once
 
 
 def write_raster(tiles: DataFrame, path: str, side: int, height: int, width: int, origin: tuple[float, float] = (0.0, 0.0), step: float = 1.0) -> None:
@@ -47,17 +50,24 @@ def _pixels(blocks: DataFrame, side: int) -> DataFrame:
     keys = [c for c in blocks.columns if c not in ("ty", "tx", "data")]
 
     def cut(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                own = {c: batch.column(c)[i].as_py() for c in ("ty", "tx", "top", "bottom", "left", "right")}
-                y, x = own["ty"] * side, own["tx"] * side
-                rows, cols = np.arange(max(own["top"], y), min(own["bottom"], y + side)), np.arange(max(own["left"], x), min(own["right"], x + side))
-                data = batch.column("data")[i]
-                value = np.frombuffer(data.as_buffer(), np.float32).reshape(side, side) if data.is_valid else np.full((side, side), np.nan, np.float32)
-                patch = value[rows[:, None] - y, cols[None, :] - x].ravel()
-                kept = [batch.column(k).slice(i, 1).take(pa.array(np.zeros(len(patch), np.int64))) for k in keys]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.repeat(rows, len(cols))), pa.array(np.tile(cols, len(rows))), pa.array(patch)], names=[*keys, "row", "col", "value"])
-
+        for whole in batches:
+            # Some blocks at a time: their pixels in the order of the block, without those off the window.
+            for at in range(0, whole.num_rows, some):
+                batch = whole.slice(at, some)
+                n = batch.num_rows
+                ty, tx, top, bottom, left, right = (batch.column(c).to_numpy()[:, None] for c in ("ty", "tx", "top", "bottom", "left", "right"))
+                rows, cols = ty.astype(np.int64) * side + np.arange(side), tx.astype(np.int64) * side + np.arange(side)
+                kept = ((rows >= top) & (rows < bottom))[:, :, None] & ((cols >= left) & (cols < right))[:, None, :]
+                data = batch.column("data")
+                value = np.full((n, side, side), np.nan, np.float32)
+                stored = data.is_valid().to_numpy(zero_copy_only=False)
+                if stored.any():
+                    value[stored] = np.frombuffer(b"".join(data.drop_null().to_pylist()), np.float32).reshape(-1, side, side)
+                of, y, x = np.nonzero(kept)
+                own = batch.select(keys).take(pa.array(of))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(rows[of, y]), pa.array(cols[of, x]), pa.array(value[kept])], names=[*keys, "row", "col", "value"])
+
+    some = max(1, SOME_PIXELS // side**2)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.schema if f.name in keys)
     return blocks.mapInArrow(cut, f"{fields}, row long, col long, value float")
 
@@ -88,5 +98,6 @@ def read_windows(spark: SparkSession, path: str, windows: DataFrame) -> DataFram
     blocks = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / side).cast("int"), F.floor((F.col(b) - 1) / side).cast("int")))
     wanted = cut.withColumn("ty", blocks("top", "bottom")).withColumn("tx", blocks("left", "right"))
     stored = spark.read.schema("data binary, ty int, tx int").parquet(path)
-    met = wanted.join(stored, ["ty", "tx"], "left").select(*windows.columns, "ty", "tx", "data")
+    # Windows are small to read and what they are repeated to is not, so they are dealt over tasks.
+    met = wanted.repartition(spread_over(wanted)).join(stored, ["ty", "tx"], "left").select(*windows.columns, "ty", "tx", "data")
     return _pixels(met, side)
