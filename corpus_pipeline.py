@@ -55,12 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again by the next."""
-    from siteloom.llm.common import staged
+    """All stages over ``documents``, each written to the shared folder and read again by the next; what a stage has read or staged goes when it is written."""
+    from siteloom.llm.common import drop_staged, staged_alone
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = staged(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        before = docs
+        docs = staged_alone(lambda: stage(spark, before, sf_dir))  # noqa: B023
+        drop_staged(before)
+    return STAGES[-1][1](spark, docs, sf_dir)

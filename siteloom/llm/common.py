@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siteloom.operators.graph import components
-from siteloom.operators.staging import cleaning, drop_staged, shared_dir, staged
+from siteloom.operators.staging import cleaning, drop_staged, shared_dir, staged, staged_alone
 
-__all__ = ["WORD", "cleaning", "components", "drop_staged", "encoded_words", "id_crc", "rebatched", "shared_dir", "split_words", "staged", "struct_of", "text_key", "trim"]
+__all__ = ["WORD", "cleaning", "components", "drop_staged", "encoded_words", "id_crc", "rebatched", "shared_dir", "split_words", "staged", "staged_alone", "struct_of", "text_key", "trim"]
 
 #: A word: a run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -52,6 +52,7 @@ CHUNK = 8192  # words whose votes are counted at once
 TILE = 256  # texts whose sets of shingles share a block
 TILE_BYTES = 8 << 20
 COLUMNS = 8192  # shingles that are counted at once
+TEXT_PARTS = 4  # in which the texts of candidates are sought, one after another
 NODE = "V16"  # a text's 128 bits
 
 
@@ -293,7 +294,7 @@ def tile_links(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFra
 
     packed = staged(dealt.select("node", *key, "block", "shingles").groupBy(*key, "block").applyInArrow(pack, block))
     a, b = (packed.select("group", F.col("name").alias(f"{x}_name"), F.col("loose").alias(f"{x}_loose"), F.col("of").alias(f"{x}_of")) for x in "ab")
-    tiles = a.join(b, "group").where("a_name <= b_name and (a_loose or b_loose or a_of <> b_of)").select("a_name", "b_name")
+    tiles = staged(a.join(b, "group").where("a_name <= b_name and (a_loose or b_loose or a_of <> b_of)").select("a_name", "b_name"))
     whole = lambda x: packed.select(*(F.col(c).alias(f"{x}_{c}") for c in ("name", "nodes", "sizes", "hashes")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,7 +322,98 @@ def tile_links(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (us, vs)], names=["u", "v"])
             trim()
 
-    return tiles.join(whole("a"), "a_name").join(whole("b"), "b_name").select("a_name", "b_name", *(f"{x}_{c}" for x in "ab" for c in ("nodes", "sizes", "hashes"))).mapInArrow(compare, "u binary, v binary")
+    size = packed.select("name", F.length("hashes").alias("size"))
+    held_bytes = size.agg(F.sum("size")).first()[0]
+    parts = rounds_for(tiles.join(size, tiles["a_name"] == size["name"]).agg(F.sum("size")).first()[0], held_bytes)
+    found = []
+    for k in range(parts):
+        some = tiles.where(F.pmod(F.xxhash64("a_name", "b_name"), F.lit(parts)) == k)
+        met = some.join(whole("a"), "a_name").join(whole("b"), "b_name").select("a_name", "b_name", *(f"{x}_{c}" for x in "ab" for c in ("nodes", "sizes", "hashes")))
+        found.append(staged(met.mapInArrow(compare, "u binary, v binary")))
+    out = staged(reduce(DataFrame.unionByName, found))
+    drop_staged(packed, tiles, *found)
+    return out
+
+
+def rounds_for(sent: int | None, held: int | None) -> int:
+    """Rounds in which ``sent`` bytes go through a shuffle so that none sends more than is ``held`` anyway: the disk in use follows the texts, not their pairs."""
+    return max(1, -(-(sent or 0) // max(1, held or 0)))
+
+
+def key_blocks(nodes: np.ndarray, sizes: np.ndarray, keys: np.ndarray, bits: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """``keys``, ``sizes`` of them to a node, dealt into ``2 ** bits`` buckets: a bucket's name, its nodes, how many keys each has there, and the keys."""
+    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    order = np.argsort(bucket, kind="stable")
+    owner, keys = np.repeat(np.arange(len(nodes)), sizes)[order], keys[order]
+    names, heads = np.unique(bucket[order], return_index=True)
+    for name, a, b in zip(names.tolist(), heads, np.append(heads[1:], len(keys)), strict=True):
+        own, counts = np.unique(owner[a:b], return_counts=True)
+        yield name, nodes[own].tobytes(), counts.astype(np.uint32).tobytes(), keys[a:b].tobytes()
+
+
+def rarest(keys: np.ndarray, often: np.ndarray, size: int, similarity: float) -> np.ndarray:
+    """Of a set of ``size``, some of whose ``keys`` are also in ``often`` sets in all (the others in it alone): those of the rarest that it must share one of with any set alike to it."""
+    least = int(np.ceil(similarity * size - 1e-9))
+    return keys[np.lexsort((keys, often))][: max(0, size - least + 1 - (size - len(keys)))]
+
+
+def sharing(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, group) of the texts in ``groups`` (node, group, root) that may be alike to one of another root in their group, in groups of what may be.
+
+    Two sets alike to ``similarity`` share one of the n - ceil(similarity * n) + 1
+    rarest shingles of each, whatever order tells what is rare; here it is how many
+    texts of the group hold one. Shingles that one text alone holds can't be shared, and
+    mostly fill that share of a text that merely has common words with others,
+    so it is out. Work and disk grow with the texts, not with their pairs.
+    """
+    held = staged(groups.join(sets, "node").select("node", "group", "root", "shingles"))
+    count = (held.agg(F.sum(F.length("shingles"))).first()[0] or 0) // 8
+    bits = min(30, max(0, int(np.ceil(np.log2(max(1, count / PER_BUCKET))))))
+    block = struct_of(bucket=T.IntegerType(), nodes=T.BinaryType(), counts=T.BinaryType(), keys=T.BinaryType())
+    shared = struct_of(node=T.BinaryType(), keys=T.BinaryType(), often=T.BinaryType())
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rebatched(batches, 32 << 20):
+            found = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("shingles")]
+            sizes = np.array([len(x) for x in found], np.int64)
+            own = np.frombuffer(b"".join(x[:8] for x in batch.column("group").to_pylist()), np.uint64)
+            keys = mixed(np.concatenate(found) ^ np.repeat(mixed(own), sizes))
+            rows = list(key_blocks(np.frombuffer(b"".join(batch.column("node").to_pylist()), NODE), sizes, keys, bits))
+            trim()
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=block.names)
+
+    def meet(table: pa.Table) -> pa.Table:
+        trim()
+        nodes, counts, keys = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(c)]) for c, kind in (("nodes", NODE), ("counts", np.uint32), ("keys", np.uint64)))
+        place, times = np.unique(keys, return_inverse=True, return_counts=True)[1:]
+        often = times[place].astype(np.uint32)
+        kept = often > 1
+        owner = np.repeat(np.arange(len(nodes)), counts)[kept]
+        own, heads = np.unique(owner, return_index=True)
+        ends = np.append(heads[1:], len(owner))
+        parts = ([x[a:b].tobytes() for a, b in zip(heads, ends, strict=True)] for x in (keys[kept], often[kept]))
+        return pa.table({name: pa.array(x, pa.binary()) for name, x in zip(shared.names, (nodes[own].tolist(), *parts), strict=True)})
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rebatched(batches, 8 << 20):
+            own, out = [], []
+            for i, parts in enumerate(batch.column("parts").to_pylist()):
+                keys, often = (np.concatenate([np.frombuffer(p[c], kind) for p in parts]) for c, kind in (("keys", np.uint64), ("often", np.uint32)))
+                out.append(rarest(keys, often, batch.column("size")[i].as_py(), similarity).view(np.int64))
+                own += [i] * len(out[-1])
+            kept = batch.select(["node", "root"]).take(pa.array(own, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(np.concatenate(out))], names=["node", "root", "key"])
+
+    met = staged(held.select("node", "group", "shingles").mapInArrow(emit, block).repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(meet, shared))
+    parts = met.groupBy("node").agg(F.collect_list(F.struct("keys", "often")).alias("parts")).join(held.select("node", "root", (F.length("shingles") / 8).cast("long").alias("size")), "node")
+    rare = staged(parts.select("node", "root", "size", "parts").mapInArrow(first, "node binary, root binary, key long"))
+    drop_staged(met, held)
+    least = rare.groupBy("key").agg(F.min("root").alias("v"), F.max("root").alias("w")).where("v < w").select("key", "v")
+    joined = components(rare.sparkSession, rare.select("root", "key").distinct().join(least, "key").where("root <> v").select("root", "v"), "root", "v")
+    named = joined.select(F.col("node").alias("member"), F.col("root").alias("group"))
+    out = staged(rare.select("node", "root").distinct().join(named, F.col("root") == F.col("member")).select("node", "group"))
+    drop_staged(rare, joined)
+    return out
 
 
 def similar_texts(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, prints: int = PRINTS, radius: int = PRINT_RADIUS, slices: int = SLICES) -> DataFrame:
@@ -337,8 +429,8 @@ def similar_texts(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
 
     The candidates come as stars, whose least text need not be alike to texts
     that are alike to each other. So a group of candidates that its verified
-    stars leave in several components is gone through again: large groups by
-    stars around the text nearest to their majority, as long as these link at
+    stars leave in several components is gone through again: it is divided by
+    the rare shingles that alike texts must share, large groups go by stars around the text nearest to their majority, as long as these link at
     least half of what is loose, and what is then in several components by
     comparing all its texts in blocks.
     """
@@ -362,9 +454,7 @@ def similar_texts(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     edges = staged(inside.unionByName(across).where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     drop_staged(least, met)
     # The texts of the nodes that have links, one of each, and their sets of shingles.
-    wanted = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct().join(nodes.select("node", "least"), "node")
-    texts = slim.join(wanted, slim["id"].eqNullSafe(wanted["least"])).select("node", "text")
-
+    wanted = staged(edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct().join(nodes.select("node", "least"), "node"))
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rebatched(batches, 4 << 20):
             values, named = batch.column("text").to_pylist(), batch.column("node").to_pylist()
@@ -372,7 +462,16 @@ def similar_texts(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
             found = [np.unique(np.asarray(shingle_hashes(values[i], shingle), np.uint64)).tobytes() for i in right]
             yield pa.RecordBatch.from_arrays([pa.array([named[i] for i in right], pa.binary()), pa.array(found, pa.binary())], names=["node", "shingles"])
 
-    sets = staged(texts.mapInArrow(hashes, "node binary, shingles binary").dropDuplicates(["node"]))
+    found = []
+    for k in range(TEXT_PARTS):
+        mine = F.pmod(F.xxhash64("id"), F.lit(TEXT_PARTS)) == k
+        sought = wanted.where(F.pmod(F.xxhash64("least"), F.lit(TEXT_PARTS)) == k)
+        texts = slim.where(mine).join(sought, F.col("id").eqNullSafe(F.col("least"))).select("node", "text")
+        found.append(staged(texts.mapInArrow(hashes, "node binary, shingles binary").dropDuplicates(["node"])))
+    drop_staged(wanted)
+    sets = reduce(DataFrame.unionByName, found)
+    sizes = staged(sets.select("node", F.length("shingles").alias("size")))
+    held_bytes = sizes.agg(F.sum("size")).first()[0]
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rebatched(batches, 8 << 20):
@@ -383,25 +482,42 @@ def similar_texts(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column("u").filter(good), batch.column("v").filter(good)], names=["u", "v"])
 
     def verified(candidates: DataFrame) -> DataFrame:
-        pairs = candidates.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
-        return staged(pairs.select("u", "v", "a", "b").mapInArrow(check, "u binary, v binary"))
+        """The pairs that are alike, in as many rounds as keep the disk in use at a few times that of the sets. Those whose sizes alone are too unlike need no look."""
+        known = candidates.join(sizes.select(F.col("node").alias("u"), F.col("size").alias("n")), "u").join(sizes.select(F.col("node").alias("v"), F.col("size").alias("m")), "v")
+        some = staged(known.where(F.least("n", "m") >= F.greatest("n", "m") * F.lit(similarity) - 1e-6).select("u", "v", "n"))
+        rounds = rounds_for(some.agg(F.sum("n")).first()[0], held_bytes)
+        out = []
+        for k in range(rounds):
+            mine = lambda c: F.pmod(F.xxhash64(c), F.lit(rounds)) == k  # noqa: E731, B023
+            pairs = some.where(mine("u")).join(sets.where(mine("node")).select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+            out.append(staged(pairs.select("u", "v", "a", "b").mapInArrow(check, "u binary, v binary")))
+        drop_staged(some)
+        return reduce(DataFrame.unionByName, out)
 
     groups = staged(components(spark, edges, "u", "v").withColumnRenamed("root", "group"))
 
-    def open_groups(good: DataFrame) -> DataFrame:
-        """node, group, loose (in a component under TILE), ``of`` (the component, empty if loose) and the group's loose texts, of groups in several components."""
-        found = components(spark, good, "u", "v")
-        member = found.withColumnRenamed("node", "member")
-        at = staged(groups.join(member, groups["node"] == member["member"], "left").select("node", "group", F.coalesce("root", "node").alias("root")))
+    def placed(good: DataFrame) -> DataFrame:
+        """``groups`` with the ``root`` of each text's component."""
+        joined = components(spark, good, "u", "v")
+        member = joined.withColumnRenamed("node", "member")
+        out = staged(groups.join(member, groups["node"] == member["member"], "left").select("node", "group", F.coalesce("root", "node").alias("root")))
+        drop_staged(joined)
+        return out
+
+    def open_groups(at: DataFrame) -> DataFrame:
+        """node, group, root, loose (in a component under TILE), ``of`` (the component, empty if loose) and the group's loose texts, of groups in several components."""
         size = at.groupBy("group", "root").agg(F.count("*").alias("n"))
         several = size.groupBy("group").agg(F.count("*").alias("roots"), F.sum(F.when(F.col("n") < TILE, F.col("n")).otherwise(0)).alias("n_loose")).where("roots > 1")
         some = at.join(several.select("group", "n_loose"), "group").join(size, ["group", "root"])
-        out = staged(some.select("node", "group", (F.col("n") < TILE).alias("loose"), F.when(F.col("n") >= TILE, F.col("root")).otherwise(F.lit(b"")).alias("of"), "n_loose"))
-        drop_staged(at, found)
-        return out
+        return staged(some.select("node", "group", "root", (F.col("n") < TILE).alias("loose"), F.when(F.col("n") >= TILE, F.col("root")).otherwise(F.lit(b"")).alias("of"), "n_loose"))
 
     good = verified(edges)
-    rest = open_groups(good)
+    at = placed(good)
+    whole_groups, rest = groups, open_groups(at)
+    groups = sharing(rest, sets, similarity)
+    drop_staged(whole_groups, rest)
+    rest = open_groups(at.drop("group").join(groups, "node"))
+    drop_staged(at)
     large = lambda: rest.where(F.col("loose") & (F.col("n_loose") > TILE))
     count = large().count()
     while count:
@@ -415,15 +531,20 @@ def similar_texts(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
         centres = staged(around.join(votes.select("group", *most), "group").groupBy("group").agg(F.min_by("node", F.struct(off, "node")).alias("centre")))
         good = good.unionByName(verified(around.join(centres, "group").where("node != centre").select(F.col("node").alias("u"), F.col("centre").alias("v"))))
         drop_staged(around, votes, centres, rest)
-        rest = open_groups(good)
+        at = placed(good)
+        rest = open_groups(at)
+        drop_staged(at)
         before, count = count, large().count()
         if count * 2 > before:
             break
-    good = staged(good.unionByName(tile_links(rest, sets, similarity)))
-    found = components(spark, good, "u", "v").withColumnRenamed("node", "member")
-    rooted = nodes.join(found, nodes["node"] == found["member"], "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    more = tile_links(rest, sets, similarity)
+    good = staged(good.unionByName(more))
+    drop_staged(more)
+    joined = components(spark, good, "u", "v")
+    member = joined.withColumnRenamed("node", "member")
+    rooted = nodes.join(member, nodes["node"] == member["member"], "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = staged(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "root", "component_id"))
-    drop_staged(nodes, edges, sets, groups, rest, good)
+    drop_staged(nodes, edges, *found, sizes, groups, rest, good, joined)
     return own.join(named, "node").select(F.col("id").alias(id_column), "node", "root", "component_id")
 
 
